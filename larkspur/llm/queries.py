@@ -10,6 +10,8 @@ from .bpe import bpe_digests
 from .common import table
 from .lang_id import language_of
 from .media import media_columns
+from .pii import pii_digests
+from .quality import quality_verdicts
 from .secret_scan import scan_secrets
 from .url_filter import filter_urls
 
@@ -24,10 +26,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).drop("shard", "offset")
 
@@ -37,7 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_secret_scan, op4_bpe, op6_lang_id, op9_media, op10_url_filter)
+    found = (op2_secret_scan, op4_bpe, op5_pii, op6_lang_id, op8_quality_rules, op9_media, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
