@@ -3,8 +3,9 @@
 Each rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). Votes are
 noisy: expectation-maximisation over the counts of vote patterns estimates how often each rule votes
 what on good and on bad documents, and a document is kept if the posterior probability of good,
-given its votes, is at least ``keep_at``. Two base rules are final: fewer than MIN_WORDS words, or
-more than half of the words in repeated three-word windows.
+given its votes, is at least ``keep_at``; one against which no rule votes is kept (p 1). Two base
+rules are final: fewer than MIN_WORDS words, or more than half of the words in repeated three-word
+windows; the model is fitted to the other documents.
 
 Only the table of vote patterns reaches the driver: at most 3 to the power of the number of rules,
 whatever the corpus, and every document is counted in it. The statistics of a text are computed in
@@ -51,6 +52,7 @@ def text_stats(text: Column) -> Column:
                 F.size(p["lines"]).cast("long").alias("n_lines"),
                 (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
                 _repeat_words(w, n).cast("long").alias("n_repeat_words"),
+                F.length(F.regexp_replace(joined, r"\p{L}+", "")).cast("long").alias("n_other"),
                 F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
                 F.regexp_count(t, F.lit("[!?]")).cast("long").alias("n_shouts"),
                 F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
@@ -96,6 +98,7 @@ def votes(s: Column) -> dict[str, Column]:
     length = s["word_chars"] / words
     return {
         "symbols": low(s["n_symbols"] / words, 0.02, 0.1),
+        "letters": low(s["n_other"] / F.nullif(s["word_chars"], F.lit(0)), 0.1, 0.15),
         "repeats": low(s["n_repeat_words"] / words, 0.1, 0.3),
         "duplicate_lines": low(s["n_dup_lines"] / F.nullif(s["n_lines"], F.lit(0)), 0.05, 0.3),
         "upper_case": low(s["n_upper"] / F.nullif(s["word_chars"], F.lit(0)), 0.1, 0.3),
@@ -143,12 +146,14 @@ def _verdicts(known: DataFrame) -> tuple[Column, Column]:
     s = known[OWN]
     rules = votes(s)
     names = list(rules)
-    counted = known.select(*(v.cast("int").alias(k) for k, v in rules.items())).groupBy(*names).count().collect()
+    open_ = known.where(~base_failed(s))  # what the base rules decide isn't for the model
+    counted = open_.select(*(v.cast("int").alias(k) for k, v in rules.items())).groupBy(*names).count().collect()
     prior, good, bad = fit(sorted((tuple(row[k] for k in names), row["count"]) for row in counted))
     odds = F.lit(prior)
     for g, b, vote in zip(good, bad, rules.values()):
         odds = odds + F.when(vote == 1, g[1] - b[1]).when(vote == -1, g[-1] - b[-1]).otherwise(g[0] - b[0])
-    return base_failed(s), 1 / (1 + F.exp(-odds))
+    any_bad = F.least(*rules.values()) < 0
+    return base_failed(s), F.when(any_bad, 1 / (1 + F.exp(-odds))).otherwise(1.0)
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
