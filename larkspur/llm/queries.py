@@ -10,12 +10,17 @@ from .bpe import bpe_digests
 from .common import table
 from .lang_id import language_of
 from .media import media_columns
+from .minhash_dedup import near_duplicates
 from .pii import pii_digests
 from .quality import quality_verdicts
 from .secret_scan import scan_secrets
 from .url_filter import filter_urls
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -47,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_secret_scan, op4_bpe, op5_pii, op6_lang_id, op8_quality_rules, op9_media, op10_url_filter)
+    found = (op1_minhash_dedup, op2_secret_scan, op4_bpe, op5_pii, op6_lang_id, op8_quality_rules, op9_media, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
