@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import table
+from .html_extract import main_texts
 from .lang_id import language_of
 from .media import media_columns
 from .minhash_dedup import near_duplicates
+from .packing import pack_documents
 from .pii import pii_digests
 from .quality import quality_verdicts
 from .secret_scan import scan_secrets
@@ -25,6 +27,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,10 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -52,7 +62,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_secret_scan, op4_bpe, op5_pii, op6_lang_id, op8_quality_rules, op9_media, op10_url_filter)
+    found = (
+        op1_minhash_dedup, op2_secret_scan, op3_html_extract, op4_bpe, op5_pii, op6_lang_id, op7_packing, op8_quality_rules, op9_media, op10_url_filter,
+    )
     return {f.__name__: f for f in found}
 
 
