@@ -32,7 +32,7 @@ def precision(y: Column, pred: Column, positive: int = 1) -> Column:
 
 def f1(y: Column, pred: Column, positive: int = 1) -> Column:
     both = _n((y == positive) & (pred == positive))
-    return F.try_divide(2 * both, 2 * both + _n((y == positive) ^ (pred == positive)))
+    return F.try_divide(2 * both, 2 * both + _n((y == positive) != (pred == positive)))
 
 
 def balanced_accuracy(y: Column, pred: Column, classes: Sequence[int] = (0, 1)) -> Column:

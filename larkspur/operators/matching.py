@@ -104,7 +104,7 @@ def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str]
     one = rows.where("__runs <= 1").withColumn("__run", F.lit(0))
     # a large block's rows get their run from approximate quantiles of its own first covariate
     many = rows.where("__runs > 1")
-    cuts = many.groupBy(*exact, group).agg(F.percentile_approx(f"z_{numeric[0]}", F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: i / 100.0), 10_000).alias("__q"))
+    cuts = many.groupBy(*exact, group).agg(F.percentile_approx(f"z_{numeric[0]}", [i / 100 for i in range(1, 100)], 10_000).alias("__q"))
     place = F.size(F.filter("__q", lambda q: q < F.col(f"z_{numeric[0]}"))) / 100.0
     salt = F.pmod(F.xxhash64(id_col), F.greatest(F.ceil(F.col("__runs") / 100), F.lit(1)))
     many = many.join(cuts, [*exact, group]).withColumn("__run", (F.floor(place * F.least("__runs", F.lit(100))) * 1_000_000 + salt).cast("int")).drop("__q")
