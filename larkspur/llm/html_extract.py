@@ -113,7 +113,7 @@ class Page:
         self.subtrees: list[tuple[int, int, int]] = []
         self._open: list[_Node] = [_Node("#", False, 0, False)]
         self._text: list[str] = []
-        self._anchors = self._articles = self._mains = 0
+        self._anchors = self._linked = self._articles = self._mains = 0
         self._counts: list[dict[str, int]] = [{}]  # open elements by name, since the innermost container
         self._parse(html)
 
@@ -122,10 +122,10 @@ class Page:
         while at < n:
             m = TOKEN.search(html, at)
             if m is None:
-                self._text.append(html[at:])
+                self._add(html[at:])
                 break
             if m.start() > at:
-                self._text.append(html[at : m.start()])
+                self._add(html[at : m.start()])
             at = m.end()
             if m[2] is None:
                 continue
@@ -146,6 +146,11 @@ class Page:
             self._close(False)
         self._flush()
 
+    def _add(self, text: str) -> None:
+        self._text.append(text)
+        if self._anchors:
+            self._linked += len(text.strip())
+
     def _flush(self) -> None:
         if not self._text:
             return
@@ -158,8 +163,8 @@ class Page:
             self.inside.append(2 if self._articles else 1 if self._mains else 0)
             node.parts.append(b"\1" + text.encode("utf-8", "surrogatepass"))
             node.chars += len(text)
-            if self._anchors:
-                node.anchor_chars += len(text)
+            node.anchor_chars += min(self._linked, len(text))
+        self._linked = 0
 
     def _start(self, tag: str, attributes: str) -> None:
         block = tag in BLOCK or tag in DROPPED

@@ -179,8 +179,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) for every row of docs."""
 
+    def count(spans: Column, kind: str) -> Column:
+        # the lambda has one parameter only: a second one would be given the index
+        return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
     def facts(spans: Column) -> Column:
-        counts = [F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+        counts = [count(spans, k) for k in BASE]
         base = joined(F.filter(spans, lambda s: s["kind"] < len(BASE)))
         scores = F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
         return F.struct(*counts, F.sha2(base, 256).alias("base_sha256"), joined(spans).alias("spans"), scores.alias("scores"))
