@@ -13,7 +13,7 @@
    fetched once, and all pairs of a component are compared by their exact intersection sizes.
    Components beyond GROUP members are dealt over chunks that share anchors; classes that don't
    come out in the chunks' main component are then compared with every member, in blocks. Only
-   confirmed links count, and each group reports a spanning forest of them, not its pairs.
+   confirmed links count, and each group reports its components as stars of their smallest ids, not its pairs.
 4. The components of confirmed links, over classes, give every document its component id.
 
 A pair of similarity s survives a tree's first two levels with probability s^2, so at 0.85 all
@@ -128,8 +128,11 @@ def by_group(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], Ite
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _forest(ids: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Edges between ids for those of pairs (of positions) that join two components."""
+def _stars(ids: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each component of pairs (of positions) the links of its smallest id to the others.
+
+    Stars rather than the pairs themselves: groups that overlap then mostly report the same links.
+    """
     parent = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -138,13 +141,12 @@ def _forest(ids: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int,
             i = parent[i]
         return i
 
-    out = []
     for i, j in pairs:
-        if (a := root(i)) != (b := root(j)):
-            parent[max(a, b)] = min(a, b)
-            if ids[i] != ids[j]:
-                out.append((ids[i], ids[j]))
-    return out
+        a, b = root(i), root(j)
+        if ids[a] > ids[b]:
+            a, b = b, a
+        parent[b] = a
+    return [(ids[r], ids[i]) for i in range(len(ids)) if ids[r := root(i)] != ids[i]]
 
 
 def _sigs(column) -> np.ndarray:
@@ -160,9 +162,8 @@ def tie_small(table: pa.Table) -> Iterator[tuple[int, int]]:
     for i in range(len(ids) - 1):
         pairs += [(i, i + 1 + j) for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= LINK_AT).tolist()]
         if len(pairs) > 100_000:
-            kept = {(a, b) for a, b in _forest(list(range(len(ids))), iter(pairs))}
-            pairs = sorted(kept)
-    return iter(_forest(ids, iter(pairs)))
+            pairs = _stars(list(range(len(ids))), iter(pairs))
+    return iter(_stars(ids, iter(pairs)))
 
 
 def _near_anchor(rows: DataFrame) -> DataFrame:
@@ -258,11 +259,11 @@ def linked_pairs(sets: list[np.ndarray], of: np.ndarray | None = None) -> Iterat
 
 
 def confirm(table: pa.Table) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the confirmed links of one group (rep, text, asked)."""
+    """The components of the confirmed links of one group (rep, text, asked), as stars."""
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     asked = table.column("asked").to_numpy()
     sets = list(shingle_sets(texts))
-    return iter(_forest(table.column("rep").to_pylist(), linked_pairs(sets, None if asked.all() else asked)))
+    return iter(_stars(table.column("rep").to_pylist(), linked_pairs(sets, None if asked.all() else asked)))
 
 
 def _dealt(members: DataFrame) -> DataFrame:
