@@ -68,5 +68,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Exact comparison of all documents that share a shingle; production tables are too large for it.
+NEAR_DUPLICATES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+  e AS (SELECT doc_id, unnest(sh) AS x FROM s), f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1), g AS (SELECT doc_id, x FROM e JOIN f USING (x)),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT p.a, p.b FROM p JOIN s sa ON sa.doc_id = p.a JOIN s sb ON sb.doc_id = p.b WHERE 100 * p.c >= 85 * (len(sa.sh) + len(sb.sh) - p.c)),
+  u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.reach FROM r JOIN u ON u.a = r.doc_id)
+  SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""
+
+#: The rules, then beta-binomial shrinkage from host to domain to suffix; the hosts of pages have suffixes of one label.
+URL_FILTER_SQL = """WITH r AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+  h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+  j AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
+  c AS (SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action FROM j),
+  g AS (SELECT host, CAST(count(action) AS DOUBLE) AS n, CAST(sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) AS DOUBLE) AS k FROM c GROUP BY host),
+  hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM g),
+  s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM hosts) AS m, 0.0::DOUBLE AS var FROM hosts GROUP BY suffix),
+  s1 AS (SELECT suffix, (k + s * m) / (n + s) AS m, (k + s * m) * (n - k + s * (1 - m)) / ((n + s) * (n + s) * (n + s + 1)) + (s / (n + s)) * (s / (n + s)) * var AS var FROM s0, (SELECT CASE WHEN coalesce(top, 0) = 0 THEN 1.0::DOUBLE WHEN ss - v <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, top / (ss - v) - 1)) END AS s FROM (SELECT sum(m * (1 - m) * (n - 1)) AS top, sum(m * (1 - m)) AS v, sum(n * (k / n - m) * (k / n - m)) AS ss FROM s0 WHERE n > 0))),
+  d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(s1.m) AS m, any_value(s1.var) AS var FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix),
+  d1 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS m, (k + s * m) * (n - k + s * (1 - m)) / ((n + s) * (n + s) * (n + s + 1)) + (s / (n + s)) * (s / (n + s)) * var AS var FROM d0, (SELECT CASE WHEN coalesce(top, 0) = 0 THEN 1.0::DOUBLE WHEN ss - v <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, top / (ss - v) - 1)) END AS s FROM (SELECT sum(m * (1 - m) * (n - 1)) AS top, sum(m * (1 - m)) AS v, sum(n * (k / n - m) * (k / n - m)) AS ss FROM d0 WHERE n > 0))),
+  h0 AS (SELECT host, n, k, d1.m, d1.var FROM hosts JOIN d1 USING (domain, suffix)),
+  h1 AS (SELECT host, (k + s * m) / (n + s) - 1.645 * sqrt((k + s * m) * (n - k + s * (1 - m)) / ((n + s) * (n + s) * (n + s + 1)) + (s / (n + s)) * (s / (n + s)) * var) AS lower_bound FROM h0, (SELECT CASE WHEN coalesce(top, 0) = 0 THEN 1.0::DOUBLE WHEN ss - v <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, top / (ss - v) - 1)) END AS s FROM (SELECT sum(m * (1 - m) * (n - 1)) AS top, sum(m * (1 - m)) AS v, sum(n * (k / n - m) * (k / n - m)) AS ss FROM h0 WHERE n > 0)))
+  SELECT page_id, host, path, rule, coalesce(action, CASE WHEN lower_bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN h1 USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query: decoding, parsing, models and packing can't be; their tests have plain versions."""
+    return {"op1_minhash_dedup": NEAR_DUPLICATES_SQL, "op10_url_filter": URL_FILTER_SQL}
