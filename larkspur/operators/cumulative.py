@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranges of the order column that are summed apart from each other.
-RANGES = 64
+RANGES = 256
 
 
-def _range_of(df: DataFrame, order: str, ranges: int) -> Column:
-    """Which range of about equal numbers of rows a value is in; the bounds are approximate quantiles."""
+def with_range(df: DataFrame, order: str, ranges: int = RANGES, name: str = "__range") -> DataFrame:
+    """df with the range, of about equal numbers of rows, that a numeric column's value is in.
+
+    The bounds are approximate quantiles, so their number is all that reaches the driver; a value
+    finds its range by binary search. Equal values share a range; nulls are in the last one.
+    """
     bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))).cast("int")
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="__order", outputCol="__place", handleInvalid="keep").transform(df.withColumn("__order", F.col(order).cast("double")))
+    return ranged.withColumn(name, F.col("__place").cast("int")).drop("__order", "__place")
 
 
 def cumulative(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
@@ -27,7 +34,7 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str,
     before it, of which there are at most ``ranges`` a key, are added.
     """
     keys = list(by)
-    ranged = df.withColumn("__range", _range_of(df, order, ranges))
+    ranged = with_range(df, order, ranges)
     across = [F.sum(c).alias(f"__{t}") for c, t in sums.items()]
     totals = ranged.groupBy(*keys, "__range").agg(*across)
     place = F.desc("__range") if descending else F.asc("__range")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cumulative import with_range
+
 
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -128,13 +130,11 @@ def label_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     return out.withColumn(code, F.coalesce(code, F.lit(-1)))
 
 
-def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", ranges: int = 64) -> DataFrame:
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """df with numbers 0, 1, ... in the order of a unique, first-column-numeric key, numbered range by range."""
-    from .cumulative import _range_of
-
-    ranged = df.withColumn("__range", F.coalesce(_range_of(df, order[0], ranges), F.lit(-1)))
+    ranged = with_range(df, order[0])
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + 1 rows
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*map(_col, order))) - 1
     out = ranged.withColumn("__i", inside).join(F.broadcast(sizes), "__range")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,8 @@ from ..functions.scalars import draw
 
 #: Draws are compared within a stratum; ties go by id.
 SPACE = 1_000_000_007
+#: Equal parts of the draws' space; a stratum is numbered part by part, so it never meets in one task.
+SLICES = 1024
 
 
 def seeds(n: int) -> list[int]:
@@ -19,15 +21,30 @@ def seeds(n: int) -> list[int]:
     return [3**i for i in range(n)]
 
 
-def _shuffled(by: Sequence[str], id_col: str, seed: int) -> Column:
-    """Place of a row within its stratum in a random order, from 0."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(draw(F.col(id_col), seed, SPACE), F.col(id_col))
-    return F.row_number().over(order) - 1
+def _shuffled(df: DataFrame, by: Sequence[str], id_col: str, seed: int) -> DataFrame:
+    """df with __place, a row's place from 0 within its stratum in a random order, and the stratum's __size.
+
+    Draws are uniform, so equal parts of their space hold about equal numbers of rows. Rows are numbered
+    within their part, and a small table has how many rows the parts before it have.
+    """
+    keys = list(by)
+    drawn = df.withColumn("__draw", draw(F.col(id_col), seed, SPACE))
+    drawn = drawn.withColumn("__slice", F.floor(F.col("__draw") * SLICES / F.lit(float(SPACE))).cast("int"))
+    sizes = drawn.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    stratum = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("__n").over(stratum.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__slice").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(stratum).alias("__size"))
+    same = F.col("__slice") == F.col("__s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy("__draw", id_col)) - 1
+    placed = drawn.withColumn("__i", inside).join(sizes, same)
+    return placed.withColumn("__place", F.col("__i") + F.col("__before")).select(*df.columns, "__place", "__size")
 
 
 def k_fold(df: DataFrame, k: int, id_col: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """df with fold 0 to k-1; sizes, within each stratum too, differ by one at most."""
-    return df.withColumn("fold", (_shuffled(strata, id_col, seed) % k).cast("int"))
+    return _shuffled(df, strata, id_col, seed).withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place", "__size")
 
 
 def leave_one_out(df: DataFrame, id_col: str) -> DataFrame:
@@ -50,14 +67,13 @@ def group_k_fold(df: DataFrame, k: int, group: str, seed: int, stratum: str | No
     """
     label = F.min(stratum) if stratum else F.lit(0)
     groups = df.groupBy(group).agg(label.alias("__stratum"))
-    groups = groups.select(group, (_shuffled(["__stratum"], group, seed) % k).cast("int").alias("fold"))
-    return df.join(groups, group)
+    return df.join(k_fold(groups, k, group, seed, ["__stratum"]).select(group, "fold"), group)
 
 
 def holdout(df: DataFrame, share: float, id_col: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """df with is_test: ceil(share * size) rows of each stratum."""
-    size = F.count("*").over(Window.partitionBy(*(strata or [F.lit(0)])))
-    return df.withColumn("is_test", _shuffled(strata, id_col, seed) < F.ceil(size * F.lit(share)))
+    rows = _shuffled(df, strata, id_col, seed)
+    return rows.withColumn("is_test", F.col("__place") < F.ceil(F.col("__size") * F.lit(share))).drop("__place", "__size")
 
 
 def group_holdout(df: DataFrame, share: float, group: str, seed: int) -> DataFrame:
@@ -68,9 +84,9 @@ def group_holdout(df: DataFrame, share: float, group: str, seed: int) -> DataFra
 
 def flip_labels(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     """df with half of each class's binary labels (rounded down) turned into the other, as a control."""
-    size = F.count("*").over(Window.partitionBy(label))
-    flip = _shuffled([label], id_col, seed) < F.floor(size / 2)
-    return df.withColumn("flipped", F.when(flip, 1 - F.col(label)).otherwise(F.col(label)))
+    flip = F.col("__place") < F.floor(F.col("__size") / 2)
+    rows = _shuffled(df, [label], id_col, seed)
+    return rows.withColumn("flipped", F.when(flip, 1 - F.col(label)).otherwise(F.col(label))).drop("__place", "__size")
 
 
 def permute_labels(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:

@@ -221,3 +221,35 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.histogram(scored(spark, sf_dir).select(F.col("y").cast("int").alias("y"), "p"), "p", 50, 0.0, 1.0, ["y"])
 
 
+
+
+@query()
+def roc_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grid, mean, lo, hi) of the ROC curve over resamples, at the points of a grid."""
+    rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))))
+    rows = rows.withColumn("w", resample.poisson_weight(F.col("doc_id"), F.col("b"), SEED)).where("w > 0")
+    curves = M.on_grid(M.roc_curve(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))), "y", "score", ["b"]), 100, ["b"])
+    return resample.percentile_interval(curves, "tpr", ["grid"])
+
+
+@query(f"""WITH f AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {draw_sql('doc_id', SEED, split.SPACE)}, doc_id) <= floor(count(*) OVER (PARTITION BY quality) / 2.0) THEN 1 - quality ELSE quality END AS flipped FROM labels),
+  s AS (SELECT f.flipped, s.* FROM ({SCORED}) s JOIN f USING (doc_id)), g AS (SELECT 'labels' AS target, y, score FROM s UNION ALL SELECT 'control', flipped, score FROM s),
+  r AS (SELECT target, y, rank() OVER (PARTITION BY target ORDER BY score) + (count(*) OVER (PARTITION BY target, score) - 1) / 2.0::DOUBLE AS r, CAST(sum(y) OVER (PARTITION BY target) AS DOUBLE) AS n1, CAST(sum(1 - y) OVER (PARTITION BY target) AS DOUBLE) AS n0 FROM g)
+  SELECT target, round({AUC}, 6) AS auc FROM r GROUP BY target, n1, n0""")
+def shuffle_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score's AUC on the labels and on labels half of which are flipped."""
+    flipped = split.flip_labels(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", SEED).select("doc_id", "flipped")
+    rows = scored(spark, sf_dir).join(flipped, "doc_id")
+    pair = lambda name, y: F.struct(F.lit(name).alias("target"), F.col(y).cast("int").alias("y"))
+    both = rows.select(F.explode(F.array(pair("labels", "y"), pair("control", "flipped"))).alias("x"), "score")
+    return M.roc_auc(both.select("x.*", "score"), "y", "score", ["target"]).select("target", rounded(F.col("auc")).alias("auc"))
+
+
+@query(f"""WITH m AS (SELECT unnest([0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS threshold), s AS ({SCORED})
+  SELECT threshold, count(*) AS n, round(avg(CASE WHEN (p >= threshold) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM s, m GROUP BY threshold""")
+def holdout_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of a small broadcast table scored on the same rows in one pass."""
+    candidates = spark.createDataFrame([(0.4,), (0.6,), (0.8,)], "threshold double")
+    rows = scored(spark, sf_dir).select("y", "p").crossJoin(F.broadcast(candidates))
+    pred = F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0)
+    return rows.groupBy("threshold").agg(F.count("*").alias("n"), rounded(M.accuracy(F.col("y"), pred)).alias("accuracy"))
