@@ -8,36 +8,28 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether edges (u, v), distinct and u > v, are stars: each u has one v, which is no u itself."""
-    ends = edges.select("u", F.lit(1).alias("ups"), F.lit(0).alias("downs"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
-    each = ends.groupBy("u").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
-    return not each.where("ups > 1 or (ups = 1 and downs = 1)").limit(1).count()
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Alternates two steps on edges directed from the larger to the smaller end: a node's larger
-    neighbours are linked to its smallest neighbour, then its smaller neighbours are. Both keep the
-    components, and the graph becomes one star around each component's smallest node in a number of
-    rounds that grows with the logarithm of the longest path; edges that are such stars already take
-    none. Each step groups by node with partial aggregation and joins the minimum back; no group is
-    gathered in one row. Edges are written to the shared folder in each round, so lineage stays short.
+    Edges are directed from the larger end u to the smaller end v. A round has two steps: all the
+    smaller neighbours of a node are linked to the smallest of them; then an edge moves its smaller
+    end to that end's own smallest neighbour. Both keep the components, and the graph becomes one star
+    around each component's smallest node in a number of rounds that grows with the logarithm of the
+    longest path; edges that are such stars already take none. Minima are summed up in every task
+    before the shuffle and joined back as a table, so that a node with a large share of all edges is a
+    skewed join, which adaptive execution splits; no group is gathered in one row. Edges are written to
+    the shared folder in each round, so lineage stays short.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "edges")
     for _ in range(most_rounds):
-        if _settled(edges):
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(rest.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), (F.min("v") < F.max("v")).alias("many")), "least")
+        lower = least.select(F.col("u").alias("v"), "m")
+        if not least.where("many").limit(1).count() and not edges.join(lower, "v", "left_semi").limit(1).count():
+            roots = least.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(roots)
+        several = edges.join(least.where("many").select("u", "m"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = several.unionByName(least.select("u", F.col("m").alias("v")))
+        lower = linked.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        edges = materialize(linked.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")), "edges")
+    raise RuntimeError("components didn't settle")

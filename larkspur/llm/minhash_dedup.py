@@ -307,7 +307,7 @@ def confirmed_components(docs: DataFrame, members: DataFrame) -> DataFrame:
     plan = materialize(plan, "plan")
     texts = docs.join(small(plan, plan.count()), docs["id"] == plan["rep"]).select("comp", "rep", "text", "block", "chunk", "asked")
     more = by_group(texts, ["comp", "block", "chunk"], confirm)
-    return connected_components(edges.unionByName(more))
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
