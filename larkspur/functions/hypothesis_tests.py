@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.cumulative import average_ranks, cumulative
+from ..operators.cumulative import average_ranks, cumulative, later_min
 from ..operators.describe import category_shares
 from .special import chi2_tail, fisher_exact, normal_two_sided, shapiro_wilk, t_two_sided
 
@@ -185,10 +185,10 @@ def benjamini_hochberg(df: DataFrame, p: str, adjusted: str = "p_adj", by: Seque
     group = [*keys, known.alias("__known")]
     steps = df.groupBy(*group, p).agg(F.count("*").alias("__k")).where(known).drop("__known")
     steps = cumulative(steps, keys, p, {"__k": "__rank"})
-    m = F.sum("__k").over(Window.partitionBy(*(keys or [F.lit(0)])))
-    down = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("__m", m)
-    steps = steps.withColumn(adjusted, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down)))
+    total = df.groupBy(*keys).agg(F.count(p).alias("__m"))
+    steps = steps.join(total, keys) if keys else steps.crossJoin(F.broadcast(total))
+    steps = steps.withColumn("__q", F.col(p) * F.col("__m") / F.col("__rank"))
+    steps = later_min(steps, keys, p, "__q", adjusted).withColumn(adjusted, F.least(F.lit(1.0), adjusted))
     return df.join(steps.select(*keys, p, adjusted), [*keys, p], "left")
 
 

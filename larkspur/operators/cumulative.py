@@ -19,7 +19,8 @@ def with_range(df: DataFrame, order: str, ranges: int = RANGES, name: str = "__r
     The bounds are approximate quantiles, so their number is all that reaches the driver; a value
     finds its range by binary search. Equal values share a range; nulls are in the last one.
     """
-    bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.approxQuantile(order, shares, 0.25 / ranges))) if shares else []
     if not bounds:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
@@ -56,3 +57,34 @@ def average_ranks(df: DataFrame, column: str, rank: str, by: Sequence[str] = ())
     steps = cumulative(steps, keys, column, {"__n": "__upto"})
     steps = steps.select(*keys, column, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank))
     return df.join(steps, [*keys, column], "left")
+
+
+def later_min(df: DataFrame, by: Sequence[str], order: str, column: str, out: str, ranges: int = RANGES) -> DataFrame:
+    """df with the smallest value of a column over the rows whose order is equal or larger."""
+    keys = list(by)
+    ranged = with_range(df, order, ranges)
+    least = ranged.groupBy(*keys, "__range").agg(F.min(column).alias("__least"))
+    after = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    least = least.select(*keys, "__range", F.min("__least").over(after).alias("__later"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn(out, F.min(column).over(inside)).join(least, [*keys, "__range"])
+    return own.withColumn(out, F.least(out, "__later")).drop("__range", "__later")
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, names): exact percentiles with linear interpolation, from running counts of the distinct values.
+
+    Unlike an exact percentile aggregate, which holds a group's values in one task's memory, this
+    shuffles distinct values and sums them range by range, so a group may be of any size.
+    """
+    keys = list(by)
+    known = df.where(F.col(column).isNotNull())
+    steps = known.groupBy(*keys, F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__k"))
+    steps = cumulative(steps, keys, "__x", {"__k": "__upto"})
+    totals = known.groupBy(*keys).agg(F.count("*").alias("__n"))
+    steps = steps.join(totals, keys) if keys else steps.crossJoin(F.broadcast(totals))
+    at = [(F.col("__n") - 1) * F.lit(float(p)) for p in shares]
+    ends = [F.min(F.when(F.col("__upto") > f(a), F.col("__x"))).alias(f"__{e}{i}") for i, a in enumerate(at) for e, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = steps.groupBy(*keys, "__n").agg(*ends)
+    part = [a - F.floor(a) for a in at]
+    return found.select(*keys, *((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * q).alias(n) for i, (n, q) in enumerate(zip(names, part))))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 
 def interval(x: Column, level: float = 0.95) -> list[Column]:
-    """Mean and the exact central interval."""
+    """Mean and the exact central interval, for groups that fit a task; ``cumulative.percentiles`` has no such bound."""
     tail = (1 - level) / 2
     return [F.avg(x).alias("mean"), F.percentile(x, tail).alias("lo"), F.percentile(x, 1 - tail).alias("hi")]
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a query set is broadcast to all rows of a nearest-neighbour search.
+#: About how many queries are broadcast at once to all rows of a nearest-neighbour search.
 MOST_QUERIES = 20_000
 
 
@@ -177,13 +177,21 @@ def most_likely(scores: dict[object, Column]) -> Column:
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:
     """(query_id, id, distance, place): each query's k nearest rows other than itself, ties by id.
 
-    Every task compares its rows, a block at a time, with the broadcast queries and keeps k a query,
-    so what is shuffled is k rows a query and task. More queries than ``most_queries`` are an error:
-    they should come in several sets.
+    Queries come in blocks of about ``most_queries``, dealt by a hash. For each block every task compares
+    its rows, some at a time, with the broadcast queries and keeps k a query, so what is shuffled is
+    k rows a query and task.
     """
-    asked = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").limit(most_queries + 1).toPandas()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; split them into sets")
+    vectors = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    blocks = max(1, -(-vectors.count() // most_queries))
+    out = None
+    for b in range(blocks):
+        part = _nearest_of(vectors.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), rows, id_col, vector, k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest_of(block: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    asked = block.toPandas()
     ids = asked["i"].to_numpy(np.int64)
     sent = rows.sparkSession.sparkContext.broadcast((ids, np.array(asked["v"].tolist(), float).reshape(len(ids), -1)))
 

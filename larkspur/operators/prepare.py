@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cumulative import with_range
+from .cumulative import percentiles, with_range
 
 
 def _col(name: str) -> Column:
@@ -100,10 +100,9 @@ def within_sd_in_turn(df: DataFrame, columns: Sequence[str], times: float = 3.0)
 def within_iqr(df: DataFrame, column: str, times: float = 1.5, by: Sequence[str] = ()) -> DataFrame:
     """Rows nearer to the median than so many interquartile ranges; exact percentiles."""
     x = _col(column)
-    q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    rows = _with_statistics(df, {"__q": q}, by)
-    kept = F.abs(x - F.col("__q")[1]) < times * (F.col("__q")[2] - F.col("__q")[0])
-    return rows.where(kept).select(*map(_col, df.columns))
+    quartiles = percentiles(df, column, (0.25, 0.5, 0.75), ("__a", "__m", "__b"), by)
+    rows = df.join(quartiles, list(by)) if by else df.crossJoin(F.broadcast(quartiles))  # one row
+    return rows.where(F.abs(x - F.col("__m")) < times * (F.col("__b") - F.col("__a"))).select(*map(_col, df.columns))
 
 
 def outside(df: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:

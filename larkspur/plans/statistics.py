@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hypothesis_tests as T
 from ..functions.scalars import rounded
 from ..operators import describe
+from ..operators.cumulative import percentiles
 from ..sources.session import table
 from .registry import query
 
@@ -40,7 +41,9 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), *describe.interval(F.col("value")), F.count_distinct("user_id").alias("users"))
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
+    middle = percentiles(events, "value", (0.5, 0.025, 0.975), ("median", "lo", "hi"), ["event_type"])
+    rows = events.groupBy("event_type").agg(F.avg("value").alias("mean"), F.count_distinct("user_id").alias("users")).join(middle, "event_type")
     return _round(rows, "median", "mean", "lo", "hi")
 
 

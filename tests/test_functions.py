@@ -268,3 +268,22 @@ def test_matching_subset_and_propensity(spark):
     near = matching.propensity_pairs(df, "id", "g", ["x"], 0.05).collect()
     assert near and all(r.distance <= 0.05 for r in near) and len({r.small_id for r in near}) == len(near) == len({r.large_id for r in near})
     assert describe.smd(df, "g", ["x"]).first().smd > 0.05
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(1, 8))
+def test_percentiles_and_later_minima_equal_numpy(spark, values, ranges):
+    from larkspur.operators.cumulative import later_min, percentiles
+
+    df = spark.createDataFrame([(float(v), float(i * 7 % 11)) for i, v in enumerate(values)] + [(None, 0.0)], "x double, c double")
+    got = percentiles(df, "x", (0.0, 0.1, 0.5, 0.975, 1.0), list("abcde")).first()
+    assert np.allclose(list(got), np.percentile(values, [0, 10, 50, 97.5, 100]))
+    for r in later_min(df.where("x is not null"), [], "x", "c", "least", ranges).collect():
+        assert r.least == min(i * 7 % 11 for i, v in enumerate(values) if v >= r.x)
+
+
+def test_neighbours_in_blocks_equal_one_block(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(120)], "id long, v array<double>")
+    one, many = (sorted(map(tuple, models.nearest(df.where("id % 3 = 0"), df, "id", "v", 4, n).collect())) for n in (1000, 7))
+    assert one == many and len(one) == 160
