@@ -15,9 +15,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smaller neighbours of a node are linked to the smallest of them; then an edge moves its smaller
     end to that end's own smallest neighbour. Both keep the components, and the graph becomes one star
     around each component's smallest node in a number of rounds that grows with the logarithm of the
-    longest path; edges that are such stars already take none. Minima are summed up in every task
-    before the shuffle and joined back as a table, so that a node with a large share of all edges is a
-    skewed join, which adaptive execution splits; no group is gathered in one row. Edges are written to
+    longest path; edges that are such stars already take none. Minima are taken in every task
+    before the shuffle and joined back, so no group is gathered in one row: a node's edges stream past
+    its one row in flat memory, though those of one node meet in one task. Edges are written to
     the shared folder in each round, so lineage stays short.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
