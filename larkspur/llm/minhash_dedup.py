@@ -6,9 +6,11 @@
 2. Trees. TREES independent trees branch the classes by selected minwise tokens. The first two
    levels of a tree are two tokens of its own; a node of at most SMALL classes is compared
    exhaustively by sketch, and classes that agree on LINK_AT or more tokens are tied. In a larger
-   node every class is first compared with random anchors; those close to an anchor are tied to it
-   and leave the node (what is similar to them is, by the triangle inequality, near the anchor as
-   well), and the rest branch on, by two further tokens a level, until every node is small.
+   node every class is first compared with random anchors and tied to all that agree with it on
+   LINK_AT or more tokens. Those on LEAVE_AT or more of an anchor's tokens leave the node: what
+   agrees with them on k tokens agrees with that anchor on k - (COORDINATES - LEAVE_AT) at least,
+   so it is as a rule tied to the anchor as well, whichever anchor is its own nearest. The rest
+   branch on, by two further tokens a level, until every node is small.
 3. Confirmation. The components of the ties are a superset of the wanted ones. Each text in one is
    fetched once, and all pairs of a component are compared by their exact intersection sizes.
    Components beyond GROUP members are dealt over chunks that share anchors; classes that don't
@@ -167,21 +169,42 @@ def tie_small(table: pa.Table) -> Iterator[tuple[int, int]]:
 
 
 def _near_anchor(rows: DataFrame) -> DataFrame:
-    """rows (tree, node, rep, sig, anchors) with the nearest anchor and the tokens shared with it."""
+    """rows (tree, node, rep, sig, anchors) with the nearest anchor, the tokens shared with it, and the others.
+
+    others: further anchors that share LINK_AT or more tokens with the row, except those that earlier
+    rows of the batch have tied to the nearest one already, directly or through other anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _sigs(batch.column("sig"))
-            best, shared = [], []
+            best, shared, others = [], [], []
+            parent: dict[int, int] = {}
+
+            def root(i: int) -> int:
+                while (up := parent.setdefault(i, i)) != i:
+                    parent[i] = parent[up]
+                    i = up
+                return i
+
             for own, me, anchors in zip(sig, batch.column("rep").to_pylist(), batch.column("anchors")):
                 ids = anchors.values.field("rep").to_pylist()
                 same = (_sigs(anchors.values.field("sig")) == own).sum(axis=1)
-                best.append(ids[int(same.argmax())])
+                nearest = ids[int(same.argmax())]
+                best.append(nearest)
                 shared.append(COORDINATES if me in ids else int(same.max()))
+                others.append([])
+                for i in np.flatnonzero(same >= LINK_AT).tolist():
+                    if root(ids[i]) != root(nearest):
+                        parent[root(ids[i])] = root(nearest)
+                        others[-1].append(ids[i])
             keep = [batch.column(c) for c in ("tree", "node", "rep", "sig")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(best, pa.int64()), pa.array(shared, pa.int32())], names=["tree", "node", "rep", "sig", "anchor", "shared"])
+            found = [pa.array(best, pa.int64()), pa.array(shared, pa.int32()), pa.array(others, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*keep, *found], names=["tree", "node", "rep", "sig", "anchor", "shared", "others"])
 
-    return rows.select("tree", "node", "rep", "sig", "anchors").mapInArrow(run, "tree int, node long, rep long, sig array<int>, anchor long, shared int")
+    return rows.select("tree", "node", "rep", "sig", "anchors").mapInArrow(
+        run, "tree int, node long, rep long, sig array<int>, anchor long, shared int, others array<long>"
+    )
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -203,14 +226,18 @@ def tie(reps: DataFrame) -> DataFrame:
     ties = by_group(rows.where(F.col("size") <= SMALL), ["node"], tie_small)
     depth, large = 0, rows.where(F.col("size") > SMALL)
     while large.limit(1).count():
+        if depth == COORDINATES // 2 - 2:
+            # every token is used up; what is left of a node is tied together and left to confirmation
+            first = large.groupBy("node").agg(F.min("rep").alias("first"))
+            ties = ties.unionByName(large.join(first, "node").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+            break
         anchors = large.where(_chance(1, "rep", "node") * F.col("size") < ANCHORS * (1 << 40))
         anchors = anchors.groupBy("node").agg(F.collect_list(F.struct("rep", "sig")).alias("anchors"))
         near = materialize(_near_anchor(large.join(anchors, "node")), "tree")
-        linked = F.col("shared") >= LINK_AT if depth < COORDINATES // 2 - 2 else F.lit(True)
-        ties = ties.unionByName(near.where(linked & (F.col("rep") != F.col("anchor"))).select(F.col("rep").alias("a"), F.col("anchor").alias("b")))
+        linked = (F.col("shared") >= LINK_AT) & (F.col("rep") != F.col("anchor"))
+        ties = ties.unionByName(near.where(linked).select(F.col("rep").alias("a"), F.col("anchor").alias("b")))
+        ties = ties.unionByName(near.select(F.col("anchor").alias("a"), F.explode("others").alias("b")))
         depth += 1
-        if depth > COORDINATES // 2 - 2:
-            break  # every token is used up; what is left is tied together and left to confirmation
         # nodes without an anchor, by chance of the draw, branch on whole
         without = large.join(anchors, "node", "left_anti").select("tree", "node", "rep", "sig")
         open_ = near.where(F.col("shared") < LEAVE_AT).select("tree", "node", "rep", "sig").unionByName(without)

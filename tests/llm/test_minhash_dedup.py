@@ -119,3 +119,24 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {i: root(i) for i in parent} and len(got) == len(parent)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_groups_of_more_than_a_small_node(spark):
+    """Two versions of a form letter, a slot a copy: every copy is nearest to anchors of its own version."""
+    words = prose(77, 200)
+    other = [*words[:45], "altered", *words[46:100], "changed", *words[101:]]
+    rows = [" ".join([*text[:80], f"slot{i}", *text[81:]]) for i, text in enumerate([words] * 650 + [other] * 650)]
+    assert len(rows) > m.SMALL
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (text.split(" ") for text in rows)]
+    place = {s: k for k, s in enumerate(set().union(*shingles))}
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for row, s in enumerate(shingles):
+        has[row, [place[x] for x in s]] = 1
+    common = has @ has.T
+    size = has.sum(axis=1)
+    linked = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    label = np.arange(len(rows))
+    while (least := np.where(linked, label[None, :], len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = least
+    assert linked[:650, 650:].any() and len(set(label.tolist())) == 1
+    assert {k: v[1] for k, v in found(m.near_duplicates(documents(spark, rows))).items()} == dict(enumerate(label.tolist()))
