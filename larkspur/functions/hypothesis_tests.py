@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.cumulative import average_ranks, cumulative, later_min
 from ..operators.describe import category_shares
-from .special import chi2_tail, fisher_exact, normal_two_sided, shapiro_wilk, t_two_sided
+from .special import chi2_tail, fisher_exact, normal_two_sided, score_sums, shapiro_test, t_two_sided
+
+#: Normal scores summed at a time for a value of many ties.
+SCORES = 10_000
 
 
 def _two(df: DataFrame, group: str, value: str, groups: tuple[object, object], by: Sequence[str]) -> DataFrame:
@@ -159,23 +161,25 @@ def partial_corr(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> Da
     return out.select("n", "r", "lo", "hi", "p")
 
 
-def shapiro(df: DataFrame, value: str, by: Sequence[str], seed: int = 0, most: int = 5000) -> DataFrame:
-    """(by, n, w, p): Shapiro-Wilk of each key's values.
+def shapiro(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by, n, w, p): Shapiro-Wilk of all of each key's values; beyond 5,000 values p is extrapolated.
 
-    The test is defined for 3 to 5,000 values; a larger key is tested on a sample of ``most``, chosen
-    by a hash, which is a parameter of the test and is seen in n.
+    W comes from sums over the distinct values, whose ranks give the normal scores; a value of many
+    ties has its ranks' scores summed SCORES at a time.
     """
     keys = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("x", F.monotonically_increasing_id(), F.lit(seed)))
-    rows = rows.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
-
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(part["x"].to_numpy())
-        return part[keys].head(1).assign(n=len(part), w=w, p=p)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", n long, w double, p double"
-    return rows.groupBy(*keys).applyInPandas(test, schema)
+    key = F.struct(F.lit(0).alias("__all"), *keys).alias("__key")  # null keys are keys, too
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+    totals = rows.groupBy("__key").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("squares"))
+    steps = cumulative(rows.groupBy("__key", "x").agg(F.count("*").alias("__k")), ["__key"], "x", {"__k": "__upto"}).join(totals, "__key")
+    steps = steps.withColumn("first", F.explode(F.sequence(F.col("__upto") - F.col("__k") + 1, F.col("__upto"), F.lit(SCORES).cast("long"))))
+    steps = steps.withColumn("m", score_sums("first", F.least(F.col("first") + SCORES - 1, "__upto"), "n"))
+    inner = F.min(F.when(F.col("__upto") >= F.col("n") - 1, F.col("x"))) - F.min(F.when(F.col("__upto") >= 2, F.col("x")))
+    found = steps.groupBy("__key", "n", "squares").agg(
+        F.sum(F.col("m.sum") * (F.col("x") - F.col("mean"))).alias("mx"), F.sum("m.squares").alias("total"), (F.max("x") - F.min("x")).alias("wide"), F.coalesce(inner, F.lit(0.0)).alias("inner")
+    )
+    found = found.withColumn("test", shapiro_test("n", "mx", "total", "wide", "inner", "squares"))
+    return found.select(*(F.col("__key")[k].alias(k) for k in keys), "n", "test.w", "test.p")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, adjusted: str = "p_adj", by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _NORMAL = NormalDist()
 
@@ -118,28 +118,42 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
 
 
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p by Royston's approximation (1995), for 3 to 5,000 values; NaN outside or if all are equal."""
+    """W and p by Royston's approximation (1995); NaN for fewer than 3 values or if all are equal."""
     x = np.sort(np.asarray(values, float))
     n = len(x)
-    if not 3 <= n <= 5000 or x[0] == x[-1]:
+    if n < 3:
         return math.nan, math.nan
-    m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    total, u = float(m @ m), 1 / math.sqrt(n)
-    a = np.empty(n)
+    m = normal_scores(1, n, n)
+    centred = x - x.mean()
+    return shapiro_of_sums(n, float(m @ centred), float(m @ m), float(x[-1] - x[0]), float(x[-2] - x[1]), float(centred @ centred))
+
+
+def normal_scores(first: int, last: int, n: int) -> np.ndarray:
+    """Approximate expectations of the standard normal order statistics of ranks first to last of n."""
+    return np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(first, last + 1)])
+
+
+def shapiro_of_sums(n: int, mx: float, total: float, wide: float, inner: float, squares: float) -> tuple[float, float]:
+    """W and p from sums over n values x with normal scores m; beyond 5,000 values p is extrapolated.
+
+    mx: of m * x; total: of m * m; squares: of squared deviations; wide and inner: the largest less
+    the smallest value, and the second largest less the second smallest.
+    """
+    if n < 3 or not wide > 0:
+        return math.nan, math.nan
+    top, u = normal_scores(n - 1, n, n), 1 / math.sqrt(n)
     if n == 3:
-        a[:] = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        linear = math.sqrt(0.5) * wide
     else:
-        last = m[-1] / math.sqrt(total) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
-        k = 1
+        last = top[1] / math.sqrt(total) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
         if n > 5:
-            second = m[-2] / math.sqrt(total) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
-            phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a[-2], a[1], k = second, -second, 2
+            second = top[0] / math.sqrt(total) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+            phi = (total - 2 * top[1] ** 2 - 2 * top[0] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            linear = (mx - top[1] * wide - top[0] * inner) / math.sqrt(phi) + last * wide + second * inner
         else:
-            phi = (total - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a[-1], a[0] = last, -last
-        a[k : n - k] = m[k : n - k] / math.sqrt(phi)
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+            phi = (total - 2 * top[1] ** 2) / (1 - 2 * last**2)
+            linear = (mx - top[1] * wide) / math.sqrt(phi) + last * wide
+    w = min(1.0, float(linear) ** 2 / squares)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
@@ -155,3 +169,16 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         sd = math.exp(-0.4803 - 0.082676 * k + 0.0030302 * k**2)
         z = (math.log(1 - w) - mu) / sd
     return w, 0.5 * math.erfc(z / math.sqrt(2))
+
+
+@F.pandas_udf(StructType([StructField("sum", DoubleType()), StructField("squares", DoubleType())]))
+def score_sums(first: pd.Series, last: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums of the normal scores of ranks first to last of n, and of their squares."""
+    scores = [normal_scores(int(a), int(b), int(c)) for a, b, c in zip(first, last, n)]
+    return pd.DataFrame({"sum": [float(m.sum()) for m in scores], "squares": [float(m @ m) for m in scores]})
+
+
+@F.pandas_udf(StructType([StructField("w", DoubleType()), StructField("p", DoubleType())]))
+def shapiro_test(n: pd.Series, mx: pd.Series, total: pd.Series, wide: pd.Series, inner: pd.Series, squares: pd.Series) -> pd.DataFrame:
+    found = [shapiro_of_sums(int(t[0]), *map(float, t[1:])) for t in zip(n, mx, total, wide, inner, squares)]
+    return pd.DataFrame(found, columns=["w", "p"], dtype=float)

@@ -39,6 +39,17 @@ def test_fisher_sums_hypergeometric_masses():
         assert special.fisher(a, b, c, d) == pytest.approx(min(1, want))
 
 
+def test_shapiro_takes_all_values(spark, monkeypatch):
+    monkeypatch.setattr(T, "SCORES", 100)
+    rng = np.random.default_rng(3)
+    x = {"a": rng.normal(size=6000), "b": np.append(rng.exponential(size=500).round(1), [7.0] * 350), None: np.array([1.0, 2.0, 2.5, 9.0]), "c": np.ones(4), "d": np.array([1.0, 2.0, 4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, values in x.items() for v in values] + [("a", None)], "k string, v double")
+    got = {r.k: r for r in T.shapiro(df.repartition(3), "v", ["k"]).collect()}
+    assert {k: r.n for k, r in got.items()} == {k: len(v) for k, v in x.items()} and got["c"].w is None
+    for k in ("a", "b", None, "d"):
+        assert (got[k].w, got[k].p) == pytest.approx(special.shapiro_wilk(x[k]), rel=1e-9)
+
+
 def test_shapiro_known_values():
     w, p = special.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))  # a published example
     assert w == pytest.approx(0.79, abs=0.005) and p < 0.01
