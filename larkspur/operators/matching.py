@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
 from ..functions.special import t_two_sided
+from .cumulative import cumulative
 from .describe import long_form
 
 #: Most rows of the smaller and of the larger group that one assignment problem gets.
 MOST_SMALL, MOST_LARGE = 256, 1024
+#: Parts in which rows of one value are numbered.
+PARTS = 1024
 
 
 def complete_cases(df: DataFrame, group: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -89,25 +92,44 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(df: DataFrame, id_col: str, order: str, keys: Sequence[str]) -> DataFrame:
+    """df with __place, each row's number from 0 within keys by a column; equal values are numbered part by part."""
+    df = df.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)))
+    steps = cumulative(df.groupBy(*keys, order).agg(F.count("*").alias("__k")), keys, order, {"__k": "__upto"})
+    parts = df.groupBy(*keys, order, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys, order).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__earlier", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    parts = parts.join(steps, [*keys, order]).select(*keys, order, "__part", (F.col("__upto") - F.col("__k") + F.col("__earlier")).alias("__before"))
+    inside = Window.partitionBy(*keys, order, "__part").orderBy(id_col)
+    out = df.withColumn("__in", F.row_number().over(inside)).join(parts, [*keys, order, "__part"])
+    return out.withColumn("__place", F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+
+
 def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """(pair_id, small_id, large_id, distance): one-to-one pairs of least total distance that agree on exact.
 
     A block of equal exact values is an assignment problem. One of more than MOST_SMALL or MOST_LARGE
-    rows is cut into runs along the first covariate, at the same shares of both groups, so no task
-    gets more; pairs are then optimal within runs.
+    rows is cut by row numbers along the first covariate into runs of at most so many rows, equal
+    values included, each with partners enough for all of its rows of the smaller group. So the
+    smaller group is always used up; the total distance is least within runs only.
     """
     z = z_scored(df, numeric)
     sizes = z.groupBy(*exact).agg(F.count_if(F.col(group) == 1).alias("__a"), F.count_if(F.col(group) == 0).alias("__b"))
     small, large = F.least("__a", "__b"), F.greatest("__a", "__b")
-    sizes = sizes.select(*exact, F.greatest(F.ceil(small / MOST_SMALL), F.ceil(large / MOST_LARGE)).cast("int").alias("__runs"))
+    # a run's rows of the larger group are rounded up twice
+    runs = F.when((small <= MOST_SMALL) & (large <= MOST_LARGE), 1).otherwise(F.greatest(F.ceil(small / MOST_SMALL), F.ceil(large / (MOST_LARGE - 2))))
+    sizes = sizes.where(small > 0).select(*exact, small.alias("__small"), large.alias("__large"), (F.col("__a") > F.col("__b")).cast("int").alias("__flip"), runs.cast("long").alias("__runs"))
     rows = z.join(sizes, list(exact)) if exact else z.crossJoin(F.broadcast(sizes))
-    one = rows.where("__runs <= 1").withColumn("__run", F.lit(0))
-    # a large block's rows get their run from approximate quantiles of its own first covariate
-    many = rows.where("__runs > 1")
-    cuts = many.groupBy(*exact, group).agg(F.percentile_approx(f"z_{numeric[0]}", [i / 100 for i in range(1, 100)], 10_000).alias("__q"))
-    place = F.size(F.filter("__q", lambda q: q < F.col(f"z_{numeric[0]}"))) / 100.0
-    salt = F.pmod(F.xxhash64(id_col), F.greatest(F.ceil(F.col("__runs") / 100), F.lit(1)))
-    many = many.join(cuts, [*exact, group]).withColumn("__run", (F.floor(place * F.least("__runs", F.lit(100))) * 1_000_000 + salt).cast("int")).drop("__q")
+    one = rows.where("__runs <= 1").withColumn("__run", F.lit(0).cast("long"))
+    many = _numbered(rows.where("__runs > 1"), id_col, numeric[0], [*exact, group])
+    # run r begins at row r * small div runs of the smaller group, and at as many and
+    # r * (large - small) div runs more of the larger one
+    begin = "({r} * __small div __runs + {r} * (__large - __small) div __runs)"
+    near = [f"(__place * __runs div __large + {k})" for k in (2, 1)]
+    of_large = " ".join(f"when {r} < __runs and {begin.format(r=r)} <= __place then {r}" for r in near)
+    of_large = F.expr(f"case {of_large} else __place * __runs div __large end")
+    of_small = F.expr("((__place + 1) * __runs - 1) div __small")
+    many = many.withColumn("__run", F.when(F.col(group) + F.col("__flip") == 1, of_small).otherwise(of_large)).drop("__place")
     rows = one.unionByName(many)
     columns = [f"z_{c}" for c in numeric]
 
@@ -152,8 +174,6 @@ def balanced_prefix(pairs: DataFrame, value_gap: Column, most: float, floor: flo
     If none is, the prefix of least mean gap plus 0.2 times the share left out. Prefix means are
     running sums over ranges of distance.
     """
-    from .cumulative import cumulative
-
     rows = pairs.withColumn("__gap", value_gap).withColumn("__one", F.lit(1.0))
     run = cumulative(rows, [], "distance", {"__gap": "__total", "__one": "__n"})
     total = pairs.agg(F.count("*").alias("__all"))

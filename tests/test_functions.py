@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -148,6 +149,25 @@ def test_pairs_are_one_to_one_also_in_split_blocks(spark, monkeypatch):
     assert all(side[r.small_id][0] == 1 and side[r.large_id][0] == 0 and side[r.small_id][1] == side[r.large_id][1] for r in got)
 
 
+def test_split_blocks_use_up_the_smaller_group_despite_ties(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for s, (ones, zeros) in {"a": (150, 230), "b": (170, 170), "c": (200, 90), "d": (0, 50), "e": (5, 400)}.items():
+        for g, n, tied in ((1, ones, 0.6), (0, zeros, 0.4)):
+            rows += [(len(rows) + i, g, 0.0 if rng.random() < tied else float(rng.normal()), s) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, s string").repartition(3)
+    whole = matching.optimal_pairs(df, "id", "g", ["x"], ["s"]).agg(F.sum("distance")).first()[0]
+    monkeypatch.setattr(matching, "MOST_SMALL", 16)
+    monkeypatch.setattr(matching, "MOST_LARGE", 32)
+    got = matching.optimal_pairs(df, "id", "g", ["x"], ["s"]).collect()
+    block = {i: s for i, _, _, s in rows}
+    assert Counter(block[r.small_id] for r in got) == {"a": 150, "b": 170, "c": 90, "e": 5}
+    assert len({r.small_id for r in got}) == len({r.large_id for r in got}) == len(got) and all(block[r.small_id] == block[r.large_id] for r in got)
+    total = sum(r.distance for r in got)
+    print("TOTALS", whole, total)
+    assert total >= whole - 1e-9
+
+
 def test_folds_are_exact_stratified_and_hold_groups(spark):
     df = spark.createDataFrame([(i, i % 7, int(i % 5 == 0)) for i in range(203)], "id long, grp long, y int")
     sizes = split.k_fold(df, 5, "id", 3, ["y"]).groupBy("y", "fold").count().collect()
