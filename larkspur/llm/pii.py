@@ -8,7 +8,8 @@ kind covers them:
 - ``card_run``: a card number of 13 to 19 digits, in one run or in fours, that passes Luhn but
   stands beside other digits, so that the base match swallowed it;
 - ``phone_run``: a phone number in the usual grouping that the base match ran past;
-- ``iban``: country, check digits and account whose remainder by 97 is 1;
+- ``iban``: country, check digits and account, of the country's length (11 to 30 characters of account
+  for a country that isn't registered), whose remainder by 97 is 1;
 - ``ssn``: three, two and four digits, which no checksum confirms, so only nearby words can.
 
 Every span has a score: what its kind and check are worth, and more if a word of its kind stands
@@ -45,6 +46,15 @@ CONTEXT = {
     "iban": "iban|account|bank",
     "ssn": "ssn|social security|national insurance",
 }
+#: Lengths of account numbers by country (ISO 13616).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = "|".join(" ".join(IBAN_COUNTRIES.values()).split())
+_IBAN = [f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()]
+_IBAN.append(rf"(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+")
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -53,7 +63,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "card_run": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![A-Za-z0-9])",
     "phone_run": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{'|'.join(_IBAN)})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Text without a match of this has no match of the kind's pattern, at far less cost.

@@ -70,6 +70,15 @@ def test_checks_and_context_add_spans(spark, text, kind):
     assert any(s.startswith(kind) for s in by_id(pii_digests(documents(spark, [text])))[0].spans.split(","))
 
 
+def test_account_numbers_before_capitals_and_numbers(spark):
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"]
+    texts = [f"pay {iban}{after}" for iban in ibans for after in (" Please pay", " The end", " BIC COBADEFF", " 2024", " A", ".", "")]
+    rows = by_id(pii_digests(documents(spark, texts)))
+    for i, iban in enumerate(n for n in ibans for _ in range(7)):
+        assert f"iban:4:{4 + len(iban)}" in rows[i].spans.split(","), texts[i]
+    assert by_id(redact(documents(spark, texts)))[1].text == "pay [IBAN] The end"
+
+
 def test_without_check_or_context_nothing_is_added(spark):
     rows = by_id(pii_digests(documents(spark, ["DE88 3704 0044 0532 0130 00 is my bank account", "123-45-6789"])))
     assert rows[0].spans == "" and rows[1].spans == ""
