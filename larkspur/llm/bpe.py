@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import map_in_arrow
+
 #: Bytes up to which a pre-token shares one vectorised queue with the batch's others.
 SHORT = 64
 _BITS = 256
@@ -323,7 +325,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(encode, f"`{id_col}` long, ids array<int>")
+    return map_in_arrow(rows, encode, f"`{id_col}` long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -337,7 +339,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=[id_col, "decoded"])
 
     rows = encoded.select(encoded[id_col].cast("long").alias(id_col), encoded[ids_col].alias("ids"))
-    return rows.mapInArrow(decode, f"`{id_col}` long, decoded binary")
+    return map_in_arrow(rows, decode, f"`{id_col}` long, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,4 +360,4 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays(cells, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(digest, DIGESTS).withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, digest, DIGESTS).withColumnRenamed("id", id_col)

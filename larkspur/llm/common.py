@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows up to which a two- or three-column lookup table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+from ..sources.session import hadoop_path, shared_dir, ship_package, table
 
+__all__ = ["BROADCAST_ROWS", "discard", "fresh_path", "map_in_arrow", "materialize", "shared_dir", "small", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests in one process) is a fresh local folder set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(spark, "_larkspur_dir", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-            spark._larkspur_dir = path
-    return path.rstrip("/")
+#: Rows up to which a two- or three-column lookup table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -38,26 +27,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._larkspur_path = path
+    return out
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are at most BROADCAST_ROWS, else df as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def seen_by_workers(spark: SparkSession) -> None:
-    """Lets the executors' Python import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``materialize`` that no frame still in use reads; any other frame stays as it is."""
+    for df in tables:
+        path = getattr(df, "_larkspur_path", None)
+        if path is not None:
+            where, files = hadoop_path(df.sparkSession, path)
+            files.delete(where, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    seen_by_workers(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def map_in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow on executors that have this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(f, schema)
 
 
-def sha256_hex(col: Column) -> Column:
-    return F.sha2(col.cast("binary"), 256)
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows are at most BROADCAST_ROWS, else df as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
+
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
 ORDERS = (1, 2, 3, 4)
@@ -120,7 +122,7 @@ def ngram_counts(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
+    counted = map_in_arrow(labelled.select("text", "lang"), count, "lang string, bucket long, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -172,7 +174,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def with_language(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
@@ -188,7 +190,7 @@ def with_language(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_co
     from pyspark.sql.types import DoubleType, StringType
 
     schema = type(docs.schema)([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType())
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, map_in_arrow
 
 WIDTH = 64
 HEADER = 33
@@ -150,7 +150,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     _make_folder(spark, folder)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     index = f"{folder}/index.parquet"
-    rows.mapInArrow(_writer(folder, shard_bytes), INDEX).write.parquet(index)
+    map_in_arrow(rows, _writer(folder, shard_bytes), INDEX).write.parquet(index)
     return spark.read.schema(INDEX).parquet(index)
 
 
@@ -196,12 +196,12 @@ def _header_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def media_headers(index: DataFrame) -> DataFrame:
     """The index with width, height and bit_depth, from header-only range reads."""
-    return index.mapInArrow(_header_reader, f"{INDEX}, width long, height long, bit_depth long")
+    return map_in_arrow(index, _header_reader, f"{INDEX}, width long, height long, bit_depth long")
 
 
 def media_facts(index: DataFrame) -> DataFrame:
     """The index with the header columns and what the stored bytes, read back, give."""
-    return index.mapInArrow(_reader, FACTS)
+    return map_in_arrow(index, _reader, FACTS)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, map_in_arrow, materialize, small
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cells, names=["id", "n", "digest", "nodes", "sig"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, digest binary, nodes array<long>, sig array<int>")
+    return map_in_arrow(rows, run, "id long, n long, digest binary, nodes array<long>, sig array<int>")
 
 
 def by_group(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import seen_by_workers
+from .common import map_in_arrow
 
 CAPACITY = 2048
 PER_SOURCE = 4
@@ -194,7 +194,7 @@ def pack_documents(
     """
     if capacity < 1 or per_source < 1 or group_rows < 1:
         raise ValueError("capacity, per_source and group_rows are 1 at least")
-    seen_by_workers(docs.sparkSession)
+
     words = F.transform(F.array(words_of(docs[text_col].cast("string"))), lambda w: F.struct((F.size(w) + 1).cast("long").alias("n"), F.xxhash64(w).alias("h")))[0]
     source, cluster = docs[source_col], docs[cluster_col] if cluster_col else None
     items = docs.select(
@@ -207,5 +207,5 @@ def pack_documents(
     tail = F.col("w.n") % capacity
     items = items.select("id", (F.col("w.n") - tail).alias("cut"), tail.alias("size"), "source", own.cast("long").alias("cluster"))
     tasks = max(2, -(-docs.count() // task_rows))
-    placed = items.repartition(tasks).mapInArrow(_packer(capacity, per_source, group_rows), PLACED)
+    placed = map_in_arrow(items.repartition(tasks), _packer(capacity, per_source, group_rows), PLACED)
     return placed.withColumnRenamed("doc_id", id_col)

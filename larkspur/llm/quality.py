@@ -1,11 +1,13 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). Votes are
-noisy: expectation-maximisation over the counts of vote patterns estimates how often each rule votes
-what on good and on bad documents, and a document is kept if the posterior probability of good,
-given its votes, is at least ``keep_at``; one against which no rule votes is kept (p 1). Two base
-rules are final: fewer than MIN_WORDS words, or more than half of the words in repeated three-word
-windows; the model is fitted to the other documents.
+noisy: expectation-maximisation over the counts of vote patterns estimates the share of good
+documents and each rule's two accuracies, how often it votes good on good documents and how often
+bad on bad ones, when it votes at all. A rule is never taken to be worse than chance: if the
+estimate says that it votes good more often on bad documents, it gets one rate for both, and then
+says nothing. A document is kept if the posterior probability of good, given its votes, is at least
+``keep_at``. Two base rules are final: fewer than MIN_WORDS words, or more than half of the words in
+repeated three-word windows; the model is fitted to the other documents.
 
 Only the table of vote patterns reaches the driver: at most 3 to the power of the number of rules,
 whatever the corpus, and every document is counted in it. The statistics of a text are computed in
@@ -109,36 +111,33 @@ def votes(s: Column) -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]], list[dict[int, float]]]:
-    """Prior log odds of good and, for good and for bad, each rule's log probability of each vote.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """Prior log odds of good and, for each rule, what a good and what a bad vote add to them.
 
-    patterns: votes and the number of documents with them. The start says only that a rule is right
-    more often than wrong; add-one smoothing keeps every probability above zero.
+    patterns: votes and the number of documents with them. An abstention adds nothing. The start says
+    only that a rule is right more often than wrong; add-one smoothing keeps every rate inside 0 and 1.
     """
     k = len(patterns[0][0]) if patterns else 0
-    good = [{1: 0.8, 0: 0.15, -1: 0.05} for _ in range(k)]
-    bad = [{1: 0.35, 0: 0.25, -1: 0.4} for _ in range(k)]
-    share = 0.8
+    on_good, on_bad, share = [0.9] * k, [0.5] * k, 0.8  # rates of a good vote on good and on bad documents
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         weights = []
         for votes_, n in patterns:
-            a, b = math.log(share), math.log(1 - share)
-            for r, v in enumerate(votes_):
-                a += math.log(good[r][v])
-                b += math.log(bad[r][v])
-            weights.append((n / (1 + math.exp(min(700.0, b - a))), n))
-        mass = sum(w for w, _ in weights)
-        share = (mass + 1) / (total + 2)
+            odds = math.log(share / (1 - share))
+            for v, g, b in zip(votes_, on_good, on_bad):
+                odds += math.log(g / b) if v == 1 else math.log((1 - g) / (1 - b)) if v == -1 else 0.0
+            weights.append((n / (1 + math.exp(min(700.0, -odds))), n))
+        share = (sum(w for w, _ in weights) + 1) / (total + 2)
         for r in range(k):
-            sums = {v: [1.0, 1.0] for v in (1, 0, -1)}
-            for (votes_, _), (w, n) in zip(patterns, weights):
-                sums[votes_[r]][0] += w
-                sums[votes_[r]][1] += n - w
-            good[r] = {v: s[0] / (mass + 3) for v, s in sums.items()}
-            bad[r] = {v: s[1] / (total - mass + 3) for v, s in sums.items()}
-    logs = lambda table: [{v: math.log(p) for v, p in t.items()} for t in table]
-    return math.log(share) - math.log(1 - share), logs(good), logs(bad)
+            voted = [(v[r] == 1, w, n - w) for (v, _), (w, n) in zip(patterns, weights) if v[r]]
+            good, bad = sum(w for _, w, _ in voted), sum(x for _, _, x in voted)
+            good_up, bad_up = sum(w for up, w, _ in voted if up), sum(x for up, _, x in voted if up)
+            on_good[r], on_bad[r] = (good_up + 1) / (good + 2), (bad_up + 1) / (bad + 2)
+            if on_good[r] < on_bad[r]:
+                on_good[r] = on_bad[r] = (good_up + bad_up + 1) / (good + bad + 2)
+    up = [math.log(g / b) for g, b in zip(on_good, on_bad)]
+    down = [math.log((1 - g) / (1 - b)) for g, b in zip(on_good, on_bad)]
+    return math.log(share / (1 - share)), up, down
 
 
 def _verdicts(known: DataFrame) -> tuple[Column, Column]:
@@ -148,12 +147,11 @@ def _verdicts(known: DataFrame) -> tuple[Column, Column]:
     names = list(rules)
     open_ = known.where(~base_failed(s))  # what the base rules decide isn't for the model
     counted = open_.select(*(v.cast("int").alias(k) for k, v in rules.items())).groupBy(*names).count().collect()
-    prior, good, bad = fit(sorted((tuple(row[k] for k in names), row["count"]) for row in counted))
+    prior, up, down = fit(sorted((tuple(row[k] for k in names), row["count"]) for row in counted))
     odds = F.lit(prior)
-    for g, b, vote in zip(good, bad, rules.values()):
-        odds = odds + F.when(vote == 1, g[1] - b[1]).when(vote == -1, g[-1] - b[-1]).otherwise(g[0] - b[0])
-    any_bad = F.least(*rules.values()) < 0
-    return base_failed(s), F.when(any_bad, 1 / (1 + F.exp(-odds))).otherwise(1.0)
+    for u, d, vote in zip(up, down, rules.values()):
+        odds = odds + F.when(vote == 1, u).when(vote == -1, d).otherwise(0.0)
+    return base_failed(s), 1 / (1 + F.exp(-odds))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -168,7 +166,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns."""
+    """The rows of docs that are kept, with docs' columns.
+
+    Rows and their statistics are written once, for the fit and the filter: computing the statistics
+    again would cost many times what writing does.
+    """
     known = materialize(docs.withColumn(OWN, text_stats(docs[text_col].cast("string"))), "quality")
     failed, p = _verdicts(known)
     return known.where(~failed & (p >= keep_at)).select(*docs.columns)

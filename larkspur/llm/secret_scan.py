@@ -30,6 +30,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_in_arrow
+
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -162,4 +164,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(scan, SCHEMA).withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, scan, SCHEMA).withColumnRenamed("id", id_col)

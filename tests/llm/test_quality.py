@@ -63,30 +63,36 @@ def test_kept_agrees_with_labels(spark, small_dir):
 
 
 def plain_fit(patterns, rounds):
-    """Expectation-maximisation on single documents, not on counts of patterns."""
+    """Expectation-maximisation on single documents, not on counts of patterns, in probabilities."""
     docs = [v for v, n in patterns for _ in range(n)]
     k, n = len(docs[0]), len(docs)
-    good, bad, share = [{1: 0.8, 0: 0.15, -1: 0.05}] * k, [{1: 0.35, 0: 0.25, -1: 0.4}] * k, 0.8
+    g, b, share = [0.9] * k, [0.5] * k, 0.8
+    rate = lambda p, v: p if v == 1 else 1 - p if v == -1 else 1.0
     for _ in range(rounds):
         w = []
         for v in docs:
-            a = share * math.prod(good[r][x] for r, x in enumerate(v))
-            b = (1 - share) * math.prod(bad[r][x] for r, x in enumerate(v))
-            w.append(a / (a + b))
+            a = share * math.prod(rate(g[r], x) for r, x in enumerate(v))
+            z = (1 - share) * math.prod(rate(b[r], x) for r, x in enumerate(v))
+            w.append(a / (a + z))
         share = (sum(w) + 1) / (n + 2)
-        good = [{x: (1 + sum(p for p, v in zip(w, docs) if v[r] == x)) / (sum(w) + 3) for x in (1, 0, -1)} for r in range(k)]
-        bad = [{x: (1 + sum(1 - p for p, v in zip(w, docs) if v[r] == x)) / (n - sum(w) + 3) for x in (1, 0, -1)} for r in range(k)]
-    return math.log(share / (1 - share)), good, bad
+        for r in range(k):
+            voted = [(v[r], p) for v, p in zip(docs, w) if v[r]]
+            g[r] = (1 + sum(p for x, p in voted if x == 1)) / (2 + sum(p for _, p in voted))
+            b[r] = (1 + sum(1 - p for x, p in voted if x == 1)) / (2 + sum(1 - p for _, p in voted))
+            if g[r] < b[r]:
+                g[r] = b[r] = (1 + sum(x == 1 for x, _ in voted)) / (2 + len(voted))
+    return share, g, b
 
 
 def test_expectation_maximisation_equals_a_plain_one():
     rng = random.Random(4)
     patterns = [(tuple(rng.choice((1, 0, -1)) for _ in range(4)), rng.randrange(1, 9)) for _ in range(30)]
-    prior, good, bad = fit(patterns, 7)
-    p, g, b = plain_fit(patterns, 7)
-    assert math.isclose(prior, p, abs_tol=1e-9)
-    assert all(math.isclose(good[r][x], math.log(g[r][x]), abs_tol=1e-9) and math.isclose(bad[r][x], math.log(b[r][x]), abs_tol=1e-9) for r in range(4) for x in (1, 0, -1))
-    assert fit([]) [1:] == ([], [])
+    prior, up, down = fit(patterns, 7)
+    share, g, b = plain_fit(patterns, 7)
+    assert math.isclose(prior, math.log(share / (1 - share)), abs_tol=1e-9)
+    for r in range(4):
+        assert g[r] >= b[r] and math.isclose(up[r], math.log(g[r] / b[r]), abs_tol=1e-9) and math.isclose(down[r], math.log((1 - g[r]) / (1 - b[r])), abs_tol=1e-9)
+    assert fit([])[1:] == ([], [])
 
 
 def test_posterior_is_that_of_the_votes(spark):
@@ -98,16 +104,24 @@ def test_posterior_is_that_of_the_votes(spark):
     known = docs.select("doc_id", text_stats(docs["text"]).alias("s"))
     voted = {r.doc_id: tuple(r[1:]) for r in known.select("doc_id", *(v.cast("int").alias(k) for k, v in votes(F.col("s")).items())).collect()}
     verdicts = quality_verdicts(docs).collect()
-    counts: dict = {}
+    open_ = [voted[r.doc_id] for r in verdicts if not r.base_failed]
+    share, good, bad = plain_fit([(v, 1) for v in open_], 30)
+    seen = set()
     for r in verdicts:
-        if not r.base_failed:
-            counts[voted[r.doc_id]] = counts.get(voted[r.doc_id], 0) + 1
-    prior, good, bad = fit(sorted(counts.items()))
-    for r in verdicts:
-        v = voted[r.doc_id]
-        odds = prior + sum(g[x] - b[x] for g, b, x in zip(good, bad, v))
-        want = 1.0 if min(v) >= 0 else 1 / (1 + math.exp(-odds))
+        a, z = share, 1 - share
+        for x, g, b in zip(voted[r.doc_id], good, bad):
+            a, z = (a * g, z * b) if x == 1 else (a * (1 - g), z * (1 - b)) if x == -1 else (a, z)
+        want = a / (a + z)
         assert abs(r.p_good - want) < 1e-5 and r.kept == (not r.base_failed and want >= 0.5)
+        seen.add((min(voted[r.doc_id]) < 0, r.kept))
+    assert {(True, False), (False, True)} <= seen
+
+
+def test_posterior_agrees_with_labels_on_both_sides(spark, small_dir):
+    """Documents labelled bad that pass the base rules are rejected by the posterior; good ones stay."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = quality_verdicts(docs).join(spark.read.parquet(f"{small_dir}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert all(r.kept == (r.quality == 1) for r in rows) and {r.quality for r in rows} == {0, 1}
 
 
 def test_odd_rows(spark):
