@@ -6,6 +6,7 @@ from html import unescape
 import pytest
 
 from larkspur.llm.html_extract import Page, main_texts, site_templates
+from tests.conftest import DATA
 
 PAGES = "page_id long, url string, html string"
 
@@ -34,47 +35,93 @@ def test_main_text_of_a_page(html, want):
     assert text(html) == want
 
 
-def test_driver_pages_equal_their_articles(spark, small_dir):
-    """Against a plain cut at the article's tags, which these pages all have."""
-    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><h2 id='related-work'>R</h2><section id='social-impact'><p>s</p></section><p class='search-results'>x</p></article>", "R\n\ns\n\nx"),
+        ("<article><p>x</p><div class='related'>q</div><section class='comments'>q</section></article>", "x"),
+        ("<div role='navigation'>q</div><p role='note'>x</p><div class='badge'>y</div>", "x\n\ny"),
+    ],
+)
+def test_class_words_leave_prose_alone(html, want):
+    assert text(html) == want
+
+
+def articles(pages) -> dict:
+    """A plain cut at the article's tags, which the driver's pages all have."""
     want = {}
     for r in pages.collect():
         article = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = (" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         want[r.page_id] = "\n\n".join(b for b in blocks if b)
+    return want
+
+
+def test_driver_pages_equal_their_articles(spark, small_dir):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
     got = main_texts(pages).collect()
-    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    assert {r.page_id: r.text for r in got} == articles(pages) and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_driver_pages_by_templates_alone(spark):
+    """Without HTML's landmarks, articles or class names, counting finds the frames of all 2,500 pages."""
+    path = DATA / "sf0.1" / "pages.parquet"
+    if not path.exists():
+        pytest.skip("the driver's tables aren't here")
+    pages = spark.read.parquet(str(path))
+    want = articles(pages)
+    got = {r.page_id: r.text for r in main_texts(pages, by_markup=False, by_class=False).collect()}
+    assert sum(got[i] == want[i] for i in want) > 0.99 * len(want)
+    framed = {r.page_id: r.text for r in main_texts(pages, by_markup=False, by_class=False, host_pages=10**9, domain_pages=10**9).collect()}
+    assert all(len(framed[i]) > len(want[i]) for i in want)  # the counting, and nothing else, removed them
+
+
+CITIES = "Rome Bonn Lyon Graz Bath Kiel Nice Cork".split()
 
 
 def test_templates_are_deleted_and_copies_of_an_article_are_not(spark):
     """Subtrees that recur on a host go, by content alone; an article on many pages of a host stays."""
     frame = "<div><div>Our shop in {c} is open</div><section><p>{t}</p><p>{t} again</p></section></div>"
     rows = [(i, f"http://a.org/{i}", frame.format(c="Rome", t=f"page {i}")) for i in range(8)]
-    rows += [(10 + i, f"http://b.org/{i}", frame.format(c=f"city {i}", t=f"page {i}")) for i in range(8)]
+    rows += [(10 + i, f"http://b.org/{i}", frame.format(c=CITIES[i], t=f"page {i}")) for i in range(8)]
     rows += [(20 + i, f"http://a.org/x{i}", "<div>Our shop in Rome is open</div><article><div>The same</div><p>story</p></article>") for i in range(30)]
+    rows += [(60 + i, f"http://c{i}.d.org/", f"<div>Call 0{i}1 or ask c{i}.d.org now</div><p>text {i}</p><p>{CITIES[i]}</p>") for i in range(8)]
     got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[i] == f"page {i}\n\npage {i} again" for i in range(8))
-    assert all(got[10 + i] == f"Our shop in city {i} is open\n\npage {i}\n\npage {i} again" for i in range(8))
+    assert all(got[10 + i] == f"Our shop in {CITIES[i]} is open\n\npage {i}\n\npage {i} again" for i in range(8))
     assert all(got[20 + i] == "The same\n\nstory" for i in range(30))
+    assert all(got[60 + i] == f"text {i}\n\n{CITIES[i]}" for i in range(8))  # by domain, host and numbers masked
+
+
+def test_text_stays_when_the_host_grows(spark):
+    def pages(n: int):
+        return spark.createDataFrame([(i, "http://a.org/", f"<div>our menu</div><p>long text number {i} here</p><p>and {i}</p><div>{'rare' if i < 3 else f'own {i} x'}</div>") for i in range(n)], PAGES)
+
+    few, many = ({r.page_id: r.text for r in main_texts(pages(n)).collect()} for n in (6, 2000))
+    assert all(few[i] == many[i] for i in range(6)) and "rare" not in many[0] and "our menu" not in many[5]
 
 
 def test_templates_equal_a_plain_count(spark):
     from larkspur.llm import html_extract as h
 
-    rows = [(f"h{i % 3}", f"<div><p>common {i % 2}</p></div><div>own {i}</div>") for i in range(60)] * 2
-    got = {(r.host, r.digest): r.n for r in site_templates(spark.createDataFrame(rows, "host string, html string")).collect()}
-    seen: dict = {}
-    for host, html in rows:
-        page = Page(html)
-        for d, _, _ in page.subtrees:
-            seen.setdefault((host, d), set()).add(page.text())
-    assert got == {k: len(v) for k, v in seen.items() if len(v) >= h.MIN_PAGES} and got
+    rows = [(i, f"http://h{i % 3}.org/", f"<div><p>common {i % 2}</p></div><div>own {i} x</div><p>{i}</p>") for i in range(60)] * 2
+    found = h._subtrees(h._located(spark.createDataFrame(rows, PAGES), "page_id", "url", "html"))
+    got = sorted((r.key, r.n) for r in site_templates(found).collect())
+    want = []
+    for site, least in ((lambda x: x, h.HOST_PAGES), (lambda x: "." + x, h.DOMAIN_PAGES)):
+        seen: dict = {}
+        for i, _, html in rows:
+            page = Page(html, host := f"h{i % 3}.org")
+            for key in h.keys_of(page.digests(), h.site_key(site(host))).tolist():
+                seen.setdefault(key, set()).add(page.identity())
+        want += [(k, len(v)) for k, v in seen.items() if len(v) >= least]
+    assert got == sorted(want) and got
 
 
 def test_many_templates_join_without_broadcast(spark, monkeypatch):
     from larkspur.llm import html_extract as h
 
-    monkeypatch.setattr(h, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(h, "MOST_SENT", 0)
     rows = [(i, "http://a.org/", f"<div>menu</div><p>{i}</p>") for i in range(9)]
     assert sorted(r.text for r in main_texts(spark.createDataFrame(rows, PAGES)).collect()) == sorted(map(str, range(9)))
 
