@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.session import hadoop_path, shared_dir, ship_package, table
 
-__all__ = ["BROADCAST_ROWS", "discard", "fresh_path", "map_in_arrow", "materialize", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "discard", "fresh_path", "hot_rows", "join_spread", "map_in_arrow", "materialize", "shared_dir", "small", "table"]
 
 #: Rows up to which a two- or three-column lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -50,3 +50,25 @@ def map_in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are at most BROADCAST_ROWS, else df as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: A join key is hot with more rows than HOT and than a share 1 / HOT_KEYS of all, so at most HOT_KEYS keys are.
+HOT = 256
+HOT_KEYS = 100_000
+
+
+def hot_rows(total: int) -> int:
+    """Rows from which on a key of a table of so many rows counts as hot."""
+    return max(HOT, -(-total // HOT_KEYS))
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+    """rows joined with lookup, which has a key at most once; the rows of hot keys meet it where they are.
+
+    hot: a written table (key) of at most HOT_KEYS rows. The other rows are shuffled; none of their keys is large.
+    """
+    if not hot.limit(1).count():
+        return rows.join(lookup, key, how)
+    few = F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi"))
+    in_place = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return in_place.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how))

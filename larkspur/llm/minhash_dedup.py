@@ -5,21 +5,25 @@
    of one digest have one set and are one class from there on, stood for by its smallest id.
 2. Trees. TREES independent trees branch the classes by selected minwise tokens. The first two
    levels of a tree are two tokens of its own; a node of at most SMALL classes is compared
-   exhaustively by sketch, and classes that agree on LINK_AT or more tokens are tied. In a larger
-   node every class is first compared with random anchors and tied to all that agree with it on
-   LINK_AT or more tokens. Those on LEAVE_AT or more of an anchor's tokens leave the node: what
-   agrees with them on k tokens agrees with that anchor on k - (COORDINATES - LEAVE_AT) at least,
-   so it is as a rule tied to the anchor as well, whichever anchor is its own nearest. The rest
-   branch on, by two further tokens a level, until every node is small.
+   exhaustively by sketch, and classes that agree on LINK_AT or more tokens are tied. A larger node is
+   dealt over tasks of SALT_ROWS classes, which all get the node's random anchors; every class is
+   tied to all anchors that agree with it on LINK_AT or more tokens. Those on LEAVE_AT or more of an
+   anchor's tokens leave the node: what agrees with them on k tokens agrees with that anchor on
+   k - (COORDINATES - LEAVE_AT) at least, so it is as a rule tied to the anchor as well, whichever
+   anchor is its own nearest. The rest branch on, by one further token a level, and in a share EXTRA
+   of the nodes by two, until every node is small: a similar pair then keeps about
+   0.85 (1 + EXTRA) > 1 common paths a level, while the pairs of a node that are less similar than
+   1 / (1 + EXTRA), 0.71, become fewer with each level.
 3. Confirmation. The components of the ties are a superset of the wanted ones. Each text in one is
    fetched once, and all pairs of a component are compared by their exact intersection sizes.
    Components beyond GROUP members are dealt over chunks that share anchors; classes that don't
-   come out in the chunks' main component are then compared with every member, in blocks. Only
-   confirmed links count, and each group reports its components as stars of their smallest ids, not its pairs.
-4. The components of confirmed links, over classes, give every document its component id.
-
+   come out in the chunks' main component are then compared, in blocks, with every member that a
+   link could reach: two linked sets share one of their rarest tokens (a prefix of 15 % and one).
+   Only confirmed links count, and each group reports its components as stars of their smallest ids, not its pairs.
+   Set sizes and intersections are exact but for collisions of the shingles' 64-bit hashes.
 A pair of similarity s survives a tree's first two levels with probability s^2, so at 0.85 all
-TREES miss it with probability (1 - 0.7225)^12 = 2e-7.
+TREES miss it with probability (1 - 0.7225)^12 = 2e-7. That covers nodes of up to SMALL classes;
+in larger ones it is anchors and further levels that find the pair, which tests hold against all pairs.
 
 Nulls and odd input: a null, empty or blank text has no set and is linked with nothing; a null id
 takes no part: its component is null and it is kept; equal rows are one document, all of them kept
@@ -36,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, map_in_arrow, materialize, small
+from .common import discard, hot_rows, join_spread, map_in_arrow, materialize, small
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -47,6 +52,8 @@ LINK_AT = 17
 LEAVE_AT = 26
 SMALL = 1024
 ANCHORS = 32
+SALT_ROWS = 4096
+EXTRA = 0.4
 GROUP = 256
 GROUP_SHINGLES = 2_000_000
 BLOCK = 128
@@ -94,40 +101,47 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_in_arrow(rows, run, "id long, n long, digest binary, nodes array<long>, sig array<int>")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.Table]]:
+    """The groups of rows that come in order of keys, a list at a time; only the last group is held over."""
+
+    def cut(table: pa.Table) -> list[pa.Table]:
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [*np.flatnonzero(change).tolist(), table.num_rows]
+        return [table.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        last = np.ones(table.num_rows, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            last &= c == c[-1]
+        whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if whole:
+            yield cut(table.slice(0, whole))
+        rest = table.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield cut(rest)
+
+
 def by_group(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> DataFrame:
     """Edges (a, b) that compare gives for each group of rows; groups are small, and stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = [table.column(k).to_numpy() for k in keys]
-            change = np.zeros(table.num_rows, bool)
-            change[:1] = True
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [*np.flatnonzero(change).tolist(), table.num_rows]
-            edges = [e for a, b in zip(cuts, cuts[1:]) for e in compare(table.slice(a, b - a))]
+        for groups in _groups(batches, keys):
+            edges = [e for g in groups for e in compare(g)]
             for a in range(0, len(edges), 50_000):
                 x, y = zip(*edges[a : a + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            last = np.ones(table.num_rows, bool)
-            for k in keys:
-                c = table.column(k).to_numpy()
-                last &= c == c[-1]
-            whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if whole:
-                yield from flush(table.slice(0, whole))
-            rest = table.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield from flush(rest)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return map_in_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
 
 
 def _stars(ids: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,43 +182,31 @@ def tie_small(table: pa.Table) -> Iterator[tuple[int, int]]:
     return iter(_stars(ids, iter(pairs)))
 
 
-def _near_anchor(rows: DataFrame) -> DataFrame:
-    """rows (tree, node, rep, sig, anchors) with the nearest anchor, the tokens shared with it, and the others.
+NEAR = "tree int, node long, rep long, sig array<int>, near boolean, tie long"
+
 
-    others: further anchors that share LINK_AT or more tokens with the row, except those that earlier
-    rows of the batch have tied to the nearest one already, directly or through other anchors.
+def _near_anchors(rows: DataFrame) -> DataFrame:
+    """rows (tree, node, salt, rep, sig, anchor) with near and tie; each (node, salt) holds all the node's anchors.
+
+    near: the class is an anchor, or shares LEAVE_AT tokens with one. tie: a class that it is tied to,
+    directly or through others, by LINK_AT tokens shared with an anchor; null if it is its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = _sigs(batch.column("sig"))
-            best, shared, others = [], [], []
-            parent: dict[int, int] = {}
-
-            def root(i: int) -> int:
-                while (up := parent.setdefault(i, i)) != i:
-                    parent[i] = parent[up]
-                    i = up
-                return i
-
-            for own, me, anchors in zip(sig, batch.column("rep").to_pylist(), batch.column("anchors")):
-                ids = anchors.values.field("rep").to_pylist()
-                same = (_sigs(anchors.values.field("sig")) == own).sum(axis=1)
-                nearest = ids[int(same.argmax())]
-                best.append(nearest)
-                shared.append(COORDINATES if me in ids else int(same.max()))
-                others.append([])
-                for i in np.flatnonzero(same >= LINK_AT).tolist():
-                    if root(ids[i]) != root(nearest):
-                        parent[root(ids[i])] = root(nearest)
-                        others[-1].append(ids[i])
-            keep = [batch.column(c) for c in ("tree", "node", "rep", "sig")]
-            found = [pa.array(best, pa.int64()), pa.array(shared, pa.int32()), pa.array(others, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*keep, *found], names=["tree", "node", "rep", "sig", "anchor", "shared", "others"])
-
-    return rows.select("tree", "node", "rep", "sig", "anchors").mapInArrow(
-        run, "tree int, node long, rep long, sig array<int>, anchor long, shared int, others array<long>"
-    )
+        for groups in _groups(batches, ["node", "salt"]):
+            for g in groups:
+                sig, ids, anchor = _sigs(g.column("sig")), g.column("rep").to_pylist(), g.column("anchor").to_numpy()
+                near, pairs = anchor.copy(), []
+                for k in np.flatnonzero(anchor).tolist():
+                    shared = (sig == sig[k]).sum(axis=1)
+                    near |= shared >= LEAVE_AT
+                    pairs += [(k, i) for i in np.flatnonzero(shared >= LINK_AT).tolist() if i != k]
+                tie = dict((b, a) for a, b in _stars(ids, iter(pairs)))
+                cells = [g.column(c).combine_chunks() for c in ("tree", "node", "rep", "sig")]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(near), pa.array([tie.get(i) for i in ids], pa.int64())], names=["tree", "node", "rep", "sig", "near", "tie"])
+
+    dealt = rows.repartition("node", "salt").sortWithinPartitions("node", "salt")
+    return map_in_arrow(dealt.select("tree", "node", "salt", "rep", "sig", "anchor"), run, NEAR)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -212,17 +214,24 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
 
 
+def _with_sizes(rows: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """rows of nodes with at least two classes, and their node's size."""
+    sizes = write(_counted(rows), "nodes")
+    n, total = sizes.agg(F.count("*"), F.sum("size")).first()
+    if small(sizes, n) is not sizes:
+        return rows.join(small(sizes, n), "node")
+    return join_spread(rows, sizes, "node", write(sizes.where(F.col("size") > hot_rows(total)).select("node"), "hot"), "inner")
+
+
 def _chance(seed: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40))
 
 
-def tie(reps: DataFrame) -> DataFrame:
+def tie(reps: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Ties (a, b) between classes (rep, nodes, sig) that agree on LINK_AT tokens, found by the trees."""
     rows = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
-    sizes = materialize(_counted(rows), "nodes")
-    shared = rows.join(small(sizes, sizes.count()), "node")
-    rows = shared.join(reps.select("rep", "sig"), "rep").select("tree", "node", "rep", "sig", "size")
-    rows = materialize(rows, "tree")
+    rows = _with_sizes(rows, write).join(reps.select("rep", "sig"), "rep").select("tree", "node", "rep", "sig", "size")
+    rows = write(rows, "tree")
     ties = by_group(rows.where(F.col("size") <= SMALL), ["node"], tie_small)
     depth, large = 0, rows.where(F.col("size") > SMALL)
     while large.limit(1).count():
@@ -231,22 +240,20 @@ def tie(reps: DataFrame) -> DataFrame:
             first = large.groupBy("node").agg(F.min("rep").alias("first"))
             ties = ties.unionByName(large.join(first, "node").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
             break
-        anchors = large.where(_chance(1, "rep", "node") * F.col("size") < ANCHORS * (1 << 40))
-        anchors = anchors.groupBy("node").agg(F.collect_list(F.struct("rep", "sig")).alias("anchors"))
-        near = materialize(_near_anchor(large.join(anchors, "node")), "tree")
-        linked = (F.col("shared") >= LINK_AT) & (F.col("rep") != F.col("anchor"))
-        ties = ties.unionByName(near.where(linked).select(F.col("rep").alias("a"), F.col("anchor").alias("b")))
-        ties = ties.unionByName(near.select(F.col("anchor").alias("a"), F.explode("others").alias("b")))
+        salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
+        drawn = _chance(1, "rep", "node") * F.col("size") < ANCHORS * (1 << 40)
+        own = F.pmod(F.xxhash64("rep", F.lit(2)), salts).cast("int")
+        members = large.select("tree", "node", own.alias("salt"), "rep", "sig", drawn.alias("anchor"))
+        # anchors go to all tasks of their node but their own, where they are members
+        copies = large.where(drawn).select("tree", "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), own.alias("own"), "rep", "sig", F.lit(True).alias("anchor"))
+        near = write(_near_anchors(members.unionByName(copies.where("salt <> own").drop("own"))), "tree")
+        ties = ties.unionByName(near.where("tie is not null").select(F.col("rep").alias("a"), F.col("tie").alias("b")))
         depth += 1
-        # nodes without an anchor, by chance of the draw, branch on whole
-        without = large.join(anchors, "node", "left_anti").select("tree", "node", "rep", "sig")
-        open_ = near.where(F.col("shared") < LEAVE_AT).select("tree", "node", "rep", "sig").unionByName(without)
-        branch = F.explode(F.array(F.lit(0), F.lit(1)))
+        first = _chance(3 + depth, "node") < int(EXTRA * (1 << 40))
+        branch = F.explode(F.when(first, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         at = (2 * F.col("tree") + 2 * F.lit(depth) + F.col("branch")) % COORDINATES
-        open_ = open_.withColumn("branch", branch).withColumn("node", F.xxhash64("node", at, F.get("sig", at))).drop("branch")
-        open_ = materialize(open_, "tree")
-        sizes = _counted(open_)
-        rows = materialize(open_.join(sizes, "node"), "tree")
+        open_ = near.where("not near").withColumn("branch", branch).select("tree", F.xxhash64("node", at, F.get("sig", at)).alias("node"), "rep", "sig")
+        rows = write(_with_sizes(write(open_, "tree"), write), "tree")
         ties = ties.unionByName(by_group(rows.where(F.col("size") <= SMALL), ["node"], tie_small))
         large = rows.where(F.col("size") > SMALL)
     return ties
@@ -300,56 +307,104 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.join(sizes.select("comp", "size", F.when(F.col("size") <= 2, 1).otherwise(chunks).alias("chunks")), "comp")
 
 
-def confirmed_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(comp, rep, n, part, token): the shingle hashes of the texts of members (comp, rep, n, part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])]
+            cells = [batch.column(c) for c in ("comp", "rep", "n", "part")]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(sets, pa.list_(pa.int64()))], names=["comp", "rep", "n", "part", "tokens"])
+
+    texts = docs.join(members, docs["id"] == members["rep"]).select("comp", "rep", "n", "part", "text")
+    out = map_in_arrow(texts, run, "comp long, rep long, n long, part long, tokens array<long>")
+    return out.select("comp", "rep", "n", "part", F.explode("tokens").alias("token"))
+
+
+def _reachable(docs: DataFrame, large: DataFrame, asked: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(rep, block): the members of large that share a rare token with a class of the block, which every link does.
+
+    large: (comp, rep, n, part); asked: (rep, own_block). A linked pair has PERCENT % of either set in
+    common, so of each set's tokens, rarest first, one of the first n - ceil(n PERCENT / 100) + 1 is common.
+    """
+    tokens = write(_tokens(docs, large), "tokens")
+    often = tokens.groupBy("comp", "token").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = tokens.join(often, ["comp", "token"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("comp", "rep").orderBy("f", "token"))
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("f > 1")
+    prefix = write(prefix.select("comp", "token", "rep", "f"), "prefix")
+    wanted = prefix.join(asked, "rep").select("comp", "token", F.col("own_block").alias("block"), "f").distinct()
+    # a token of many members is spread over parts of SMALL
+    parts = F.ceil(F.col("f") / SMALL).cast("int")
+    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("f")
+    met = prefix.withColumn("salt", F.pmod(F.xxhash64("rep"), parts).cast("int")).join(wanted, ["comp", "token", "salt"])
+    return met.select("rep", "block").distinct()
+
+
+def confirmed_components(docs: DataFrame, members: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, component) over confirmed links. docs: (id, text); members: (comp, rep, n) to compare."""
-    dealt = materialize(_dealt(members), "members")
+    dealt = write(_dealt(members), "members")
     texts = docs.join(small(dealt, dealt.count()), docs["id"] == dealt["rep"]).select("comp", "rep", "text", "size", "chunks")
     many = F.col("chunks") > 1
     anchor = many & (_chance(2, "rep") * F.col("size") < ANCHORS * (1 << 40))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     places = F.when(anchor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     grouped = texts.select("comp", "rep", "text", F.lit(True).alias("asked"), F.explode(places).alias("chunk"))
-    edges = materialize(by_group(grouped, ["comp", "chunk"], confirm), "links")
-    found = connected_components(edges)
+    edges = write(by_group(grouped, ["comp", "chunk"], confirm), "links")
+    found = connected_components(edges, write)
     if not dealt.where(many).limit(1).count():
         return found
-    found = materialize(found, "components")
+    found = write(found, "components")
     large = dealt.where(many).join(found, F.col("rep") == F.col("node"), "left").select("comp", "rep", "n", "size", "chunks", F.coalesce("component", "rep").alias("part"))
-    large = materialize(large, "members")
+    large = write(large, "members")
     main = large.groupBy("comp", "part").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
     left = large.join(main, "comp").where("part <> main")
     blocks = left.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
+    blocks = write(blocks, "blocks")
     if not blocks.limit(1).count():
         return found
     asked = left.select("comp", "rep").join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    asked = materialize(asked.select("rep", F.col("block").alias("own_block")), "asked")
-    wide = large.join(blocks, "comp").join(asked, "rep", "left")
+    asked = write(asked.select("rep", F.col("block").alias("own_block")), "asked")
+    loose = large.join(blocks.select("comp"), "comp", "left_semi")
+    reach = write(_reachable(docs, loose.select("comp", "rep", "n", "part"), asked, write), "reach")
     every_chunk = F.sequence(F.lit(0), F.col("chunks") - 1)
-    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # a left-over class goes, asked, to every chunk of its block; every class goes to its chunk of every block
-    as_member = wide.select("comp", "rep", F.explode(every_block).alias("block"), own.alias("chunk"), F.lit(False).alias("asked"))
-    as_asked = wide.where("own_block is not null").select("comp", "rep", F.col("own_block").alias("block"), F.explode(every_chunk).alias("chunk"), F.lit(True).alias("asked"))
+    # a left-over class goes, asked, to every chunk of its block; every class that a link could reach to its chunk of that block
+    as_member = loose.join(reach, "rep").select("comp", "rep", "block", own.alias("chunk"), F.lit(False).alias("asked"))
+    as_asked = loose.join(asked, "rep").select("comp", "rep", F.col("own_block").alias("block"), F.explode(every_chunk).alias("chunk"), F.lit(True).alias("asked"))
     plan = as_member.unionByName(as_asked).groupBy("comp", "rep", "block", "chunk").agg(F.max("asked").alias("asked"))
-    plan = materialize(plan, "plan")
+    plan = write(plan, "plan")
     texts = docs.join(small(plan, plan.count()), docs["id"] == plan["rep"]).select("comp", "rep", "text", "block", "chunk", "asked")
     more = by_group(texts, ["comp", "block", "chunk"], confirm)
-    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), write)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs."""
+    used: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialize(df, name))
+        return used[-1]
+
     known = materialize(sketch(docs, id_col, text_col), "sketch")
     classes = known.where("digest is not null and id is not null").groupBy("digest")
     classes = classes.agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
-    tied = connected_components(tie(classes))
+    classes = write(classes, "classes")
+    tied = connected_components(tie(classes, write), write)
     members = tied.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select(F.col("component").alias("comp"), "rep", "n")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    found = confirmed_components(texts, members.distinct())
+    found = confirmed_components(texts, members.distinct(), write)
     labels = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", "rep", "last", F.coalesce("component", "rep").alias("component_id"))
     labels = materialize(labels.where("last <> rep or component_id <> rep").select("digest", "component_id"), "labels")
-    out = known.select("id", "n", "digest").join(small(labels, labels.count()), "digest", "left")
+    discard(*used)
+    # a digest of many copies is joined where its rows are, whatever the size of the table
+    n, rows = labels.count(), known.count()
+    if small(labels, n) is not labels:
+        out = known.select("id", "n", "digest").join(small(labels, n), "digest", "left")
+    else:
+        crowded = known.groupBy("digest").agg(F.count("*").alias("k")).where(F.col("k") > hot_rows(rows))
+        out = join_spread(known.where("digest is not null").select("id", "n", "digest"), labels, "digest", materialize(crowded.where("digest is not null").select("digest"), "hot"), "left")
+        out = out.unionByName(known.where("digest is null").select("id", "n", "digest").withColumn("component_id", F.lit(None).cast("long")))
     component = F.coalesce("component_id", "id")
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(

@@ -73,7 +73,7 @@ def test_driver_table_equals_brute_force(spark, small_dir):
 
 def test_large_nodes_and_groups_take_the_split_ways(spark, monkeypatch):
     """With small bounds every path beyond them runs: anchors, further levels, chunks, leftover blocks."""
-    for name, value in (("SMALL", 4), ("ANCHORS", 2), ("GROUP", 6), ("BLOCK", 3)):
+    for name, value in (("SMALL", 4), ("ANCHORS", 2), ("SALT_ROWS", 8), ("GROUP", 6), ("BLOCK", 3)):
         monkeypatch.setattr(m, name, value)
     rng = random.Random(8)
     base = prose(77, 300)
@@ -83,6 +83,19 @@ def test_large_nodes_and_groups_take_the_split_ways(spark, monkeypatch):
     assert found(m.near_duplicates(docs)) == want
 
 
+def test_hot_keys_are_joined_in_place(spark, monkeypatch):
+    """With a bound of two rows every key with more is hot, in components, nodes and labels alike."""
+    from larkspur.llm import common
+
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = documents(spark, texts_with_copies())
+    assert found(m.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 99) for i in range(40)] + [(99, 39)] + [(200, i) for i in range(150, 200)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in [*range(40), 99, *range(100, 140)]} | {i: 150 for i in range(150, 201)} | {200: 150}
+
+
 def test_odd_rows(spark):
     rows = m.near_duplicates(odd_documents(spark)).collect()
     by_id = {r.doc_id: r for r in rows}
@@ -140,3 +153,26 @@ def test_linked_groups_of_more_than_a_small_node(spark):
         label = least
     assert linked[:650, 650:].any() and len(set(label.tolist())) == 1
     assert {k: v[1] for k, v in found(m.near_duplicates(documents(spark, rows))).items()} == dict(enumerate(label.tolist()))
+
+
+def test_a_loose_group_of_more_than_a_small_node(spark):
+    """At the production bounds: one text in 1,200 versions, from a few to a third of its words changed, against all pairs."""
+    rng = random.Random(31)
+    base = prose(5, 300)
+    texts = [near(base, rng, rng.choice((1, 2, 4, 6, 8, 12, 20))) for _ in range(1200)]
+    shingles = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            if root(i) != root(j) and 100 * (c := len(a & shingles[j])) >= 85 * (len(a) + len(shingles[j]) - c):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    want = {i: root(i) for i in range(len(texts))}
+    assert 10 < len(set(want.values())) < 1000 and len(texts) > m.SMALL
+    assert {k: v[1] for k, v in found(m.near_duplicates(documents(spark, texts))).items()} == want
