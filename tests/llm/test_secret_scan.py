@@ -3,10 +3,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
+import re
+import time
 
-from larkspur.llm.secret_scan import der_children, find_secrets, is_key, scan_secrets
+import pytest
 
-from .helpers import documents, odd_documents
+from larkspur.llm.secret_scan import der_children, find_secrets, is_key, joined, scan_secrets
+
+from .helpers import documents, odd_documents, prose
 
 
 def der(tag: int, body: bytes) -> bytes:
@@ -63,3 +68,127 @@ def test_odd_rows(spark):
     assert len(rows) == 8 and all(r.spans == "" for r in rows) and {r.doc_id for r in rows} == {None, 1, 2, 3, 4, 5, 6}
     assert scan_secrets(odd_documents(spark).limit(0)).count() == 0
     assert find_secrets("eyJ" * 200_000 + "-----BEGIN " * 50_000) == []
+
+
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"salt"))) + der(4, b"c" * 64))
+
+
+def ssh(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4) + p for p in parts)
+
+
+def openssh(pad: bytes = b"\1\2\3", cipher: bytes = b"none", check: bytes = b"abcdabcd", tail: bytes = b"") -> bytes:
+    public = ssh(b"ssh-ed25519", b"p" * 32)
+    private = check + ssh(b"ssh-ed25519", b"p" * 32, b"s" * 64, b"me@host") + pad
+    return b"openssh-key-v1\0" + ssh(cipher, b"none", b"") + (1).to_bytes(4) + ssh(public, private) + tail
+
+
+def lines(data: bytes, width: int = 64, end: str = "\n") -> str:
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_of_other_forms():
+    assert is_key(openssh()) and is_key(ENCRYPTED)
+    assert not any(map(is_key, (openssh(tail=b"x"), openssh(pad=b"\1\3"), openssh(check=b"abcdabce"), b"openssh-key-v1\0" + bytes(12) + b"garbage")))
+    assert not is_key(der(0x30, der(0x30, der(6, b"\x2b\x0e\x03\x02\x1a")) + der(4, b"d" * 20)))  # a digest, no key
+    for label, key in (("RSA ", RSA), ("ENCRYPTED ", ENCRYPTED), ("OPENSSH ", openssh())):
+        for end in ("\n", "\r\n", "\\n"):
+            block = f"-----BEGIN {label}PRIVATE KEY-----{end}{lines(key, end=end)}{end}-----END {label}PRIVATE KEY-----"
+            assert find_secrets(f"é {block}.") == [(2, 2 + len(block), "pem")], (label, end)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n"
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{head}{lines(b'x' * 64)}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{lines(b'x' * 64)}\n-----END RSA PRIVATE KEY-----") == []
+    assert find_secrets("k: " + lines(PKCS8) + "\nafterwards") == [(3, 3 + len(lines(PKCS8)), "key64")]
+    assert find_secrets(lines(openssh()) + "\nend") == [(0, len(lines(openssh())), "key64")]
+    url = base64.urlsafe_b64encode(der(0x30, der(2, b"\0") + b"".join(der(2, b"\xfb\xef\xff" * 8) for _ in range(8)))).decode().rstrip("=")
+    assert "-" in url and find_secrets(f"'{url}'") == [(1, 1 + len(url), "key64")]
+    assert "keyhex" in kinds(RSA.hex().upper())
+    token = base64.urlsafe_b64encode(b'{ "alg": "none" }').decode().rstrip("=") + "." + url64({}) + "."
+    assert kinds(f"Bearer {token}") == ["jwt"] and not token.startswith("eyJ")
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "e9", "eyJ.", "eyJ.a", "-----BEGIN PRIVATE KEY-----", "MIIE", "M\n", "Mabc_", "30", "b3Blbn\n", "token=", "AKIA"])
+def test_time_is_linear(unit):
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        find_secrets(unit * (n // len(unit)))
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(800_000) < 30 * max(took(100_000), 0.005)
+
+
+def plain_der(data: bytes) -> list[tuple[int, int]] | None:
+    """(depth, tag) of all elements if every length closes exactly; with a stack of ends, not by recursion."""
+    out, ends, at = [], [len(data)], 0
+    while at < len(data):
+        while at == ends[-1]:
+            ends.pop()
+        if at + 2 > ends[-1]:
+            return None
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n >= 128:
+            if n == 128 or n > 132:
+                return None
+            n, at = int.from_bytes(data[at : at + n - 128], "big"), at + n - 128
+        if at + n > ends[-1]:
+            return None
+        out.append((len(ends), tag))
+        if tag & 32 and n:
+            ends.append(at + n)
+        else:
+            at += n
+    return out if all(e == at for e in ends) else None
+
+
+def brute(text: str) -> list[tuple[int, int, str]]:
+    """All spans, by the contract's patterns and by trying every run that might decode."""
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 12:
+            out.append((*m.span(), "assign"))
+    out += [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+
+    def key(data: bytes) -> bool:
+        tree = plain_der(data)
+        top = [t for d, t in tree or () if d == 2]
+        return bool(tree) and tree[0] == (1, 0x30) and sum(d == 1 for d, _ in tree) == 1 and (top[:3] == [2, 0x30, 4] or top[:2] == [2, 4] or set(top) == {2} and len(top) in (6, 9))
+
+    for m in re.finditer("[0-9a-fA-F]+", text):
+        if m[0].startswith("30") and len(m[0]) % 2 == 0 and len(m[0]) >= 64 and key(bytes.fromhex(m[0])):
+            out.append((*m.span(), "keyhex"))
+    for m in re.finditer("[A-Za-z0-9+/]+=*", text):
+        if len(m[0].rstrip("=")) >= 48 and len(m[0]) % 4 == 0 and key(base64.b64decode(m[0])):
+            out.append((*m.span(), "key64"))
+    for m in re.finditer(r"[\w-]+\.[\w-]+\.[\w-]*", text, re.A):
+        try:
+            head, body = (json.loads(base64.urlsafe_b64decode(x + "===")) for x in m[0].split(".")[:2])
+        except ValueError:
+            continue
+        if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict):
+            out.append((*m.span(), "jwt"))
+    order = ["assign", "access", "hex", "jwt", "pem", "key64", "keyhex"]
+    return sorted(out, key=lambda s: (s[0], order.index(s[2])))
+
+
+def test_query_equals_brute_force(spark, small_dir):
+    """The driver's documents, with and without planted secrets: counts, digest and every span."""
+    rng = random.Random(6)
+    planted = [
+        lambda: base64.b64encode(PKCS8).decode(), lambda: RSA.hex(), lambda: RSA.hex().upper(), lambda: base64.b64encode(RSA[:-1]).decode(),
+        lambda: f"{url64({'alg': 'HS256', 'n': rng.randrange(99)})}.{url64({'sub': 'é'})}.c2ln", lambda: f"{url64({'typ': 'x'})}.{url64({})}.x",
+        lambda: f"AKIA{'Q7' * rng.randrange(5, 12)}", lambda: f"api_key = \"{'k' * rng.randrange(8, 20)}\"", lambda: "f" * rng.randrange(12, 40),
+    ]
+    known = [r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").orderBy("doc_id").collect()]
+    texts = known + [None] + ["é ".join(x for w in prose(i, 40) for x in (w, rng.choice(planted)() + " ") if x == w or rng.random() < 0.1) for i in range(150)]
+    rows = {r.doc_id: r for r in scan_secrets(documents(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        want = brute(t or "")
+        base = [s for s in want if s[2] in ("assign", "access", "hex")]
+        assert rows[i].spans == joined(want) and rows[i].base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(s[2] == k for s in base) for k in ("assign", "access", "hex"))
+        seen |= {s[2] for s in want}
+    assert seen == {"assign", "access", "hex", "jwt", "key64", "keyhex"}
