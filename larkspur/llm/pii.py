@@ -15,9 +15,11 @@ kind covers them:
 Every span has a score: what its kind and check are worth, and more if a word of its kind stands
 within CONTEXT_CHARS before it. Further kinds need THRESHOLD; base kinds stay whatever their score.
 
-How a position is found: a text split at a pattern gives the pieces between its matches; the lengths
-of pieces and matches add up to code-point offsets. The patterns are written with possessive
-repetition and look-behind so that every one is linear in the text's length.
+How a position is found: a text split at a pattern gives the pieces between its matches; running sums
+of the lengths of pieces and matches are code-point offsets. A confirmed card or phone number is
+blanked, in place, before the further kinds are looked for, so none of them is found inside it. The
+patterns are written with possessive repetition and look-behind, running sums go in blocks, and
+redaction cuts the text once in chunks, so that time is linear in the text and in its spans.
 
 Nulls and odd input: a null text is an empty one, without spans (redaction leaves it null); a null id
 is kept; repeated rows give equal rows; other columns are kept by ``with_spans`` and ``redact`` and
@@ -26,6 +28,8 @@ not read by ``pii_digests``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +73,10 @@ PATTERNS = {
 #: Text without a match of this has no match of the kind's pattern, at far less cost.
 NEEDS = {"email": "@", "phone": "+", "phone_run": "+"}
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
+#: Kinds whose confirmed spans are blanked for the further kinds, which lie inside one or apart from it.
+BLANKED = ("card", "phone")
+#: Code points of the pieces that a text is cut into for redaction.
+CHUNK = 256
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -108,50 +116,86 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """op of 0 and each value of an array of int with all values before it: running sums, running maxima.
+
+    In blocks, so that an array is copied for each element of a block only, and once for each block.
+    """
+    none = F.array().cast("array<int>")
+
+    def scan(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), none.alias("out"))
+        return F.aggregate(part, start, lambda s, x: let(op(s["last"], x), lambda y: F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out"))))
+
+    def whole(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        parts = F.transform(starts, lambda j: scan(F.slice(v, j * block + 1, F.lit(block))))
+
+        def joined_up(done: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), scan(F.transform(done, lambda x: x["last"]))["out"])
+            return F.flatten(F.zip_with(done, F.slice(before, F.lit(1), F.size(done)), lambda x, o: F.transform(x["out"], lambda y: op(o, y))))
+
+        return F.when(F.size(v) > 0, let(parts, joined_up)).otherwise(none)
+
+    return let(values, whole)
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """The confirmed spans of one kind with their scores, in order."""
+    """Struct of the confirmed spans of one kind with their scores, in order, and the text with them blanked."""
     none = F.array().cast(SPAN)
-    pattern = F.lit(PATTERNS[kind])
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["hit"])
-        before = F.lower(F.substr(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS))))
-        score = F.lit(WORTH[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_WORTH).otherwise(0.0)
-        span = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score")
-        )
-        found = F.when(_confirmed(kind, pair["hit"]), F.concat(state["out"], F.array(span).cast(SPAN))).otherwise(state["out"])
-        return F.struct(end.alias("at"), found.alias("out"))
-
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, PATTERNS[kind], -1)
-    pairs = F.transform(hits, lambda hit, i: F.struct(hit.alias("hit"), i.alias("i")))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), pairs, lambda piece, hit: F.struct(piece.alias("piece"), hit["hit"].alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    out = F.aggregate(pairs, start, step, lambda s: s["out"])
+
+    def right(s: Column) -> Column:
+        return F.right(s, F.lit(CONTEXT_CHARS))
+
+    def found(p: Column) -> Column:
+        pieces, hits, ends, tails = p["pieces"], p["hits"], p["ends"], p["tails"]
+
+        def span(hit: Column, i: Column) -> Column:
+            # a match has a character or more, so this many before it are enough
+            earlier = F.array_join(F.slice(tails, F.greatest(i - CONTEXT_CHARS + 1, F.lit(1)), F.least(i, F.lit(CONTEXT_CHARS))), "")
+            before = F.lower(right(F.concat(earlier, right(F.get(pieces, i)))))
+            score = F.lit(WORTH[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_WORTH).otherwise(0.0)
+            end = F.get(ends, i)
+            made = F.struct((end - F.length(hit)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+            return F.when(_confirmed(kind, hit), made)
+
+        spans = F.filter(F.transform(hits, span), lambda s: s.isNotNull()).cast(SPAN)
+        if kind not in BLANKED:
+            return F.struct(spans.alias("spans"), text.alias("rest"))
+        kept = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda a, b: F.concat(a, F.when(_confirmed(kind, b), F.translate(b, "+0123456789", "_" * 11)).otherwise(b)))
+        return F.struct(spans.alias("spans"), F.concat(F.array_join(kept, ""), F.element_at(pieces, -1)).alias("rest"))
+
+    def cut(p: Column) -> Column:
+        both = F.zip_with(F.slice(p["pieces"], F.lit(1), F.size(p["hits"])), p["hits"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        ends = running(F.transform(both, lambda x: F.length(x["a"]) + F.length(x["b"])), lambda a, b: a + b)
+        tails = F.transform(both, lambda x: F.concat(right(x["a"]), right(x["b"])))
+        return let(F.struct(p["pieces"].alias("pieces"), p["hits"].alias("hits"), ends.alias("ends"), tails.alias("tails")), found)
+
+    cuts = F.struct(F.split(text, PATTERNS[kind], -1).alias("pieces"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hits"))
     needed = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(PATTERNS[kind])
-    return F.when(needed, out).otherwise(none)
+    return F.when(needed, let(cuts, cut)).otherwise(F.struct(none.alias("spans"), text.alias("rest")))
 
 
 def pii_spans(text: Column) -> Column:
     """All spans of a text, array of (start, kind, end, score) by start, then kind as listed; end exclusive."""
-    text = F.coalesce(text, F.lit(""))
-
-    def uncovered(spans: Column, base: Column) -> Column:
-        open_ = F.filter(spans, lambda s: (s["score"] >= THRESHOLD) & ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-        return F.when(F.size(spans) == 0, spans).otherwise(open_)
 
     def all_of(t: Column) -> Column:
-        # the let-binding over a one-element array has every kind's spans evaluated once
-        plain = F.struct(*(_spans(t, k).alias(k) for k in KINDS))
-        more = {"card_run": "card", "phone_run": "phone", "iban": "card", "ssn": "card"}
-        joined = F.transform(F.array(plain), lambda b: F.concat(*(b[k] for k in BASE), *(uncovered(b[k], b[of]) for k, of in more.items())))
-        return F.sort_array(joined[0])
+        base = F.struct(*(_spans(t, k).alias(k) for k in BASE))
+
+        def further(b: Column) -> Column:
+            # an account number starts with letters, so neither blank nor number can hide one
+            of = {"card_run": b["card"]["rest"], "phone_run": b["phone"]["rest"], "iban": t, "ssn": b["card"]["rest"]}
+            more = [F.filter(let(of[k], lambda x, k=k: _spans(x, k))["spans"], lambda s: s["score"] >= THRESHOLD) for k in KINDS[len(BASE) :]]
+            return F.sort_array(F.concat(*(b[k]["spans"] for k in BASE), *more))
 
-    hints = "[0-9@+]"
-    bound = F.transform(F.array(text), lambda t: F.when(t.rlike(hints), all_of(t)).otherwise(F.array().cast(SPAN)))
-    return bound[0]
+        return let(base, further)
+
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike("[0-9@+]"), all_of(t)).otherwise(F.array().cast(SPAN)))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
@@ -168,22 +212,27 @@ def joined(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
     labels = F.array(*(F.lit(f"[{k.split('_')[0].upper()}]") for k in KINDS))
+    n = F.lit(CHUNK)
+
+    def piece(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / n).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.floor(end / n).cast("int") - first + 1), "")
+        return F.substr(held, start - first * n + 1, end - start)
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.get(labels, s["kind"]))
-        out = F.when(s["start"] >= state["at"], fresh).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def of(p: Column) -> Column:
+        before = F.transform(p["spans"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get(p["most"], i - 1), F.lit(0)).alias("at")))
+        kept = F.filter(before, lambda s: s["start"] >= s["at"])
+        parts = F.transform(kept, lambda s: F.concat(piece(p["chunks"], s["at"], s["start"]), F.get(labels, s["kind"])))
+        return F.concat(F.array_join(parts, ""), piece(p["chunks"], F.element_at(p["most"], -1), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    out = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(out)
+    most = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    bound = F.struct(spans.alias("spans"), most.alias("most"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(let(bound, of))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text redacted; all columns and rows stay, in place."""
-    # both uses of the spans read one evaluation: the let-binding keeps the optimizer from copying it
-    bound = F.transform(F.array(pii_spans(docs[text_col])), lambda s: redacted(docs[text_col], s))[0]
-    return docs.withColumn(text_col, bound)
+    return docs.withColumn(text_col, let(pii_spans(docs[text_col]), lambda s: redacted(docs[text_col], s)))
 
 
 def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

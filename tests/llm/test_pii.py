@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm.pii import KINDS, luhn, mod97, pii_digests, redact
+from larkspur.llm.pii import KINDS, luhn, mod97, pii_digests, redact, running
 
 from .helpers import documents, odd_documents, prose
 
@@ -107,3 +110,80 @@ def test_odd_rows(spark):
     assert out.columns == odd_documents(spark).columns and {r.doc_id: r.text for r in out.collect()}[1] is None
     long = " ".join(prose(1, 50_000)) + " a@b.c"
     assert by_id(pii_digests(documents(spark, [long, "1 " * 100_000, "a." * 100_000])))[0].n_email == 1
+
+
+CARD_RUN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![A-Za-z0-9])")
+PHONE_RUN = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])")
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+GERMAN = re.compile(r"(?<![A-Za-z0-9])DE[0-9]{2}(?:\x20?[A-Z0-9]){18}(?![A-Za-z0-9])")
+
+
+def mod97_ok(m: re.Match) -> bool:
+    plain = m[0].replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def brute_all(text: str) -> list[tuple[int, int, str]]:
+    """All spans by plain patterns: further ones only where no base span of the like kind covers them."""
+    base = brute(text)
+    covered = lambda m, kind: any(s <= m.start() and m.end() <= e for s, e, k in base if k == kind)
+    more = [(m.start(), m.end(), "card_run") for m in CARD_RUN.finditer(text) if luhn_ok(re.sub("[^0-9]", "", m[0])) and not covered(m, "card")]
+    more += [(m.start(), m.end(), "phone_run") for m in PHONE_RUN.finditer(text) if not covered(m, "phone")]
+    more += [(m.start(), m.end(), "iban") for m in GERMAN.finditer(text) if mod97_ok(m)]
+    near_by = lambda m: re.search("ssn|social security|national insurance", text[max(0, m.start() - 40) : m.start()].lower())
+    more += [(m.start(), m.end(), "ssn") for m in SSN.finditer(text) if near_by(m) and not covered(m, "card")]
+    return sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def brute_redacted(text: str) -> str:
+    out, at = [], 0
+    for s, e, k in brute_all(text):
+        if s >= at:
+            out += [text[at:s], f"[{k.split('_')[0].upper()}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def mixed(seed: int, n: int) -> str:
+    """Personal data of every kind, valid or not, close together between words."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    makers = [
+        lambda: f"a{digits(2)}.b@c-d.org", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: "4111 1111 1111 1111", lambda: "4111-1111-1111-1112",
+        lambda: f"+{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+1 212 555 {digits(4)} {digits(8)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: "ssn",
+        lambda: "DE89 3704 0044 0532 0130 00", lambda: "DE88370400440532013000", lambda: f"{digits(1)} 378282246310005", lambda: "word é 🙂", lambda: f"user{digits(3)}-{digits(2)}-{digits(4)}@x.org",
+        lambda: "4111111111111111 378282246310005", lambda: digits(rng.randrange(1, 25)), lambda: "call", lambda: "5555 5555 5555 4444,",
+    ]
+    return "".join(rng.choice(makers)() + rng.choice(" \n,;x") for _ in range(n))
+
+
+def test_all_spans_and_redaction_equal_plain_loops(spark):
+    texts = [mixed(i, 40) for i in range(120)] + [mixed(999, 3000)] + TEXTS
+    docs = documents(spark, texts)
+    found, plain = by_id(pii_digests(docs)), by_id(redact(docs))
+    seen = set()
+    for i, t in enumerate(texts):
+        want = brute_all(t)
+        assert found[i].spans == ",".join(f"{k}:{s}:{e}" for s, e, k in want), (i, t[:200])
+        assert plain[i].text == brute_redacted(t), (i, t[:200])
+        seen |= {k for _, _, k in want}
+    assert seen == set(KINDS)
+
+
+def test_time_grows_with_the_spans_not_their_square(spark):
+    def took(n: int) -> float:
+        docs = documents(spark, ["a@b.c " * n]).repartition(1).cache()
+        docs.count()
+        began = time.perf_counter()
+        assert by_id(pii_digests(docs))[0].n_email == n and by_id(redact(docs))[0].text.count("[EMAIL]") == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(32_000) < 6 * took(8_000)
+
+
+def test_running_values(spark):
+    rows = [(list(range(k)),) for k in (0, 1, 63, 64, 65, 1000)] + [([5, 3, 9, 1] * 100,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for (v,), r in zip(rows, df.select(running(F.col("v"), lambda a, b: a + b), running(F.col("v"), lambda a, b: F.greatest(a, b))).collect()):
+        assert list(r[0]) == list(itertools.accumulate(v)) and list(r[1]) == list(itertools.accumulate(v, max))
