@@ -3,7 +3,8 @@
 A text is cut into pre-tokens; within a pre-token the adjacent pair of lowest merge rank, leftmost
 first, is merged until no pair has a rank. The queue keeps one bucket of start positions per rank
 and a two-level bitmap of the non-empty buckets: find-first-set on the upper word and then on the
-lower word gives the lowest rank in constant time. Parts form a linked list; an entry whose part
+lower word gives the lowest rank in constant time; a bucket gives its leftmost position in time
+logarithmic in its size. Parts form a linked list; an entry whose part
 has been merged away, or whose pair has since another rank, is stale and skipped. A pre-token of n
 bytes makes at most 3 n entries, so the cost stays near linear on very long pre-tokens.
 
@@ -306,20 +307,29 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
-def _coder(ranks, pattern: str) -> ByteBpe:
-    """The coder of this worker: one for all its tasks, so that its tables are built once."""
-    key = (len(ranks.value), pattern)
+def _coder(ranks, digest: bytes, pattern: str) -> ByteBpe:
+    """The coder of this worker: one for all its tasks on one vocabulary, so that its tables are built once."""
+    key = (digest, pattern)
     if _coder.__dict__.get("key") != key:
         _coder.key, _coder.coder = key, ByteBpe(ranks.value, pattern)
     return _coder.coder
 
 
+def ranks_digest(ranks: dict[bytes, int]) -> bytes:
+    """A digest of a vocabulary's tokens and ranks."""
+    out = hashlib.blake2b(digest_size=16)
+    for token, rank in sorted(ranks.items()):
+        out.update(len(token).to_bytes(4) + token + rank.to_bytes(8))
+    return out.digest()
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) for every row; vocabulary is the path of a file of ranks that the driver reads."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    table = load_ranks(vocabulary)
+    ranks, key = docs.sparkSession.sparkContext.broadcast(table), ranks_digest(table)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, pattern)
+        coder = _coder(ranks, key, pattern)
         for batch in batches:
             ids = coder.encode_texts([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
@@ -344,10 +354,11 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
 
 def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes every text and decodes the ids again."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    table = load_ranks(vocabulary)
+    ranks, key = docs.sparkSession.sparkContext.broadcast(table), ranks_digest(table)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, pattern)
+        coder = _coder(ranks, key, pattern)
         decimal = {i: str(i) for i in coder.tokens}.__getitem__
         for batch in batches:
             counts, coded, decoded = [], [], []

@@ -69,3 +69,14 @@ def test_odd_rows(spark):
     by_id = {r.doc_id: r for r in rows}
     assert len(rows) == 8 and None in by_id and by_id[1].n_tokens == by_id[2].n_tokens == 0 and by_id[1].ids_sha256 == by_id[1].decoded_sha256 == empty
     assert bpe_digests(odd_documents(spark).limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_vocabularies_of_one_size_are_kept_apart(spark, tmp_path):
+    import base64
+
+    docs = documents(spark, ["abcd"]).coalesce(1)
+    for k, pair in enumerate((b"ab", b"cd", b"bc")):
+        path = tmp_path / f"v{k}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*(bytes([i]) for i in range(256)), pair])))
+        want = tiktoken.Encoding(f"v{k}", pat_str=r"\S+", mergeable_ranks=load_ranks(str(path)), special_tokens={}).encode_ordinary("abcd")
+        assert bpe_encode(docs, str(path), r"\S+").first().ids == want
