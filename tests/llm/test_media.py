@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 
 import pytest
 
-from larkspur.llm.media import feature_of, from_png, media_columns, media_headers, pad, png_header, store_media, to_png
+from larkspur.llm.media import feature_of, from_png, media_columns, media_facts, media_headers, pad, png_header, store_media, to_png
 
 from .helpers import documents, odd_documents
 
@@ -50,14 +50,58 @@ def test_what_is_read_back(spark, tmp_path):
 def test_shards_are_tar_files_with_content_addresses(spark, tmp_path):
     index = store_media(documents(spark, TEXTS * 3).coalesce(1), f"file://{tmp_path}/m", shard_bytes=2000)
     rows = index.collect()
-    shards = {r.shard for r in rows}
-    assert len(shards) > 1
+    shards = {r.shard for r in rows if r.shard}
+    assert len(shards) > 1 and len(rows) == 3 * len(TEXTS)
+    names = []
     for shard in shards:
         with open(urlparse(shard).path, "rb") as f, tarfile.open(fileobj=io.BytesIO(f.read())) as tar:
             for member in tar.getmembers():
                 assert hashlib.sha256(from_png(tar.extractfile(member).read())).hexdigest() + ".png" == member.name
-    heads = media_headers(index).collect()
-    assert all(h.width == 64 and h.bit_depth == 8 for h in heads) and len(heads) == len(rows)
+                names.append(member.name)
+    assert len(names) == len(set(names)) == len({r.digest for r in rows})
+    heads = media_headers(index.where("shard is not null")).collect()
+    assert all(h.width == 64 and h.bit_depth == 8 and h.payload_bytes == 64 * h.height for h in heads)
+
+
+def tar_names(folder) -> list[str]:
+    found = []
+    for shard in folder.glob("*.tar"):
+        with tarfile.open(shard) as tar:
+            found += tar.getnames()
+    return found
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_a_payload_is_stored_once_in_the_whole_table(spark, tmp_path, monkeypatch, broadcast_rows):
+    """Over eight tasks, with one payload in a third of the rows; joined by broadcast and by shuffle."""
+    from larkspur.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(common, "HOT", 50)
+    texts = [("hot" if i % 3 == 0 else f"text {i % 100}") for i in range(600)]
+    rows = media_columns(documents(spark, texts).repartition(8), folder=f"file://{tmp_path}/media").collect()
+    assert {r.doc_id: r.payload_sha256 for r in rows} == {i: hashlib.sha256(pad(t.encode())).hexdigest() for i, t in enumerate(texts)}
+    names = tar_names(tmp_path / "media")
+    assert len(rows) == 600 and len(names) == len(set(names)) == len(set(texts))
+
+
+def test_metadata_comes_from_headers_alone(spark, tmp_path):
+    """With every byte after the headers destroyed the metadata columns are as before; the payloads are refused."""
+    stored = store_media(documents(spark, TEXTS).coalesce(1), f"file://{tmp_path}/m").where("shard is not null")
+    before = sorted(media_headers(stored).collect())
+    for r in before:
+        with open(urlparse(r.shard).path, "r+b") as f:
+            f.seek(r.offset + 33)
+            f.write(b"#" * (r.length - 33))
+    assert sorted(media_headers(stored).collect()) == before
+    with pytest.raises(Exception, match="damaged PNG|incorrect header"):
+        media_facts(media_headers(stored)).collect()
+
+
+def test_a_payload_of_many_megabytes(spark, tmp_path):
+    text = "é long line of text\n" * 600_000
+    r = media_columns(documents(spark, [text]), folder=f"file://{tmp_path}/big").first()
+    assert r.n_bytes == len(text.encode()) > 12_000_000 and r.payload_sha256 == hashlib.sha256(pad(text.encode())).hexdigest()
 
 
 def test_odd_rows(spark, tmp_path):
