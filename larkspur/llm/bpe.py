@@ -307,12 +307,12 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
-def _coder(ranks, digest: bytes, pattern: str) -> ByteBpe:
+def coder_of(ranks, digest: bytes, pattern: str) -> ByteBpe:
     """The coder of this worker: one for all its tasks on one vocabulary, so that its tables are built once."""
     key = (digest, pattern)
-    if _coder.__dict__.get("key") != key:
-        _coder.key, _coder.coder = key, ByteBpe(ranks.value, pattern)
-    return _coder.coder
+    if coder_of.__dict__.get("key") != key:
+        coder_of.key, coder_of.coder = key, ByteBpe(ranks.value, pattern)
+    return coder_of.coder
 
 
 def ranks_digest(ranks: dict[bytes, int]) -> bytes:
@@ -329,7 +329,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     ranks, key = docs.sparkSession.sparkContext.broadcast(table), ranks_digest(table)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, key, pattern)
+        coder = coder_of(ranks, key, pattern)
         for batch in batches:
             ids = coder.encode_texts([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
@@ -358,7 +358,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     ranks, key = docs.sparkSession.sparkContext.broadcast(table), ranks_digest(table)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, key, pattern)
+        coder = coder_of(ranks, key, pattern)
         decimal = {i: str(i) for i in coder.tokens}.__getitem__
         for batch in batches:
             counts, coded, decoded = [], [], []

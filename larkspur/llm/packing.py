@@ -1,22 +1,25 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-A document's size is its words and one end mark. Documents of more than ``capacity`` are cut into
-pieces; a piece of the whole capacity is a bin of its own, and what remains is packed. Bins are kept
-by residual capacity, with a bitmap of the residuals that some bin has: find-first-set from a
-document's size on gives the tightest bin. Each bin carries a bitmap of the duplicate clusters in it,
-and bitmaps of its sources (one for each of the ``per_source`` documents that it may have of one
-source). If the tightest bin holds the document's cluster, or its source often enough, the search
-goes on to that bin's successor, until the tightest compatible bin is found; if there is none, a bin
-is opened. Documents go in by falling size (best fit decreasing).
+A document's size is its words, or the number in a column such as its count of tokens, and one end
+mark. Documents of more than ``capacity`` are cut into pieces; a piece of the whole capacity is a bin of its own, and what remains
+is packed. Bins are kept by residual capacity, with a bitmap of the residuals that some bin has:
+find-first-set from a document's size on gives the tightest bin. Each bin carries a bitmap of the
+duplicate clusters in it, and bitmaps of its sources (one for each of the ``per_source`` documents that
+it may have of one source). If the tightest bin holds the document's cluster, or its source often
+enough, the search goes on to that bin's successor, until the tightest compatible bin is found; if
+there is none, a bin is opened. Documents go in by falling size (best fit decreasing).
 
 A cluster is by default the documents whose words are equal but for upper case of A-Z; a column of
-cluster ids, such as a near-duplicate component, may be given instead. Rows that have no words, or
-no source, conflict with nothing on that account.
+cluster ids, such as a near-duplicate component, may be given instead. Unless ``per_source`` is given
+it is PER_SOURCE, or if that is more, twice what the largest source needs a bin on average, so a corpus
+of few sources or of short documents fills its bins. Rows that have no words, or no source, conflict
+with nothing on that account.
 
-Only (id, cut, size, source, cluster) is shuffled: rows are dealt evenly, whatever their keys, over
-tasks of about TASK_ROWS, and each task packs runs of GROUP_ROWS on their own, so memory is bounded,
-hot sources and clusters are spread over all bins, and at most a few bins a run stay loose. Dealing
-sorts rows first, so that a task which runs again after a lost executor sees the same rows.
+Only (id, size, source, cluster) is written and shuffled: rows are dealt evenly, whatever their keys,
+over tasks of about TASK_ROWS, and each task packs runs of GROUP_ROWS on their own, so memory is
+bounded, hot sources and clusters are spread over all bins, and only the loose bins at the end of a
+run, a few of tens of thousands, are less full than in a single run. A row's place in the dealing is a
+hash of the row, so that a task which runs again after a lost executor sees the same rows.
 
 Nulls and odd input: a null or empty text is a document of its end mark alone; a null id is kept;
 repeated rows are packed each, in different bins, as their texts are equal; ties in size go in the
@@ -32,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_in_arrow
+from .common import map_in_arrow, materialize
 
 CAPACITY = 2048
 PER_SOURCE = 4
-TASK_ROWS = 16_384
-GROUP_ROWS = 8_192
+TASK_ROWS = GROUP_ROWS = 65_536
 SPACE = "[ \\t\\n\\x0b\\f\\r]"
 PLACED = "doc_id long, piece int, start long, size int, bin long, position int, bin_size int"
 
@@ -183,29 +185,49 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, SPACE + "+"), lambda w: w != "")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None, size_col: str | None) -> DataFrame:
+    """(id, n, source, cluster) of every row: its units and end mark, hashes of its source and its cluster, 0 for none."""
+    words = F.transform(F.array(words_of(docs[text_col].cast("string"))), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.xxhash64(w).alias("h")))[0]
+    hashed = lambda c: F.when(c.isNotNull(), F.xxhash64(c)).otherwise(F.lit(0)).cast("long")
+    given = [hashed(docs[cluster_col]).alias("given")] if cluster_col else []
+    size = [F.greatest(F.coalesce(docs[size_col].cast("long"), F.lit(0)), F.lit(0)).alias("units")] if size_col else []
+    rows = docs.select(docs[id_col].cast("long").alias("id"), hashed(docs[source_col]).alias("source"), words.alias("w"), *given, *size)
+    cluster = F.col("given") if cluster_col else F.when(F.col("w.n") > 0, F.col("w.h")).otherwise(F.lit(0))
+    return rows.select("id", ((F.col("units") if size_col else F.col("w.n")) + 1).alias("n"), "source", cluster.cast("long").alias("cluster"))
+
+
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None,
-    capacity: int = CAPACITY, per_source: int = PER_SOURCE, task_rows: int = TASK_ROWS, group_rows: int = GROUP_ROWS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, size_col: str | None = None,
+    capacity: int = CAPACITY, per_source: int | None = None, task_rows: int = TASK_ROWS, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(id, piece, start, size, bin, position, bin_size) for every piece of every row of docs.
 
-    A bin is a training sequence: its pieces by position, of ``size`` words from word ``start`` on.
-    The last piece's end mark counts as a word. bin_size is what the bin holds in all.
+    A bin is a training sequence: its pieces by position, of ``size`` units (words, or what size_col
+    counts) from unit ``start`` on. The last piece's end mark counts as one. bin_size is what the bin
+    holds in all. A null or negative size counts as 0.
     """
-    if capacity < 1 or per_source < 1 or group_rows < 1:
+    if capacity < 1 or group_rows < 1 or per_source is not None and per_source < 1:
         raise ValueError("capacity, per_source and group_rows are 1 at least")
-
-    words = F.transform(F.array(words_of(docs[text_col].cast("string"))), lambda w: F.struct((F.size(w) + 1).cast("long").alias("n"), F.xxhash64(w).alias("h")))[0]
-    source, cluster = docs[source_col], docs[cluster_col] if cluster_col else None
-    items = docs.select(
-        docs[id_col].cast("long").alias("id"),
-        F.when(source.isNotNull(), F.xxhash64(source)).otherwise(F.lit(0)).cast("long").alias("source"),
-        words.alias("w"),
-        *([F.when(cluster.isNotNull(), F.xxhash64(cluster)).otherwise(F.lit(0)).cast("long").alias("given")] if cluster_col else []),
-    )
-    own = F.col("given") if cluster_col else F.when(F.col("w.n") > 1, F.col("w.h")).otherwise(F.lit(0))
-    tail = F.col("w.n") % capacity
-    items = items.select("id", (F.col("w.n") - tail).alias("cut"), tail.alias("size"), "source", own.cast("long").alias("cluster"))
-    tasks = max(2, -(-docs.count() // task_rows))
-    placed = map_in_arrow(items.repartition(tasks), _packer(capacity, per_source, group_rows), PLACED)
+    items = materialize(_sized(docs, id_col, text_col, source_col, cluster_col, size_col), "sizes")
+    by_source = items.groupBy("source").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    rows, total, most = by_source.agg(F.sum("k"), F.sum("n"), F.max(F.when(F.col("source") != 0, F.col("k")))).first()
+    if per_source is None:
+        per_source = max(PER_SOURCE, -(-2 * (most or 0) // max(1, -(-(total or 0) // capacity))))
+    tail = F.col("n") % capacity
+    items = items.select("id", (F.col("n") - tail).alias("cut"), tail.alias("size"), "source", "cluster")
+    tasks = max(2, -(-(rows or 0) // task_rows))
+    dealt = items.repartition(tasks, F.xxhash64("id", "cut", "size", "cluster"))
+    placed = map_in_arrow(dealt, _packer(capacity, per_source, group_rows), PLACED)
     return placed.withColumnRenamed("doc_id", id_col)
+
+
+def sequences(docs: DataFrame, placed: DataFrame, units_col: str, end: Column, id_col: str = "doc_id") -> DataFrame:
+    """(bin, units): the training sequences themselves, at most a capacity of units each; ids of docs must be unique.
+
+    units_col: an array of each row's words or token ids, as many as were packed; end: the end mark. A
+    row with a null id is in no sequence.
+    """
+    units = docs.select(id_col, F.concat(F.coalesce(F.col(units_col), F.array()), F.array(end)).alias("units"))
+    parts = placed.join(units, id_col).select("bin", "position", F.slice("units", F.col("start").cast("int") + 1, F.col("size")).alias("part"))
+    in_order = F.sort_array(F.collect_list(F.struct("position", "part")))  # a bin's capacity bounds it
+    return parts.groupBy("bin").agg(in_order.alias("parts")).select("bin", F.flatten(F.transform("parts", lambda p: p["part"])).alias("units"))

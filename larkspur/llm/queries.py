@@ -19,6 +19,13 @@ from .secret_scan import scan_secrets
 from .url_filter import filter_urls
 
 
+def tokenizer() -> tuple[str, str]:
+    """The vocabulary file and the pre-token pattern used in production."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,9 +39,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm.packing import Bins, best_fit, pack_documents
+from larkspur.llm.packing import Bins, best_fit, pack_documents, sequences
 
 from .helpers import documents, odd_documents, prose
 
@@ -78,6 +78,34 @@ def test_given_clusters_and_fill(spark):
     assert len({r.bin for r in rows}) <= 400 * 10 / 50 + 2
 
 
+def test_few_sources_and_short_documents_fill_their_bins(spark):
+    docs = documents(spark, [" ".join(prose(i, 20 + i % 30)) for i in range(2000)]).withColumn("source", F.lit("one"))
+    rows = pack_documents(docs).collect()
+    sizes = {r.bin: r.bin_size for r in rows}
+    assert sum(sizes.values()) > 0.9 * 2048 * len(sizes) and sum(r.size for r in rows) == sum(21 + i % 30 for i in range(2000))
+
+
+def test_sequences_hold_every_token_once(spark):
+    """By token counts, with near-duplicate components as clusters; each sequence is cut from the documents' ids."""
+    from larkspur.llm.bpe import bpe_encode
+    from larkspur.llm.minhash_dedup import near_duplicates
+    from larkspur.llm.queries import tokenizer
+
+    base = prose(3, 80)
+    docs = documents(spark, [" ".join(prose(i, 5 + i * 37 % 150)) for i in range(90)] + [" ".join([*base[:40], f"x{i}", *base[41:]]) for i in range(10)] + [None])
+    encoded = bpe_encode(docs, *tokenizer())
+    sized = docs.join(encoded, "doc_id").join(near_duplicates(docs).select("doc_id", "component_id"), "doc_id").withColumn("n", F.size("ids"))
+    placed = pack_documents(sized, cluster_col="component_id", size_col="n", capacity=256, per_source=3)
+    rows, ids = placed.collect(), {r.doc_id: list(r.ids) for r in encoded.collect()}
+    component = {r.doc_id: r.component_id for r in sized.collect()}
+    check(rows, 256, 3, {i: f"src{i % 3}" for i in ids}, component, {i: len(x) for i, x in ids.items()})
+    want: dict = {}
+    for r in sorted(rows, key=lambda r: (r.bin, r.position)):
+        want.setdefault(r.bin, []).extend([*ids[r.doc_id], -1][r.start : r.start + r.size])
+    got = {r.bin: list(r.units) for r in sequences(sized, placed, "ids", F.lit(-1)).collect()}
+    assert got == want and max(map(len, got.values())) <= 256 and len({component[i] for i in range(90, 100)}) == 1
+
+
 def test_odd_rows(spark):
     rows = pack_documents(odd_documents(spark)).collect()
     by_id = {}
