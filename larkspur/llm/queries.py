@@ -97,7 +97,7 @@ URL_FILTER_SQL = """WITH r AS (SELECT page_id, coalesce(CASE WHEN instr(url, ':/
   d1 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS m, (k + s * m) * (n - k + s * (1 - m)) / ((n + s) * (n + s) * (n + s + 1)) + (s / (n + s)) * (s / (n + s)) * var AS var FROM d0, (SELECT CASE WHEN coalesce(top, 0) = 0 THEN 1.0::DOUBLE WHEN ss - v <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, top / (ss - v) - 1)) END AS s FROM (SELECT sum(m * (1 - m) * (n - 1)) AS top, sum(m * (1 - m)) AS v, sum(n * (k / n - m) * (k / n - m)) AS ss FROM d0 WHERE n > 0))),
   h0 AS (SELECT host, n, k, d1.m, d1.var FROM hosts JOIN d1 USING (domain, suffix)),
   h1 AS (SELECT host, (k + s * m) / (n + s) - 1.645 * sqrt((k + s * m) * (n - k + s * (1 - m)) / ((n + s) * (n + s) * (n + s + 1)) + (s / (n + s)) * (s / (n + s)) * var) AS lower_bound FROM h0, (SELECT CASE WHEN coalesce(top, 0) = 0 THEN 1.0::DOUBLE WHEN ss - v <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, top / (ss - v) - 1)) END AS s FROM (SELECT sum(m * (1 - m) * (n - 1)) AS top, sum(m * (1 - m)) AS v, sum(n * (k / n - m) * (k / n - m)) AS ss FROM h0 WHERE n > 0)))
-  SELECT page_id, host, path, rule, coalesce(action, CASE WHEN lower_bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN h1 USING (host)"""
+  SELECT page_id, host, path, rule, coalesce(action, CASE WHEN lower_bound >= 2.0::DOUBLE / 3 THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN h1 USING (host)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,13 @@ host and shrunk through beta-binomial priors: the corpus mean informs each publi
 informs the registered domain, the domain informs the host. The strength of each level's prior is
 the moment estimate of the spread of that level's groups about their prior means, and a prior mean's
 own variance is carried down. A page without a rule is blocked when the lower posterior bound of its
-host's blocked share reaches ``block_at``.
+host's blocked share reaches ``block_at``: a page blocked wrongly is taken to cost WRONG_BLOCK times a
+bad page let through, so blocking pays from a share of WRONG_BLOCK / (WRONG_BLOCK + 1) on. A host of a
+suffix without any outcome has the corpus mean and a wide bound, and is let through unless nearly all is blocked.
+
+The registered domain is the last label before the public suffix and the suffix. A suffix is the last
+label, or the last two where a country's code follows a generic name (co.uk, com.au, ac.jp); user
+names and ports are left off, and an address (four numbers, or brackets) is its own domain and suffix.
 
 Nulls and odd input: a null url or one without ``://`` has an empty host and path, no rule, and the
 reputation of the empty host; repeated rows are judged alike and each counts as an outcome; a
@@ -31,11 +37,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Public suffixes of two labels; every other suffix is a host's last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
+#: Names under which countries register domains.
+GENERIC = ("ac", "co", "com", "edu", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 WEAKEST, STRONGEST = 1.0, 1000.0
 Z = 1.645
-BLOCK_AT = 0.5
+WRONG_BLOCK = 2.0
+BLOCK_AT = WRONG_BLOCK / (WRONG_BLOCK + 1)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -62,10 +69,13 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    last2 = F.substring_index(host, ".", -2)
-    two = last2.isin(*TWO_LABEL_SUFFIXES)
-    suffix = F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
-    return suffix, F.when(two, F.substring_index(host, ".", -3)).otherwise(last2)
+    """Public suffix and registered domain of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
+    last2 = F.substring_index(name, ".", -2)
+    two = last2.rlike(f"^(?:{'|'.join(GENERIC)})\\.[a-z]{{2}}$")
+    suffix = F.when(address, name).when(two, last2).otherwise(F.substring_index(name, ".", -1))
+    return suffix, F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(last2)
 
 
 def _strength(groups: DataFrame) -> float:

@@ -76,3 +76,27 @@ def test_odd_rows(spark):
     got = filter_urls(pages).collect()
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"} and {r.page_id for r in got} == {None, 1, 2}
     assert filter_urls(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("host, want", [
+    ("a.b.example.org", ("org", "example.org")), ("www.x.co.uk", ("co.uk", "x.co.uk")), ("x.com.au:8080", ("com.au", "x.com.au")), ("user:pw@h.y.net:1", ("net", "y.net")),
+    ("10.0.0.1:80", ("10.0.0.1", "10.0.0.1")), ("[::1]:80", ("[::1]", "[::1]")), ("localhost", ("localhost", "localhost")), ("", ("", "")), ("co.uk", ("co.uk", "co.uk")), ("x.fr", ("fr", "x.fr")),
+])
+def test_suffix_and_domain(spark, host, want):
+    from larkspur.llm.url_filter import suffix_and_domain
+
+    df = spark.createDataFrame([(host,)], "host string")
+    assert tuple(df.select(*suffix_and_domain(df["host"])).first()) == want
+
+
+def test_verdicts_by_reputation_are_clear_of_the_cut(spark, small_dir):
+    from larkspur.llm.url_filter import BLOCK_AT
+
+    rows = filter_urls(spark.read.parquet(f"{small_dir}/pages.parquet")).where("rule is null").collect()
+    assert rows and all(abs(r.reputation - BLOCK_AT) > 0.05 and r.verdict == ("block" if r.reputation >= BLOCK_AT else "allow") for r in rows)
+
+
+def test_a_very_long_url(spark):
+    url = "https://" + "a." * 50_000 + "net/es/" + "x" * 1_000_000 + "?q"
+    r = filter_urls(spark.createDataFrame([(1, url, "")], PAGES)).first()
+    assert r.host == "a." * 50_000 + "net" and len(r.path) == 1_000_004 and r.rule == "net/es/" and r.verdict == "block"
