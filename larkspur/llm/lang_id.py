@@ -9,6 +9,11 @@ The classifier is fitted on a bounded sample of labelled rows: about ``per_langu
 each language (all of them where there are fewer), chosen by a hash of the id. Every row is scored
 on its whole text. Language, source and id are never inputs of a prediction.
 
+A posterior knows the learned languages only, so a text in none of them scores high as well.
+``fit_floors`` gives, for each language, a floor of the mean log probability of a text's n-grams: the
+FLOOR_SHARE quantile of the training rows of the language with FLOOR_CHARS or more, less FLOOR_MARGIN. A filter drops what is
+under the floor of the language predicted for it.
+
 Nulls and odd input: a text that is null or has no letter is ``und`` with score 0; rows without a
 language don't train; if no row trains, every text is ``und``; a null id is never held out and
 doesn't train; repeated rows train once each and are scored alike; ties go to the language that
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import map_in_arrow
 
@@ -30,6 +36,9 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+FLOOR_SHARE = 0.01
+FLOOR_MARGIN = 2.5
+FLOOR_CHARS = 300
 #: n-grams scored at once, so that a batch of long texts doesn't need more memory.
 BLOCK_CHARS = 1 << 20
 
@@ -126,33 +135,49 @@ def ngram_counts(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the matrix of log probabilities, languages x buckets."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], DataFrame]:
+    """The languages in order, and the rows (text, lang) of the sample: a share of each language's, by one threshold each."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    share = {r.lang: min(1.0, per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return [], np.zeros((0, buckets), np.float32)
-    chosen = F.lit(False)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    below = F.least(F.lit(1.0), per_language / F.col("n")) * 1_000_000
+    sizes = sizes.select("lang", below.cast("long").alias("__below"))
+    langs = sorted(r.lang for r in sizes.select("lang").collect())
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    for lang, part in sorted(share.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (place < int(part * 1_000_000)))
-    langs = sorted(share)
+    return langs, rows.join(F.broadcast(sizes), "lang").where(place < F.col("__below")).select("text", "lang")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the matrix of log probabilities, languages x buckets."""
+    langs, rows = training_rows(docs, id_col, text_col, lang_col, per_language)
+    if not langs:
+        return [], np.zeros((0, buckets), np.float32)
     counts = np.ones((len(langs), buckets))
-    found = ngram_counts(rows.where(chosen), buckets).toPandas()
+    found = ngram_counts(rows, buckets).toPandas()
     number = {lang: i for i, lang in enumerate(langs)}
     counts[found["lang"].map(number).to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=float)
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def classify(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score (the posterior probability under equal priors) of each text."""
-    names, scores = [], np.zeros(len(texts))
+def fit_floors(
+    docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE
+) -> dict[str, float]:
+    """For each language the mean log probability below which a text is taken to be in no learned language."""
+    _, rows = training_rows(docs, id_col, text_col, lang_col, per_language)
+    judged = with_language(rows.where(F.length("text") >= FLOOR_CHARS), langs, matrix, pred_col="pred", score_col="score", fit_col="fit").where("pred = lang")
+    low = judged.groupBy("lang").agg(F.percentile_approx("fit", FLOOR_SHARE, 100_000).alias("low")).collect()
+    return {r.lang: r.low - FLOOR_MARGIN for r in low}
+
+
+def classify(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score (the posterior probability under equal priors) and mean log probability of an n-gram of each text."""
+    names, scores, fits = [], np.zeros(len(texts)), np.zeros(len(texts))
     by_bucket = np.ascontiguousarray(matrix.T)
     for a, b in _blocks(texts):
         codes, sizes = letters(texts[a:b])
         found, own = hashed_ngrams(codes, sizes, matrix.shape[1])
         total = np.stack([np.bincount(own, weights=by_bucket[found, i], minlength=b - a) for i in range(len(langs))], axis=1) if langs else np.zeros((b - a, 0))
+        n = np.bincount(own, minlength=b - a)
         has_letter = np.bincount(np.repeat(np.arange(b - a), sizes), weights=codes != 32, minlength=b - a) > 0
         for i in range(b - a):
             if not langs or not has_letter[i]:
@@ -161,7 +186,8 @@ def classify(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[li
             best = int(total[i].argmax())
             names.append(langs[best])
             scores[a + i] = 1 / np.exp(total[i] - total[i, best]).sum()
-    return names, scores
+            fits[a + i] = total[i, best] / n[i]
+    return names, scores, fits
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,26 +196,27 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = classify([t or "" for t in batch.column(1).to_pylist()], *model.value)
+            names, scores, _ = classify([t or "" for t in batch.column(1).to_pylist()], *model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return map_in_arrow(rows, run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def with_language(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """docs and, after its columns, the predicted language and its score."""
+def with_language(
+    docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score", fit_col: str = "lang_fit"
+) -> DataFrame:
+    """docs and, after its columns, the predicted language, its score and the mean log probability of an n-gram."""
     model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = classify([t or "" for t in batch.column(at).to_pylist()], *model.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred_col, score_col])
-
-    from pyspark.sql.types import DoubleType, StringType
+            names, scores, fits = classify([t or "" for t in batch.column(at).to_pylist()], *model.value)
+            cells = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cells, names=[*batch.schema.names, pred_col, score_col, fit_col])
 
-    schema = type(docs.schema)([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType())
+    schema = StructType([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType()).add(fit_col, DoubleType())
     return map_in_arrow(docs, run, schema)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 
 from larkspur.llm.quality import fit, quality_filter, quality_verdicts, votes
 
@@ -84,6 +85,56 @@ def plain_fit(patterns, rounds):
     return share, g, b
 
 
+def plain_votes(text: str | None) -> tuple[int, ...]:
+    """The votes of the rules in their order, by plain loops."""
+    text = text or ""
+    words = WORD.findall(text)
+    stats, chars = brute(text), "".join(words)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+
+    def low(part, whole, good, bad):
+        return 0 if not whole else -1 if part / whole >= bad else 1 if part / whole <= good else 0
+
+    n = len(words)
+    length = len(chars) / n if n else None
+    variety = len(set(words)) / n if n else None
+    letters = sum(unicodedata.category(c)[0] == "L" for c in chars)
+    return (
+        low(stats["n_symbols"], n, 0.02, 0.1), low(len(chars) - letters, len(chars), 0.1, 0.15), low(stats["n_repeat_words"], n, 0.1, 0.3), low(stats["n_dup_lines"], len(lines), 0.05, 0.3),
+        low(sum(unicodedata.category(c) == "Lu" for c in text), len(chars), 0.1, 0.3), low(text.count("!") + text.count("?"), n, 0.05, 0.2),
+        0 if length is None else -1 if length < 2.5 or length > 12 else 1 if 3.5 <= length <= 8 else 0, 0 if variety is None else -1 if variety <= 0.1 else 1 if variety >= 0.35 else 0,
+        1 if n >= 100 else -1 if n < 50 else 0,
+    )
+
+
+def plain_kept(texts: dict) -> set:
+    """The ids of the texts that the base rules and the posterior keep."""
+    open_ = {i: plain_votes(t) for i, t in texts.items() if not brute(t)["base_failed"]}
+    if not open_:
+        return set()
+    share, good, bad = plain_fit([(v, 1) for v in open_.values()], 30)
+    kept = set()
+    for i, v in open_.items():
+        a, z = share, 1 - share
+        for x, g, b in zip(v, good, bad):
+            a, z = (a * g, z * b) if x == 1 else (a * (1 - g), z * (1 - b)) if x == -1 else (a, z)
+        if a >= z:
+            kept.add(i)
+    return kept
+
+
+def test_votes_and_verdicts_equal_plain_ones(spark, small_dir):
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.quality import text_stats
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").union(documents(spark, texts(), 10_000).select("doc_id", "text"))
+    known = {r.doc_id: r.text for r in docs.collect()}
+    voted = docs.select("doc_id", text_stats(docs["text"]).alias("s")).select("doc_id", *(v.cast("int").alias(k) for k, v in votes(F.col("s")).items()))
+    assert {r.doc_id: tuple(r[1:]) for r in voted.collect()} == {i: plain_votes(t) for i, t in known.items()}
+    assert {r.doc_id for r in quality_verdicts(docs).where("kept").collect()} == plain_kept(known)
+
+
 def test_expectation_maximisation_equals_a_plain_one():
     rng = random.Random(4)
     patterns = [(tuple(rng.choice((1, 0, -1)) for _ in range(4)), rng.randrange(1, 9)) for _ in range(30)]
