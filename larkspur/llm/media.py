@@ -41,6 +41,8 @@ from .common import fresh_path, hot_rows, join_spread, map_in_arrow, materialize
 WIDTH = 64
 HEADER = 33
 SHARD_BYTES = 256 << 20
+#: About how much a task reads back.
+READ_BYTES = 32 << 20
 INDEX = "id long, n_bytes long, digest string, shared boolean, shard string, offset long, length long"
 HEADERS = INDEX + ", width long, height long, bit_depth long, payload_bytes long"
 FACTS = HEADERS + ", payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
@@ -236,7 +238,11 @@ def media_facts(with_headers: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Stores every row's text and returns (id, n_bytes, ..., feature) as read back from the shards."""
     index = store_media(docs, folder or fresh_path(docs.sparkSession, "media"), id_col, text_col)
-    facts = materialize(media_facts(media_headers(index.where("shard is not null"))), "facts")
+    stored = index.where("shard is not null")
+    # the index is small beside what it points to, so its rows are dealt by the bytes to read, shards in pieces
+    tasks = max(1, -(-(stored.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    stored = stored.repartition(tasks, "shard", F.floor(F.col("offset") / READ_BYTES))
+    facts = materialize(media_facts(media_headers(stored)), "facts")
     known = [c for c in facts.columns if c not in ("id", "n_bytes", "digest", "shared")]
     of_shared = facts.where("shared").groupBy("digest").agg(F.min(F.struct(*known)).alias("f")).select("digest", "f.*")
     of_shared = materialize(of_shared, "shared")
