@@ -177,7 +177,7 @@ def most_likely(scores: dict[object, Column]) -> Column:
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:
     """(query_id, id, distance, place): each query's k nearest rows other than itself, ties by id.
 
-    Queries come in blocks of about ``most_queries``, dealt by a hash. For each block every task compares
+    A null coordinate is left out of the distances (see ``_distances``). Queries come in blocks of about ``most_queries``, dealt by a hash. For each block every task compares
     its rows, some at a time, with the broadcast queries and keeps k a query, so what is shuffled is
     k rows a query and task.
     """
@@ -190,6 +190,18 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: in
     return out
 
 
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where coordinates are missing, of those present in both, scaled up to all of them."""
+    squares = (q[:, None, :] - x[None, :, :]) ** 2
+    missing = np.isnan(squares)
+    if not missing.any():
+        return np.sqrt(squares.sum(axis=2))
+    present = (~missing).sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.sqrt(np.where(missing, 0.0, squares).sum(axis=2) * squares.shape[2] / present)
+    return np.where(present > 0, d, np.inf)
+
+
 def _nearest_of(block: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     asked = block.toPandas()
     ids = asked["i"].to_numpy(np.int64)
@@ -202,7 +214,7 @@ def _nearest_of(block: DataFrame, rows: DataFrame, id_col: str, vector: str, k:
             for a in range(0, len(batch), 1024):
                 part = batch.iloc[a : a + 1024]
                 i, x = part["i"].to_numpy(np.int64), np.array(part["v"].tolist(), float)
-                d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if q.shape[0] * x.size < 5e7 else np.stack([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in q])
+                d = _distances(q, x) if q.shape[0] * x.size < 5e7 else np.concatenate([_distances(y[None, :], x) for y in q])
                 d[q_ids[:, None] == i[None, :]] = np.inf
                 every_d, every_i = np.hstack((best_d, d)), np.hstack((best_i, np.broadcast_to(i, d.shape)))
                 order = np.lexsort((every_i, every_d), axis=1)[:, :k]
@@ -229,7 +241,10 @@ def knn_regress(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, t
 
 
 def knn_impute(df: DataFrame, id_col: str, column: str, others: Sequence[str], k: int = 5) -> DataFrame:
-    """df with the column's nulls as the mean of the k nearest known rows by the other columns (all known there)."""
+    """df with the column's nulls as the mean of the k nearest rows where it is known, by the other columns.
+
+    Distances are over the coordinates that both rows have, scaled up to all; a row with none stays null.
+    """
     rows = df.withColumn("__v", F.array(*(F.col(c).cast("double") for c in others)))
     missing = rows.where(F.col(column).isNull())
     pred = knn_regress(missing, rows.where(F.col(column).isNotNull()), id_col, "__v", column, k)

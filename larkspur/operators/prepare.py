@@ -140,6 +140,19 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFr
     return out.withColumn(name, F.col("__i") + F.col("__before")).drop("__range", "__i", "__before")
 
 
+def one_hot(df: DataFrame, column: str, classes: Sequence[object], prefix: str) -> DataFrame:
+    """df with a column 0 or 1 for each class, named prefix and the class; all null where the label is."""
+    return df.withColumns({f"{prefix}{c}": F.when(_col(column).isNotNull(), (_col(column) == F.lit(c)).cast("int")) for c in classes})
+
+
+def mean_over_seeds(df: DataFrame, keys: Sequence[str], scores: str) -> DataFrame:
+    """(keys, scores, n): the mean, class by class, of an array of scores over the rows of the keys, such as the seeds' predictions."""
+    each = df.select(*map(_col, keys), F.posexplode(scores).alias("__at", "__score"))
+    each = each.groupBy(*map(_col, keys), "__at").agg(F.avg("__score").alias("__mean"), F.count("*").alias("n"))
+    in_order = F.sort_array(F.collect_list(F.struct("__at", "__mean")))  # as many as there are classes
+    return each.groupBy(*map(_col, keys)).agg(F.transform(in_order, lambda x: x["__mean"]).alias(scores), F.max("n").alias("n"))
+
+
 # --- joins and set operations
 
 

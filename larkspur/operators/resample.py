@@ -1,9 +1,9 @@
 """Bootstrap of metrics as joins and aggregations: one pass computes all resamples.
 
 Instead of drawing indices, every row draws how often it is in each resample. With weights from
-the Poisson distribution of mean 1 resamples are independent across rows, so they need no shuffle,
+the Poisson distribution of mean 1 resamples are independent across rows, so they need no shuffle of rows,
 no row numbers and no shared index table: each task adds up its rows' weights. Where a resample must
-have exactly n rows, ``index_bootstrap`` joins a table of drawn indices instead.
+have exactly n rows, ``index_bootstrap`` joins drawn indices, a row each, with the numbered rows instead.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ def index_bootstrap(df: DataFrame, place: str, n: int, resamples: int, seed: int
 
     The same draws apply to all rows of a place, so paired models and repeated seeds stay aligned.
     """
-    drawn = df.sparkSession.range(resamples).withColumnRenamed("id", "b").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = drawn.withColumn("__at", draw(F.col("b") * n + F.col("k"), seed, n))
+    every = df.sparkSession.range(resamples * n)
+    drawn = every.select(F.expr(f"id div {max(1, n)}").alias("b"), F.pmod("id", F.lit(max(1, n))).alias("k"), draw(F.col("id"), seed, n).alias("__at"))
     return df.join(drawn, F.col(place) == F.col("__at")).drop("__at")
 
 

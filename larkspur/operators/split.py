@@ -70,6 +70,20 @@ def group_k_fold(df: DataFrame, k: int, group: str, seed: int, stratum: str | No
     return df.join(k_fold(groups, k, group, seed, ["__stratum"]).select(group, "fold"), group)
 
 
+def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
+    """df with a fold for each group, numbered from 0 in the groups' order; rows of a null group have none."""
+    from .prepare import label_codes
+
+    codes = label_codes(df.select(group).where(F.col(group).isNotNull()).distinct(), group, "fold")
+    return df.join(codes, group, "left")
+
+
+def with_test_set(df: DataFrame, test_ids: DataFrame, id_col: str) -> DataFrame:
+    """df with is_test for the ids of a table given from outside; ids there that df lacks are ignored."""
+    marked = test_ids.select(id_col).distinct().withColumn("is_test", F.lit(True))
+    return df.join(marked, id_col, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+
+
 def holdout(df: DataFrame, share: float, id_col: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """df with is_test: ceil(share * size) rows of each stratum."""
     rows = _shuffled(df, strata, id_col, seed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import draw_sql, rounded
-from ..operators import describe, resample, split
+from ..operators import describe, prepare, resample, split
 from ..sources.session import table
 from .registry import query
 
@@ -110,7 +110,8 @@ def reg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(*(rounded(f(F.col("y"), F.col("p")), digits[n]).alias(n) for n, f in M.REGRESSION.items()))
 
 
-RESAMPLES, SEED = 50, 3
+#: Resamples of a statistic that is one sum, and of curves, which cost a ranking each.
+RESAMPLES, CURVES, SEED = 1000, 100, 3
 NUMBERED = f"(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM ({SCORED}))"
 DRAWN = f"(SELECT b, k, n, {draw_sql('b * n + k', SEED, 'n')} AS at FROM (SELECT count(*) AS n FROM ({SCORED})), range({RESAMPLES}) t(b), range(100000) u(k) WHERE k < n)"
 
@@ -160,7 +161,7 @@ def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language the interval of the AUC over resamples by Poisson weights."""
-    rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))))
+    rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1))))
     rows = rows.withColumn("w", resample.poisson_weight(F.col("doc_id"), F.col("b"), SEED)).where("w > 0")
     areas = M.roc_auc(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))), "y", "score", ["lang", "b"])
     return resample.percentile_interval(areas, "auc", ["lang"])
@@ -169,15 +170,19 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bca_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("hit", (M.threshold_decision(F.col("p"), 0.6) == F.col("y")).cast("double"))
-    return resample.bca_mean(rows, "doc_id", "hit", 200, SEED)
+    return resample.bca_mean(rows, "doc_id", "hit", RESAMPLES, SEED)
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, CASE WHEN (p >= 0.6) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM ({SCORED})),
+  w AS (SELECT b, hit, -ln(({draw_sql('doc_id * 1021 + b * 7919', SEED, resample.SPACE)} + 0.5::DOUBLE) / {float(resample.SPACE)}::DOUBLE) AS w FROM s, range({RESAMPLES}) t(b)),
+  a AS (SELECT b, sum(w * hit) / sum(w) AS acc FROM w GROUP BY b)
+  SELECT count(acc) AS n, round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS lo, round(quantile_cont(acc, 0.975), 6) AS hi FROM a""")
 def bayesian_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy under Dirichlet weights."""
     rows = scored(spark, sf_dir).withColumn("hit", (M.threshold_decision(F.col("p"), 0.6) == F.col("y")).cast("double"))
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1)))).withColumn("w", resample.bayesian_weight(F.col("doc_id"), F.col("b"), SEED))
-    return resample.percentile_interval(rows.groupBy("b").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("acc")), "acc")
+    s = resample.percentile_interval(rows.groupBy("b").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("acc")), "acc")
+    return s.select("n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
 FOLDED = "SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {d}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels"
@@ -195,6 +200,34 @@ def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query("SELECT e.user_id, CAST(g.fold AS INTEGER) AS fold, count(*) AS n FROM events e JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS fold FROM (SELECT DISTINCT user_id FROM events)) g USING (user_id) GROUP BY 1, 2")
+def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.leave_one_group_out(table(spark, sf_dir, "events").select("user_id"), "user_id")
+    return rows.groupBy("user_id", "fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l.doc_id, l.doc_id IN (SELECT item_id FROM benchmark) AS is_test FROM labels l")
+def external_test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test set that comes as a table of ids."""
+    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"))
+    return split.with_test_set(table(spark, sf_dir, "labels").select("doc_id"), ids, "doc_id")
+
+
+@query("SELECT doc_id, CAST(lang = 'de' AS INTEGER) AS lang_de, CAST(lang = 'en' AS INTEGER) AS lang_en, CAST(lang = 'fr' AS INTEGER) AS lang_fr FROM documents")
+def label_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.one_hot(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["de", "en", "fr"], "lang_").drop("lang")
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id % 3 AS seed, least(greatest(value / (value + 50.0::DOUBLE), 0), 1) AS p FROM events), m AS (SELECT user_id, avg(1 - p) AS p0, avg(p) AS p1, count(*) AS n FROM s GROUP BY user_id)
+  SELECT user_id, round(p0, 6) AS p0, round(p1, 6) AS p1, n FROM m""")
+def seed_averaged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score vectors of several seeds averaged class by class."""
+    p = F.least(F.greatest(F.col("value") / (F.col("value") + 50.0), F.lit(0.0)), F.lit(1.0))
+    rows = table(spark, sf_dir, "events").select("user_id", F.array(1 - p, p).alias("scores"))
+    means = prepare.mean_over_seeds(rows, ["user_id"], "scores")
+    return means.select("user_id", rounded(F.col("scores")[0]).alias("p0"), rounded(F.col("scores")[1]).alias("p1"), "n")
+
+
 @query(f"SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {draw_sql('doc_id', SEED, split.SPACE)}, doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2::DOUBLE) AS is_test FROM labels")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.holdout(table(spark, sf_dir, "labels").select("doc_id", "quality"), 0.2, "doc_id", SEED, ["quality"])
@@ -226,7 +259,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def roc_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid, mean, lo, hi) of the ROC curve over resamples, at the points of a grid."""
-    rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))))
+    rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1))))
     rows = rows.withColumn("w", resample.poisson_weight(F.col("doc_id"), F.col("b"), SEED)).where("w > 0")
     curves = M.on_grid(M.roc_curve(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))), "y", "score", ["b"]), 100, ["b"])
     return resample.percentile_interval(curves, "tpr", ["grid"])

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.scalars import rounded
-from ..operators import matching, models, search, split
+from ..functions.scalars import draw, rounded
+from ..operators import grid, matching, models, search
 from ..operators.describe import long_form
+from ..operators.prepare import one_hot
 from ..sources.session import table
 from .evaluation import scored
 from .registry import query
@@ -61,11 +62,13 @@ def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.knn_classify(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", "label")
 
 
-@query("""WITH d AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_custkey AS DOUBLE) / 100 AS z, CASE WHEN c_custkey % 20 <> 0 THEN c_acctbal END AS v FROM customer),
-  k AS (SELECT q.c_custkey AS q, r.v, row_number() OVER (PARTITION BY q.c_custkey ORDER BY sqrt((q.x - r.x) * (q.x - r.x) + (q.z - r.z) * (q.z - r.z)), r.c_custkey) AS place FROM d q, d r WHERE q.v IS NULL AND r.v IS NOT NULL),
+@query("""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS x, CAST(c_custkey AS DOUBLE) / 128 AS z, CASE WHEN c_custkey % 20 <> 0 THEN c_acctbal END AS v FROM customer),
+  k AS (SELECT q.c_custkey AS q, r.v, row_number() OVER (PARTITION BY q.c_custkey ORDER BY sqrt((coalesce((q.x - r.x) * (q.x - r.x), 0) + (q.z - r.z) * (q.z - r.z)) * 2.0::DOUBLE / (CASE WHEN q.x IS NULL OR r.x IS NULL THEN 1 ELSE 2 END)), r.c_custkey) AS place FROM d q, d r WHERE q.v IS NULL AND r.v IS NOT NULL),
   m AS (SELECT q, avg(v) AS m FROM k WHERE place <= 5 GROUP BY q) SELECT c_custkey, round(coalesce(v, m), 6) AS v FROM d LEFT JOIN m ON q = c_custkey""")
 def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_custkey").cast("double") / 100).alias("z"), F.when(F.col("c_custkey") % 20 != 0, F.col("c_acctbal")).alias("v"))
+    """Nulls in the filled column and in another one, so distances are over what both rows have."""
+    nation = F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey").cast("double"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", nation.alias("x"), (F.col("c_custkey").cast("double") / 128).alias("z"), F.when(F.col("c_custkey") % 20 != 0, F.col("c_acctbal")).alias("v"))
     return models.knn_impute(rows, "c_custkey", "v", ["x", "z"]).select("c_custkey", rounded(F.col("v")).alias("v"))
 
 
@@ -121,7 +124,8 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.group_k_fold(_lines(spark, sf_dir), 5, "l_orderkey", SEED)
+    """Lines with the fold of their order, a hash of it: orders are many, so the folds are about equal without a shuffle."""
+    return _lines(spark, sf_dir).withColumn("fold", draw(F.col("l_orderkey"), SEED, 5).cast("int"))
 
 
 @query()
@@ -150,6 +154,49 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.lit(a).alias("scale"), F.lit(b).alias("offset"), loss(F.col("p")).alias("raw"), loss(p).alias("calibrated"))
 
 
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("logit", F.ln(F.col("p") / (1 - F.col("p")))).where("logit is not null")
+    return rows.withColumn("fold", draw(F.col("doc_id"), SEED, 5).cast("int"))
+
+
+@query()
+def calibrated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log loss of a score before and after affine calibration fitted on the other folds."""
+    rows = _logits(spark, sf_dir)
+    out = search.calibrated_by_fold(rows, "logit", "fold", search.calibrate_by_fold(rows, "y", "logit", "fold"))
+    loss = lambda q: rounded(M.cross_entropy(F.col("y"), M.log_posteriors(F.array(1 - q, q), 1e-9, 1 - 1e-9)))
+    return out.groupBy("fold").agg(F.count("*").alias("n"), loss(F.col("p")).alias("raw"), loss(F.col("calibrated")).alias("calibrated"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with three features, one of them missing here and there, and three folds."""
+    rows = one_hot(scored(spark, sf_dir), "lang", ["en"], "lang_")
+    length = F.when(F.col("doc_id") % 11 != 0, F.ln("score"))
+    return rows.select("doc_id", "y", length.alias("length"), F.col("toxic").cast("double").alias("toxic"), F.col("lang_en").cast("double").alias("lang_en"), draw(F.col("doc_id"), SEED, 3).cast("int").alias("fold"))
+
+
+@query()
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated AUC of a small grid of each kind of model, the same folds for all."""
+    rows = _labelled(spark, sf_dir).persist()
+    kinds = {"lr": [{"penalty": 0.01}, {"penalty": 1.0}], "rf": [{"trees": 10, "depth": 3}], "gbt": [{"trees": 5, "depth": 2}], "svc": [{"penalty": 0.01, "rounds": 20}]}
+    trials = [(name, t) for name, sets in kinds.items() for t in grid.grid(rows, name, sets, [["length", "toxic", "lang_en"]], "y", "fold", [0, 1, 2], "roc_auc")]
+    rows.unpersist()
+    found = [(name, ",".join(f"{k}={v}" for k, v in t.parameters), len(t.features), round(t.score, 4)) for name, t in trials]
+    return spark.createDataFrame(found, "model string, parameters string, features int, auc double")
+
+
+@query()
+def nested_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested cross-validation of logistic regression: penalty and features by the other folds, accuracy per fold."""
+    rows = _labelled(spark, sf_dir).persist()
+    sets = [{"penalty": 0.01, "rounds": 20}, {"penalty": 0.1, "rounds": 20}]
+    predicted, chosen = grid.nested_search(rows, "lr", sets, ["length", "toxic", "lang_en"], "y", "fold", [0, 1, 2], "balanced_accuracy", select=True)
+    out = predicted.groupBy("fold").agg(F.count("*").alias("n"), rounded(M.accuracy(F.col("y"), F.col("pred")), 4).alias("accuracy"))
+    choice = spark.createDataFrame([(k, ",".join(t.features)) for k, t in chosen.items()], "fold int, features string")
+    return out.join(F.broadcast(choice), "fold")
+
+
 @query()
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic regression of quality on the text's length, by Spark's own estimator; its AUC."""

@@ -318,3 +318,71 @@ def test_neighbours_in_blocks_equal_one_block(spark):
     df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(120)], "id long, v array<double>")
     one, many = (sorted(map(tuple, models.nearest(df.where("id % 3 = 0"), df, "id", "v", 4, n).collect())) for n in (1000, 7))
     assert one == many and len(one) == 160
+
+
+def test_out_of_fold_logistic_equals_newton(spark):
+    """Scaled, filled and fitted on the training folds alone, against numpy's own fit of each fold."""
+    from larkspur.operators import grid
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    y = (x @ [1.0, -0.7] + rng.normal(size=240) > 0).astype(int)
+    gone = rng.random(240) < 0.1
+    rows = [(i, int(y[i]), None if gone[i] else float(x[i, 0]), float(x[i, 1]), i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double, fold int")
+    got = {r.id: r.score for r in grid.out_of_fold(df, "lr", {"penalty": 0.05}, ["a", "b"], "y", "fold", [0, 1, 2]).collect()}
+    z = np.where(gone[:, None] & np.array([True, False]), np.nan, x)
+    for k in range(3):
+        train = np.arange(240) % 3 != k
+        scaled = (z - np.nanmean(z[train], axis=0)) / np.nanstd(z[train], axis=0)
+        design = np.column_stack([np.ones(240), np.nan_to_num(scaled)])
+        w, ridge = np.zeros(3), np.diag([0.0, 0.05, 0.05])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design[train] @ w))
+            g = design[train].T @ (p - y[train]) / train.sum() + ridge @ w
+            h = (design[train] * (p * (1 - p))[:, None]).T @ design[train] / train.sum() + ridge
+            w -= np.linalg.solve(h, g)
+        want = 1 / (1 + np.exp(-design @ w))
+        assert all(abs(got[i] - want[i]) < 1e-3 for i in range(240) if i % 3 == k)
+    trials = grid.grid(df, "lr", [{"penalty": 0.05}, {"penalty": 100.0}], [["a", "b"], ["b"]], "y", "fold", [0, 1, 2], "accuracy")
+    hits = np.mean([(got[i] >= 0.5) == (y[i] == 1) for i in range(240)])
+    assert len(trials) == 4 and trials == sorted(trials, key=lambda t: -t.score)
+    assert abs(next(t.score for t in trials if t.features == ("a", "b") and dict(t.parameters)["penalty"] == 0.05) - hits) < 1e-9
+
+
+def test_elimination_and_nested_search_drop_noise(spark):
+    from larkspur.operators import grid
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(n), 3 * float(a) + 0.01 * float(e), i % 3) for i, (a, n, e) in enumerate(rng.normal(size=(120, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, noise double, y double, fold int").persist()
+    best = grid.eliminated(df, "ridge", grid.Trial((("penalty", 1e-6),), ("a", "noise"), float("-inf")), "y", "fold", [0, 1, 2], "mse")
+    assert "a" in best.features and best.score > -0.01
+    predicted, chosen = grid.nested_search(df, "ridge", [{"penalty": 1e-6}, {"penalty": 10.0}], ["a", "noise"], "y", "fold", [0, 1, 2], "mse")
+    assert {dict(t.parameters)["penalty"] for t in chosen.values()} == {1e-6} and grid.scored_by(predicted, "r2") > 0.999
+    model, used = grid.refit(df, "rf_regression", grid.Trial((("depth", 3), ("trees", 5)), ("a", "noise"), 0.0), "y")
+    shares = grid.tree_importances(model, ["a", "noise"])  # a split of the forest may choose among one feature only
+    assert shares["a"] > 2 * shares["noise"] and abs(sum(shares.values()) - 1) < 1e-9 and used.count() == 120
+
+
+def test_calibration_by_fold_equals_one_fit_a_fold(spark):
+    from larkspur.operators import search
+
+    rng = np.random.default_rng(2)
+    logit = rng.normal(size=300).round(1)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * logit - 0.5)))).astype(int)
+    df = spark.createDataFrame([(int(i % 4), float(x), int(k)) for i, (x, k) in enumerate(zip(logit, y))], "fold int, logit double, y int")
+    fits = search.calibrate_by_fold(df, "y", "logit", "fold")
+    for f in range(4):
+        assert np.allclose(fits[f], search.calibrate(df.where(f"fold <> {f}"), "y", "logit"), atol=1e-6)
+    rows = search.calibrated_by_fold(df, "logit", "fold", fits).collect()
+    assert all(abs(r.calibrated - 1 / (1 + np.exp(-(fits[r.fold][0] * r.logit + fits[r.fold][1])))) < 1e-12 for r in rows)
+
+
+def test_distances_over_what_both_have():
+    from larkspur.operators.models import _distances
+
+    q, x = np.array([[1.0, np.nan, 3.0], [np.nan, np.nan, np.nan]]), np.array([[2.0, 5.0, 5.0], [np.nan, 1.0, np.nan], [1.0, np.nan, 3.0]])
+    d = _distances(q, x)
+    assert np.isclose(d[0, 0], np.sqrt(3 / 2 * (1 + 4))) and np.isinf(d[0, 1]) and d[0, 2] == 0 and np.isinf(d[1]).all()
+    assert np.allclose(_distances(x[:1], x[:1] + 1), np.sqrt(3))
