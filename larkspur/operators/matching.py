@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
 from ..functions.special import t_two_sided
+from ..sources.session import written
 from .cumulative import cumulative
 from .describe import long_form
 
@@ -113,7 +115,37 @@ def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str]
     values included, each with partners enough for all of its rows of the smaller group. So the
     smaller group is always used up; the total distance is least within runs only.
     """
-    z = z_scored(df, numeric)
+    found = _assigned(z_scored(df, numeric), id_col, group, numeric, exact)
+    return found.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "distance")
+
+
+def soft_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str], penalty: float = 1e6) -> DataFrame:
+    """(pair_id, small_id, large_id, mismatches, distance): every row of the smaller group in one pair.
+
+    A covariate of exact on which a pair disagrees adds a penalty to its distance, so large that
+    agreement goes before nearness. Pairs that agree on all of exact come first, by optimal_pairs'
+    assignment in blocks; the rows left over are then paired in the wider blocks that one covariate
+    less makes, in the order of exact, and so on. Each step uses up the smaller group of every block,
+    so pairs of fewer mismatches are exhausted before; the sum of the distances is least step by step.
+    """
+    columns = [id_col, group, *exact, *numeric, *(f"z_{c}" for c in numeric)]
+    rest, out, left = z_scored(df, numeric).select(*columns), None, None
+    for missed in range(len(exact) + 1):
+        for kept in combinations(exact, len(exact) - missed):
+            if left == 0:
+                break
+            pairs = _assigned(rest, id_col, group, numeric, kept)
+            pairs = written(pairs.select("small_id", "large_id", F.lit(missed).alias("mismatches"), (F.col("distance") + penalty * missed).alias("distance")))
+            used = pairs.select(F.explode(F.array("small_id", "large_id")).alias(id_col))
+            rest = rest.join(used, id_col, "left_anti").select(*columns)
+            out = pairs if out is None else out.unionByName(pairs)
+            sizes = rest.agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b")).first()
+            left = min(sizes.a, sizes.b)
+    return out.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "mismatches", "distance")
+
+
+def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
+    """(small_id, large_id, distance) by assignment in blocks and runs, over columns scored already."""
     sizes = z.groupBy(*exact).agg(F.count_if(F.col(group) == 1).alias("__a"), F.count_if(F.col(group) == 0).alias("__b"))
     small, large = F.least("__a", "__b"), F.greatest("__a", "__b")
     # a run's rows of the larger group are rounded up twice
@@ -146,8 +178,7 @@ def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str]
         first, second = a[id_col].to_numpy(), b[id_col].to_numpy()[at]
         return pd.DataFrame({"small_id": second if flip else first, "large_id": first if flip else second, "distance": cost[np.arange(len(a)), at]})
 
-    found = rows.select(id_col, group, *exact, "__run", *columns).groupBy(*exact, "__run").applyInPandas(pairs, "small_id long, large_id long, distance double")
-    return found.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "distance")
+    return rows.select(id_col, group, *exact, "__run", *columns).groupBy(*exact, "__run").applyInPandas(pairs, "small_id long, large_id long, distance double")
 
 
 def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], caliper: float = 0.05) -> DataFrame:
@@ -168,6 +199,23 @@ def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequenc
     return for_a.join(for_b, ["small_id", "large_id"])
 
 
+def propensity_triples(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], groups: Sequence[object], caliper: float = 0.5) -> DataFrame:
+    """(first_id, second_id, third_id, distance): three groups matched within a caliper.
+
+    The second and the third group are each matched with the first by propensity scores of their
+    own; a row of the first that finds a partner in both makes a triple. The distance is the larger one.
+    """
+    a, b, c = groups
+    code = lambda other: F.when(F.col(group) == F.lit(a), 1).when(F.col(group) == F.lit(other), 0)
+    found = []
+    for name, other in (("second_id", b), ("third_id", c)):
+        two = df.withColumn(group, code(other)).where(F.col(group).isNotNull())
+        pairs = propensity_pairs(two, id_col, group, covariates, caliper)
+        found.append(pairs.select(F.col("small_id").alias("first_id"), F.col("large_id").alias(name), F.col("distance").alias(f"d_{name}")))
+    both = found[0].join(found[1], "first_id")
+    return both.select("first_id", "second_id", "third_id", F.greatest("d_second_id", "d_third_id").alias("distance"))
+
+
 def balanced_prefix(pairs: DataFrame, value_gap: Column, most: float, floor: float = 0.7) -> DataFrame:
     """The largest prefix of pairs by distance, of a share ``floor`` at least, whose mean gap is at most ``most``.
 

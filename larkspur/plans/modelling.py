@@ -255,3 +255,17 @@ def propensity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.propensity_pairs(grouped(spark, sf_dir), "c_custkey", "g", ["c_acctbal", "c_nationkey"])
 
 
+@query()
+def soft_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimal pairs with a penalty for each covariate that differs: every row of the smaller group has a partner."""
+    balance = F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit")
+    rows = grouped(spark, sf_dir).withColumn("side", balance)
+    rows = matching.complete_cases(rows, "g", ["c_acctbal"], ["c_nationkey", "side"])
+    return matching.soft_pairs(rows, "c_custkey", "g", ["c_acctbal"], ["c_nationkey", "side"])
+
+
+@query()
+def three_group_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of three market segments matched within a caliper of propensity scores."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    return matching.propensity_triples(rows, "c_custkey", "c_mktsegment", ["c_acctbal", "c_nationkey"], ("BUILDING", "MACHINERY", "AUTOMOBILE"))

@@ -55,6 +55,14 @@ def hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage, and outlives the loss of executors."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.parquet(where)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Adds this package, as a zip in the shared folder, to the Python path of all executors; once a session."""
     context = spark.sparkContext

@@ -386,3 +386,46 @@ def test_distances_over_what_both_have():
     d = _distances(q, x)
     assert np.isclose(d[0, 0], np.sqrt(3 / 2 * (1 + 4))) and np.isinf(d[0, 1]) and d[0, 2] == 0 and np.isinf(d[1]).all()
     assert np.allclose(_distances(x[:1], x[:1] + 1), np.sqrt(3))
+
+
+def test_soft_pairs_use_the_smaller_group_and_mismatch_least(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 5 < 2), round(float(rng.normal()), 3), ("abbb" if i % 5 < 2 else "aaab")[int(rng.integers(4))], "xy"[int(rng.integers(2))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g int, v double, s string, t string")
+    got = matching.soft_pairs(df, "id", "g", ["v"], ["s", "t"]).collect()
+    z = np.array([r[2] for r in rows])
+    z = (z - z.mean()) / z.std()
+    small, large = [r for r in rows if r[1] == 1], [r for r in rows if r[1] == 0]
+    miss = np.array([[(a[3] != b[3]) + (a[4] != b[4]) for b in large] for a in small])
+    near = np.array([[abs(z[a[0]] - z[b[0]]) for b in large] for a in small])
+    at = matching.assign(near + 1e6 * miss)
+    best_miss, best = int(miss[np.arange(len(small)), at].sum()), float(near[np.arange(len(small)), at].sum())
+    by_id = {r[0]: r for r in rows}
+    for r in got:
+        a, b = by_id[r.small_id], by_id[r.large_id]
+        assert (a[1], b[1]) == (1, 0) and r.mismatches == (a[3] != b[3]) + (a[4] != b[4])
+        assert r.distance == pytest.approx(1e6 * r.mismatches + abs(z[a[0]] - z[b[0]]), abs=1e-6)
+    assert len({r.small_id for r in got}) == len({r.large_id for r in got}) == len(got) == len(small)
+    assert sum(r.mismatches for r in got) == best_miss > 0
+    total = sum(r.distance - 1e6 * r.mismatches for r in got)
+    assert best - 1e-6 <= total <= 1.5 * best
+
+
+def test_soft_pairs_without_covariates_to_agree_on_are_the_least_of_all(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(i < 12), float(rng.normal())) for i in range(40)]
+    got = matching.soft_pairs(spark.createDataFrame(rows, "id long, g int, v double"), "id", "g", ["v"], []).collect()
+    z = np.array([r[2] for r in rows])
+    z = (z - z.mean()) / z.std()
+    cost = np.abs(z[:12, None] - z[None, 12:])
+    assert sum(r.distance for r in got) == pytest.approx(cost[np.arange(12), matching.assign(cost)].sum())
+
+
+def test_triples_are_of_three_groups_and_within_the_caliper(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ("AD", "FTD", "CN")[i % 3], float(rng.normal() + i % 3 / 4)) for i in range(150)]
+    df = spark.createDataFrame([*rows, (999, None, 0.0)], "id long, g string, v double")
+    got = matching.propensity_triples(df, "id", "g", ["v"], ("AD", "FTD", "CN"), 0.1).collect()
+    group = {r[0]: r[1] for r in rows}
+    assert got and all((group[r.first_id], group[r.second_id], group[r.third_id]) == ("AD", "FTD", "CN") and r.distance <= 0.1 for r in got)
+    assert all(len({r[c] for r in got}) == len(got) for c in ("first_id", "second_id", "third_id"))
