@@ -158,13 +158,22 @@ def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _differences(spark, sf_dir).agg(rounded(resample.resampling_p(d)).alias("p_one"), rounded(resample.resampling_p(d, True)).alias("p_two"))
 
 
-@query()
+POISSON = " + ".join(f"CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in resample._POISSON)
+#: Labelled documents in each resample, w times.
+WEIGHED = f"""u AS (SELECT b, lang, y, score, {draw_sql('doc_id * 1021 + b * 7919', SEED, resample.SPACE)} / {float(resample.SPACE)}::DOUBLE AS u FROM ({SCORED}), range({CURVES}) t(b)),
+  w AS (SELECT b, lang, y, score, {POISSON} AS w FROM u)"""
+
+
+@query(f"""WITH {WEIGHED}, c AS (SELECT lang, b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y <> 1 THEN w ELSE 0 END) AS neg FROM w WHERE w > 0 GROUP BY 1, 2, 3),
+  k AS (SELECT *, sum(neg) OVER (PARTITION BY lang, b ORDER BY score) AS below FROM c), a AS (SELECT lang, b, CAST(sum(pos * (below - neg / 2.0::DOUBLE)) AS DOUBLE) / nullif(sum(pos) * sum(neg), 0) AS auc FROM k GROUP BY 1, 2)
+  SELECT lang, count(auc) AS n, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a GROUP BY lang""")
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language the interval of the AUC over resamples by Poisson weights."""
     rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1))))
     rows = rows.withColumn("w", resample.poisson_weight(F.col("doc_id"), F.col("b"), SEED)).where("w > 0")
     areas = M.roc_auc(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))), "y", "score", ["lang", "b"])
-    return resample.percentile_interval(areas, "auc", ["lang"])
+    s = resample.percentile_interval(areas, "auc", ["lang"])
+    return s.select("lang", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
 @query()
@@ -254,15 +263,22 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.histogram(scored(spark, sf_dir).select(F.col("y").cast("int").alias("y"), "p"), "p", 50, 0.0, 1.0, ["y"])
 
 
-
-
-@query()
+@query(f"""WITH {WEIGHED}, c AS (SELECT b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y <> 1 THEN w ELSE 0 END) AS neg FROM w WHERE w > 0 GROUP BY 1, 2),
+  k AS (SELECT b, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY b) AS p, sum(neg) OVER (PARTITION BY b) AS n FROM c WINDOW v AS (PARTITION BY b ORDER BY score DESC)),
+  curve AS (SELECT b, CAST(fp AS DOUBLE) / n AS fpr, CAST(tp AS DOUBLE) / p AS tpr FROM k),
+  g AS (SELECT b, CAST(i AS INTEGER) AS step, i / 99.0::DOUBLE AS x FROM range(100) t(i), (SELECT DISTINCT b FROM curve)),
+  l AS (SELECT b, step, max(struct_pack(f := fpr, t := tpr)) AS l FROM g JOIN curve USING (b) WHERE CAST(ceil(fpr * 99) AS INTEGER) <= step GROUP BY 1, 2),
+  r AS (SELECT b, step, min(struct_pack(f := fpr, t := tpr)) AS r FROM g JOIN curve USING (b) WHERE CAST(floor(fpr * 99) AS INTEGER) >= step GROUP BY 1, 2),
+  t AS (SELECT x, CASE WHEN step = 0 THEN 0 WHEN step = 99 THEN 1 WHEN l IS NULL THEN r.t * x / r.f WHEN r.f - l.f <= 0 THEN l.t ELSE l.t + (r.t - l.t) * (x - l.f) / (r.f - l.f) END AS tpr
+    FROM g LEFT JOIN l USING (b, step) LEFT JOIN r USING (b, step))
+  SELECT round(x, 6) AS grid, count(tpr) AS n, round(avg(tpr), 6) AS mean, round(quantile_cont(tpr, 0.025), 6) AS lo, round(quantile_cont(tpr, 0.975), 6) AS hi FROM t GROUP BY x""")
 def roc_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid, mean, lo, hi) of the ROC curve over resamples, at the points of a grid."""
     rows = scored(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1))))
     rows = rows.withColumn("w", resample.poisson_weight(F.col("doc_id"), F.col("b"), SEED)).where("w > 0")
     curves = M.on_grid(M.roc_curve(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))), "y", "score", ["b"]), 100, ["b"])
-    return resample.percentile_interval(curves, "tpr", ["grid"])
+    s = resample.percentile_interval(curves, "tpr", ["grid"])
+    return s.select(rounded(F.col("grid")).alias("grid"), "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
 @query(f"""WITH f AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {draw_sql('doc_id', SEED, split.SPACE)}, doc_id) <= floor(count(*) OVER (PARTITION BY quality) / 2.0) THEN 1 - quality ELSE quality END AS flipped FROM labels),

@@ -108,19 +108,41 @@ def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("l_quantity", float(b[1]))], "feature string, coefficient double").withColumn("coefficient", rounded(F.col("coefficient"), 4))
 
 
-@query()
+#: Covariances of the four features and the target, by pairs of places.
+COVARIANCES = """x AS (SELECT [l_quantity, l_discount, l_tax, l_linenumber::DOUBLE, l_extendedprice] AS v FROM lineitem), p AS (SELECT i, j FROM range(1, 6) a(i), range(1, 6) b(j)),
+  c AS (SELECT i, j, covar_pop(v[i], v[j]) AS c FROM x, p GROUP BY i, j), s AS (SELECT list(c ORDER BY i, j) AS s FROM c)"""
+
+
+def _step(j: int, penalty: float) -> str:
+    """The j-th coefficient of a round of coordinate descent, given those before it in the round and after it."""
+    others = " - ".join(f"s[{5 * (j - 1) + k}] * {f'n{k}' if k < j else f'b{k}'}" for k in range(1, 5) if k != j)
+    rho = f"(s[{5 * j}] - {others})"
+    return f"sign({rho}) * greatest(abs({rho}) - {penalty}, 0) / s[{6 * j - 5}]"
+
+
+def _descended(penalty: float, rounds: int) -> str:
+    """SQL with d(b1, ..., b4): coefficients after so many rounds of coordinate descent."""
+    steps = f"SELECT k, s, b1, b2, b3, b4, {_step(1, penalty)} AS n1 FROM d WHERE k < {rounds}"
+    for j in (2, 3, 4):
+        steps = f"SELECT *, {_step(j, penalty)} AS n{j} FROM ({steps})"
+    return f"""d AS (SELECT 0 AS k, s, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 0.0::DOUBLE AS b4 FROM s UNION ALL SELECT k + 1, s, n1, n2, n3, n4 FROM ({steps})),
+  f AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS feature, unnest([b1, b2, b3, b4]) AS b FROM d WHERE k = {rounds})"""
+
+
+@query(f"WITH RECURSIVE {COVARIANCES}, {_descended(1000.0, 60)} SELECT feature, round(abs(b) / sum(abs(b)) OVER (), 6) AS importance FROM f")
 def lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = models.moments(_lines(spark, sf_dir), FEATURES, "l_extendedprice")[None]
-    return models.importances(FEATURES, models.elastic_net(m, 1000.0), spark)
+    return models.importances(FEATURES, models.elastic_net(m, 1000.0), spark).withColumn("importance", rounded(F.col("importance")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {COVARIANCES}, {_descended(0.0, 200)}, l AS (UNPIVOT (SELECT l_quantity, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber FROM lineitem) ON l_quantity, l_discount, l_tax, l_linenumber INTO NAME feature VALUE v),
+  m AS (SELECT feature, avg(v) AS m FROM l GROUP BY feature) SELECT 'phi_' || feature AS feature, round(any_value(abs(b)) * avg(abs(v - m)), 3) AS mean_abs FROM l JOIN m USING (feature) JOIN f USING (feature) GROUP BY feature""")
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute Shapley values of a linear model, per feature."""
     rows = _lines(spark, sf_dir)
     b = models.ridge(models.moments(rows, FEATURES, "l_extendedprice")[None])
     phi = models.attributions(rows, FEATURES, b)
-    return long_form(phi, [], [f"phi_{c}" for c in FEATURES]).groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
+    return long_form(phi, [], [f"phi_{c}" for c in FEATURES]).groupBy("feature").agg(rounded(F.avg(F.abs("value")), 3).alias("mean_abs"))
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
