@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.cumulative import average_ranks, cumulative, later_min
-from ..operators.describe import category_shares
+from ..operators.describe import category_shares, long_form
 from .special import chi2_tail, fisher_exact, normal_two_sided, score_sums, shapiro_test, t_two_sided
 
 #: Normal scores summed at a time for a value of many ties.
@@ -204,3 +204,32 @@ def all_above(p: Column, alpha: float = 0.05) -> Column:
 def which_test(normal: bool, repeated: bool) -> str:
     """The test for two sets of values: paired if ids repeat, of ranks if they aren't normal."""
     return {(True, True): "paired", (True, False): "student", (False, True): "wilcoxon", (False, False): "mann_whitney"}[normal, repeated]
+
+
+def compared(df: DataFrame, group: str, value: str, id_col: str, groups: tuple[object, object] = (0, 1), alpha: float = 0.1) -> DataFrame:
+    """(test, stat, p) of two groups' values by the test that suits them.
+
+    Values are normal if Shapiro-Wilk's p over both groups is above alpha. If ids repeat, the groups
+    are paired by id, each id's mean in a group being its value there; an id of one group only isn't used.
+    """
+    rows = df.where(F.col(group).isin(*groups) & F.col(value).isNotNull())
+    counts = rows.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
+    gate = shapiro(rows, value, []).first()
+    name = which_test(gate is not None and gate.p is not None and gate.p > alpha, counts.ids != counts.n)
+    if name in ("paired", "wilcoxon"):
+        both = rows.groupBy(id_col).agg(*(F.avg(F.when(F.col(group) == g, F.col(value))).alias(n) for g, n in zip(groups, ("__a", "__b")))).dropna()
+        found = (paired if name == "paired" else wilcoxon)(both, "__a", "__b")
+    else:
+        found = (student if name == "student" else mann_whitney)(rows, group, value, groups)
+    stat = {"paired": "t", "student": "t", "wilcoxon": "w", "mann_whitney": "u"}[name]
+    return found.select(F.lit(name).alias("test"), F.col(stat).alias("stat"), "p")
+
+
+def between_groups(df: DataFrame, group: str, numeric: Sequence[str], categorical: Sequence[str], groups: tuple[object, object] = (0, 1)) -> DataFrame:
+    """(feature, stat, df, p) of each covariate between two groups: Welch's test of numbers, chi-square or Fisher's of categories."""
+    rows = df.where(F.col(group).isin(*groups))
+    out = welch(long_form(rows, [group], numeric), group, "value", groups, ["feature"]).select("feature", F.col("t").alias("stat"), "df", "p") if numeric else None
+    for c in categorical:
+        one = chi2(rows.where(F.col(c).isNotNull()), group, c).select(F.lit(c).alias("feature"), "stat", "df", "p")
+        out = one if out is None else out.unionByName(one)
+    return out

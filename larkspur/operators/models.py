@@ -7,7 +7,7 @@ of the features, never of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: About how many queries are broadcast at once to all rows of a nearest-neighbour search.
-MOST_QUERIES = 20_000
+#: Queries of a nearest-neighbour search that are broadcast; more meet the rows in blocks of about so many queries and rows.
+MOST_QUERIES, MOST_ROWS = 20_000, 50_000
+NEAR = "query_id long, id long, distance double"
 
 
 # --- scaling, filling, regressing out: fitted on training rows, applied to all
@@ -171,23 +172,32 @@ def most_likely(scores: dict[object, Column]) -> Column:
     return F.array_min(F.array(*pairs))["c"]
 
 
-# --- nearest neighbours: a query set of checked size against all rows, in numpy blocks
+# --- nearest neighbours: a query set against all rows, in numpy blocks
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, most_queries: int = MOST_QUERIES, most_rows: int = MOST_ROWS) -> DataFrame:
     """(query_id, id, distance, place): each query's k nearest rows other than itself, ties by id.
 
-    A null coordinate is left out of the distances (see ``_distances``). Queries come in blocks of about ``most_queries``, dealt by a hash. For each block every task compares
-    its rows, some at a time, with the broadcast queries and keeps k a query, so what is shuffled is
-    k rows a query and task.
+    A null coordinate is left out of the distances (see ``_distances``). Up to ``most_queries`` counted
+    queries are broadcast, and every task compares its rows with them. More are dealt by a hash into
+    blocks of about so many, and the rows into chunks of about ``most_rows``; each block meets each
+    chunk in a task of its own, and the queries never reach the driver. Either way k rows a query
+    and task are shuffled for the last choice.
     """
-    vectors = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    blocks = max(1, -(-vectors.count() // most_queries))
-    out = None
-    for b in range(blocks):
-        part = _nearest_of(vectors.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), rows, id_col, vector, k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    vectors, others = (df.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v is not null") for df in (queries, rows))
+    asked = vectors.count()
+    if asked <= most_queries:
+        found = _nearest_of(vectors, others, k)
+    else:
+        blocks, chunks = -(-asked // most_queries), max(1, -(-others.count() // most_rows))
+        part = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = vectors.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+        b = others.withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
+        meet = lambda q, x: _closest(*_vectors(q), [x], k)
+        found = a.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInPandas(meet, NEAR)
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -202,30 +212,35 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(present > 0, d, np.inf)
 
 
-def _nearest_of(block: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
-    asked = block.toPandas()
-    ids = asked["i"].to_numpy(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, np.array(asked["v"].tolist(), float).reshape(len(ids), -1)))
+def _vectors(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    ids = df["i"].to_numpy(np.int64)
+    return ids, np.array(df["v"].tolist(), float).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+
+
+def _closest(q_ids: np.ndarray, q: np.ndarray, batches: Iterable[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k nearest of all batches' rows to each query, some rows at a time."""
+    best_d, best_i = np.full((len(q_ids), k), np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
+    at_once = max(1, 4_000_000 // max(1, len(q_ids)))
+    for batch in batches if len(q_ids) else ():
+        for a in range(0, len(batch), at_once):
+            i, x = _vectors(batch.iloc[a : a + at_once])
+            d = _distances(q, x) if q.shape[0] * x.size < 5e7 else np.concatenate([_distances(y[None, :], x) for y in q])
+            d[q_ids[:, None] == i[None, :]] = np.inf
+            every_d, every_i = np.hstack((best_d, d)), np.hstack((best_i, np.broadcast_to(i, d.shape)))
+            order = np.lexsort((every_i, every_d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
+    at = np.isfinite(best_d)
+    return pd.DataFrame({"query_id": np.repeat(q_ids, at.sum(axis=1)), "id": best_i[at], "distance": best_d[at]})
+
+
+def _nearest_of(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The search of few queries, counted before, that are broadcast."""
+    sent = rows.sparkSession.sparkContext.broadcast(_vectors(queries.toPandas()))
 
     def run(batches):
-        q_ids, q = sent.value
-        best_d, best_i = np.full((len(q_ids), k), np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.iloc[a : a + 1024]
-                i, x = part["i"].to_numpy(np.int64), np.array(part["v"].tolist(), float)
-                d = _distances(q, x) if q.shape[0] * x.size < 5e7 else np.concatenate([_distances(y[None, :], x) for y in q])
-                d[q_ids[:, None] == i[None, :]] = np.inf
-                every_d, every_i = np.hstack((best_d, d)), np.hstack((best_i, np.broadcast_to(i, d.shape)))
-                order = np.lexsort((every_i, every_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
-        at = np.isfinite(best_d)
-        yield pd.DataFrame({"query_id": np.repeat(q_ids, at.sum(axis=1)), "id": best_i[at], "distance": best_d[at]})
-
-    vectors = rows.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    found = vectors.mapInPandas(run, "query_id long, id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        yield _closest(*sent.value, batches, k)
+
+    return rows.mapInPandas(run, NEAR)
 
 
 def knn_classify(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, label: str, k: int = 5) -> DataFrame:

@@ -178,6 +178,26 @@ def all_nonsignificant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(T.all_above(F.col("p")).alias("all_fine"))
 
 
+@query(f"""WITH g AS ({GROUPED}), s AS (SELECT count(CASE WHEN g = 0 THEN 1 END) AS na, count(CASE WHEN g = 1 THEN 1 END) AS nb, avg(CASE WHEN g = 0 THEN c_acctbal END) AS ma, avg(CASE WHEN g = 1 THEN c_acctbal END) AS mb,
+    var_samp(CASE WHEN g = 0 THEN c_acctbal END) AS va, var_samp(CASE WHEN g = 1 THEN c_acctbal END) AS vb FROM g),
+  n AS (SELECT g, c_nationkey, count(*) AS n FROM g GROUP BY 1, 2), f AS (SELECT a.g, b.c_nationkey, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT g FROM g) a CROSS JOIN (SELECT DISTINCT c_nationkey FROM g) b LEFT JOIN n ON n.g = a.g AND n.c_nationkey = b.c_nationkey),
+  e AS (SELECT n, sum(n) OVER (PARTITION BY g) * sum(n) OVER (PARTITION BY c_nationkey) / (sum(n) OVER ())::DOUBLE AS e FROM f)
+  SELECT 'c_acctbal' AS feature, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS stat, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df FROM s
+  UNION ALL SELECT 'c_nationkey', round((SELECT sum((n - e) * (n - e) / e) FROM e), 6), CAST((SELECT count(DISTINCT c_nationkey) - 1 FROM g) AS DOUBLE)""")
+def group_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test of each covariate between two groups."""
+    found = T.between_groups(grouped(spark, sf_dir), "g", ["c_acctbal"], ["c_nationkey"])
+    return found.select("feature", rounded(F.col("stat")).alias("stat"), rounded(F.col("df"), 4).alias("df"))
+
+
+@query("""WITH e AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS a, avg(CASE WHEN event_type = 'view' THEN value END) AS b FROM events GROUP BY user_id),
+  d AS (SELECT a - b AS d FROM e WHERE a - b <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d)
+  SELECT 'wilcoxon' AS test, round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 4) AS stat FROM r""")
+def chosen_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test that suits the values: they aren't normal, and users repeat."""
+    return T.compared(two_types(spark, sf_dir), "g", "value", "user_id").select("test", rounded(F.col("stat"), 4).alias("stat"))
+
+
 @query()
 def test_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(test, p) of every two-sample test and association, p to ten decimals."""

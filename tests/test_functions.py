@@ -316,8 +316,9 @@ def test_percentiles_and_later_minima_equal_numpy(spark, values, ranges):
 def test_neighbours_in_blocks_equal_one_block(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(120)], "id long, v array<double>")
-    one, many = (sorted(map(tuple, models.nearest(df.where("id % 3 = 0"), df, "id", "v", 4, n).collect())) for n in (1000, 7))
-    assert one == many and len(one) == 160
+    one, many, chunks = (sorted(map(tuple, models.nearest(df.where("id % 3 = 0"), df, "id", "v", 4, *n).collect())) for n in ((1000,), (7,), (2, 9)))
+    assert one == many == chunks and len(one) == 160
+    assert models.nearest(df.limit(0), df, "id", "v", 4).count() == 0
 
 
 def test_out_of_fold_logistic_equals_newton(spark):
@@ -429,3 +430,46 @@ def test_triples_are_of_three_groups_and_within_the_caliper(spark):
     group = {r[0]: r[1] for r in rows}
     assert got and all((group[r.first_id], group[r.second_id], group[r.third_id]) == ("AD", "FTD", "CN") and r.distance <= 0.1 for r in got)
     assert all(len({r[c] for r in got}) == len(got) for c in ("first_id", "second_id", "third_id"))
+
+
+def test_test_follows_normality_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    normal, skewed = rng.normal(size=60), rng.exponential(size=60) ** 2
+    for values, repeated, name in ((normal, False, "student"), (normal, True, "paired"), (skewed, False, "mann_whitney"), (skewed, True, "wilcoxon")):
+        rows = [(i // 2 if repeated else i, i % 2, float(v)) for i, v in enumerate(values)]
+        df = spark.createDataFrame([*rows, (900, 0, None)], "id long, g int, v double")
+        got = T.compared(df, "g", "v", "id").first()
+        pairs = spark.createDataFrame(list(zip(values[::2].tolist(), values[1::2].tolist())), "a double, b double")
+        want = {"student": lambda: T.student(df, "g", "v"), "paired": lambda: T.paired(pairs, "a", "b"), "mann_whitney": lambda: T.mann_whitney(df, "g", "v"), "wilcoxon": lambda: T.wilcoxon(pairs, "a", "b")}[name]().first()
+        assert got.test == name and got.p == pytest.approx(want.p)
+
+
+@pytest.mark.parametrize("kind", ["lda", "qda", "nb"])
+def test_gaussian_models_equal_densities(spark, kind):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 200)
+    x = rng.normal(size=(200, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.2], [0, 0, 0.5]]) + y[:, None] * [0.8, -0.5, 0.3]
+    df = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(y, x)], "y int, a double, b double, c double")
+    scores = models.gaussian_scores(["a", "b", "c"], models.gaussian_model(df, ["a", "b", "c"], "y", kind, 0.0))
+    got = np.array([[r[f"s{c}"] for c in range(3)] for r in df.select(*(scores[c].alias(f"s{c}") for c in range(3))).collect()])
+    pooled = sum((len(x[y == c]) - 1) * np.cov(x[y == c].T) for c in range(3)) / (len(x) - 3)
+    for c in range(3):
+        part = x[y == c]
+        cov = {"lda": pooled, "qda": np.cov(part.T), "nb": np.diag(part.var(axis=0))}[kind]
+        d = x - part.mean(axis=0)
+        want = np.log(len(part) / len(x)) - 0.5 * np.log(np.linalg.det(cov)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+        assert np.allclose(got[:, c], want, atol=1e-6)
+
+
+def test_command_line_writes_and_keeps_rows(spark, small_dir, tmp_path, capsys):
+    from larkspur.__main__ import main
+
+    out = str(tmp_path / "rows")
+    main(["smd_balance", "--data", small_dir, "--out", out, "--format", "csv"])
+    assert spark.read.option("header", True).csv(out).count() == 2
+    main(["value_counts", "--data", small_dir, "--out", out, "--format", "csv"])
+    assert spark.read.option("header", True).csv(out).columns == ["feature", "smd"]
+    main([])
+    assert "soft_matching" in capsys.readouterr().out.split()
+    with pytest.raises(SystemExit):
+        main(["no_such_query"])
