@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,6 +114,14 @@ def draw(id_: Column, seed: Column | int, modulus: int) -> Column:
     return F.floor(x * modulus / F.lit(2147483647.0)).cast("long")
 
 
+def drawn(ids: np.ndarray, seed: int, modulus: int) -> np.ndarray:
+    """draw for an array of integers."""
+    x = (np.mod(ids, 2147483647) * 1103515245 + seed * 12345 + 1013904223) % 2147483647
+    x = (x * 48271 + seed * 7919 + 11) % 2147483629
+    x = (x * 69621 + 1) % 2147483647
+    return np.floor(x * modulus / 2147483647.0).astype(np.int64)
+
+
 def draw_sql(id_: str, seed: str | int, modulus: str | int) -> str:
     """The SQL of draw."""
     x = f"(((({id_}) % 2147483647) * 1103515245 + ({seed}) * 12345 + 1013904223) % 2147483647)"

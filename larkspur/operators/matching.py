@@ -11,16 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import draw
+from ..functions.scalars import draw, drawn
 from ..functions.special import t_two_sided
 from ..sources.session import written
 from .cumulative import cumulative
 from .describe import long_form
 
 #: Most rows of the smaller and of the larger group that one assignment problem gets.
-MOST_SMALL, MOST_LARGE = 256, 1024
+MOST_SMALL, MOST_LARGE = 1024, 4096
+#: Times that a larger block is cut into cells, before what is left is cut into runs.
+CELL_STEPS = 3
 #: Parts in which rows of one value are numbered.
 PARTS = 1024
+#: Of a set, a for train and b for test: rows, their sum and their sum of squares.
+SUMS = ("n_a", "x_a", "xx_a", "n_b", "x_b", "xx_b")
 
 
 def complete_cases(df: DataFrame, group: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -111,9 +115,11 @@ def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str]
     """(pair_id, small_id, large_id, distance): one-to-one pairs of least total distance that agree on exact.
 
     A block of equal exact values is an assignment problem. One of more than MOST_SMALL or MOST_LARGE
-    rows is cut by row numbers along the first covariate into runs of at most so many rows, equal
-    values included, each with partners enough for all of its rows of the smaller group. So the
-    smaller group is always used up; the total distance is least within runs only.
+    rows is cut into cells of at most MOST_LARGE rows of both groups, by row numbers along each
+    covariate in turn, equal values included; what a cell leaves over is cut anew, CELL_STEPS times in
+    all. The rest is cut along the first covariate into runs that have partners enough for all of
+    their rows of the smaller group. So that is always used up; the total distance is least within
+    cells and runs only.
     """
     found = _assigned(z_scored(df, numeric), id_col, group, numeric, exact)
     return found.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "distance")
@@ -136,24 +142,47 @@ def soft_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], e
                 break
             pairs = _assigned(rest, id_col, group, numeric, kept)
             pairs = written(pairs.select("small_id", "large_id", F.lit(missed).alias("mismatches"), (F.col("distance") + penalty * missed).alias("distance")))
-            used = pairs.select(F.explode(F.array("small_id", "large_id")).alias(id_col))
-            rest = rest.join(used, id_col, "left_anti").select(*columns)
+            rest = _without(rest, pairs, id_col).select(*columns)
             out = pairs if out is None else out.unionByName(pairs)
             sizes = rest.agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b")).first()
             left = min(sizes.a, sizes.b)
     return out.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "mismatches", "distance")
 
 
-def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
-    """(small_id, large_id, distance) by assignment in blocks and runs, over columns scored already."""
+def _sizes(z: DataFrame, group: str, exact: Sequence[str]) -> DataFrame:
+    """(exact, __a, __b, __big) of the blocks that have rows of both groups."""
     sizes = z.groupBy(*exact).agg(F.count_if(F.col(group) == 1).alias("__a"), F.count_if(F.col(group) == 0).alias("__b"))
+    fits = (F.least("__a", "__b") <= MOST_SMALL) & (F.greatest("__a", "__b") <= MOST_LARGE)
+    return sizes.where("__a > 0 and __b > 0").withColumn("__big", ~fits)
+
+
+def _with_sizes(z: DataFrame, sizes: DataFrame, exact: Sequence[str]) -> DataFrame:
+    return z.join(sizes, list(exact)) if exact else z.crossJoin(F.broadcast(sizes))
+
+
+def _cells(z: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str], largest: int) -> DataFrame:
+    """z with __run: a block's cells of equal numbers of rows, along as many covariates as there are halvings of it."""
+    cells = F.when(F.col("__big"), F.greatest(F.ceil((F.col("__a") + F.col("__b")) / MOST_LARGE), F.lit(2))).otherwise(1)
+    ways = F.greatest(F.least(F.ceil(F.log2(cells)), F.lit(len(columns))), F.lit(1))
+    sizes = _sizes(z, group, exact).withColumns({"__ways": ways, "__parts": F.ceil(F.pow(cells.cast("double"), 1 / ways)).cast("long")})
+    rows = _with_sizes(z, sizes.select(*exact, "__ways", "__parts"), exact).withColumn("__run", F.lit(0).cast("long"))
+    for j, c in enumerate(columns[: max(1, (largest - 1).bit_length())]):
+        keys = [*exact, "__run"]
+        rows = written(_numbered(rows, id_col, c, keys))
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+        part = F.when(F.col("__ways") > j, F.expr("__place * __parts div __n")).otherwise(F.lit(0))
+        rows = rows.join(counts, keys).withColumn("__run", F.col("__run") * F.col("__parts") + part).drop("__place", "__n")
+    return rows.drop("__ways", "__parts")
+
+
+def _runs(z: DataFrame, id_col: str, group: str, column: str, exact: Sequence[str]) -> DataFrame:
+    """z with __run: runs along a covariate, each with as large a share of the smaller group as of the larger one."""
     small, large = F.least("__a", "__b"), F.greatest("__a", "__b")
     # a run's rows of the larger group are rounded up twice
-    runs = F.when((small <= MOST_SMALL) & (large <= MOST_LARGE), 1).otherwise(F.greatest(F.ceil(small / MOST_SMALL), F.ceil(large / (MOST_LARGE - 2))))
-    sizes = sizes.where(small > 0).select(*exact, small.alias("__small"), large.alias("__large"), (F.col("__a") > F.col("__b")).cast("int").alias("__flip"), runs.cast("long").alias("__runs"))
-    rows = z.join(sizes, list(exact)) if exact else z.crossJoin(F.broadcast(sizes))
-    one = rows.where("__runs <= 1").withColumn("__run", F.lit(0).cast("long"))
-    many = _numbered(rows.where("__runs > 1"), id_col, numeric[0], [*exact, group])
+    runs = F.when(F.col("__big"), F.greatest(F.ceil(small / MOST_SMALL), F.ceil(large / (MOST_LARGE - 2)))).otherwise(1)
+    flip = (F.col("__a") > F.col("__b")).cast("int")
+    sizes = _sizes(z, group, exact).select(*exact, small.alias("__small"), large.alias("__large"), flip.alias("__flip"), runs.cast("long").alias("__runs"))
+    rows = _numbered(_with_sizes(z, sizes, exact), id_col, column, [*exact, group])
     # run r begins at row r * small div runs of the smaller group, and at as many and
     # r * (large - small) div runs more of the larger one
     begin = "({r} * __small div __runs + {r} * (__large - __small) div __runs)"
@@ -161,9 +190,11 @@ def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exa
     of_large = " ".join(f"when {r} < __runs and {begin.format(r=r)} <= __place then {r}" for r in near)
     of_large = F.expr(f"case {of_large} else __place * __runs div __large end")
     of_small = F.expr("((__place + 1) * __runs - 1) div __small")
-    many = many.withColumn("__run", F.when(F.col(group) + F.col("__flip") == 1, of_small).otherwise(of_large)).drop("__place")
-    rows = one.unionByName(many)
-    columns = [f"z_{c}" for c in numeric]
+    return rows.withColumn("__run", F.when(F.col(group) + F.col("__flip") == 1, of_small).otherwise(of_large))
+
+
+def _solved(rows: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str]) -> DataFrame:
+    """(small_id, large_id, distance) by an assignment for each run of each block."""
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         a, b = (part[part[group] == g].sort_values(id_col) for g in (1, 0))
@@ -173,14 +204,43 @@ def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exa
         if not len(a):
             return pd.DataFrame({"small_id": [], "large_id": [], "distance": []}).astype({"small_id": "int64", "large_id": "int64", "distance": "float64"})
         x, y = a[columns].to_numpy(float), b[columns].to_numpy(float)
-        cost = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+        cost = np.sqrt(sum((x[:, None, j] - y[None, :, j]) ** 2 for j in range(len(columns))))
         at = assign(cost)
         first, second = a[id_col].to_numpy(), b[id_col].to_numpy()[at]
         return pd.DataFrame({"small_id": second if flip else first, "large_id": first if flip else second, "distance": cost[np.arange(len(a)), at]})
 
+    columns = list(columns)
     return rows.select(id_col, group, *exact, "__run", *columns).groupBy(*exact, "__run").applyInPandas(pairs, "small_id long, large_id long, distance double")
 
 
+def _without(z: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+    used = pairs.select(F.explode(F.array("small_id", "large_id")).alias(id_col))
+    return z.join(used, id_col, "left_anti")
+
+
+def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
+    """(small_id, large_id, distance) by assignment in blocks, cells and runs, over columns scored already."""
+    columns = [f"z_{c}" for c in numeric]
+    z = z.select(id_col, group, *exact, *columns)
+    most = lambda df: _sizes(df, group, exact).agg(F.max("__big").alias("big"), F.max(F.col("__a") + F.col("__b")).alias("n")).first()
+    state = most(z)
+    if not state.big:
+        return _solved(z.withColumn("__run", F.lit(0)), id_col, group, columns, exact)
+    rest, out = written(z), None
+    for step in range(CELL_STEPS + 1):
+        if step < CELL_STEPS:
+            rows = _cells(rest, id_col, group, columns, exact, max(2, -(-state.n // MOST_LARGE)))
+        else:
+            rows = _runs(rest, id_col, group, columns[0], exact)
+        found = written(_solved(rows, id_col, group, columns, exact))
+        out = found if out is None else out.unionByName(found)
+        rest = _without(rest, found, id_col)
+        state = most(rest)
+        if state.n is None:
+            break
+    return out
+
+
 def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], caliper: float = 0.05) -> DataFrame:
     """(small_id, large_id, distance) by propensity score within a caliper: nearest in both directions."""
     from pyspark.ml.classification import LogisticRegression
@@ -237,13 +297,37 @@ def split_pairs(members: DataFrame, pair_col: str, group: str, covariates: Seque
     members: a row for each member of a pair. Each trial draws every pair's side; per trial and
     group Welch's test compares train with test on each covariate. The best trial is one with all
     p >= alpha if there is any, then of least sum(max(0, alpha - p)) - 0.01 min(p), then the first.
-    Trials share one pass over the members, whose sums are combined per task.
+    Trials share one pass over the members: a task multiplies the sides of all trials with its values,
+    so what is shuffled is one row a trial, group and covariate and task, however many the members are.
     """
-    side = lambda trial: draw(F.col(pair_col) % 1_000_003 * 1021 + trial, seed, 1 << 20) < int(test_share * (1 << 20))
+    below = int(test_share * (1 << 20))
+    side = lambda trial: draw(F.col(pair_col) % 1_000_003 * 1021 + trial, seed, 1 << 20) < below
     rows = long_form(members, [pair_col, group], covariates).where("value is not null")
-    rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("test", side(F.col("trial")))
-    x = {"a": F.when(~F.col("test"), F.col("value")), "b": F.when(F.col("test"), F.col("value"))}
-    s = rows.groupBy("trial", group, "feature").agg(*(f(c).alias(f"{n}_{k}") for k, c in x.items() for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
+    means = rows.groupBy("feature").agg(F.avg("value").alias("__mean"))  # a row a covariate
+    rows = rows.join(F.broadcast(means), "feature").select(pair_col, F.col(group).alias("__group"), "feature", (F.col("value") - F.col("__mean")).alias("value"))
+
+    def sums(batches):
+        """Per trial, group and covariate the number, sum and sum of squares of the values in either set."""
+        total: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby(["__group", "feature"], sort=False):
+                key_of = np.fmod(part[pair_col].to_numpy(np.int64), 1_000_003) * 1021
+                x = part["value"].to_numpy(float)
+                moments = np.stack((np.ones_like(x), x, x * x), axis=1)
+                every, found = moments.sum(axis=0), total.setdefault(key, np.zeros((trials, 6)))
+                for first in range(0, trials, 128):
+                    numbers = np.arange(first, min(trials, first + 128))
+                    test = (drawn(key_of[None, :] + numbers[:, None], seed, 1 << 20) < below).astype(float) @ moments
+                    found[numbers] += np.hstack((every - test, test))
+        for (g, feature), found in total.items():
+            yield pd.DataFrame({"trial": np.arange(trials), group: g, "feature": feature} | {n: found[:, i] for i, n in enumerate(SUMS)})
+
+    kind = members.schema[group].dataType.simpleString()
+    parts = rows.mapInPandas(sums, f"trial long, `{group}` {kind}, feature string, " + ", ".join(f"{n} double" for n in SUMS))
+    s = parts.groupBy("trial", group, "feature").agg(*(F.sum(n).alias(n) for n in SUMS))
+    for k in "ab":
+        n, x, square = (F.col(f"{c}_{k}") for c in ("n", "x", "xx"))
+        s = s.withColumn(f"v_{k}", F.when(n > 1, F.greatest(square - x * x / n, F.lit(0.0)) / (n - 1))).withColumn(f"m_{k}", F.try_divide(x, n))
     a, b = F.try_divide("v_a", "n_a"), F.try_divide("v_b", "n_b")
     t = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(a + b))
     df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n_a") - 1) + F.try_divide(b * b, F.col("n_b") - 1))

@@ -17,6 +17,8 @@ from .statistics import GROUPED, grouped
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 SEED = 3
+#: Random splits of the pairs of which the best is taken.
+TRIALS = 3000
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +271,7 @@ def matched_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A train/test split of the pairs whose sets don't differ in any group."""
     members = _pairs(spark, sf_dir).select("pair_id", F.explode(F.array("small_id", "large_id")).alias("c_custkey"))
     rows = members.join(grouped(spark, sf_dir), "c_custkey").select("pair_id", "g", "c_acctbal", "c_nationkey")
-    return matching.split_pairs(rows, "pair_id", "g", ["c_acctbal", "c_nationkey"], 0.3, 200)
+    return matching.split_pairs(rows, "pair_id", "g", ["c_acctbal", "c_nationkey"], 0.3, TRIALS)
 
 
 @query()
