@@ -42,68 +42,118 @@ def min_max_scaled(df: DataFrame, columns: Sequence[str], train: Column | None =
 
 @dataclass(frozen=True)
 class Moments:
-    """Sums over rows with every feature and the target known: of 1, the features and the target."""
+    """Sums over rows with every feature and the target known: of products of 1, the features and the target.
+
+    The columns are less a centre and over a scale, those of all rows, so the sums of large values with
+    small spreads keep their digits, and those of parts of the rows can be added and subtracted.
+    """
 
     features: tuple[str, ...]
-    matrix: np.ndarray  # of (1, features..., target), so matrix[0, 0] is the number of rows
+    matrix: np.ndarray  # of (1, features..., target), centred and scaled, so matrix[0, 0] is the number of rows
+    centre: np.ndarray  # of features and target
+    scale: np.ndarray
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.features, self.matrix + other.matrix)
+        return Moments(self.features, self.matrix + other.matrix, self.centre, self.scale)
 
     def __sub__(self, other: Moments) -> Moments:
-        return Moments(self.features, self.matrix - other.matrix)
+        return Moments(self.features, self.matrix - other.matrix, self.centre, self.scale)
 
     @property
     def n(self) -> float:
         return float(self.matrix[0, 0])
 
+    @property
+    def mean(self) -> np.ndarray:
+        return self.centre + self.scale * self.matrix[0, 1:] / self.n
+
+    @property
+    def scatter(self) -> np.ndarray:
+        """Sums of products of deviations from the means."""
+        m = self.matrix[0, 1:]
+        return (self.matrix[1:, 1:] - np.outer(m, m) / self.n) * np.outer(self.scale, self.scale)
+
+
+#: Columns of which every product is an aggregate of its own; more are multiplied as matrices in Arrow batches.
+MOST_AGGREGATES = 16
+
 
 def moments(df: DataFrame, features: Sequence[str], target: str, by: str | None = None) -> dict[object, Moments]:
-    """Moments of each value of by (None if not given), in one pass with partial sums in every task."""
+    """Moments of each value of by (None if not given): a pass for centre and scale, one for the sums, partial in every task."""
     names = [*features, target]
-    rows = df.select(*([F.col(by).alias("__by")] if by else [F.lit(None).cast("int").alias("__by")]), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)))
-    rows = rows.dropna(subset=[f"c{i}" for i in range(len(names))]).withColumn("one", F.lit(1.0))
-    cols = ["one", *(f"c{i}" for i in range(len(names)))]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    found = rows.groupBy("__by").agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i, j in pairs)).collect()  # a row a group
+    cols = [f"c{i}" for i in range(len(names))]
+    rows = df.select(*([F.col(by).alias("__by")] if by else [F.lit(None).cast("int").alias("__by")]), *(F.col(n).cast("double").alias(c) for c, n in zip(cols, names)))
+    rows = rows.dropna(subset=cols)
+    found = rows.agg(*(f(c) for c in cols for f in (F.avg, F.stddev_pop))).first()
+    if found[0] is None:
+        return {}
+    centre, scale = np.array(found[::2], float), np.array([s or 1.0 for s in found[1::2]], float)
+    rows = rows.select("__by", *(((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(cols, centre, scale)))
+    k = len(cols) + 1
+    if k <= MOST_AGGREGATES:
+        rows, every = rows.withColumn("one", F.lit(1.0)), ["one", *cols]
+        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+        sums = rows.groupBy("__by").agg(*(F.sum(F.col(every[i]) * F.col(every[j])).alias(f"s{i}_{j}") for i, j in pairs)).collect()  # a row a group
+        parts = [(r["__by"], i, j, r[f"s{i}_{j}"]) for r in sums for i, j in pairs]
+    else:
+        parts = _products(rows, cols).collect()  # k * k rows a group
     out = {}
-    for r in found:
-        m = np.zeros((len(cols), len(cols)))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r["__by"]] = Moments(tuple(features), m)
+    for key, i, j, total in parts:
+        m = out.setdefault(key, Moments(tuple(features), np.zeros((k, k)), centre, scale)).matrix
+        m[i, j] = m[j, i] = total
     return out
 
 
+def _products(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(by, i, j, total): sums of products of (1, columns), as a matrix a task and group, added up by Spark."""
+    k = len(cols) + 1
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby("__by", dropna=False, sort=False):
+                x = np.hstack((np.ones((len(part), 1)), part[cols].to_numpy(float)))
+                total[None if pd.isna(key) else key] = total.get(None if pd.isna(key) else key, 0) + x.T @ x
+        i, j = np.tril_indices(k)
+        for key, m in total.items():
+            yield pd.DataFrame({"__by": pd.Series([key] * len(i), dtype=object), "i": i, "j": j, "total": m[i, j]})
+
+    kind = rows.schema["__by"].dataType.simpleString()
+    return rows.mapInPandas(run, f"__by {kind}, i int, j int, total double").groupBy("__by", "i", "j").agg(F.sum("total").alias("total"))
+
+
 def ridge(m: Moments, penalty: float = 0.0, use: Sequence[int] | None = None) -> np.ndarray:
     """Intercept and coefficients (0 for unused features) of least squares with an L2 penalty per row."""
     k = len(m.features)
-    at = [0, *(1 + i for i in (range(k) if use is None else use))]
+    used = list(range(k) if use is None else use)
+    at = [0, *(1 + i for i in used)]
     a = m.matrix[np.ix_(at, at)].copy()
-    a[range(1, len(at)), range(1, len(at))] += penalty * m.n
+    a[range(1, len(at)), range(1, len(at))] += penalty * m.n / m.scale[used] ** 2
+    found = np.linalg.lstsq(a, m.matrix[at, k + 1], rcond=None)[0]
     out = np.zeros(k + 1)
-    out[at] = np.linalg.lstsq(a, m.matrix[at, k + 1], rcond=None)[0]
+    out[at[1:]] = found[1:] * m.scale[k] / m.scale[used]
+    out[0] = m.centre[k] + m.scale[k] * found[0] - out[1:] @ m.centre[:k]
     return out
 
 
 def elastic_net(m: Moments, penalty: float, l1_share: float = 1.0, rounds: int = 1000) -> np.ndarray:
     """Intercept and coefficients of half the mean squared error plus an elastic penalty (lasso at share 1)."""
-    k, n = len(m.features), m.n
-    mean = m.matrix[0, 1:] / n
-    cov = m.matrix[1:, 1:] / n - np.outer(mean, mean)
+    k = len(m.features)
+    mean, cov = m.mean, m.scatter / m.n
     xx, xy, b = cov[:k, :k], cov[:k, k], np.zeros(k)
     for _ in range(rounds):
         before = b.copy()
         for j in range(k):
             rho = xy[j] - xx[j] @ b + xx[j, j] * b[j]
             b[j] = np.sign(rho) * max(abs(rho) - penalty * l1_share, 0) / (xx[j, j] + penalty * (1 - l1_share) or 1.0)
-        if np.abs(b - before).max(initial=0) < 1e-10:
+        if (np.abs(b - before) * m.scale[:k]).max(initial=0) < 1e-10 * m.scale[k]:
             break
     return np.append(mean[k] - mean[:k] @ b, b)
 
 
 def mean_squared_error(m: Moments, coefficients: np.ndarray) -> float:
-    b = np.append(coefficients, -1.0)
+    c = np.asarray(coefficients, float)
+    b = np.concatenate(([c[0] + c[1:] @ m.centre[:-1] - m.centre[-1]], c[1:] * m.scale[:-1], [-m.scale[-1]]))
     return float(b @ m.matrix @ b) / m.n if m.n else float("nan")
 
 
@@ -139,23 +189,25 @@ def importances(features: Sequence[str], coefficients: Sequence[float], spark) -
 
 
 def gaussian_model(df: DataFrame, features: Sequence[str], label: str, kind: str = "lda", smoothing: float = 1e-9) -> dict[object, tuple[float, np.ndarray, np.ndarray]]:
-    """Log prior, mean and covariance of each class: shared (lda), own (qda), or own and diagonal (nb)."""
+    """Log prior, mean and covariance of each class: shared (lda), own (qda), or own and diagonal (nb).
+
+    smoothing: that share of the widest variance is added to all of them.
+    """
     per = moments(df.where(F.col(label).isNotNull()), features, features[0], label)
     k, total = len(features), sum(m.n for m in per.values())
     out, shared = {}, np.zeros((k, k))
     for c, m in per.items():
-        mean = m.matrix[0, 1 : k + 1] / m.n
-        scatter = m.matrix[1 : k + 1, 1 : k + 1] - m.n * np.outer(mean, mean)
+        scatter = m.scatter[:k, :k]
         shared += scatter
         cov = scatter / (m.n if kind == "nb" else max(1.0, m.n - 1))
-        out[c] = (float(np.log(m.n / total)), mean, np.diag(np.diag(cov)) if kind == "nb" else cov)
+        out[c] = (float(np.log(m.n / total)), m.mean[:k], np.diag(np.diag(cov)) if kind == "nb" else cov)
     widest = max((np.diag(s).max() for _, _, s in out.values()), default=1.0)
     cov = shared / max(1.0, total - len(out))
     return {c: (p, m, (cov if kind == "lda" else s) + smoothing * widest * np.eye(k)) for c, (p, m, s) in out.items()}
 
 
 def gaussian_scores(features: Sequence[str], model: dict[object, tuple[float, np.ndarray, np.ndarray]]) -> dict[object, Column]:
-    """Per class the log of prior and density, but for a constant, as an expression."""
+    """Per class the log of prior and density, but for a constant, as an expression; for few features or diagonal covariances."""
     out = {}
     for c, (prior, mean, cov) in model.items():
         inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
@@ -166,6 +218,29 @@ def gaussian_scores(features: Sequence[str], model: dict[object, tuple[float, np
     return out
 
 
+def gaussian_posteriors(vector: Column, model: dict[object, tuple[float, np.ndarray, np.ndarray]]) -> Column:
+    """The posterior of every class, in the classes' order, of an array of features, a matrix product a batch; null if a feature is missing."""
+    classes = sorted(model)
+    factors = [np.linalg.cholesky(np.linalg.inv(model[c][2])) for c in classes]
+    constants = [model[c][0] - 0.5 * float(np.linalg.slogdet(model[c][2])[1]) for c in classes]
+    means = [model[c][1] for c in classes]
+
+    @F.pandas_udf("array<double>")
+    def posteriors(rows: pd.Series) -> pd.Series:
+        x = np.array([v if v is not None else [np.nan] * len(means[0]) for v in rows], float).reshape(len(rows), -1)
+        logs = np.stack([c - 0.5 * (((x - m) @ f) ** 2).sum(1) for c, m, f in zip(constants, means, factors)], axis=1)
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return pd.Series([None if np.isnan(r).any() else r.tolist() for r in p], dtype=object)
+
+    return posteriors(vector)
+
+
+def likeliest(posteriors: Column, classes: Sequence[object]) -> Column:
+    """The class of the largest posterior; ties to the one that sorts first."""
+    return F.get(F.array(*map(F.lit, sorted(classes))), F.array_position(posteriors, F.array_max(posteriors)).cast("int") - 1)
+
+
 def most_likely(scores: dict[object, Column]) -> Column:
     """The class of the largest score; ties to the one that sorts first."""
     pairs = [F.struct((-s).alias("s"), F.lit(c).alias("c")) for c, s in sorted(scores.items())]

@@ -74,31 +74,68 @@ def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.knn_impute(rows, "c_custkey", "v", ["x", "z"]).select("c_custkey", rounded(F.col("v")).alias("v"))
 
 
-@query("""WITH m AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS p, avg(embedding[1]) AS m1, avg(embedding[2]) AS m2, var_pop(embedding[1]) AS v1, var_pop(embedding[2]) AS v2 FROM embeddings GROUP BY label),
-  w AS (SELECT 1e-9 * max(greatest(v1, v2)) AS e FROM m), s AS (SELECT vec_id, m.label, p - 0.5 * (ln((v1 + e) * (v2 + e)) + (embedding[1] - m1) * (embedding[1] - m1) / (v1 + e) + (embedding[2] - m2) * (embedding[2] - m2) / (v2 + e)) AS s FROM embeddings, m, w)
-  SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s) WHERE k = 1""")
+WIDTH = 64
+#: Class means and priors over all coordinates, and deviations of every row from its own class's mean.
+CLASSES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), u AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(x) AS x FROM e),
+  m0 AS (SELECT label, i, avg(x) AS m, var_pop(x) AS v FROM u GROUP BY label, i), m AS (SELECT label, list(m ORDER BY i) AS m, list(v ORDER BY i) AS v FROM m0 GROUP BY label), p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM e)) AS p, count(*) AS n FROM e GROUP BY label),
+  d AS MATERIALIZED (SELECT e.vec_id, e.label, list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS d FROM e JOIN m USING (label))"""
+CHOSEN = "SELECT vec_id, {label}label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s) WHERE k = 1"
+
+
+@query(f"""WITH {CLASSES}, w AS (SELECT 1e-9 * max(list_max(v)) AS w FROM m),
+  s AS (SELECT vec_id, m.label, p - 0.5 * list_sum(list_transform(list_zip(x, m, v), lambda z: ln(z[3] + w) + (z[1] - z[2]) * (z[1] - z[2]) / (z[3] + w))) AS s FROM e, m JOIN p USING (label), w) {CHOSEN.format(label='')}""")
 def gaussian_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian naive Bayes of the label from two coordinates."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(2)))
-    scores = models.gaussian_scores(["x0", "x1"], models.gaussian_model(rows, ["x0", "x1"], "label", "nb"))
-    return rows.select("vec_id", models.most_likely(scores).alias("pred"))
+    """Gaussian naive Bayes of the label from all coordinates."""
+    return _discriminant(spark, sf_dir, "nb", 1e-9).drop("label")
 
 
-def _discriminant(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    names = [f"x{i}" for i in range(8)]
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)))
-    return rows.select("vec_id", "label", models.most_likely(models.gaussian_scores(names, models.gaussian_model(rows, names, "label", kind))).alias("pred"))
+def _discriminant(spark: SparkSession, sf_dir: str, kind: str, smoothing: float) -> DataFrame:
+    names = [f"x{i}" for i in range(WIDTH)]
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    model = models.gaussian_model(rows.select("label", *(F.col("x")[i].alias(n) for i, n in enumerate(names))), names, "label", kind, smoothing)
+    return rows.select("vec_id", "label", models.likeliest(models.gaussian_posteriors(F.col("x"), model), list(model)).alias("pred"))
 
 
-@query()
+#: A share of the widest variance that is added to all, as classes of the small tables have fewer rows than coordinates.
+SMOOTHING = 0.1
+
+
+def _discriminant_sql(kind: str) -> str:
+    """Covariances, each with the identity beside it brought to the identity by Gauss and Jordan's steps (the pivots give the determinant), and the quadratic forms."""
+    label, freedom = ("-1", "(SELECT count(*) - count(DISTINCT label) FROM e)") if kind == "lda" else ("label", "(count(*) - 1)")
+    widest = "w AS (SELECT max(list_max(v) * n / (n - 1)) AS w FROM m JOIN p USING (label))"
+    step = "list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / a[k + 1][k + 1]) ELSE list_transform(list_zip(r, a[k + 1]), lambda z: z[1] - z[2] * r[k + 1] / a[k + 1][k + 1]) END)"
+    return f"""WITH RECURSIVE {CLASSES}, {widest}, q AS (SELECT {label} AS g, unnest(range(1, 65)) AS i, d FROM d),
+  c0 AS (SELECT g, i, list_transform(range(1, 65), lambda j: 0.0::DOUBLE) AS z, list(d[i]) AS di, list(d) AS ds, {freedom} AS f FROM q GROUP BY g, i),
+  c AS (SELECT g, i, list_transform(range(1, 65), lambda j: list_sum(list_transform(list_zip(di, ds), lambda z: z[1] * z[2][j])) / f + CASE WHEN i = j THEN {SMOOTHING} * w ELSE 0 END) || list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM c0, w),
+  t AS (SELECT g, 0 AS k, list(r ORDER BY i) AS a, 0.0::DOUBLE AS logdet FROM c GROUP BY g UNION ALL SELECT g, k + 1, {step}, logdet + ln(a[k + 1][k + 1]) FROM t WHERE k < 64),
+  inv AS MATERIALIZED (SELECT g, list_transform(a, lambda r: r[65:128]) AS a, logdet FROM t WHERE k = 64),
+  x AS (SELECT vec_id, m.label, list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS d FROM e, m),
+  s AS (SELECT vec_id, x.label, p - 0.5 * logdet - 0.5 * list_sum(list_transform(list_zip(inv.a, d), lambda z: z[2] * list_dot_product(z[1], d))) AS s FROM x JOIN p USING (label) JOIN inv ON inv.g = {'-1' if kind == 'lda' else 'x.label'}),
+  b AS ({CHOSEN.format(label='')}) SELECT vec_id, label, pred FROM b JOIN e USING (vec_id)"""
+
+
+@query(_discriminant_sql("lda"))
 def lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear discriminant analysis of the label from eight coordinates."""
-    return _discriminant(spark, sf_dir, "lda")
+    """Linear discriminant analysis of the label from all coordinates."""
+    return _discriminant(spark, sf_dir, "lda", SMOOTHING)
 
 
-@query()
+@query(_discriminant_sql("qda"))
 def qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _discriminant(spark, sf_dir, "qda")
+    return _discriminant(spark, sf_dir, "qda", SMOOTHING)
+
+
+@query("""WITH t AS (SELECT event_type, epoch(ts) AS s, value FROM events), f AS (SELECT regr_slope(value, s) AS b, avg(s) AS ms, avg(value) AS mv FROM t)
+  SELECT event_type, count(*) AS n, round(any_value(b) * 86400, 6) AS per_day, round(avg(value - mv - b * (s - ms)), 6) AS mean, round(stddev_pop(value - mv - b * (s - ms)), 6) AS std FROM t, f GROUP BY event_type""")
+def trend_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values less their linear trend over epoch seconds, a covariate with a mean far larger than its spread."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = table(spark, sf_dir, "events").select("event_type", seconds.alias("s"), "value")
+    b = models.ridge(models.moments(rows, ["s"], "value")[None])
+    left = models.regressed_out(rows, ["value"], ["s"])
+    out = left.groupBy("event_type").agg(F.count("*").alias("n"), F.lit(float(b[1]) * 86400).alias("per_day"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return out.withColumns({c: rounded(F.col(c)) for c in ("per_day", "mean", "std")})
 
 
 @query("""WITH c AS (SELECT covar_pop(l_quantity, l_extendedprice) / (var_pop(l_quantity) + 0.5) AS b, avg(l_extendedprice) AS my, avg(l_quantity) AS mx, var_pop(l_quantity) AS v, avg(l_quantity * l_quantity) AS q, avg(l_quantity * l_extendedprice) AS xy FROM lineitem)
