@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.session import written
 from .cumulative import percentiles, with_range
 
 
@@ -122,9 +123,17 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def label_codes(df: DataFrame, column: str, code: str) -> DataFrame:
-    """df with the label's place among the sorted distinct labels, from 0; null is -1."""
+    """df with the label's place among the sorted distinct labels, from 0; null is -1.
+
+    The distinct labels are dealt by range, written, and numbered in their range, after the ranges before it.
+    """
     labels = df.select(_col(column).alias("__label")).where(F.col("__label").isNotNull()).distinct()
-    codes = labels.withColumn(code, (F.row_number().over(Window.orderBy("__label")) - 1).cast("int"))
+    ranged = written(labels.repartitionByRange("__label").withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__label")) - 1
+    codes = ranged.withColumn("__i", inside).join(F.broadcast(sizes), "__range").select("__label", (F.col("__i") + F.col("__before")).cast("int").alias(code))
     out = df.join(codes, _col(column) == F.col("__label"), "left").drop("__label")
     return out.withColumn(code, F.coalesce(code, F.lit(-1)))
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
@@ -14,6 +18,8 @@ from ..functions.scalars import draw
 SPACE = 1_000_000_007
 #: Equal parts of the draws' space; a stratum is numbered part by part, so it never meets in one task.
 SLICES = 1024
+#: Classes that stratified folds of groups may have.
+MOST_CLASSES = 1000
 
 
 def seeds(n: int) -> list[int]:
@@ -43,8 +49,18 @@ def _shuffled(df: DataFrame, by: Sequence[str], id_col: str, seed: int) -> DataF
 
 
 def k_fold(df: DataFrame, k: int, id_col: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
-    """df with fold 0 to k-1; sizes, within each stratum too, differ by one at most."""
-    return _shuffled(df, strata, id_col, seed).withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place", "__size")
+    """df with fold 0 to k-1; sizes, of the whole and within each stratum, differ by one at most.
+
+    Rows are numbered on from stratum to stratum, in the strata's order, so each begins at the fold after the last one's end.
+    """
+    rows = _shuffled(df, strata, id_col, seed)
+    if not strata:
+        return rows.withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place", "__size")
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))  # a row a stratum
+    before = F.sum("__n").over(Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*(F.col(c).alias(f"__k_{c}") for c in strata), (F.coalesce(before, F.lit(0)) % k).alias("__start"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in strata))
+    return rows.join(starts, same).select(*df.columns, ((F.col("__place") + F.col("__start")) % k).cast("int").alias("fold"))
 
 
 def leave_one_out(df: DataFrame, id_col: str) -> DataFrame:
@@ -61,13 +77,42 @@ def leave_one_of_each(df: DataFrame, label: str, id_col: str, seed: int) -> Data
 
 
 def group_k_fold(df: DataFrame, k: int, group: str, seed: int, stratum: str | None = None) -> DataFrame:
-    """df with folds that no group is split over; whole groups are dealt, by stratum of their label if given.
+    """df with folds that no group is split over: equal numbers of groups, or with a stratum about equal numbers of each class.
 
-    A group's stratum is its smallest label. Groups are numbered in a table of their own.
+    With a stratum: groups with the same rows of each class are alike, and are dealt evenly in a random
+    order. What doesn't come out even, fewer than k groups for each kind there is, is dealt one after
+    another, large groups first, to the fold where it adds least to the sum over folds and classes of
+    (rows / rows of the class)^2; then to the smallest fold, then to the first. That is a stream
+    over these groups that holds k counts a class.
     """
-    label = F.min(stratum) if stratum else F.lit(0)
-    groups = df.groupBy(group).agg(label.alias("__stratum"))
-    return df.join(k_fold(groups, k, group, seed, ["__stratum"]).select(group, "fold"), group)
+    if stratum is None:
+        return df.join(k_fold(df.select(group).distinct(), k, group, seed).select(group, "fold"), group)
+    totals = {r[0]: r[1] for r in df.groupBy(stratum).agg(F.count("*")).limit(MOST_CLASSES + 1).collect()}
+    if len(totals) > MOST_CLASSES:
+        raise ValueError(f"{stratum} has more than {MOST_CLASSES} classes")
+    classes = sorted(totals, key=lambda c: (c is not None, c if c is not None else 0))
+    counts = F.array(*(F.count_if(F.col(stratum).eqNullSafe(F.lit(c))) for c in classes))
+    groups = _shuffled(df.groupBy(group).agg(counts.alias("__rows")), ["__rows"], group, seed)
+    even = F.col("__place") < F.col("__size") - F.col("__size") % k
+    folds = groups.where(even).select(group, (F.col("__place") % k).cast("int").alias("fold"))
+    weights = np.array([1.0 / totals[c] ** 2 for c in classes])
+
+    def deal(batches):
+        held = np.zeros((k, len(classes)))
+        for batch in batches:
+            chosen = []
+            for rows in batch["__rows"]:
+                g = np.asarray(rows, float)
+                cost = [sum(n * x * w for n, x, w in zip(fold, g, weights)) for fold in held]
+                best = min(range(k), key=lambda f: (cost[f], held[f].sum(), f))
+                held[best] += g
+                chosen.append(best)
+            yield pd.DataFrame({group: batch[group], "fold": np.array(chosen, np.int32)})
+
+    size = F.aggregate("__rows", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    odd = groups.where(~even).coalesce(1).sortWithinPartitions(size.desc(), F.col("__rows").desc(), "__place").select(group, "__rows")
+    dealt = odd.mapInPandas(deal, StructType([df.schema[group], StructField("fold", IntegerType())]))
+    return df.join(folds.unionByName(dealt), group)
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:

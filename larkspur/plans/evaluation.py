@@ -194,7 +194,7 @@ def bayesian_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
-FOLDED = "SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {d}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels"
+FOLDED = "SELECT doc_id, quality, CAST((row_number() OVER (ORDER BY quality, {d}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels"
 
 
 @query(FOLDED.format(d=draw_sql("doc_id", SEED, split.SPACE)))
@@ -209,6 +209,24 @@ def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+#: The users' rows of each type; kinds of users dealt evenly but for a rest, which is dealt one after another, t.held being the folds' rows.
+STRATIFIED_GROUPS = f"""WITH RECURSIVE c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), w AS (SELECT list(1.0::DOUBLE / (n * n) ORDER BY event_type) AS w FROM c),
+  g AS (SELECT user_id, list(k ORDER BY event_type) AS v FROM (SELECT u.user_id, c.event_type, count(e.user_id) AS k FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN c LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = c.event_type GROUP BY 1, 2) GROUP BY 1),
+  m AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY {draw_sql('user_id', SEED, split.SPACE)}, user_id) - 1 AS place, count(*) OVER (PARTITION BY v) AS size FROM g),
+  r AS (SELECT *, row_number() OVER (ORDER BY list_sum(v) DESC, v DESC, place) AS r FROM m WHERE place >= size - size % 4),
+  t AS (SELECT 0::BIGINT AS r, -1::BIGINT AS user_id, list_transform(range(4), lambda f: list_transform(w, lambda x: 0::BIGINT)) AS held, -1::BIGINT AS fold, w FROM w
+    UNION ALL SELECT r, user_id, list_transform(held, lambda h, f: CASE WHEN f = fold + 1 THEN list_transform(list_zip(h, v), lambda z: z[1] + z[2]) ELSE h END), fold, w FROM
+      (SELECT r.r, r.user_id, r.v, t.held, t.w, list_sort(list_transform(range(4), lambda f: {{'cost': list_reduce([0.0::DOUBLE] || list_transform(list_zip(t.held[f + 1], r.v, t.w), lambda z: z[1]::DOUBLE * z[2] * z[3]), lambda a, b: a + b), 'size': list_sum(t.held[f + 1]), 'fold': f}}))[1].fold AS fold FROM t JOIN r ON r.r = t.r + 1)),
+  f AS (SELECT user_id, place % 4 AS fold FROM m WHERE place < size - size % 4 UNION ALL SELECT user_id, fold FROM t WHERE r > 0)"""
+
+
+@query(f"{STRATIFIED_GROUPS} SELECT CAST(fold AS INTEGER) AS fold, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events JOIN f USING (user_id) GROUP BY 1, 2")
+def stratified_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of whole users with about equal numbers of each type of event."""
+    rows = split.group_k_fold(table(spark, sf_dir, "events").select("user_id", "event_type"), 4, "user_id", SEED, "event_type")
+    return rows.groupBy("fold", "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 @query("SELECT e.user_id, CAST(g.fold AS INTEGER) AS fold, count(*) AS n FROM events e JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS fold FROM (SELECT DISTINCT user_id FROM events)) g USING (user_id) GROUP BY 1, 2")
 def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split.leave_one_group_out(table(spark, sf_dir, "events").select("user_id"), "user_id")
