@@ -62,7 +62,7 @@ def hot_rows(total: int) -> int:
     return max(HOT, -(-total // HOT_KEYS))
 
 
-def join_spread(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str | list[str], hot: DataFrame, how: str) -> DataFrame:
     """rows joined with lookup, which has a key at most once; the rows of hot keys meet it where they are.
 
     hot: a written table (key) of at most HOT_KEYS rows. The other rows are shuffled; none of their keys is large.

@@ -5,8 +5,9 @@
    the page's own host and the numbers in running text masked, so that a copyright line or a page
    counter is equal on all pages.
 2. Spark counts on how many different pages of a host, and of its registered domain, a subtree
-   stands. HOST_PAGES or DOMAIN_PAGES of them make it a template. Pages are different if their two
-   longest blocks are. The counts are absolute: a template stays one however large its host grows.
+   stands. HOST_PAGES or DOMAIN_PAGES of them make it a template. Pages are different for a subtree if what
+   they show outside of it is, whatever its length; so an article that is repeated in one frame counts once, and
+   a frame around many articles as often as there are articles. The counts are absolute: a template stays one however large its host grows.
    Prose of an article (its headings, paragraphs, lists, quotes, tables) is never counted, so that an
    article published on many pages of a host stays whole.
 3. A second parse deletes the template subtrees. What HTML itself says of an element comes next, for
@@ -32,6 +33,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +144,8 @@ class Page:
         self.gone = bytearray()
         self.inside = bytearray()
         self.subtrees: list[tuple[int, int, int]] = []
+        self._marks: list[tuple[int, int, int, bool]] = []  # (first block, end, bits, not its headings): what drops blocks
+        self._weights: list[int] = []  # a digest of each block, masked
         self._open: list[_Node] = [_Node("#", 0, 0, False)]
         self._text: list[str] = []
         self._anchors = self._linked = self._articles = self._mains = 0
@@ -176,6 +180,21 @@ class Page:
         while len(self._open) > 1:
             self._close(False)
         self._flush()
+        self._mark()
+
+    def _mark(self) -> None:
+        """Sets ``gone``: the bits of all ranges that a block is in, by sums along the blocks, however deep they nest."""
+        n = len(self.blocks)
+        begins = np.zeros((2, 4, n + 1), np.int32)
+        for first, end, bits, spare in self._marks:
+            for k in range(4):
+                if bits >> k & 1:
+                    begins[int(spare), k, first] += 1
+                    begins[int(spare), k, end] -= 1
+        inside = begins.cumsum(axis=2)[:, :, :n] > 0
+        bit = np.array([BY_NATURE, BY_MARKUP, BY_CLASS, HEADING])[:, None]
+        whole, spared = ((x * bit).sum(axis=0) for x in inside)
+        self.gone = bytearray((whole | np.where(inside[0, 3], 0, spared)).astype(np.uint8).tobytes())
 
     def _add(self, text: str) -> None:
         self._text.append(text)
@@ -190,9 +209,10 @@ class Page:
         if text:
             node = self._open[-1]
             self.blocks.append(text)
-            self.gone.append(0)
             self.inside.append(2 if self._articles else 1 if self._mains else 0)
-            node.parts.append(b"\1" + self._masked(text, node.tag).encode("utf-8", "surrogatepass"))
+            masked = self._masked(text, node.tag).encode("utf-8", "surrogatepass")
+            self._weights.append(int.from_bytes(hashlib.blake2b(masked, digest_size=8).digest()))
+            node.parts.append(b"\1" + masked)
             node.chars += len(text)
             node.anchor_chars += min(self._linked, len(text))
         self._linked = 0
@@ -276,16 +296,11 @@ class Page:
             # an element that wraps the article, such as a form around the whole page, isn't dropped
             wraps = node.main and (not closed or tag in ("form", "header") or not drops & BY_NATURE and tag not in LANDMARKS)
             if not wraps:
-                headline = tag == "header" and in_main
-                for i in range(first, end):
-                    if not (headline and self.gone[i] & HEADING):
-                        self.gone[i] |= drops
+                self._marks.append((first, end, drops, tag == "header" and in_main))
         elif tag in HEADINGS:
-            for i in range(first, end):
-                self.gone[i] |= HEADING
+            self._marks.append((first, end, HEADING, False))
         elif not node.main and not in_main and tag in ("ul", "ol", "div", "table", "section") and node.links >= 3 and 5 * node.anchor_chars >= 4 * node.chars:
-            for i in range(first, end):
-                self.gone[i] |= BY_MARKUP  # a list of links outside the article is a menu
+            self._marks.append((first, end, BY_MARKUP, False))  # a list of links outside the article is a menu
         if not node.main and not (tag in PROSE and (in_main or tag in CONTAINERS)) and tag not in ("body", "html", "head", "title"):
             self.subtrees.append((int.from_bytes(digest, signed=True), first, end))
 
@@ -293,41 +308,45 @@ class Page:
         """The main text without the subtrees in templates."""
         rules = BY_NATURE | (BY_MARKUP if by_markup else 0) | (BY_CLASS if by_class else 0)
         ruled = [bool(g & rules) for g in self.gone]
-        gone = list(ruled)
-        if templates:
-            for digest, first, end in self.subtrees:
-                if digest in templates:
-                    gone[first:end] = [True] * (end - first)
+        found = [0] * (len(self.blocks) + 1)
+        for digest, first, end in self.subtrees if templates else ():
+            if digest in templates:
+                found[first] += 1
+                found[end] -= 1
+        gone = [r or depth > 0 for r, depth in zip(ruled, accumulate(found))]
         # a container counts only with blocks that markup keeps, so a page's comments aren't its article
         level = max((x for x, g in zip(self.inside, ruled) if not g), default=0) if by_markup else 0
         return "\n\n".join(b for b, g, x in zip(self.blocks, gone, self.inside) if not g and x >= level)
 
-    def identity(self) -> int:
-        """A digest of the page's two longest blocks; equal for pages that differ in their frames only."""
-        longest = sorted(self.blocks, key=len, reverse=True)[:2]
-        return int.from_bytes(hashlib.blake2b("\0".join(longest).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+    def rests(self) -> list[int]:
+        """For each of ``digests``, a digest of the seen blocks outside of that subtree, wherever it stands: a sum, so that it takes no time."""
+        seen = [0, *accumulate(w if not g & BY_NATURE else 0 for w, g in zip(self._weights, self.gone))]
+        inside: dict[int, int] = {}
+        for digest, first, end in self.subtrees:
+            inside[digest] = inside.get(digest, 0) + seen[end] - seen[first]
+        return [((seen[-1] - inside[d]) & (1 << 64) - 1) - (1 << 63) for d in self.digests()]
 
     def digests(self) -> list[int]:
         return sorted({d for d, _, _ in self.subtrees})
 
 
-SUBTREES = "page binary, identity long, host_keys array<long>, domain_keys array<long>"
+SUBTREES = "page binary, rests array<long>, host_keys array<long>, domain_keys array<long>"
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page, identity, host_keys, domain_keys) of each page (page, host, domain, html)."""
+    """(page, rests, host_keys, domain_keys) of each page (page, host, domain, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whose, by_host, by_domain = [], [], []
             for host, domain, html in zip(*(batch.column(c).to_pylist() for c in ("host", "domain", "html"))):
                 page = Page(html or "", host)
-                whose.append(page.identity())
+                whose.append(page.rests())
                 digests = page.digests()
                 by_host.append(keys_of(digests, site_key(host)))
                 by_domain.append(keys_of(digests, site_key("." + domain)))
-            cells = [batch.column("page"), pa.array(whose, pa.int64()), pa.array(by_host, pa.list_(pa.int64())), pa.array(by_domain, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cells, names=["page", "identity", "host_keys", "domain_keys"])
+            cells = [batch.column("page"), pa.array(whose, pa.list_(pa.int64())), pa.array(by_host, pa.list_(pa.int64())), pa.array(by_domain, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["page", "rests", "host_keys", "domain_keys"])
 
     return map_in_arrow(pages.select("page", "host", "domain", "html"), run, SUBTREES)
 
@@ -346,7 +365,7 @@ def site_templates(found: DataFrame, host_pages: int = HOST_PAGES, domain_pages:
     least = {"host_keys": host_pages, "domain_keys": domain_pages}
     parts = []
     for keys, n in least.items():
-        each = found.select("identity", F.explode(keys).alias("key")).distinct()
+        each = found.select(F.explode(F.arrays_zip(F.col("rests").alias("rest"), F.col(keys).alias("key"))).alias("x")).select("x.*").distinct()
         parts.append(each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= n))
     return parts[0].unionByName(parts[1])
 

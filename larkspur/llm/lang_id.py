@@ -34,6 +34,8 @@ from .common import map_in_arrow
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
+#: Languages that are learned, those with the most rows; the model is broadcast, half a megabyte for each.
+MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 FLOOR_SHARE = 0.01
@@ -141,8 +143,10 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     below = F.least(F.lit(1.0), per_language / F.col("n")) * 1_000_000
-    sizes = sizes.select("lang", below.cast("long").alias("__below"))
-    langs = sorted(r.lang for r in sizes.select("lang").collect())
+    sizes = sizes.select("lang", "n", below.cast("long").alias("__below"))
+    found = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang", "__below").collect()
+    sizes = docs.sparkSession.createDataFrame(found, "lang string, __below long")
+    langs = sorted(r.lang for r in found)
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
     return langs, rows.join(F.broadcast(sizes), "lang").where(place < F.col("__below")).select("text", "lang")
 

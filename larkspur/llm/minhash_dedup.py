@@ -300,11 +300,12 @@ def confirm(table: pa.Table) -> Iterator[tuple[int, int]]:
     return iter(_stars(table.column("rep").to_pylist(), linked_pairs(sets, None if asked.all() else asked)))
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """members (comp, rep, n) with size and the number of chunks of their component."""
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sizes = write(members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "sizes")
+    hot = sizes.where(F.col("size") > hot_rows(sizes.agg(F.sum("size")).first()[0] or 0)).select("comp")
     chunks = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("int")
-    return members.join(sizes.select("comp", "size", F.when(F.col("size") <= 2, 1).otherwise(chunks).alias("chunks")), "comp")
+    return join_spread(members, sizes.select("comp", "size", F.when(F.col("size") <= 2, 1).otherwise(chunks).alias("chunks")), "comp", hot, "inner")
 
 
 def _tokens(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -328,8 +329,9 @@ def _reachable(docs: DataFrame, large: DataFrame, asked: DataFrame, write: Calla
     common, so of each set's tokens, rarest first, one of the first n - ceil(n PERCENT / 100) + 1 is common.
     """
     tokens = write(_tokens(docs, large), "tokens")
-    often = tokens.groupBy("comp", "token").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = tokens.join(often, ["comp", "token"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    often = write(tokens.groupBy("comp", "token").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    hot = often.where(F.col("f") > hot_rows(often.agg(F.sum("f")).first()[0] or 0)).select("comp", "token")
+    ranked = join_spread(tokens, often, ["comp", "token"], hot, "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("comp", "rep").orderBy("f", "token"))
     prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("f > 1")
     prefix = write(prefix.select("comp", "token", "rep", "f"), "prefix")
@@ -343,7 +345,7 @@ def _reachable(docs: DataFrame, large: DataFrame, asked: DataFrame, write: Calla
 
 def confirmed_components(docs: DataFrame, members: DataFrame, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, component) over confirmed links. docs: (id, text); members: (comp, rep, n) to compare."""
-    dealt = write(_dealt(members), "members")
+    dealt = write(_dealt(members, write), "members")
     texts = docs.join(small(dealt, dealt.count()), docs["id"] == dealt["rep"]).select("comp", "rep", "text", "size", "chunks")
     many = F.col("chunks") > 1
     anchor = many & (_chance(2, "rep") * F.col("size") < ANCHORS * (1 << 40))
@@ -358,14 +360,17 @@ def confirmed_components(docs: DataFrame, members: DataFrame, write: Callable[[D
     large = dealt.where(many).join(found, F.col("rep") == F.col("node"), "left").select("comp", "rep", "n", "size", "chunks", F.coalesce("component", "rep").alias("part"))
     large = write(large, "members")
     main = large.groupBy("comp", "part").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    left = large.join(main, "comp").where("part <> main")
+    # large components are the hot keys of all that follows; the others are in no join by component
+    total = large.count()
+    hot = write(large.where(F.col("size") > hot_rows(total)).select("comp").distinct(), "hot")
+    left = join_spread(large, write(main, "main"), "comp", hot, "inner").where("part <> main")
     blocks = left.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
     blocks = write(blocks, "blocks")
     if not blocks.limit(1).count():
         return found
-    asked = left.select("comp", "rep").join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    asked = join_spread(left.select("comp", "rep"), blocks, "comp", hot, "inner").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     asked = write(asked.select("rep", F.col("block").alias("own_block")), "asked")
-    loose = large.join(blocks.select("comp"), "comp", "left_semi")
+    loose = join_spread(large, blocks.select("comp"), "comp", hot, "left_semi")
     reach = write(_reachable(docs, loose.select("comp", "rep", "n", "part"), asked, write), "reach")
     every_chunk = F.sequence(F.lit(0), F.col("chunks") - 1)
     # a left-over class goes, asked, to every chunk of its block; every class that a link could reach to its chunk of that block

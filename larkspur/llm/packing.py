@@ -40,54 +40,49 @@ from .common import map_in_arrow, materialize
 CAPACITY = 2048
 PER_SOURCE = 4
 TASK_ROWS = GROUP_ROWS = 65_536
+#: Refusing bins that are met one by one; a bitmap of them is kept beyond.
+FEW_BINS = 32
 SPACE = "[ \\t\\n\\x0b\\f\\r]"
 PLACED = "doc_id long, piece int, start long, size int, bin long, position int, bin_size int"
 
 
 class Bins:
-    """Open bins by residual capacity; ``place`` finds the tightest compatible one."""
+    """Open bins by residual capacity; ``place`` finds the tightest compatible one, of equally tight ones the oldest.
+
+    Each bin carries bitmaps of its clusters and sources. Those of clusters and sources with many
+    documents are kept the other way round too, as bitmaps of the bins that refuse them, so the search
+    steps over any number of refusing bins at once; the bins' own bitmaps settle the few others.
+    """
 
     def __init__(self, capacity: int, per_source: int):
         self.per_source = per_source
         self.residuals = 0  # bit r: some bin has residual r
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual, oldest first
+        self.at = [0] * (capacity + 1)  # bitmap of the bins of each residual
         self.clusters: list[int] = []
         self.sources: list[list[int]] = []  # of each bin: bitmap of sources with more than 0, 1, ... documents
         self.left: list[int] = []
         self.capacity = capacity
-        self._last: tuple[int, int, int] | None = None
-        self._from = (0, 0)
+        self._bins_of: dict[tuple[str, int], list[int]] = {}  # bins that refuse a cluster or a source, up to FEW_BINS
+        self._refusing: dict[tuple[str, int], int] = {}  # their bitmap, beyond
 
     def place(self, size: int, source: int, cluster: int) -> int:
-        """The bin that takes a document; source and cluster are bits, 0 for none.
-
-        For a document like the last one the search goes on where it ended: bins passed over stay
-        incompatible, and those that have moved since hold its like.
-        """
-        same = cluster and self._last == (size, source, cluster)
-        residual, k = self._from if same else (size, 0)
-        full = self.per_source - 1
-        while True:
-            rest = self.residuals >> residual
-            if not rest:
-                residual, k = self.capacity + 1, 0
-                break
-            step = (rest & -rest).bit_length() - 1
-            if step:
-                residual, k = residual + step, 0
-            bins = self.at[residual]
-            while k < len(bins):
-                b = bins[k]
+        """The bin that takes a document; source and cluster are bits, 0 for none."""
+        refuse = self._refusing.get(("c", cluster), 0) | self._refusing.get(("s", source), 0)
+        full, residual = self.per_source - 1, size
+        while rest := self.residuals >> residual:
+            residual += (rest & -rest).bit_length() - 1
+            open_ = self.at[residual] & ~refuse if refuse else self.at[residual]
+            while open_:
+                low = open_ & -open_
+                b = low.bit_length() - 1
                 if not (self.clusters[b] & cluster or self.sources[b][full] & source):
-                    self._last, self._from = (size, source, cluster), (residual, k)
-                    del bins[k]
-                    if not bins:
+                    self.at[residual] ^= low
+                    if not self.at[residual]:
                         self.residuals ^= 1 << residual
                     self._add(b, residual - size, source, cluster)
                     return b
-                k += 1
-            residual, k = residual + 1, 0
-        self._last, self._from = (size, source, cluster), (residual, k)
+                open_ ^= low
+            residual += 1
         self.clusters.append(0)
         self.sources.append([0] * self.per_source)
         self.left.append(self.capacity)
@@ -97,15 +92,30 @@ class Bins:
 
     def _add(self, b: int, residual: int, source: int, cluster: int) -> None:
         self.left[b] = residual
-        self.at[residual].append(b)
+        self.at[residual] |= 1 << b
         self.residuals |= 1 << residual
         self.clusters[b] |= cluster
+        if cluster:
+            self._refused("c", cluster, b)
         planes = self.sources[b]
         for k in range(self.per_source):
             if not planes[k] & source:
                 planes[k] |= source
+                if source and k == self.per_source - 1:
+                    self._refused("s", source, b)
                 break
 
+    def _refused(self, kind: str, bit: int, b: int) -> None:
+        """Notes that a bin refuses a cluster or source from now on."""
+        key = kind, bit
+        if key in self._refusing:
+            self._refusing[key] |= 1 << b
+            return
+        bins = self._bins_of.setdefault(key, [])
+        bins.append(b)
+        if len(bins) > FEW_BINS:
+            self._refusing[key] = sum(1 << x for x in self._bins_of.pop(key))
+
 
 def _bits(values: np.ndarray, known: np.ndarray, alone: bool) -> list[int]:
     """A bit for each value that is known; alone: also for values that occur once, which can't conflict else."""

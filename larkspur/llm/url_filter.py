@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import BROADCAST_ROWS, hot_rows, join_spread, materialize
 
 #: (action, host, path) of the rules used in production.
 RULES = (
@@ -126,6 +126,7 @@ def filter_urls(
     rules: Sequence[tuple[str, str, str]] = RULES,
     z: float = Z,
     block_at: float = BLOCK_AT,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, reputation) for every row of pages."""
     host, path = url_parts(pages[url_col])
@@ -133,9 +134,15 @@ def filter_urls(
     rule, action = first_rule(F.col("host"), F.col("path"), rules)
     judged = parts.withColumns({"rule": rule, "action": action})
     bad = F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0)
-    hosts = materialize(host_reputation(judged.select("host", bad.alias("bad")), z), "reputation")
-    hosts = small(hosts.select("host", F.col("lower").alias("reputation")), hosts.count())
+    reputation = materialize(host_reputation(judged.select("host", bad.alias("bad")), z), "reputation")
+    hosts = reputation.select("host", F.col("lower").alias("reputation"))
+    if reputation.count() <= broadcast_rows:
+        known = judged.join(F.broadcast(hosts), "host", "left")
+    else:  # the pages of a host with many of them stay where they are
+        crowded = hot_rows(judged.count())
+        many = materialize(judged.groupBy("host").count().where(F.col("count") > crowded).select("host"), "hot")
+        known = join_spread(judged, hosts, "host", many, "left")
     method = F.when(F.col("reputation") >= block_at, "block").otherwise("allow")
-    return judged.join(hosts, "host", "left").select(
+    return known.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "reputation"
     )

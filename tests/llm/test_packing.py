@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -37,6 +39,35 @@ def test_always_the_tightest_compatible_bin(items, per_source, in_order):
         assert left[b] == bins.left[b] >= 0
 
 
+def test_one_text_of_many_sources_takes_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        bins = best_fit(np.full(n, 50), np.repeat(np.arange(1, n // 2 + 1), 2), np.full(n, 7), 2048, 4)
+        assert sorted(bins) == list(range(n))
+        return time.perf_counter() - began
+
+    took(1_000)
+    assert took(32_768) < 8 * took(8_192) + 0.2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_clusters_and_sources_choose_as_a_scan_does(seed):
+    """More refusing bins than are met one by one."""
+    rng = np.random.default_rng(seed)
+    n, capacity, per_source = 600, 40, 2
+    sizes = np.sort(rng.integers(1, 20, n))[::-1]
+    sources, clusters = np.where(rng.random(n) < 0.5, 1, rng.integers(0, 9, n)), np.where(rng.random(n) < 0.4, 3, rng.integers(0, 200, n))
+    got, held, left = best_fit(sizes, sources, clusters, capacity, per_source), [], []
+    for size, source, cluster, b in zip(sizes.tolist(), sources.tolist(), clusters.tolist(), got):
+        fits = [(left[i], i) for i, x in enumerate(held) if left[i] >= size and not (cluster and any(c == cluster for _, c in x)) and not (source and sum(s == source for s, _ in x) >= per_source)]
+        assert b == (min(fits)[1] if fits else len(held))
+        if b == len(held):
+            held.append([])
+            left.append(capacity)
+        held[b].append((source, cluster))
+        left[b] -= size
+
+
 def test_bits_keep_values_apart():
     n = 300
     sizes, none = np.full(n, 1), np.zeros(n, np.int64)

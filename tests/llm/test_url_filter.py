@@ -100,3 +100,11 @@ def test_a_very_long_url(spark):
     url = "https://" + "a." * 50_000 + "net/es/" + "x" * 1_000_000 + "?q"
     r = filter_urls(spark.createDataFrame([(1, url, "")], PAGES)).first()
     assert r.host == "a." * 50_000 + "net" and len(r.path) == 1_000_004 and r.rule == "net/es/" and r.verdict == "block"
+
+
+def test_hosts_beyond_a_broadcast_are_joined_where_their_pages_are(spark, small_dir):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    hot = spark.range(2_000).selectExpr("id + 100000 as page_id", "'http://hot.example.org/' as url", "'' as html")
+    every = pages.unionByName(hot)
+    rows = lambda n: sorted(map(tuple, filter_urls(every, broadcast_rows=n).collect()))
+    assert rows(0) == rows(200_000)
