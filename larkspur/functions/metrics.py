@@ -64,8 +64,11 @@ BINARY_ONLY = ("recall", "precision", "f1", "roc_auc")
 
 
 def metric(name: str) -> Callable[..., Column]:
-    """The metric of a name; others are an error, nothing is evaluated."""
-    known = CLASSIFICATION | REGRESSION
+    """The metric of a name, as an aggregate of truth and prediction; others are an error, nothing is evaluated.
+
+    The cross entropies take log posteriors in the place of the prediction. ``evaluate`` knows roc_auc too, which is no single aggregate.
+    """
+    known = CLASSIFICATION | REGRESSION | {"cross_entropy": cross_entropy, "norm_cross_entropy": norm_cross_entropy, "norm_expected_cost": norm_expected_cost}
     if name not in known:
         raise KeyError(f"no metric {name!r}; there are {sorted(known)}")
     return known[name]
@@ -180,3 +183,35 @@ def on_grid(curve: DataFrame, points: int = 100, by: Sequence[str] = ()) -> Data
         F.col("l.tpr") + (F.col("r.tpr") - F.col("l.tpr")) * (F.col("x") - F.col("l.fpr")) / gap
     )
     return both.select(*keys, F.col("x").alias("grid"), F.when(F.col("step") == 0, 0.0).when(F.col("step") == last, 1.0).otherwise(between).alias("tpr"))
+
+
+#: Metrics that ``evaluate`` finds by name, and those of them that are better the smaller they are.
+EVALUATED = ("roc_auc", "cross_entropy", "norm_cross_entropy", "norm_expected_cost", *CLASSIFICATION, *REGRESSION)
+SMALLER_IS_BETTER = ("cross_entropy", "norm_cross_entropy", "norm_expected_cost", "mae", "mse")
+
+
+def evaluate(df: DataFrame, name: str, classes: int = 2, costs: Sequence[Sequence[float]] | None = None, y: str = "y", score: str = "score", pred: str = "pred", posterior: str = "posterior") -> float | None:
+    """A metric by name of rows (y, score, pred, posterior), each metric using what it needs; null if it is undefined.
+
+    Expected costs are of the Bayes decisions under costs[class][decision], errors at a cost of 1 if not given.
+    """
+    if name not in EVALUATED:
+        raise KeyError(f"no metric {name!r}; there are {sorted(EVALUATED)}")
+    if name in BINARY_ONLY and classes > 2:
+        raise ValueError(f"{name} is for two classes, not for {classes}")
+    truth = F.col(y)
+    if name == "roc_auc":
+        found = roc_auc(df, y, score).first()
+        return None if found is None else found.auc
+    if name in ("cross_entropy", "norm_cross_entropy", "norm_expected_cost"):
+        logs = log_posteriors(F.col(posterior))
+        if name == "norm_expected_cost":
+            matrix = costs or [[float(c != d) for d in range(classes)] for c in range(classes)]
+            value = norm_expected_cost(truth, bayes_decision(logs, matrix), matrix)
+        else:
+            value = cross_entropy(truth, logs) if name == "cross_entropy" else norm_cross_entropy(truth, logs, classes)
+    elif name == "balanced_accuracy":
+        value = balanced_accuracy(truth, F.col(pred), range(classes))
+    else:
+        value = metric(name)(truth, F.col(pred))
+    return df.agg(value.alias("v")).first().v

@@ -14,15 +14,12 @@ from pyspark.sql.window import Window
 from ..functions.scalars import draw, drawn
 from ..functions.special import t_two_sided
 from ..sources.session import written
+from .auction import auction
 from .cumulative import cumulative
 from .describe import long_form
 
-#: Most rows of the smaller and of the larger group that one assignment problem gets.
-MOST_SMALL, MOST_LARGE = 1024, 4096
-#: Times that a larger block is cut into cells, before what is left is cut into runs.
-CELL_STEPS = 3
-#: Parts in which rows of one value are numbered.
-PARTS = 1024
+#: Most rows of the smaller and of the larger group that a task solves as one matrix (128 MB); an auction in rounds solves larger blocks.
+MOST_SMALL, MOST_LARGE = 2048, 8192
 #: Of a set, a for train and b for test: rows, their sum and their sum of squares.
 SUMS = ("n_a", "x_a", "xx_a", "n_b", "x_b", "xx_b")
 
@@ -98,28 +95,12 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _numbered(df: DataFrame, id_col: str, order: str, keys: Sequence[str]) -> DataFrame:
-    """df with __place, each row's number from 0 within keys by a column; equal values are numbered part by part."""
-    df = df.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)))
-    steps = cumulative(df.groupBy(*keys, order).agg(F.count("*").alias("__k")), keys, order, {"__k": "__upto"})
-    parts = df.groupBy(*keys, order, "__part").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*keys, order).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__earlier", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    parts = parts.join(steps, [*keys, order]).select(*keys, order, "__part", (F.col("__upto") - F.col("__k") + F.col("__earlier")).alias("__before"))
-    inside = Window.partitionBy(*keys, order, "__part").orderBy(id_col)
-    out = df.withColumn("__in", F.row_number().over(inside)).join(parts, [*keys, order, "__part"])
-    return out.withColumn("__place", F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
-
-
 def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """(pair_id, small_id, large_id, distance): one-to-one pairs of least total distance that agree on exact.
 
-    A block of equal exact values is an assignment problem. One of more than MOST_SMALL or MOST_LARGE
-    rows is cut into cells of at most MOST_LARGE rows of both groups, by row numbers along each
-    covariate in turn, equal values included; what a cell leaves over is cut anew, CELL_STEPS times in
-    all. The rest is cut along the first covariate into runs that have partners enough for all of
-    their rows of the smaller group. So that is always used up; the total distance is least within
-    cells and runs only.
+    A block of equal exact values is an assignment problem. Up to MOST_SMALL x MOST_LARGE rows a task
+    solves it as one matrix; larger blocks are solved by an auction in rounds (see ``auction``), whose
+    total is above the least one by at most its epsilon a pair, a thousandth of the rows' typical spacing.
     """
     found = _assigned(z_scored(df, numeric), id_col, group, numeric, exact)
     return found.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "distance")
@@ -156,43 +137,6 @@ def _sizes(z: DataFrame, group: str, exact: Sequence[str]) -> DataFrame:
     return sizes.where("__a > 0 and __b > 0").withColumn("__big", ~fits)
 
 
-def _with_sizes(z: DataFrame, sizes: DataFrame, exact: Sequence[str]) -> DataFrame:
-    return z.join(sizes, list(exact)) if exact else z.crossJoin(F.broadcast(sizes))
-
-
-def _cells(z: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str], largest: int) -> DataFrame:
-    """z with __run: a block's cells of equal numbers of rows, along as many covariates as there are halvings of it."""
-    cells = F.when(F.col("__big"), F.greatest(F.ceil((F.col("__a") + F.col("__b")) / MOST_LARGE), F.lit(2))).otherwise(1)
-    ways = F.greatest(F.least(F.ceil(F.log2(cells)), F.lit(len(columns))), F.lit(1))
-    sizes = _sizes(z, group, exact).withColumns({"__ways": ways, "__parts": F.ceil(F.pow(cells.cast("double"), 1 / ways)).cast("long")})
-    rows = _with_sizes(z, sizes.select(*exact, "__ways", "__parts"), exact).withColumn("__run", F.lit(0).cast("long"))
-    for j, c in enumerate(columns[: max(1, (largest - 1).bit_length())]):
-        keys = [*exact, "__run"]
-        rows = written(_numbered(rows, id_col, c, keys))
-        counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-        part = F.when(F.col("__ways") > j, F.expr("__place * __parts div __n")).otherwise(F.lit(0))
-        rows = rows.join(counts, keys).withColumn("__run", F.col("__run") * F.col("__parts") + part).drop("__place", "__n")
-    return rows.drop("__ways", "__parts")
-
-
-def _runs(z: DataFrame, id_col: str, group: str, column: str, exact: Sequence[str]) -> DataFrame:
-    """z with __run: runs along a covariate, each with as large a share of the smaller group as of the larger one."""
-    small, large = F.least("__a", "__b"), F.greatest("__a", "__b")
-    # a run's rows of the larger group are rounded up twice
-    runs = F.when(F.col("__big"), F.greatest(F.ceil(small / MOST_SMALL), F.ceil(large / (MOST_LARGE - 2)))).otherwise(1)
-    flip = (F.col("__a") > F.col("__b")).cast("int")
-    sizes = _sizes(z, group, exact).select(*exact, small.alias("__small"), large.alias("__large"), flip.alias("__flip"), runs.cast("long").alias("__runs"))
-    rows = _numbered(_with_sizes(z, sizes, exact), id_col, column, [*exact, group])
-    # run r begins at row r * small div runs of the smaller group, and at as many and
-    # r * (large - small) div runs more of the larger one
-    begin = "({r} * __small div __runs + {r} * (__large - __small) div __runs)"
-    near = [f"(__place * __runs div __large + {k})" for k in (2, 1)]
-    of_large = " ".join(f"when {r} < __runs and {begin.format(r=r)} <= __place then {r}" for r in near)
-    of_large = F.expr(f"case {of_large} else __place * __runs div __large end")
-    of_small = F.expr("((__place + 1) * __runs - 1) div __small")
-    return rows.withColumn("__run", F.when(F.col(group) + F.col("__flip") == 1, of_small).otherwise(of_large))
-
-
 def _solved(rows: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """(small_id, large_id, distance) by an assignment for each run of each block."""
 
@@ -219,26 +163,26 @@ def _without(z: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
-    """(small_id, large_id, distance) by assignment in blocks, cells and runs, over columns scored already."""
+    """(small_id, large_id, distance) by assignment in blocks, over columns scored already."""
     columns = [f"z_{c}" for c in numeric]
     z = z.select(id_col, group, *exact, *columns)
-    most = lambda df: _sizes(df, group, exact).agg(F.max("__big").alias("big"), F.max(F.col("__a") + F.col("__b")).alias("n")).first()
-    state = most(z)
-    if not state.big:
+    sizes = _sizes(z, group, exact)
+    if not sizes.agg(F.max("__big")).first()[0]:
         return _solved(z.withColumn("__run", F.lit(0)), id_col, group, columns, exact)
-    rest, out = written(z), None
-    for step in range(CELL_STEPS + 1):
-        if step < CELL_STEPS:
-            rows = _cells(rest, id_col, group, columns, exact, max(2, -(-state.n // MOST_LARGE)))
-        else:
-            rows = _runs(rest, id_col, group, columns[0], exact)
-        found = written(_solved(rows, id_col, group, columns, exact))
-        out = found if out is None else out.unionByName(found)
-        rest = _without(rest, found, id_col)
-        state = most(rest)
-        if state.n is None:
-            break
-    return out
+    z, sizes = written(z), written(sizes)
+    with_sizes = lambda rows: z.join(rows, list(exact)) if exact else z.crossJoin(F.broadcast(rows))
+    out = _solved(with_sizes(sizes.where("not __big")).withColumn("__run", F.lit(0)), id_col, group, columns, exact)
+    # the smaller group of a block bids for rows of the larger one
+    flipped = F.col("__a") > F.col("__b")
+    block = F.xxhash64(*exact) if exact else F.lit(0).cast("bigint")
+    zero = [] if columns else [F.lit(0.0).alias("__zero")]
+    rows = with_sizes(sizes.where("__big")).select(block.alias("block"), F.col(id_col).cast("bigint").alias("id"), *columns, *zero, ((F.col(group) == 1) != flipped).alias("__bids"), flipped.alias("__flip"))
+    rows = written(rows)
+    pairs, _ = auction(rows.where("__bids"), rows.where("not __bids"), columns or ["__zero"])
+    flips = rows.select(F.col("id").alias("bidder"), "__flip")
+    pairs = pairs.join(flips, "bidder")
+    ids = F.when(F.col("__flip"), F.struct(F.col("item").alias("small_id"), F.col("bidder").alias("large_id"))).otherwise(F.struct(F.col("bidder").alias("small_id"), F.col("item").alias("large_id")))
+    return out.unionByName(pairs.select(ids.alias("ids"), F.col("cost").alias("distance")).select("ids.*", "distance"))
 
 
 def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], caliper: float = 0.05) -> DataFrame:

@@ -330,14 +330,15 @@ def knn_regress(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, t
     return near.groupBy("query_id").agg(F.avg("__y").alias("pred"))
 
 
-def knn_impute(df: DataFrame, id_col: str, column: str, others: Sequence[str], k: int = 5) -> DataFrame:
-    """df with the column's nulls as the mean of the k nearest rows where it is known, by the other columns.
+def knn_impute(df: DataFrame, id_col: str, column: str, others: Sequence[str], k: int = 5, train: Column | None = None) -> DataFrame:
+    """df with the column's nulls as the mean of the k nearest (training) rows where it is known, by the other columns.
 
     Distances are over the coordinates that both rows have, scaled up to all; a row with none stays null.
     """
+    use = F.lit(True) if train is None else train
     rows = df.withColumn("__v", F.array(*(F.col(c).cast("double") for c in others)))
     missing = rows.where(F.col(column).isNull())
-    pred = knn_regress(missing, rows.where(F.col(column).isNotNull()), id_col, "__v", column, k)
+    pred = knn_regress(missing, rows.where(F.col(column).isNotNull() & use), id_col, "__v", column, k)
     out = df.join(pred.withColumnRenamed("query_id", id_col), id_col, "left")
     return out.withColumn(column, F.coalesce(column, "pred")).select(*df.columns)
 
@@ -390,10 +391,72 @@ def _linear(l1: float):
     return make
 
 
+#: The number of a row of a fit, by which neighbours' search knows rows.
+ROW = "__row"
+
+
+class Gaussian:
+    """lda, qda or nb as an estimator of (features, label), the labels being 0, 1, ...; ``transform`` adds posterior and prediction."""
+
+    def __init__(self, kind: str, smoothing: float):
+        self.kind, self.smoothing = kind, smoothing
+
+    def fit(self, rows: DataFrame) -> Gaussian:
+        from pyspark.ml.functions import vector_to_array
+
+        plain = rows.select("label", vector_to_array("features").alias("v"))
+        width = plain.select(F.size("v")).first()[0]
+        names = [f"x{i}" for i in range(width)]
+        self.model = gaussian_model(plain.select("label", *(F.col("v")[i].alias(n) for i, n in enumerate(names))), names, "label", self.kind, self.smoothing)
+        self.numClasses = int(max(self.model)) + 1
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        classes = sorted(self.model)
+        found = gaussian_posteriors(vector_to_array("features"), self.model)
+        of = {int(c): i for i, c in enumerate(classes)}
+        every = F.array(*(F.get("__p", F.lit(of[c])) if c in of else F.lit(0.0) for c in range(self.numClasses)))
+        out = rows.withColumn("__p", found).withColumn("prediction", likeliest(F.col("__p"), classes))
+        return out.withColumn("posterior", every).drop("__p")
+
+
+class Neighbours:
+    """The k nearest rows as an estimator: their shares of the classes, or with regression their mean. Rows have a number, ROW."""
+
+    def __init__(self, k: int, regression: bool):
+        self.k, self.regression = k, regression
+
+    def fit(self, rows: DataFrame) -> Neighbours:
+        self.rows = self._plain(rows).withColumn("label", F.col("label"))
+        if not self.regression:
+            self.numClasses = int(rows.agg(F.max("label")).first()[0] or 0) + 1
+        return self
+
+    @staticmethod
+    def _plain(rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return rows.select(F.col(ROW).alias("i"), vector_to_array("features").alias("v"), "label")
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        near = nearest(self._plain(rows), self.rows, "i", "v", self.k).join(self.rows.select(F.col("i").alias("id"), "label"), "id").groupBy("query_id")
+        if self.regression:
+            found = near.agg(F.avg("label").alias("prediction"))
+        else:
+            share = lambda c: F.avg((F.col("label") == c).cast("double"))
+            found = near.agg(F.array(*(share(c) for c in range(self.numClasses))).alias("posterior"))
+            found = found.withColumn("prediction", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("double"))
+        return rows.join(found, F.col(ROW) == F.col("query_id"), "left").drop("query_id")
+
+
 #: Estimators that run distributed; their features column is a vector, see VectorAssembler.
 ESTIMATORS: dict[str, Callable[..., object]] = {
     "lr": _logistic, "rf": _forest, "gbt": _boosted, "svc": _support_vectors, "rf_regression": _forest_regression, "gbt_regression": _boosted_regression,
     "lasso": _linear(1.0), "ridge": _linear(0.0), "elastic": _linear(0.5),
+    "knn": lambda **p: Neighbours(p.get("k", 5), False), "knn_regression": lambda **p: Neighbours(p.get("k", 5), True),
+    "lda": lambda **p: Gaussian("lda", p.get("smoothing", 1e-9)), "qda": lambda **p: Gaussian("qda", p.get("smoothing", 1e-9)), "nb": lambda **p: Gaussian("nb", p.get("smoothing", 1e-9)),
 }
 
 

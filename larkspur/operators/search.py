@@ -8,7 +8,7 @@ of thousands of fits reads the data once.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -60,6 +60,112 @@ def tune(folds: Sequence[Moments], low: float = -6.0, high: float = 2.0, first:
     return float(10.0 ** xs[int(np.argmin(ys))])
 
 
+@dataclass(frozen=True)
+class Axis:
+    """A parameter's values: from low to high (evenly, or by their logarithm), whole numbers if so said, or options to choose from."""
+
+    low: float = 0.0
+    high: float = 1.0
+    log: bool = False
+    whole: bool = False
+    options: tuple[object, ...] = ()
+
+    @property
+    def width(self) -> int:
+        return len(self.options) or 1
+
+    def value(self, u: np.ndarray) -> object:
+        """The value at a place of the unit cube; of options the one of the largest coordinate."""
+        if self.options:
+            return self.options[int(np.argmax(u))]
+        x = float(np.exp(np.log(self.low) + u[0] * (np.log(self.high) - np.log(self.low)))) if self.log else self.low + float(u[0]) * (self.high - self.low)
+        return int(round(x)) if self.whole else x
+
+    def place(self, value: object) -> np.ndarray:
+        if self.options:
+            return np.array([float(o == value) for o in self.options]) / math.sqrt(2)  # two options are a distance of 1 apart
+        at = (math.log(value) - math.log(self.low)) / (math.log(self.high) - math.log(self.low)) if self.log else (value - self.low) / ((self.high - self.low) or 1.0)
+        return np.array([at])
+
+
+class _Process:
+    """A Gaussian process over the unit cube, Matern 5/2; length and noise are the likeliest of a few."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.mean, self.spread = x, y.mean(), y.std() or 1.0
+        z, best = (y - self.mean) / self.spread, None
+        for length in (0.15, 0.3, 0.6, 1.2):
+            for noise in (1e-6, 1e-3, 1e-1):
+                k = self._kernel(x, x, length) + (noise + 1e-10) * np.eye(len(x))
+                root = np.linalg.cholesky(k)
+                weights = np.linalg.solve(root.T, np.linalg.solve(root, z))
+                likelihood = -0.5 * z @ weights - np.log(np.diag(root)).sum()
+                if best is None or likelihood > best[0]:
+                    best = likelihood, length, root, weights
+        _, self.length, self.root, self.weights = best
+
+    @staticmethod
+    def _kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
+        d = np.sqrt(5 * ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) / length
+        return (1 + d + d * d / 3) * np.exp(-d)
+
+    def at(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cross = self._kernel(points, self.x, self.length)
+        v = np.linalg.solve(self.root, cross.T)
+        sd = np.sqrt(np.maximum(1 - (v * v).sum(0), 1e-12))
+        return self.mean + self.spread * (cross @ self.weights), self.spread * sd
+
+
+def optimise(values: Callable[[Sequence[dict[str, object]]], Sequence[float]], space: Mapping[str, Axis], first: int = 8, rounds: int = 4, batch: int = 4, seed: int = 42, points: int = 2000) -> list[tuple[dict[str, object], float]]:
+    """(parameters, value) of all points tried to make a value small: Bayesian optimisation in any number of parameters.
+
+    ``first`` points are spread over the space (a Latin square); then rounds of ``batch`` points of the largest
+    expected improvement under a Gaussian process. Within a round a point counts, once chosen, as if
+    its value were the expected one, so the others look elsewhere, and ``values`` gets them all at once.
+    """
+    rng, names = np.random.default_rng(seed), list(space)
+
+    def decoded(u: np.ndarray) -> dict[str, object]:
+        out, at = {}, 0
+        for n in names:
+            out[n] = space[n].value(u[at : at + space[n].width])
+            at += space[n].width
+        return out
+
+    encoded = lambda p: np.concatenate([space[n].place(p[n]) for n in names])
+    width = sum(space[n].width for n in names)
+    square = (np.argsort(rng.random((width, first)), axis=1).T + rng.random((first, width))) / first
+    tried: list[dict[str, object]] = []
+    for u in square:
+        if (p := decoded(u)) not in tried:
+            tried.append(p)
+    found = [float(v) for v in values(tried)]
+    for _ in range(rounds):
+        finite = [v for v in found if math.isfinite(v)]
+        worst = max(finite, default=0.0)
+        x, y = np.array([encoded(p) for p in tried]), np.array([v if math.isfinite(v) else worst for v in found])
+        chosen: list[dict[str, object]] = []
+        for _ in range(batch):
+            process, best = _Process(x, y), tried[int(np.argmin(found))]
+            near = np.clip(np.concatenate([space[n].place(best[n]) for n in names]) + rng.normal(0, 0.1, (points // 4, width)), 0, 1)
+            options = [p for p in map(decoded, np.vstack((rng.random((points, width)), near))) if p not in tried and p not in chosen]
+            if not options:
+                break
+            at = np.array([encoded(p) for p in options])
+            mean, sd = process.at(at)
+            gain = (y.min() - mean) / sd
+            cdf = np.array([0.5 * math.erfc(-g / math.sqrt(2)) for g in gain])
+            expected = sd * (gain * cdf + np.exp(-0.5 * gain**2) / math.sqrt(2 * math.pi))
+            top = int(expected.argmax())
+            chosen.append(options[top])
+            x, y = np.vstack((x, at[top])), np.append(y, mean[top])
+        if not chosen:
+            break
+        found += [float(v) for v in values(chosen)]
+        tried += chosen
+    return sorted(zip(tried, found), key=lambda t: t[1])
+
+
 def eliminate(folds: Sequence[Moments], penalty: float, at_least: int = 1) -> list[int]:
     """Features left by backward elimination: each round drops the one whose loss helps most, until none helps."""
     use = list(range(len(folds[0].features)))

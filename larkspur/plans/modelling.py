@@ -236,25 +236,44 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "y", length.alias("length"), F.col("toxic").cast("double").alias("toxic"), F.col("lang_en").cast("double").alias("lang_en"), draw(F.col("doc_id"), SEED, 3).cast("int").alias("fold"))
 
 
+NAMES = ["length", "toxic", "lang_en"]
+
+
 @query()
 def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated AUC of a small grid of each kind of model, the same folds for all."""
     rows = _labelled(spark, sf_dir).persist()
-    kinds = {"lr": [{"penalty": 0.01}, {"penalty": 1.0}], "rf": [{"trees": 10, "depth": 3}], "gbt": [{"trees": 5, "depth": 2}], "svc": [{"penalty": 0.01, "rounds": 20}]}
-    trials = [(name, t) for name, sets in kinds.items() for t in grid.grid(rows, name, sets, [["length", "toxic", "lang_en"]], "y", "fold", [0, 1, 2], "roc_auc")]
+    kinds = {"lr": [{"penalty": 0.01}, {"penalty": 1.0}], "rf": [{"trees": 50, "depth": 5}], "gbt": [{"trees": 10, "depth": 3}], "svc": [{"penalty": 0.01, "rounds": 100}], "knn": [{"k": 5}], "lda": [{}], "qda": [{}], "nb": [{}]}
+    trials = [(name, t) for name, sets in kinds.items() for t in grid.grid(rows, name, sets, [NAMES], "y", "fold", [0, 1, 2], "roc_auc")]
     rows.unpersist()
     found = [(name, ",".join(f"{k}={v}" for k, v in t.parameters), len(t.features), round(t.score, 4)) for name, t in trials]
     return spark.createDataFrame(found, "model string, parameters string, features int, auc double")
 
 
+@query()
+def bayes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bayesian search over the parameters of logistic regression, forests and boosted trees by normalised cross entropy, best first."""
+    rows = _labelled(spark, sf_dir).persist()
+    spaces = {
+        "lr": {"penalty": search.Axis(1e-4, 10.0, log=True)}, "rf": {"trees": search.Axis(5, 40, whole=True), "depth": search.Axis(2, 6, whole=True)},
+        "gbt": {"trees": search.Axis(3, 10, whole=True), "depth": search.Axis(2, 4, whole=True), "step": search.Axis(0.02, 0.5, log=True)},
+    }
+    found = []
+    for name, space in spaces.items():
+        trials = grid.searched(rows, name, space, NAMES, "y", "fold", [0, 1, 2], "norm_cross_entropy", first=4, rounds=1, batch=4)
+        found += [(name, place, ",".join(f"{k}={v:.4g}" for k, v in t.parameters), round(-t.score, 4)) for place, t in enumerate(trials)]
+    rows.unpersist()
+    return spark.createDataFrame(found, "model string, place int, parameters string, norm_cross_entropy double")
+
+
 @query()
 def nested_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested cross-validation of logistic regression: the penalty by the other folds, accuracy and choice per fold."""
+    """Nested cross-validation of logistic regression: penalty and features by the other folds, accuracy and choice per fold."""
     rows = _labelled(spark, sf_dir).persist()
     sets = [{"penalty": 0.01, "rounds": 10}, {"penalty": 0.1, "rounds": 10}]
-    predicted, chosen = grid.nested_search(rows, "lr", sets, ["length", "toxic", "lang_en"], "y", "fold", [0, 1, 2], "balanced_accuracy")
+    predicted, chosen = grid.nested_search(rows, "lr", sets, NAMES, "y", "fold", [0, 1, 2], "balanced_accuracy", select=True)
     out = predicted.groupBy("fold").agg(F.count("*").alias("n"), rounded(M.accuracy(F.col("y"), F.col("pred")), 4).alias("accuracy"))
-    choice = spark.createDataFrame([(k, float(dict(t.parameters)["penalty"])) for k, t in chosen.items()], "fold int, penalty double")
+    choice = spark.createDataFrame([(k, float(dict(t.parameters)["penalty"]), ",".join(t.features)) for k, t in chosen.items()], "fold int, penalty double, features string")
     return out.join(F.broadcast(choice), "fold")
 
 
