@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from larkspur import plans  # noqa: E402
+from larkspur.sources.session import clear  # noqa: E402
 
 HEADLINE = [
     "auc_by_lang", "roc_curve", "roc_grid_interp", "clf_metrics", "cross_entropy", "reg_metrics", "bootstrap_percentile_ci", "paired_diff_ci", "best_per_group",
@@ -44,6 +45,7 @@ def main() -> None:
             plans.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             if timed:
                 took[name] = round(time.perf_counter() - began, 3)
+            clear(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(folder).name.removeprefix("sf")}))
 

@@ -105,11 +105,12 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     total = grid.groupBy().agg(F.sum("n").alias("total"), F.count_distinct(a).alias("n_rows"), F.count_distinct(b).alias("n_cols"))
     grid = grid.crossJoin(F.broadcast(total)).withColumn("expected", F.col("rows") * F.col("cols") / F.col("total"))
     gap = F.col("n") - F.col("expected")
-    cells = F.array_sort(F.collect_list(F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.col("n").alias("n"))))
-    s = grid.groupBy("n_rows", "n_cols").agg(
-        F.sum(gap * gap / F.col("expected")).alias("stat"), F.min("expected").alias("least"),
-        F.when(F.first("n_rows") * F.first("n_cols") == 4, F.transform(F.slice(cells, 1, 4), lambda c: c["n"])).alias("cells"),
-    )
+    # the four cells of a 2 x 2 table follow from its first cell and the sums of its first row and column
+    first = F.struct(a, b)
+    s = grid.groupBy("n_rows", "n_cols", "total").agg(
+        F.sum(gap * gap / F.col("expected")).alias("stat"), F.min("expected").alias("least"), F.min_by("n", first).alias("c"), F.min_by("rows", first).alias("r"), F.min_by("cols", first).alias("k")
+    )
+    s = s.withColumn("cells", F.array("c", F.col("r") - F.col("c"), F.col("k") - F.col("c"), F.col("total") - F.col("r") - F.col("k") + F.col("c")))
     s = s.withColumn("df", ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("double"))
     exact = (F.col("n_rows") == 2) & (F.col("n_cols") == 2) & (F.col("least") < 5)
     four = [F.when(exact, F.get("cells", F.lit(i))) for i in range(4)]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.session import written
+
 #: Ranges of the order column that are summed apart from each other.
 RANGES = 256
 
@@ -35,7 +37,7 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str,
     before it, of which there are at most ``ranges`` a key, are added.
     """
     keys = list(by)
-    ranged = with_range(df, order, ranges)
+    ranged = with_range(written(df), order, ranges)  # bounds and sums both read it
     across = [F.sum(c).alias(f"__{t}") for c, t in sums.items()]
     totals = ranged.groupBy(*keys, "__range").agg(*across)
     place = F.desc("__range") if descending else F.asc("__range")
@@ -62,7 +64,7 @@ def average_ranks(df: DataFrame, column: str, rank: str, by: Sequence[str] = ())
 def later_min(df: DataFrame, by: Sequence[str], order: str, column: str, out: str, ranges: int = RANGES) -> DataFrame:
     """df with the smallest value of a column over the rows whose order is equal or larger."""
     keys = list(by)
-    ranged = with_range(df, order, ranges)
+    ranged = with_range(written(df), order, ranges)
     least = ranged.groupBy(*keys, "__range").agg(F.min(column).alias("__least"))
     after = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
     least = least.select(*keys, "__range", F.min("__least").over(after).alias("__later"))

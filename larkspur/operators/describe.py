@@ -37,18 +37,19 @@ def smd(df: DataFrame, group: str, columns: Sequence[str], groups: tuple[object,
 
 
 def category_shares(df: DataFrame, group: str, category: str) -> DataFrame:
-    """(group, category, n, share) for every category in every group, 0 where it has none."""
+    """(group, category, n, share) for every category in every group, 0 where it has none; groups are few, categories may be many."""
     counted = df.where(F.col(category).isNotNull()).groupBy(group, category).agg(F.count("*").alias("n"))
-    full = counted.select(group).distinct().crossJoin(F.broadcast(counted.select(category).distinct()))
+    full = counted.select(category).distinct().crossJoin(F.broadcast(counted.select(group).distinct()))
     out = full.join(counted, [group, category], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("share", F.try_divide("n", F.sum("n").over(Window.partitionBy(group))))
 
 
 def category_gap(df: DataFrame, group: str, category: str, groups: tuple[object, object] = (0, 1)) -> DataFrame:
     """(gap): the largest difference of a category's share between two groups."""
-    shares = category_shares(df.where(F.col(group).isin(*groups)), group, category)
-    each = shares.groupBy(category).agg(*(F.max(F.when(F.col(group) == g, F.col("share"))).alias(n) for g, n in zip(groups, "ab")))
-    return each.agg(F.max(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("gap"))
+    counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(*(F.count_if(F.col(group) == g).alias(n) for g, n in zip(groups, "ab")))
+    totals = counts.agg(F.sum("a").alias("of_a"), F.sum("b").alias("of_b"))
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    return counts.where("a + b > 0").crossJoin(F.broadcast(totals)).agg(F.max(F.abs(share(F.col("a"), F.col("of_a")) - share(F.col("b"), F.col("of_b")))).alias("gap"))
 
 
 def balance(df: DataFrame, group: str, numeric: Sequence[str], categorical: Sequence[str], groups: tuple[object, object] = (0, 1)) -> DataFrame:

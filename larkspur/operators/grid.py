@@ -71,10 +71,10 @@ def _predicted(model, rows: DataFrame) -> DataFrame:
     if classes > 2:
         score = none.cast("double")
     elif classes:
-        score = F.coalesce(F.get("posterior", F.lit(1)), vector_to_array("rawPrediction")[1] if "rawPrediction" in out.columns else none.cast("double"))
+        score = F.coalesce(F.get("posterior", F.lit(1)), vector_to_array("rawPrediction")[1] if "rawPrediction" in out.columns else F.col("margin") if "margin" in out.columns else none.cast("double"))
     else:
         score = F.col("prediction")
-    return out.withColumns({"y": F.col(LABEL), "score": score, "pred": F.col("prediction")}).drop(VECTOR, LABEL, ROW, "probability", "rawPrediction", "prediction")
+    return out.withColumns({"y": F.col(LABEL), "score": score, "pred": F.col("prediction")}).drop(VECTOR, LABEL, ROW, "probability", "rawPrediction", "prediction", "margin", "margins")
 
 
 class Steps:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,8 @@ from .describe import long_form
 
 #: Most rows of the smaller and of the larger group that a task solves as one matrix (128 MB); an auction in rounds solves larger blocks.
 MOST_SMALL, MOST_LARGE = 2048, 8192
+#: Pairs of rows that ``nearest_pairs`` compares directly.
+DIRECT = 100_000_000
 #: Of a set, a for train and b for test: rows, their sum and their sum of squares.
 SUMS = ("n_a", "x_a", "xx_a", "n_b", "x_b", "xx_b")
 
@@ -41,23 +44,41 @@ def z_scored(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def nearest_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str], caliper: float | None = None) -> DataFrame:
     """(small_id, large_id, distance): for each row of group 1 the nearest of group 0 that agrees on exact.
 
-    Candidates come from an equi-join: on the exact columns and, with a caliper (in SDs of the first
-    covariate), on ranges of that width, a row looking into its own range and both neighbours.
+    Candidates come from an equi-join on the exact columns and on ranges, of a caliper's width (in SDs),
+    of the first covariate, a row looking into its own range and both neighbours. Without a
+    caliper, blocks of up to DIRECT pairs in all are compared whole; beyond that ranges of a few rows each are
+    tried first, and only rows that found none within their width look again, eight times as far.
     """
     z = z_scored(df, numeric)
-    first = F.col(f"z_{numeric[0]}")
     keep = [*exact, *(f"z_{c}" for c in numeric)]
     a = z.where(F.col(group) == 1).select(F.col(id_col).alias("small_id"), *keep)
     b = z.where(F.col(group) == 0).select(F.col(id_col).alias("large_id"), *keep)
-    on = list(exact)
     if caliper is not None:
-        a = a.withColumn("__range", F.floor(first / caliper))
-        b = b.withColumn("__range", F.explode(F.array(*(F.floor(first / caliper) + d for d in (-1, 0, 1)))))
+        return _nearest_within(a, b, numeric, exact, caliper)
+    sizes = _sizes(z, group, exact).agg(F.sum(F.col("__a") * F.col("__b")).alias("pairs"), F.sum("__b").alias("rows"), F.count("*").alias("blocks")).first()
+    if not numeric or (sizes.pairs or 0) <= DIRECT:
+        return _nearest_within(a, b, numeric, exact, None)
+    a, b = written(a), written(b)
+    rest, width = (a.join(b.select(*exact).distinct(), list(exact), "left_semi") if exact else a), 16 / (sizes.rows / sizes.blocks) ** (1 / len(numeric))
+    parts = []
+    while rest.limit(1).count():
+        found = written(_nearest_within(rest, b, numeric, exact, width))
+        parts.append(found)
+        rest, width = written(rest.join(found.select("small_id"), "small_id", "left_anti")), 8 * width
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_within(a: DataFrame, b: DataFrame, numeric: Sequence[str], exact: Sequence[str], width: float | None) -> DataFrame:
+    """The nearest of b, within a width if there is one, of each row of a that has any."""
+    on, first = list(exact), F.col(f"z_{numeric[0]}") if numeric else None
+    if width is not None:
+        a = a.withColumn("__range", F.floor(first / width))
+        b = b.withColumn("__range", F.explode(F.array(*(F.floor(first / width) + d for d in (-1, 0, 1)))))
         on.append("__range")
     squares = sum(((F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) * (F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) for c in numeric), F.lit(0.0))
     pairs = a.alias("a").join(b.alias("b"), on).select("small_id", "large_id", F.sqrt(squares).alias("distance"))
-    if caliper is not None:
-        pairs = pairs.where(F.col("distance") <= caliper)
+    if width is not None:
+        pairs = pairs.where(F.col("distance") <= width)
     best = pairs.groupBy("small_id").agg(F.min(F.struct("distance", "large_id")).alias("best"))
     return best.select("small_id", F.col("best.large_id").alias("large_id"), F.col("best.distance").alias("distance"))
 

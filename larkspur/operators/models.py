@@ -376,6 +376,24 @@ def _boosted_regression(**p):
     return GBTRegressor(maxIter=p.get("trees", 50), maxDepth=p.get("depth", 5), stepSize=p.get("step", 0.1), seed=p.get("seed", 42))
 
 
+def _second_order(regression: bool):
+    def make(**p):
+        from .boosting import Boosting
+
+        return Boosting(regression=regression, **p)
+
+    return make
+
+
+def _kernel_machine(regression: bool):
+    def make(**p):
+        from .kernels import KernelMachine
+
+        return KernelMachine(regression=regression, **p)
+
+    return make
+
+
 def _support_vectors(**p):
     from pyspark.ml.classification import LinearSVC
 
@@ -455,6 +473,7 @@ class Neighbours:
 ESTIMATORS: dict[str, Callable[..., object]] = {
     "lr": _logistic, "rf": _forest, "gbt": _boosted, "svc": _support_vectors, "rf_regression": _forest_regression, "gbt_regression": _boosted_regression,
     "lasso": _linear(1.0), "ridge": _linear(0.0), "elastic": _linear(0.5),
+    "svc_rbf": _kernel_machine(False), "svr": _kernel_machine(True), "xgb": _second_order(False), "xgb_regression": _second_order(True),
     "knn": lambda **p: Neighbours(p.get("k", 5), False), "knn_regression": lambda **p: Neighbours(p.get("k", 5), True),
     "lda": lambda **p: Gaussian("lda", p.get("smoothing", 1e-9)), "qda": lambda **p: Gaussian("qda", p.get("smoothing", 1e-9)), "nb": lambda **p: Gaussian("nb", p.get("smoothing", 1e-9)),
 }

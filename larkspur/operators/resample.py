@@ -9,12 +9,14 @@ have exactly n rows, ``index_bootstrap`` joins drawn indices, a row each, with t
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
 from ..functions.special import normal_cdf, normal_quantile
+from ..sources.session import written
 
 SPACE = 1 << 30
 #: Cumulative probabilities of a Poisson count of mean 1.
@@ -53,6 +55,48 @@ def index_bootstrap(df: DataFrame, place: str, n: int, resamples: int, seed: int
     return df.join(drawn, F.col(place) == F.col("__at")).drop("__at")
 
 
+#: Times that a resample is drawn until it has all classes.
+ATTEMPTS = 20
+
+
+def redrawn_bootstrap(df: DataFrame, place: str, label: str, n: int, resamples: int, seed: int, attempts: int = ATTEMPTS) -> DataFrame:
+    """(b, attempt, k, columns of df): as ``index_bootstrap``, a resample without a row of each class being drawn again.
+
+    Draws are keyed by resample and attempt, and only the resamples that failed are drawn again, so
+    a round's work shrinks with the failures; one that fails every time is left out.
+    """
+    spark, classes = df.sparkSession, df.where(F.col(label).isNotNull()).select(label).distinct().count()
+    left, parts = spark.range(resamples).select(F.col("id").alias("b")), []
+    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    for attempt in range(attempts if n > 0 else 0):
+        drawn = left.select("b", F.lit(attempt).alias("attempt"), places.alias("k"))
+        drawn = drawn.withColumn("__at", draw((F.col("b") * attempts + attempt) * n + F.col("k"), seed, n))
+        rows = df.join(drawn, F.col(place) == F.col("__at")).drop("__at")
+        good = written(rows.groupBy("b").agg(F.count_distinct(label).alias("c")).where(F.col("c") == classes).select("b"))
+        parts.append(rows.join(good, "b", "left_semi"))
+        left = written(left.join(good, "b", "left_anti"))
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).select(F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("attempt"), F.lit(0).cast("bigint").alias("k"), *df.columns)
+
+
+def bca(df: DataFrame, id_col: str, statistic: Callable[[Column], Column], resamples: int, seed: int, level: float = 0.95, blocks: int = 200) -> DataFrame:
+    """(est, lo, hi): bias-corrected and accelerated interval of any statistic that is an aggregate of a weight column.
+
+    The acceleration is from a jackknife that leaves out one of ``blocks`` blocks of subjects at a time,
+    weights of 0 and 1 in the same single pass as a bootstrap; where the correction is undefined it is the percentile interval.
+    """
+    weighed = df.withColumns({"__w": F.lit(1), "__block": F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(blocks)).cast("int")})
+    base = weighed.agg(statistic(F.col("__w")).alias("est"))
+    left_out = weighed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__w", (F.col("j") != F.col("__block")).cast("int"))
+    jack = left_out.groupBy("j").agg(statistic(F.col("__w")).alias("x")).where("x is not null")
+    mean = jack.agg(F.avg("x").alias("m"))
+    d = F.col("m") - F.col("x")
+    accel = jack.crossJoin(F.broadcast(mean)).agg(F.coalesce(F.try_divide(F.sum(d * d * d), 6 * F.pow(F.sum(d * d), 1.5)), F.lit(0.0)).alias("accel"))
+    samples = bootstrap(df, id_col, {"x": statistic}, resamples, seed)
+    return _corrected(samples, base.crossJoin(F.broadcast(accel)), level)
+
+
 def percentile_interval(samples: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """(by, n, mean, lo, hi) of the resamples where the statistic is defined."""
     tail = (1 - level) / 2
@@ -77,6 +121,11 @@ def bca_mean(df: DataFrame, id_col: str, value: str, resamples: int, seed: int,
     base = known.agg(F.avg(x).alias("est"), F.count(x).alias("n"), F.var_pop(x).alias("v"), F.skewness(x).alias("s"))
     base = base.withColumn("accel", F.coalesce(F.col("s") / (6 * F.sqrt("n")), F.lit(0.0)))
     samples = bootstrap(known, id_col, {"x": w}, resamples, seed)
+    return _corrected(samples, base, level)
+
+
+def _corrected(samples: DataFrame, base: DataFrame, level: float) -> DataFrame:
+    """(est, lo, hi) from resampled values x and the estimate and acceleration, a row (est, accel)."""
     lower = F.avg(F.when(F.col("x") < F.col("est"), 1.0).when(F.col("x") == F.col("est"), 0.5).otherwise(0.0))
     s = samples.crossJoin(F.broadcast(base)).where("x is not null").groupBy("est", "accel").agg(lower.alias("below"), F.sort_array(F.collect_list("x")).alias("xs"))
     z0 = normal_quantile("below")

@@ -111,7 +111,7 @@ def reg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Resamples of a statistic that is one sum, and of curves, which cost a ranking each.
-RESAMPLES, CURVES, SEED = 1000, 100, 3
+RESAMPLES, CURVES, SEED = 1000, 1000, 3
 NUMBERED = f"(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM ({SCORED}))"
 DRAWN = f"(SELECT b, k, n, {draw_sql('b * n + k', SEED, 'n')} AS at FROM (SELECT count(*) AS n FROM ({SCORED})), range({RESAMPLES}) t(b), range(100000) u(k) WHERE k < n)"
 
@@ -176,6 +176,25 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("lang", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
+ATTEMPTS = 6
+FEW = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT * FROM (" + SCORED + ") WHERE lang = 'es')"
+
+
+@query(f"""WITH s AS ({FEW}), d AS (SELECT b, t, k, {draw_sql(f'(b * {ATTEMPTS} + t) * n + k', SEED, 'n')} AS at FROM (SELECT DISTINCT n FROM s), range({RESAMPLES}) x(b), range({ATTEMPTS}) y(t), range(100000) z(k) WHERE k < n),
+  a AS (SELECT b, t, avg(CASE WHEN (p >= 0.6) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM d JOIN s ON d.at = s.place GROUP BY b, t HAVING count(DISTINCT y) = (SELECT count(DISTINCT y) FROM s)),
+  f AS (SELECT b, min(t) AS t FROM a GROUP BY b) SELECT count(*) AS n, sum(CASE WHEN t > 0 THEN 1 ELSE 0 END)::BIGINT AS redrawn, round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS lo, round(quantile_cont(acc, 0.975), 6) AS hi FROM a JOIN f USING (b, t)""")
+def redrawn_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy's interval on the documents of one language, of which some resamples have one class only and are drawn again."""
+    from ..operators.prepare import row_ids
+
+    rows = row_ids(scored(spark, sf_dir).where("lang = 'es'"), ["doc_id"], "place")
+    drawn = resample.redrawn_bootstrap(rows, "place", "y", rows.count(), RESAMPLES, SEED, ATTEMPTS)
+    each = drawn.groupBy("b").agg(M.accuracy(F.col("y"), M.threshold_decision(F.col("p"), 0.6)).alias("acc"), F.max("attempt").alias("attempt"))
+    again = each.agg(F.count_if("attempt > 0").alias("redrawn"))
+    s = resample.percentile_interval(each, "acc").crossJoin(F.broadcast(again))
+    return s.select("n", "redrawn", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
+
+
 @query()
 def bca_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("hit", (M.threshold_decision(F.col("p"), 0.6) == F.col("y")).cast("double"))

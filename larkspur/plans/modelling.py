@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import draw, rounded
-from ..operators import grid, matching, models, search
+from ..operators import explain, grid, matching, models, search
 from ..operators.describe import long_form
 from ..operators.prepare import one_hot
 from ..sources.session import table
@@ -243,7 +243,7 @@ NAMES = ["length", "toxic", "lang_en"]
 def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated AUC of a small grid of each kind of model, the same folds for all."""
     rows = _labelled(spark, sf_dir).persist()
-    kinds = {"lr": [{"penalty": 0.01}, {"penalty": 1.0}], "rf": [{"trees": 50, "depth": 5}], "gbt": [{"trees": 10, "depth": 3}], "svc": [{"penalty": 0.01, "rounds": 100}], "knn": [{"k": 5}], "lda": [{}], "qda": [{}], "nb": [{}]}
+    kinds = {"lr": [{"penalty": 0.01}, {"penalty": 1.0}], "rf": [{"trees": 50, "depth": 5}], "gbt": [{"trees": 10, "depth": 3}], "xgb": [{"trees": 8, "depth": 3}], "svc": [{"penalty": 0.01, "rounds": 100}], "svc_rbf": [{"cost": 1.0, "landmarks": 32}], "knn": [{"k": 5}], "lda": [{}], "qda": [{}], "nb": [{}]}
     trials = [(name, t) for name, sets in kinds.items() for t in grid.grid(rows, name, sets, [NAMES], "y", "fold", [0, 1, 2], "roc_auc")]
     rows.unpersist()
     found = [(name, ",".join(f"{k}={v}" for k, v in t.parameters), len(t.features), round(t.score, 4)) for name, t in trials]
@@ -266,6 +266,29 @@ def bayes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "model string, place int, parameters string, norm_cross_entropy double")
 
 
+@query()
+def kernel_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold error of prices by a Gaussian support vector regression and by boosted trees, folds of whole orders."""
+    scale = table(spark, sf_dir, "lineitem").agg(F.stddev_pop("l_extendedprice")).first()[0]
+    rows = _folded(spark, sf_dir).where("fold < 3").withColumn("price", F.col("l_extendedprice") / scale)
+    parts = []
+    for name, p in (("svr", {"cost": 1.0, "landmarks": 32, "epsilon": 0.05}), ("xgb_regression", {"trees": 10, "depth": 3})):
+        found = grid.out_of_fold(rows, name, p, FEATURES, "price", "fold", [0, 1, 2])
+        parts.append(found.agg(F.lit(name).alias("model"), *(rounded(f(F.col("y"), F.col("pred")), 4).alias(n) for n, f in M.REGRESSION.items())))
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute Shapley values of a forest, per feature, beside its own importances."""
+    best = grid.Trial((("depth", 4), ("trees", 20)), tuple(NAMES), 0.0)
+    model, rows = grid.refit(_labelled(spark, sf_dir), "rf", best, "y")
+    phi = explain.tree_attributions(rows, model).select(F.posexplode("phi").alias("place", "value")).groupBy("place").agg(rounded(F.avg(F.abs("value")), 6).alias("mean_abs"))
+    shares = grid.tree_importances(model, NAMES)
+    names = spark.createDataFrame([(i, n, round(shares[n], 6)) for i, n in enumerate(NAMES)], "place int, feature string, importance double")
+    return phi.join(F.broadcast(names), "place").select("feature", "mean_abs", "importance")
+
+
 @query()
 def nested_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested cross-validation of logistic regression: penalty and features by the other folds, accuracy and choice per fold."""

@@ -60,7 +60,21 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return spark.read.parquet(where)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+#: Tables of ``written`` by application, for ``clear``.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that ``written`` has made in this application, when no frame that reads them is needed any more; how many they were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        where, files = hadoop_path(spark, p)
+        files.delete(where, True)
+    return len(paths)
 
 
 def ship_package(spark: SparkSession) -> None:

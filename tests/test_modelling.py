@@ -267,3 +267,133 @@ def test_auction_is_within_epsilon_of_the_least_total(spark, ties):
     assert least - 1e-9 <= total <= least + 120 * step
     bound = auction.lower_bound(bidders, items, ["a", "b"], pairs.select("item", "price"), chunks=3, parts=2)
     assert total - 120 * step - 1e-9 <= bound <= least + 1e-9
+
+
+def plain_boosting(x, y, cuts, k, trees, depth, step, l2, gamma, least, regression):
+    """Margins by a loop over rows: the same bins, the best split of every node by all splits' gains."""
+    bins = np.array([[sum(c < v for c in cuts[j]) for j, v in enumerate(r)] for r in x])
+    f = np.full((len(x), k), y.mean() if regression else 0.0)
+    for _ in range(trees):
+        if regression:
+            g, h = f - y[:, None], np.ones_like(f)
+        elif k == 1:
+            p = 1 / (1 + np.exp(-f))
+            g, h = p - y[:, None], p * (1 - p)
+        else:
+            p = np.exp(f) / np.exp(f).sum(1, keepdims=True)
+            g, h = p - np.eye(k)[y.astype(int)], 2 * p * (1 - p)
+        new = f.copy()
+        for c in range(k):
+
+            def grow(rows, level):
+                gs, hs = g[rows, c].sum(), h[rows, c].sum()
+                best = None
+                for j in range(x.shape[1]) if level < depth else ():
+                    for b in range(len(cuts[j]) + 1):
+                        left = rows[bins[rows, j] <= b]
+                        gl, hl = g[left, c].sum(), h[left, c].sum()
+                        if hl < least or hs - hl < least:
+                            continue
+                        gain = 0.5 * (gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)) - gamma
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                            best = gain, j, b
+                if best is None:
+                    new[rows, c] += -step * gs / (hs + l2)
+                    return
+                _, j, b = best
+                grow(rows[bins[rows, j] <= b], level + 1)
+                grow(rows[bins[rows, j] > b], level + 1)
+
+            grow(np.arange(len(x)), 0)
+        f = new
+    return f
+
+
+@pytest.mark.parametrize("kind", ["two", "three", "values"])
+def test_boosting_equals_a_plain_loop(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (200, 3))
+    y = {"two": x[:, 0] * x[:, 1] > 0, "three": np.digitize(x[:, 0] + x[:, 1], [-0.7, 0.7]), "values": x[:, 0] ** 2 + x[:, 1]}[kind].astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, label double")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    p = {"trees": 4, "depth": 3, "step": 0.3, "l2": 1.0, "gamma": 0.05, "least_hessian": 0.5}
+    name = "xgb_regression" if kind == "values" else "xgb"
+    model = models.estimator(name, bins=8, **p).fit(df)
+    got = {r.id: r for r in model.transform(df).collect()}
+    want = plain_boosting(x, y, model.cuts, 3 if kind == "three" else 1, p["trees"], p["depth"], p["step"], p["l2"], p["gamma"], p["least_hessian"], kind == "values")
+    assert np.allclose([got[i].margins for i in range(200)], want, atol=1e-9)
+    right = np.mean([got[i].prediction == y[i] for i in range(200)]) if kind != "values" else 1 - np.var([got[i].prediction - y[i] for i in range(200)]) / np.var(y)
+    assert right > 0.6  # after four rounds
+
+
+def test_nearest_pairs_by_widening_ranges_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 4 == 0), float(rng.normal() + (i % 97 == 0) * 9), float(rng.normal()), "ab"[i % 2]) for i in range(400)] + [(900, 1, 0.0, 0.0, "c")]
+    df = spark.createDataFrame(rows, "id long, g int, x double, y double, s string")
+    for columns in (["x"], ["x", "y"]):
+        whole = sorted(map(tuple, matching.nearest_pairs(df, "id", "g", columns, ["s"]).collect()))
+        monkeypatch.setattr(matching, "DIRECT", 0)
+        assert sorted(map(tuple, matching.nearest_pairs(df, "id", "g", columns, ["s"]).collect())) == whole and len(whole) == 100
+        monkeypatch.setattr(matching, "DIRECT", 10**8)
+
+
+def test_redrawn_resamples_have_all_classes(spark):
+    rows = spark.createDataFrame([(i, int(i == 0), float(i)) for i in range(5)], "place long, y int, v double")
+    from larkspur.operators import resample
+
+    got = resample.redrawn_bootstrap(rows, "place", "y", 5, 200, 3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.b, []).append(r)
+    assert len(by) == 200 and all(len(x) == 5 and {r.y for r in x} == {0, 1} and len({r.attempt for r in x}) == 1 for x in by.values())
+    assert {r.attempt for r in got} >= {0, 1, 2}
+    assert resample.redrawn_bootstrap(rows.where("y = 5"), "place", "y", 0, 10, 3).collect() == []
+
+
+def test_bca_of_a_correlation_covers_it_and_corrects_a_mean_as_the_closed_form(spark):
+    from larkspur.operators import resample
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, 300)
+    y = 0.6 * x + rng.normal(0, 0.8, 300)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+
+    def correlation(w):
+        n, sx, sy = F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("y"))
+        cov = F.sum(w * F.col("x") * F.col("y")) / n - sx / n * sy / n
+        return cov / F.sqrt((F.sum(w * F.col("x") * F.col("x")) / n - sx * sx / n / n) * (F.sum(w * F.col("y") * F.col("y")) / n - sy * sy / n / n))
+
+    r = resample.bca(df, "id", correlation, 400, 1).first()
+    assert r.est == pytest.approx(np.corrcoef(x, y)[0, 1]) and r.lo < r.est < r.hi and 0.08 < r.hi - r.lo < 0.25
+    mean = resample.bca(df, "id", lambda w: F.sum(w * F.col("x")) / F.sum(w), 400, 1).first()
+    closed = resample.bca_mean(df, "id", "x", 400, 1).first()
+    assert mean.est == pytest.approx(closed.est) and mean.lo == pytest.approx(closed.lo, abs=0.01) and mean.hi == pytest.approx(closed.hi, abs=0.01)
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_kernel_machines_equal_a_plain_solver(spark, regression):
+    """On the same landmarks, by steepest descent with halving; and they bend where a line can't."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (300, 2))
+    y = (x**2).sum(1) if regression else ((x**2).sum(1) > 1.4).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, label double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).repartition(3)
+    machine = models.estimator("svr" if regression else "svc_rbf", cost=0.5, landmarks=20).fit(df)
+    got = {r.id: r for r in machine.transform(df).collect()}
+    z, target = machine.features(x), y if regression else 2 * y - 1
+
+    def value(w):
+        loss = machine.losses(z @ w, target)
+        return 0.5 * w[1:] @ w[1:] + 0.5 * loss @ loss, np.concatenate(([0.0], w[1:])) + z.T @ loss
+
+    w, rate = np.zeros(z.shape[1]), 1.0
+    for _ in range(20_000):
+        at, slope = value(w)
+        while rate > 1e-12 and value(w - rate * slope)[0] > at - 0.5 * rate * slope @ slope:
+            rate /= 2
+        w, rate = w - rate * slope, rate * 1.5
+    assert value(machine.weights)[0] <= value(w)[0] + 1e-6 and np.allclose([got[i].margin for i in range(300)], z @ w, atol=1e-2)
+    if regression:
+        assert np.var([got[i].prediction - y[i] for i in range(300)]) < 0.1 * np.var(y)
+    else:
+        assert np.mean([got[i].prediction == y[i] for i in range(300)]) > 0.93
