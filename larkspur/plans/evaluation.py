@@ -190,7 +190,7 @@ def redrawn_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = row_ids(scored(spark, sf_dir).where("lang = 'es'"), ["doc_id"], "place")
     drawn = resample.redrawn_bootstrap(rows, "place", "y", rows.count(), RESAMPLES, SEED, ATTEMPTS)
     each = drawn.groupBy("b").agg(M.accuracy(F.col("y"), M.threshold_decision(F.col("p"), 0.6)).alias("acc"), F.max("attempt").alias("attempt"))
-    again = each.agg(F.count_if("attempt > 0").alias("redrawn"))
+    again = each.agg(F.count_if(F.col("attempt") > 0).alias("redrawn"))
     s = resample.percentile_interval(each, "acc").crossJoin(F.broadcast(again))
     return s.select("n", "redrawn", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
