@@ -34,7 +34,7 @@ from .cumulative import with_range
 
 log = logging.getLogger(__name__)
 #: Rows of a strip.
-STRIP = 4096
+STRIP = 16_384
 #: Of the bidders' mean cost in the first round: what a bid goes beyond the second choice.
 EPSILON = 1e-3
 ROUNDS = 10_000
