@@ -36,7 +36,7 @@ log = logging.getLogger(__name__)
 #: Rows of a strip.
 STRIP = 16_384
 #: Of the bidders' mean cost in the first round: what a bid goes beyond the second choice.
-EPSILON = 1e-3
+EPSILON = 0.05
 ROUNDS = 10_000
 BIDS = "item bigint, price double, holder bigint, cost double"
 

@@ -121,7 +121,7 @@ def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str]
 
     A block of equal exact values is an assignment problem. Up to MOST_SMALL x MOST_LARGE rows a task
     solves it as one matrix; larger blocks are solved by an auction in rounds (see ``auction``), whose
-    total is above the least one by at most its epsilon a pair, a thousandth of the rows' typical spacing.
+    total is above the least one by at most its epsilon a pair, a twentieth of the rows' typical spacing.
     """
     found = _assigned(z_scored(df, numeric), id_col, group, numeric, exact)
     return found.withColumn("pair_id", F.xxhash64("small_id", "large_id")).select("pair_id", "small_id", "large_id", "distance")
