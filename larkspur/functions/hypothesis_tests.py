@@ -1,12 +1,13 @@
 """Hypothesis tests and association: statistics by aggregation, tails on the aggregated rows only.
 
 Every function returns a small table with the statistic and its two-sided p; a group without
-enough rows has nulls. Rank tests use the normal approximation with tie correction.
+enough rows has nulls. Rank tests of few rows without ties take the exact null law, others the normal
+approximation with tie correction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,14 @@ from pyspark.sql.window import Window
 
 from ..operators.cumulative import average_ranks, cumulative, later_min
 from ..operators.describe import category_shares, long_form
-from .special import chi2_tail, fisher_exact, normal_two_sided, score_sums, shapiro_test, t_two_sided
+from .special import chi2_tail, fisher_exact, normal_two_sided, rank_sum_law, score_sums, shapiro_test, signed_rank_law, t_two_sided
 
 #: Normal scores summed at a time for a value of many ties.
 SCORES = 10_000
+#: Mann-Whitney's exact law: the most rows of the smaller group, and of both.
+EXACT_SMALLER, EXACT_BOTH = 8, 200
+#: Wilcoxon's exact law: the most pairs.
+EXACT_PAIRS = 50
 
 
 def _two(df: DataFrame, group: str, value: str, groups: tuple[object, object], by: Sequence[str]) -> DataFrame:
@@ -61,8 +66,22 @@ def paired(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return s.select(*by, "t", "df", t_two_sided("t", "df").alias("p"))
 
 
+def _two_sided(s: DataFrame, exact: Column, sizes: dict[str, Column], law: Callable[..., Column]) -> DataFrame:
+    """s (with z) with p and whether it is exact: twice the lower tail of a law, found once for each distinct set of sizes."""
+    s = s.withColumn("exact", F.coalesce(exact, F.lit(False)))
+    s = s.withColumns({n: F.when(F.col("exact"), c.cast("int")) for n, c in sizes.items()})
+    laws = s.where("exact").select(*sizes).distinct()
+    laws = laws.withColumn("__tail", law(*(F.col(n) for n in sizes)))
+    s = s.join(laws, list(sizes), "left")
+    return s.withColumn("p", F.when(F.col("exact"), F.least(F.lit(1.0), 2 * F.col("__tail"))).otherwise(normal_two_sided("z")))
+
+
 def mann_whitney(df: DataFrame, group: str, value: str, groups: tuple[object, object] = (0, 1), by: Sequence[str] = ()) -> DataFrame:
-    """(by, u, z, p): U of the first group, normal approximation with ties and continuity."""
+    """(by, u, z, p, exact): U of the first group.
+
+    p is exact if no two values are equal and the groups are small enough (EXACT_SMALLER, EXACT_BOTH);
+    else it is that of z, the normal approximation with ties and continuity. An empty group has a null p.
+    """
     keys = list(by)
     rows = df.where(F.col(group).isin(*groups) & F.col(value).isNotNull())
     steps = rows.groupBy(*keys, value).agg(F.count_if(F.col(group) == groups[0]).alias("a"), F.count("*").alias("k"))
@@ -75,23 +94,35 @@ def mann_whitney(df: DataFrame, group: str, value: str, groups: tuple[object, ob
     sd = F.sqrt(n_a * n_b / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     away = F.abs(u - n_a * n_b / 2) - 0.5
     s = s.withColumns({"u": u, "z": F.try_divide(F.greatest(away, F.lit(0.0)), sd)})
-    return s.select(*keys, "u", "z", normal_two_sided("z").alias("p"))
+    smaller, larger = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    exact = (F.col("ties") == 0) & smaller.between(1, EXACT_SMALLER) & (n <= EXACT_BOTH)
+    s = _two_sided(s, exact, {"__k": smaller, "__m": larger, "__u": F.least(F.col("u"), n_a * n_b - F.col("u"))}, rank_sum_law)
+    return s.select(*keys, "u", "z", "p", "exact")
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, w, z, p): signed ranks of the differences that aren't 0; w is the smaller sum."""
+    """(by, w, z, p, exact): signed ranks of the differences that aren't 0; w is the smaller sum.
+
+    p is exact for up to EXACT_PAIRS pairs of which none differ by 0 and no two by equally much; else it is
+    that of z. A key all of whose differences are 0 or null has no row.
+    """
     keys = list(by)
     d = F.col(x).cast("double") - F.col(y).cast("double")
-    rows = df.select(*keys, d.alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
-    steps = rows.groupBy(*keys, "size").agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    rows = df.select(*keys, d.alias("d")).where("d is not null").withColumn("size", F.abs("d"))
+    steps = rows.groupBy(*keys, "size").agg(F.count_if(F.col("d") != 0).alias("k"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") == 0).alias("same"))
     steps = cumulative(steps, keys, "size", {"k": "upto"})
     rank, k = F.col("upto") - (F.col("k") - 1) / 2.0, F.col("k").cast("double")
-    s = steps.groupBy(*keys).agg(F.sum("k").cast("double").alias("n"), F.sum(F.col("up") * rank).alias("plus"), F.sum(k * k * k - k).alias("ties"))
+    s = steps.groupBy(*keys).agg(
+        F.sum("k").cast("double").alias("n"), F.sum(F.col("up") * rank).alias("plus"), F.sum(k * k * k - k).alias("ties"), F.sum("same").alias("same")
+    )
+    s = s.where("n > 0") if keys else s.withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("n", "plus", "ties")})
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     w = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
     s = s.withColumns({"w": w, "z": F.try_divide(w - n * (n + 1) / 4, F.sqrt(var))})
-    return s.select(*keys, "w", "z", normal_two_sided("z").alias("p"))
+    exact = (F.col("ties") == 0) & (F.col("same") == 0) & (n <= EXACT_PAIRS)
+    s = _two_sided(s, exact, {"__n": n, "__w": F.col("w")}, signed_rank_law)
+    return s.select(*keys, "w", "z", "p", "exact")
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Distribution tails and quantiles for small result tables, as Arrow-batched functions of numpy.
 
-These run on rows that are already aggregated (one a test), never on the data itself.
+These run on rows that are already aggregated (one a test), never on the data itself. The laws of rank
+sums are expressions: counts by dynamic programming over arrays.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -182,3 +184,43 @@ def score_sums(first: pd.Series, last: pd.Series, n: pd.Series) -> pd.DataFrame:
 def shapiro_test(n: pd.Series, mx: pd.Series, total: pd.Series, wide: pd.Series, inner: pd.Series, squares: pd.Series) -> pd.DataFrame:
     found = [shapiro_of_sums(int(t[0]), *map(float, t[1:])) for t in zip(n, mx, total, wide, inner, squares)]
     return pd.DataFrame(found, columns=["w", "p"], dtype=float)
+
+
+def _one_and_zeros(n: Column) -> Column:
+    """[1, 0, ..., 0] of n + 1 doubles."""
+    return F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), n.cast("int")))
+
+
+def signed_rank_law(n: Column, w: Column) -> Column:
+    """P(W <= w) of the sum of the positive ranks among 1 to n, every rank's sign being equally likely either way.
+
+    The sets of ranks with each sum up to w are counted rank by rank, n * w steps; counts are exact to n = 53.
+    """
+
+    def with_rank(counts: Column, rank: Column) -> Column:
+        return F.transform(counts, lambda x, s: x + F.coalesce(F.get(counts, s - rank), F.lit(0.0)))
+
+    counts = F.reduce(F.sequence(F.lit(1), n.cast("int")), _one_and_zeros(w), with_rank)
+    return F.reduce(counts, F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n)
+
+
+def rank_sum_law(k: Column, m: Column, u: Column) -> Column:
+    """P(U <= u) of the first of two groups of k and m different values (k of them 1 or more), every order being equally likely.
+
+    Choosing the c-th value of the group at rank i adds i - c to U. For each number of values chosen so far
+    the choices with each U up to u are counted rank by rank, (k + m) * k * u steps.
+    """
+    k, m, u = k.cast("int"), m.cast("int"), u.cast("int")
+    none = F.array_repeat(F.lit(0.0), u + 1)
+
+    def with_rank(counts: Column, rank: Column) -> Column:
+        def chosen(row: Column, c: Column) -> Column:
+            before = F.get(counts, c - 1)
+            return F.transform(row, lambda x, s: x + F.coalesce(F.get(before, s - (rank - c)), F.lit(0.0)))
+
+        return F.transform(counts, chosen)
+
+    start = F.concat(F.array(_one_and_zeros(u)), F.array_repeat(none, k))
+    counts = F.get(F.reduce(F.sequence(F.lit(1), k + m), start, with_rank), k)
+    orders = F.reduce(F.sequence(F.lit(1), k), F.lit(1.0), lambda a, i: a * (m + i) / i)
+    return F.reduce(counts, F.lit(0.0), lambda a, x: a + x) / orders

@@ -138,6 +138,30 @@ def wilcoxon_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(T.wilcoxon(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax").select("w", "z"), "z")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, g, value, rank() OVER w + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY user_id, value) AS k FROM ({EVENTS2}) WINDOW w AS (PARTITION BY user_id ORDER BY value)),
+  a AS (SELECT user_id, sum(CASE WHEN g = 0 THEN r ELSE 0 END) AS r, CAST(sum(1 - g) AS DOUBLE) AS na, CAST(sum(g) AS DOUBLE) AS nb, count(*) AS n, sum(CAST(k AS DOUBLE) * k - 1) AS ties FROM e GROUP BY user_id),
+  s AS (SELECT *, r - na * (na + 1) / 2 AS u, ties = 0 AND least(na, nb) BETWEEN 1 AND 8 AND n <= 200 AS exact, na * nb AS most FROM a),
+  law(i, c, x, ways) AS (SELECT 0, 0, 0, 1.0::DOUBLE UNION ALL SELECT i + 1, c + t, x + t * (i - c), sum(ways) FROM law, (VALUES (0), (1)) v(t) WHERE i < (SELECT max(n) FROM s WHERE exact) AND c + t <= 8 GROUP BY 1, 2, 3),
+  p AS (SELECT user_id, least(1.0, 2 * sum(CASE WHEN x <= least(u, most - u) THEN ways ELSE 0 END) / sum(ways)) AS p FROM s JOIN law ON exact AND i = n AND c = least(na, nb) GROUP BY user_id)
+  SELECT user_id, u, exact, round(p, 8) AS p_exact FROM s LEFT JOIN p USING (user_id)""")
+def mann_whitney_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks' and views' values of each user: U, and p by the null law where a user has few rows and no ties."""
+    s = T.mann_whitney(two_types(spark, sf_dir), "g", "value", by=["user_id"])
+    return s.select("user_id", "u", "exact", F.when(F.col("exact"), rounded(F.col("p"), 8)).alias("p_exact"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT l_orderkey, l_discount - l_tax AS d FROM lineitem WHERE l_discount - l_tax IS NOT NULL), r AS (SELECT l_orderkey, d, rank() OVER (PARTITION BY l_orderkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_orderkey, abs(d)) - 1) / 2.0::DOUBLE AS r,
+    count(*) OVER (PARTITION BY l_orderkey, abs(d)) AS k FROM d WHERE d <> 0), z AS (SELECT l_orderkey, count(CASE WHEN d = 0 THEN 1 END) AS same FROM d GROUP BY l_orderkey),
+  a AS (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, max(k) AS k FROM r GROUP BY l_orderkey), s AS (SELECT l_orderkey, n, least(plus, n * (n + 1) / 2 - plus) AS w, k = 1 AND same = 0 AND n <= 50 AS exact FROM a JOIN z USING (l_orderkey)),
+  law(i, x, ways) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT i + 1, x + t * (i + 1), sum(ways) FROM law, (VALUES (0), (1)) v(t) WHERE i < (SELECT max(n) FROM s WHERE exact) GROUP BY 1, 2),
+  p AS (SELECT l_orderkey, least(1.0, 2 * sum(CASE WHEN x <= w THEN ways ELSE 0 END) / sum(ways)) AS p FROM s JOIN law ON exact AND i = n GROUP BY l_orderkey)
+  SELECT l_orderkey, w, exact, round(p, 8) AS p_exact FROM s LEFT JOIN p USING (l_orderkey)""")
+def wilcoxon_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts and taxes of each order's lines: the smaller signed rank sum, and p by the null law where no difference is 0 or tied."""
+    s = T.wilcoxon(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax"), "l_discount", "l_tax", ["l_orderkey"])
+    return s.select("l_orderkey", "w", "exact", F.when(F.col("exact"), rounded(F.col("p"), 8)).alias("p_exact"))
+
+
 @query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), f AS (SELECT x.a, y.b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b),
   e AS (SELECT a, b, n, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM f)
   SELECT round(sum((n - e) * (n - e) / e), 6) AS stat, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS DOUBLE) AS df FROM e""")

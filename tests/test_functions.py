@@ -443,6 +443,43 @@ def test_test_follows_normality_and_repeated_ids(spark):
         assert got.test == name and got.p == pytest.approx(want.p)
 
 
+def test_rank_sum_p_equals_enumeration(spark):
+    rng = np.random.default_rng(31)
+    blocks = [rng.permutation([0] * k + [1] * m).tolist() for k, m in ((1, 1), (2, 5), (5, 2), (5, 5), (8, 4), (4, 8), (6, 6))]
+    rows = [(b, g, float(i)) for b, block in enumerate(blocks) for i, g in enumerate(block, 1)]
+    rows += [(20, i % 2, float(i // 2)) for i in range(6)] + [(21, 0, 1.0)]  # ties; an empty group
+    got = {r.b: r for r in T.mann_whitney(spark.createDataFrame(rows, "b long, g int, v double"), "g", "v", by=["b"]).collect()}
+    for b, block in enumerate(blocks):
+        k, m = block.count(0), block.count(1)
+        u_of = lambda ranks: sum(ranks) - k * (k + 1) / 2
+        u = u_of([i for i, g in enumerate(block, 1) if g == 0])
+        all_u = [u_of(c) for c in itertools.combinations(range(1, k + m + 1), k)]
+        assert got[b].u == u and got[b].exact
+        assert got[b].p == pytest.approx(min(1.0, 2 * sum(x <= min(u, k * m - u) for x in all_u) / len(all_u)), abs=1e-12)
+    assert not got[20].exact and got[20].p is not None and not got[21].exact and got[21].p is None
+
+
+def test_signed_rank_p_equals_enumeration(spark):
+    rng = np.random.default_rng(8)
+    data = {n: rng.choice([-1, 1], n) * (rng.permutation(n) + 1.0) for n in (1, 2, 5, 9, 12)}
+    rows = [(n, float(d), 0.0) for n, ds in data.items() for d in ds]
+    rows += [(20, 1.0, 0.0), (20, 2.0, 2.0), (21, 1.0, 0.0), (21, 0.0, 1.0), (22, 3.0, 3.0), (22, None, 1.0)]  # a difference of 0, a tie, nothing to rank
+    got = {r.b: r for r in T.wilcoxon(spark.createDataFrame(rows, "b long, x double, y double"), "x", "y", ["b"]).collect()}
+    for n, ds in data.items():
+        sums = [sum(s) for s in itertools.product(*((0, i) for i in range(1, n + 1)))]
+        plus = sum(abs(d) for d in ds if d > 0)
+        least = min(plus, n * (n + 1) / 2 - plus)
+        assert got[n].w == least and got[n].exact
+        assert got[n].p == pytest.approx(min(1.0, 2 * sum(s <= least for s in sums) / len(sums)), abs=1e-12)
+    assert not got[20].exact and not got[21].exact and got[20].p is not None and 22 not in got
+    assert T.wilcoxon(spark.createDataFrame([], "x double, y double"), "x", "y").first().p is None
+
+
+def test_exact_laws_at_their_bounds(spark):
+    at = spark.range(1).select(special.rank_sum_law(F.lit(8), F.lit(192), F.lit(767)).alias("u"), special.signed_rank_law(F.lit(50), F.lit(637)).alias("w")).first()
+    assert 0.49 < at.u < 0.5 and at.w == pytest.approx(0.5, abs=1e-12)  # of 0 to 1,536 below the middle, of 0 to 1,275 the lower half
+
+
 @pytest.mark.parametrize("kind", ["lda", "qda", "nb"])
 def test_gaussian_models_equal_densities(spark, kind):
     rng = np.random.default_rng(8)
