@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import minimised, selection_key
+from ..sources.session import written
+from .cumulative import with_range
 from .prepare import first_of_each
 
 
@@ -35,13 +37,26 @@ def top(board: DataFrame, score: str, tie: str, keep: float, largest: bool = Tru
 
 
 def top_within(board: DataFrame, keys: Sequence[str], score: str, tie: str, keep: float, largest: bool = True) -> DataFrame:
-    """The best ``keep`` rows or share of rows of each group; a group's own rank is dealt by the group."""
+    """The best ``keep`` rows or share of rows of each group, by a numeric score, then by tie; null scores are the least, NaN the largest.
+
+    Rows are counted by group and range of scores. Ranges that are wholly within a group's best rows are
+    kept and those beyond dropped; only the range at the cut is ranked, so no group is sorted as a whole
+    (rows of one group and one score are).
+    """
+    keys = list(keys)
+    ranged = with_range(written(board), score, name="__band").withColumn("__band", F.when(F.col(score).isNull(), -1).otherwise(F.col("__band")))
+    key = F.struct(F.lit(0).alias("__all"), *keys)  # null keys are keys, too
+    ranged = ranged.withColumn("__key", key)
+    bands = ranged.groupBy("__key", "__band").agg(F.count("*").alias("__rows"))
+    group = Window.partitionBy("__key")
+    upto = F.sum("__rows").over(group.orderBy(F.desc("__band") if largest else F.asc("__band")))  # at most RANGES + 2 rows a group
+    most = F.lit(int(keep)) if keep >= 1 else F.greatest(F.lit(1), F.floor(F.sum("__rows").over(group) * keep))
+    bands = bands.withColumns({"__upto": upto, "__most": most}).withColumn("__left", F.col("__most") - (F.col("__upto") - F.col("__rows"))).where("__left > 0")
+    placed = ranged.join(bands.select("__key", "__band", "__left", (F.col("__rows") > F.col("__left")).alias("__cut")), ["__key", "__band"])
     order = [F.desc(score) if largest else F.asc(score), F.asc(tie)]
-    w = Window.partitionBy(*keys)
-    ranked = board.withColumn("__place", F.row_number().over(w.orderBy(*order)))
-    if keep >= 1:
-        return ranked.where(F.col("__place") <= int(keep)).drop("__place")
-    return ranked.withColumn("__n", F.count("*").over(w)).where(F.col("__place") <= F.greatest(F.lit(1), F.floor(F.col("__n") * keep))).drop("__place", "__n")
+    at_cut = placed.where("__cut").withColumn("__place", F.row_number().over(Window.partitionBy("__key", "__band").orderBy(*order)))
+    found = placed.where("not __cut").unionByName(at_cut.where(F.col("__place") <= F.col("__left")).drop("__place"))
+    return found.select(*board.columns)
 
 
 def top_shares(importances: DataFrame, name: str, value: str, n: int) -> DataFrame:

@@ -268,6 +268,22 @@ def test_best_top_and_fusion(spark):
     assert tag == "early"
 
 
+@pytest.mark.parametrize(("keep", "largest"), [(0.1, True), (0.34, False), (7, True), (3, False)])
+def test_top_rows_of_groups_equal_a_sort(spark, keep, largest):
+    rng = np.random.default_rng(12)
+    scores = [None if u < 0.05 else math.nan if u < 0.1 else 2.0 if u < 0.4 else float(round(3 * u, 2)) for u in rng.random(700)]  # nulls, NaN and many ties
+    rows = [(None if i % 7 == 6 else "abc"[min(2, i % 7)], i, s) for i, s in enumerate(scores)] + [("z", 1000, None)]
+    got = select.top_within(spark.createDataFrame(rows, "g string, id long, s double"), ["g"], "s", "id", keep, largest)
+    assert got.columns == ["g", "id", "s"]
+    size = lambda s: (0, 0.0) if s is None else (2, 0.0) if math.isnan(s) else (1, s)
+    want = set()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        mine.sort(key=lambda r: size(r[2]), reverse=largest)
+        want |= {r[1] for r in mine[: keep if keep >= 1 else max(1, int(len(mine) * keep))]}
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes("id,name\n1,caf\xe9\n".encode("latin-1"))
     assert files.read_csv(spark, str(tmp_path / "latin.csv")).first()["name"] == "café"
