@@ -3,20 +3,25 @@
 Instead of drawing indices, every row draws how often it is in each resample. With weights from
 the Poisson distribution of mean 1 resamples are independent across rows, so they need no shuffle of rows,
 no row numbers and no shared index table: each task adds up its rows' weights. Where a resample must
-have exactly n rows, ``index_bootstrap`` joins drawn indices, a row each, with the numbered rows instead.
+have exactly n rows, ``counted_bootstrap`` splits the n draws down a tree of the rows' places, so that a
+task finds its own rows' counts without any other's; ``index_bootstrap`` joins drawn indices, a row each,
+with the numbered rows, which any engine can repeat but shuffles resamples * n rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
 from ..functions.scalars import draw
 from ..functions.special import normal_cdf, normal_quantile
-from ..sources.session import written
+from ..sources.session import ship_package, written
 
 SPACE = 1 << 30
 #: Cumulative probabilities of a Poisson count of mean 1.
@@ -55,6 +60,65 @@ def index_bootstrap(df: DataFrame, place: str, n: int, resamples: int, seed: int
     return df.join(drawn, F.col(place) == F.col("__at")).drop("__at")
 
 
+#: Places whose counts are drawn together.
+CHUNK = 4096
+
+
+def chunk_draws(chunk: int, n: int, resamples: int, seed: int, size: int = CHUNK) -> np.ndarray:
+    """How many of each resample's n draws fall into a chunk of ``size`` of n places.
+
+    All draws are halved down a tree over the chunks: how many go left is binomial by the places on
+    either side, and a node's generator is keyed by the node, so whoever walks down to a chunk finds the same.
+    """
+    low, high, draws = 0, -(-n // size), np.full(resamples, n, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, all_ = (middle - low) * size, min(high * size, n) - low * size
+        down = np.random.default_rng([seed, low, high]).binomial(draws, left / all_)
+        low, high, draws = (low, middle, down) if chunk < middle else (middle, high, draws - down)
+    return draws
+
+
+def chunk_counts(chunk: int, n: int, resamples: int, seed: int, size: int = CHUNK) -> np.ndarray:
+    """(places of the chunk, resamples): how often each place is drawn; a resample's counts over all chunks add up to n."""
+    places = min(size, n - chunk * size)
+    rng = np.random.default_rng([seed, chunk, chunk + 1, 1])
+    counts = [np.bincount(rng.integers(0, places, t), minlength=places) for t in chunk_draws(chunk, n, resamples, seed, size)]
+    return np.array(counts, np.int16).T.reshape(places, resamples)
+
+
+def counted_bootstrap(
+    df: DataFrame, place: str, n: int, statistics: dict[str, Callable[[Column], Column]], resamples: int, seed: int, by: Sequence[str] = (), size: int = CHUNK
+) -> DataFrame:
+    """(by, b, statistics): as ``bootstrap``, but each resample has exactly n draws with replacement of the places 0 to n - 1.
+
+    All rows of a place share its counts; a row whose place is null or isn't one of these is never drawn.
+    The rows are dealt by chunk of places once (a chunk of very many rows is split, its tasks draw alike) and get an
+    array of their counts, so what is shuffled doesn't grow with the resamples but for a partial sum a task.
+    """
+    ship_package(df.sparkSession)
+    schema = StructType([*df.schema.fields, StructField("__counts", ArrayType(ShortType()))])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, counts = -1, np.zeros((0, resamples), np.int16)
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index(place)).to_numpy(zero_copy_only=False).astype(np.int64)
+            drawn = np.empty((len(at), resamples), np.int16)
+            chunks = at // size
+            for chunk in np.unique(chunks):
+                if chunk != last:
+                    last, counts = chunk, chunk_counts(int(chunk), n, resamples, seed, size)
+                mine = chunks == chunk
+                drawn[mine] = counts[at[mine] - chunk * size]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * resamples), pa.array(drawn.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "__counts"])
+
+    known = df.where(F.col(place).between(0, n - 1))
+    dealt = known.withColumn("__chunk", F.expr(f"`{place}` div {size}")).hint("rebalance", "__chunk").sortWithinPartitions("__chunk").drop("__chunk")
+    rows = dealt.mapInArrow(counted, schema).select("*", F.posexplode("__counts").alias("b", "__w")).where("__w > 0")
+    return rows.groupBy(*by, "b").agg(*(f(F.col("__w")).alias(name) for name, f in statistics.items()))
+
+
 #: Times that a resample is drawn until it has all classes.
 ATTEMPTS = 20
 

@@ -284,6 +284,32 @@ def test_top_rows_of_groups_equal_a_sort(spark, keep, largest):
     assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
+def test_counted_bootstrap_equals_its_counts_in_a_loop(spark):
+    n, resamples, size = 700, 40, 64
+    counts = np.concatenate([resample.chunk_counts(c, n, resamples, 5, size) for c in range(-(-n // size))])
+    assert counts.shape == (n, resamples) and (counts.sum(axis=0) == n).all()
+    rng = np.random.default_rng(2)
+    rows = [(i % n, "ab"[i % 2], float(v)) for i, v in enumerate(rng.normal(size=2 * n))]  # two rows a place
+    rows += [(0, "a", 1.0)] * 50 + [(None, "a", 9.0), (n, "a", 9.0), (-1, "a", 9.0)]  # a hot place; places that aren't drawn
+    df = spark.createDataFrame(rows, "p long, g string, v double").repartition(5)
+    got = resample.counted_bootstrap(df, "p", n, {"m": lambda w: F.sum(w * F.col("v")) / F.sum(w), "k": F.sum}, resamples, 5, ["g"], size).collect()
+    assert len(got) == 2 * resamples
+    for r in got:
+        mine = [(counts[p, r.b], v) for p, g, v in rows if g == r.g and p is not None and 0 <= p < n]
+        assert r.k == sum(w for w, _ in mine) and r.m == pytest.approx(sum(w * v for w, v in mine) / r.k)
+    empty = resample.counted_bootstrap(df.limit(0), "p", 0, {"k": F.sum}, resamples, 5)
+    assert empty.collect() == []
+
+
+def test_counts_of_draws_are_multinomial():
+    n, resamples, size = 300, 4000, 32
+    counts = np.concatenate([resample.chunk_counts(c, n, resamples, 9, size) for c in range(-(-n // size))]).astype(float)
+    assert np.abs(counts.mean(axis=1) - 1).max() < 5 / math.sqrt(resamples)  # each place is drawn once on average,
+    assert np.abs(counts.var(axis=1) - (1 - 1 / n)).max() < 0.2  # binomially,
+    apart = np.corrcoef(counts)[np.triu_indices(n, 1)]
+    assert abs(apart.mean() + 1 / (n - 1)) < 1e-3 and np.abs(apart).max() < 0.1  # and places take draws from each other, near or far
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes("id,name\n1,caf\xe9\n".encode("latin-1"))
     assert files.read_csv(spark, str(tmp_path / "latin.csv")).first()["name"] == "café"
