@@ -161,6 +161,12 @@ def bca(df: DataFrame, id_col: str, statistic: Callable[[Column], Column], resam
     return _corrected(samples, base.crossJoin(F.broadcast(accel)), level)
 
 
+def distribution(samples: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, b, metric, value): the resampled values of each metric as rows, as violin plots take them; undefined ones are left out."""
+    long = samples.select(*by, "b", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([*by, "b"], list(metrics), "metric", "value")
+    return long.where("value is not null")
+
+
 def percentile_interval(samples: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """(by, n, mean, lo, hi) of the resamples where the statistic is defined."""
     tail = (1 - level) / 2

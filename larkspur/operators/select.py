@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import minimised, selection_key
+from ..functions.scalars import minimised, rounded, selection_key
 from ..sources.session import written
 from .cumulative import with_range
 from .prepare import first_of_each
@@ -65,6 +65,20 @@ def top_shares(importances: DataFrame, name: str, value: str, n: int) -> DataFra
     return most.withColumn("share", F.try_divide(value, F.sum(value).over(Window.partitionBy(F.lit(0)))))
 
 
+def wide_report(intervals: DataFrame, keys: Sequence[str], metrics: Sequence[str], sets: Sequence[str], digits: int = 2) -> DataFrame:
+    """(keys, <metric>_mean_<set>, <metric>_ic_<set>): a row a model from a row (keys, metric, set, mean, lo, hi) an interval.
+
+    Intervals are text, ``[lo, hi]``; a metric that a model lacks on a set has nulls.
+    """
+    cells = []
+    for m in metrics:
+        for s in sets:
+            mine = (F.col("metric") == m) & (F.col("set") == s) & F.col("mean").isNotNull()
+            text = F.format_string(f"[%.{digits}f, %.{digits}f]", rounded(F.col("lo"), digits), rounded(F.col("hi"), digits))
+            cells += [F.max(F.when(mine, rounded(F.col("mean"), digits))).alias(f"{m}_mean_{s}"), F.max(F.when(mine, text)).alias(f"{m}_ic_{s}")]
+    return intervals.groupBy(*keys).agg(*cells)
+
+
 def fusion(dimension: Column, task: Column) -> Column:
     """How a model's inputs were combined, from the names of its dimension and task."""
     return F.when(dimension.contains("__") | task.contains("__"), "early").when(dimension == "late", "late").otherwise("single")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import draw_sql, rounded
-from ..operators import describe, prepare, resample, split
+from ..operators import describe, prepare, resample, select, split
 from ..sources.session import table
 from .registry import query
 
@@ -134,6 +136,33 @@ def bootstrap_percentile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
+@query(f"""WITH d AS {DRAWN}, s AS {NUMBERED}, a AS (SELECT b, avg(CASE WHEN (p >= 0.6) = (y = 1) THEN 1.0 ELSE 0.0 END) AS lenient, avg(CASE WHEN (p >= 0.8) = (y = 1) THEN 1.0 ELSE 0.0 END) AS strict FROM d JOIN s ON d.at = s.place GROUP BY b)
+  SELECT CAST(b AS BIGINT) AS b, 'lenient' AS metric, round(lenient, 6) AS value FROM a UNION ALL SELECT b, 'strict', round(strict, 6) FROM a""")
+def bootstrap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' accuracies on each resample, a row each: what a violin plot shows."""
+    rows, n = _numbered(spark, sf_dir)
+    accuracies = [M.accuracy(F.col("y"), M.threshold_decision(F.col("p"), t)).alias(m) for m, t in (("lenient", 0.6), ("strict", 0.8))]
+    each = resample.index_bootstrap(rows, "place", n, RESAMPLES, SEED).groupBy("b").agg(*accuracies)
+    return resample.distribution(each, ["lenient", "strict"]).withColumn("value", rounded(F.col("value")))
+
+
+def _hits(of: str) -> Callable[[Column], Column]:
+    """The weight of rows of a kind whose decision d is their truth y, over that of all rows of the kind."""
+    return lambda w: F.try_divide(F.sum(F.when(F.expr(of), F.when(F.expr("d = y"), w).otherwise(0))), F.sum(F.when(F.expr(of), w)))
+
+
+WEIGHTED = {"accuracy": _hits("true"), "recall": _hits("y = 1")}
+
+
+@query()
+def counted_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, metric, n, mean, lo, hi): accuracy and recall of each language over resamples of exactly as many documents as there are."""
+    rows, n = _numbered(spark, sf_dir)
+    hit = rows.select("place", "lang", "y", M.threshold_decision(F.col("p"), 0.6).alias("d"))
+    each = resample.counted_bootstrap(hit, "place", n, WEIGHTED, RESAMPLES, SEED, ["lang"])
+    return resample.percentile_interval(resample.distribution(each, ["accuracy", "recall"], ["lang"]), "value", ["lang", "metric"])
+
+
 PAIRED = f"""d AS {DRAWN}, s AS {NUMBERED},
   a AS (SELECT b, avg(CASE WHEN (p >= 0.6) = (y = 1) THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN (p >= 0.8) = (y = 1) THEN 1.0 ELSE 0.0 END) AS diff FROM d JOIN s ON d.at = s.place GROUP BY b)"""
 
@@ -176,6 +205,21 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("lang", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
+REPORTED = f"""r AS (SELECT b, lang, CASE WHEN doc_id % 4 = 0 THEN 'holdout' ELSE 'dev' END AS s, y, CASE WHEN p >= 0.6 THEN 1 ELSE 0 END AS d, {draw_sql('doc_id * 1021 + b * 7919', SEED, resample.SPACE)} / {float(resample.SPACE)}::DOUBLE AS u
+    FROM ({SCORED}), range({RESAMPLES}) t(b)), w AS (SELECT *, {POISSON} AS w FROM r),
+  a AS (SELECT lang, s, b, CAST(sum(CASE WHEN y = d THEN w ELSE 0 END) AS DOUBLE) / sum(w) AS accuracy, CAST(sum(CASE WHEN y = 1 AND d = 1 THEN w ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN y = 1 THEN w END), 0) AS recall FROM w WHERE w > 0 GROUP BY 1, 2, 3),
+  i AS (SELECT lang, s, round(avg(accuracy), 2) AS am, round(quantile_cont(accuracy, 0.025), 2) AS al, round(quantile_cont(accuracy, 0.975), 2) AS ah, round(avg(recall), 2) AS rm, round(quantile_cont(recall, 0.025), 2) AS rl, round(quantile_cont(recall, 0.975), 2) AS rh FROM a GROUP BY 1, 2)"""
+
+
+@query(f"WITH {REPORTED} SELECT lang, " + ", ".join(f"max(CASE WHEN s = '{s}' THEN {m[0]}m END) AS {m}_mean_{s}, max(CASE WHEN s = '{s}' AND {m[0]}m IS NOT NULL THEN printf('[%.2f, %.2f]', {m[0]}l, {m[0]}h) END) AS {m}_ic_{s}" for m in ("accuracy", "recall") for s in ("dev", "holdout")) + " FROM i GROUP BY lang")
+def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a language: accuracy and recall on development and holdout documents, each with its interval as text."""
+    rows = scored(spark, sf_dir).withColumns({"set": F.when(F.col("doc_id") % 4 == 0, "holdout").otherwise("dev"), "d": M.threshold_decision(F.col("p"), 0.6)})
+    samples = resample.bootstrap(rows.select("doc_id", "lang", "set", "y", "d"), "doc_id", WEIGHTED, RESAMPLES, SEED, ["lang", "set"])
+    intervals = resample.percentile_interval(resample.distribution(samples, ["accuracy", "recall"], ["lang", "set"]), "value", ["lang", "set", "metric"])
+    return select.wide_report(intervals, ["lang"], ["accuracy", "recall"], ["dev", "holdout"])
+
+
 ATTEMPTS = 6
 FEW = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT * FROM (" + SCORED + ") WHERE lang = 'es')"
 

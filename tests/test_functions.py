@@ -17,6 +17,7 @@ from larkspur.functions import metrics as M
 from larkspur.functions import scalars as S
 from larkspur.functions import special
 from larkspur.operators import describe, matching, models, prepare, resample, search, select, split
+from larkspur.plans import evaluation
 from larkspur.sources import files
 
 NULL = "y int, score double"
@@ -301,6 +302,21 @@ def test_counted_bootstrap_equals_its_counts_in_a_loop(spark):
     assert empty.collect() == []
 
 
+def test_counted_intervals_equal_numpy(spark, small_dir):
+    rows = sorted(evaluation.scored(spark, small_dir).select("doc_id", "lang", "y", "p").collect())
+    n = len(rows)
+    counts = np.concatenate([resample.chunk_counts(c, n, evaluation.RESAMPLES, evaluation.SEED) for c in range(-(-n // resample.CHUNK))]).astype(float)
+    lang, y = np.array([r.lang for r in rows], object), np.array([r.y for r in rows])
+    hit = np.array([int(r.p >= 0.6) == r.y for r in rows])
+    got = evaluation.counted_bootstrap_ci(spark, small_dir).collect()
+    assert len(got) == 2 * len(set(lang))
+    for r in got:
+        kind = (lang == r.lang) & (np.ones(n, bool) if r.metric == "accuracy" else y == 1)
+        total = counts[kind].sum(axis=0)
+        values = counts[kind & hit].sum(axis=0)[total > 0] / total[total > 0]
+        assert r.n == len(values) and [r.mean, r.lo, r.hi] == pytest.approx([values.mean(), *np.quantile(values, [0.025, 0.975])])
+
+
 def test_counts_of_draws_are_multinomial():
     n, resamples, size = 300, 4000, 32
     counts = np.concatenate([resample.chunk_counts(c, n, resamples, 9, size) for c in range(-(-n // size))]).astype(float)
@@ -310,6 +326,21 @@ def test_counts_of_draws_are_multinomial():
     assert abs(apart.mean() + 1 / (n - 1)) < 1e-3 and np.abs(apart).max() < 0.1  # and places take draws from each other, near or far
 
 
+def test_wide_report_has_a_row_a_model(spark):
+    df = spark.createDataFrame(
+        [("m1", "auc", "dev", 0.806, 0.7, 0.9), ("m1", "auc", "holdout", 0.5, 0.25, 0.754), ("m2", "auc", "dev", 0.6, 0.5, 0.7), ("m2", "f1", "dev", None, None, None)],
+        "m string, metric string, set string, mean double, lo double, hi double",
+    )
+    got = {r.m: r.asDict() for r in select.wide_report(df, ["m"], ["auc", "f1"], ["dev", "holdout"]).collect()}
+    assert got["m1"] == {
+        "m": "m1", "auc_mean_dev": 0.81, "auc_ic_dev": "[0.70, 0.90]", "auc_mean_holdout": 0.5, "auc_ic_holdout": "[0.25, 0.75]",
+        "f1_mean_dev": None, "f1_ic_dev": None, "f1_mean_holdout": None, "f1_ic_holdout": None,
+    }
+    assert got["m2"]["auc_ic_dev"] == "[0.50, 0.70]" and got["m2"]["auc_ic_holdout"] is None and got["m2"]["f1_ic_dev"] is None
+    long = resample.distribution(spark.createDataFrame([(0, 1.0, None), (1, 2.0, 3.0)], "b long, x double, y double"), ["x", "y"])
+    assert sorted(map(tuple, long.collect())) == [(0, "x", 1.0), (1, "x", 2.0), (1, "y", 3.0)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes("id,name\n1,caf\xe9\n".encode("latin-1"))
     assert files.read_csv(spark, str(tmp_path / "latin.csv")).first()["name"] == "café"
