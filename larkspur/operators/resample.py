@@ -62,6 +62,8 @@ def index_bootstrap(df: DataFrame, place: str, n: int, resamples: int, seed: int
 
 #: Places whose counts are drawn together.
 CHUNK = 4096
+#: Places of a task, up to TASKS tasks.
+TASK_PLACES, TASKS = 16_384, 20_000
 
 
 def chunk_draws(chunk: int, n: int, resamples: int, seed: int, size: int = CHUNK) -> np.ndarray:
@@ -93,8 +95,9 @@ def counted_bootstrap(
     """(by, b, statistics): as ``bootstrap``, but each resample has exactly n draws with replacement of the places 0 to n - 1.
 
     All rows of a place share its counts; a row whose place is null or isn't one of these is never drawn.
-    The rows are dealt by chunk of places once (a chunk of very many rows is split, its tasks draw alike) and get an
-    array of their counts, so what is shuffled doesn't grow with the resamples but for a partial sum a task.
+    The rows are dealt once, by ranges of chunks and a hash within them (a chunk of very many rows is split, its tasks
+    draw alike), and get an array of their counts, so what is shuffled doesn't grow with the resamples but for a
+    partial sum a task. A task takes TASK_PLACES places, as each row becomes up to ``resamples`` of them.
     """
     ship_package(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField("__counts", ArrayType(ShortType()))])
@@ -114,7 +117,9 @@ def counted_bootstrap(
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "__counts"])
 
     known = df.where(F.col(place).between(0, n - 1))
-    dealt = known.withColumn("__chunk", F.expr(f"`{place}` div {size}")).hint("rebalance", "__chunk").sortWithinPartitions("__chunk").drop("__chunk")
+    tasks = min(TASKS, max(1, -(-n // TASK_PLACES)))
+    dealt = known.withColumns({"__chunk": F.expr(f"`{place}` div {size}"), "__salt": F.xxhash64(*known.columns)}).repartitionByRange(tasks, "__chunk", "__salt")
+    dealt = dealt.sortWithinPartitions("__chunk").drop("__chunk", "__salt")
     rows = dealt.mapInArrow(counted, schema).select("*", F.posexplode("__counts").alias("b", "__w")).where("__w > 0")
     return rows.groupBy(*by, "b").agg(*(f(F.col("__w")).alias(name) for name, f in statistics.items()))
 
