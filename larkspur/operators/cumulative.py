@@ -73,6 +73,24 @@ def later_min(df: DataFrame, by: Sequence[str], order: str, column: str, out: st
     return own.withColumn(out, F.least(out, "__later")).drop("__range", "__later")
 
 
+def nearest_known(df: DataFrame, order: str, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """df with <column>_before and <column>_after for each column, structs (order, column) of the nearest rows, itself included, where it isn't null.
+
+    The order's values are all different. Ranges look within themselves, and are given what the ranges on either side end with.
+    """
+    ranged = with_range(written(df), order, ranges)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(order, c))
+    ends = ranged.groupBy("__range").agg(*(f(known(c)).alias(f"__{c}_{n}") for c in columns for n, f in (("last", F.max), ("first", F.min))))
+    line = Window.partitionBy(F.lit(0)).orderBy("__range")  # at most ``ranges`` rows
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("__range", *(e for c in columns for e in (F.max(f"__{c}_last").over(earlier).alias(f"__{c}_before"), F.min(f"__{c}_first").over(later).alias(f"__{c}_after"))))
+    own = Window.partitionBy("__range").orderBy(order)
+    upto, beyond = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    near = ranged.withColumns({f"{c}_{n}": f(known(c)).over(w) for c in columns for n, f, w in (("before", F.max, upto), ("after", F.min, beyond))})
+    joined = near.join(F.broadcast(ends), "__range")
+    return joined.select(*df.columns, *(F.coalesce(f"{c}_{n}", f"__{c}_{n}").alias(f"{c}_{n}") for c in columns for n in ("before", "after")))
+
+
 def percentiles(df: DataFrame, column: str, shares: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, names): exact percentiles with linear interpolation, from running counts of the distinct values.
 

@@ -16,7 +16,7 @@ from ..functions.scalars import draw, drawn
 from ..functions.special import t_two_sided
 from ..sources.session import written
 from .auction import auction
-from .cumulative import cumulative
+from .cumulative import cumulative, nearest_known
 from .describe import long_form
 
 #: Most rows of the smaller and of the larger group that a task solves as one matrix (128 MB); an auction in rounds solves larger blocks.
@@ -207,7 +207,10 @@ def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exa
 
 
 def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], caliper: float = 0.05) -> DataFrame:
-    """(small_id, large_id, distance) by propensity score within a caliper: nearest in both directions."""
+    """(small_id, large_id, distance) by propensity score within a caliper: nearest in both directions.
+
+    Neighbours are looked for along the different scores, range by range, so no pairs are made, however many rows are within a caliper.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -215,13 +218,16 @@ def propensity_pairs(df: DataFrame, id_col: str, group: str, covariates: Sequenc
     rows = VectorAssembler(inputCols=list(covariates), outputCol="__x").transform(df)
     model = LogisticRegression(featuresCol="__x", labelCol=group, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred").fit(rows)
     scored = model.transform(rows).select(id_col, group, vector_to_array("__p")[1].alias("score"))
-    ranges = F.floor(F.col("score") / caliper)
-    a = scored.where(F.col(group) == 1).select(F.col(id_col).alias("small_id"), F.col("score").alias("sa"), ranges.alias("r"))
-    b = scored.where(F.col(group) == 0).select(F.col(id_col).alias("large_id"), F.col("score").alias("sb"), F.explode(F.array(ranges - 1, ranges, ranges + 1)).alias("r"))
-    pairs = a.join(b, "r").select("small_id", "large_id", F.abs(F.col("sa") - F.col("sb")).alias("distance")).where(F.col("distance") <= caliper)
-    for_a = pairs.groupBy("small_id").agg(F.min(F.struct("distance", "large_id")).alias("x")).select("small_id", "x.large_id", "x.distance")
-    for_b = pairs.groupBy("large_id").agg(F.min(F.struct("distance", "small_id")).alias("x")).select("large_id", "x.small_id")
-    return for_a.join(for_b, ["small_id", "large_id"])
+    both = [F.min(F.when(F.col(group) == g, F.col(id_col))).alias(n) for g, n in ((1, "small_id"), (0, "large_id"))]
+    # of the rows with one score only the smallest id can be anyone's nearest, and its own nearest are the next scores on either side
+    known = nearest_known(scored.groupBy("score").agg(*both), "score", ["small_id", "large_id"])
+
+    def nearest(mine: str, other: str) -> DataFrame:
+        gap = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("score") - F.col(side)["score"]).alias("distance"), F.col(side)[other].alias(other)))
+        found = known.where(F.col(mine).isNotNull()).select(mine, F.least(gap(f"{other}_before"), gap(f"{other}_after")).alias("x"))
+        return found.select(mine, f"x.{other}", "x.distance").where(F.col("distance") <= caliper)
+
+    return nearest("small_id", "large_id").join(nearest("large_id", "small_id").drop("distance"), ["small_id", "large_id"])
 
 
 def propensity_triples(df: DataFrame, id_col: str, group: str, covariates: Sequence[str], groups: Sequence[object], caliper: float = 0.5) -> DataFrame:

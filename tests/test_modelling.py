@@ -397,3 +397,25 @@ def test_kernel_machines_equal_a_plain_solver(spark, regression):
         assert np.var([got[i].prediction - y[i] for i in range(300)]) < 0.1 * np.var(y)
     else:
         assert np.mean([got[i].prediction == y[i] for i in range(300)]) > 0.93
+
+
+def test_propensity_pairs_equal_all_pairs_with_many_equal_scores(spark):
+    rng = np.random.default_rng(4)
+    from time import time
+
+    rows = [(i, int(rng.integers(2)), float(rng.integers(40)) / 10) for i in range(400)]
+    got = sorted(map(tuple, matching.propensity_pairs(spark.createDataFrame(rows, "id long, g int, x double"), "id", "g", ["x"], 0.02).collect()))
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    made = VectorAssembler(inputCols=["x"], outputCol="v").transform(spark.createDataFrame(rows, "id long, g int, x double"))
+    scores = LogisticRegression(featuresCol="v", labelCol="g").fit(made).transform(made).select("id", "g", vector_to_array("probability")[1].alias("p")).collect()
+    a, b = [r for r in scores if r.g == 1], [r for r in scores if r.g == 0]
+    best = lambda r, others: min(((abs(r.p - o.p), o.id) for o in others if abs(r.p - o.p) <= 0.02), default=(None, None))
+    of_b = {r.id: best(r, a)[1] for r in b}
+    assert got == sorted((r.id, best(r, b)[1], best(r, b)[0]) for r in a if of_b.get(best(r, b)[1]) == r.id) and got
+    many = spark.range(80_000).selectExpr("id", "cast(id % 2 as int) as g", "cast(id % 999 as double) as x")
+    began = time()
+    assert 0 < matching.propensity_pairs(many, "id", "g", ["x"]).count() <= 999
+    assert time() - began < 60  # all pairs within the caliper are 1.6 billion
