@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from heapq import heappop, heappush, heapreplace
 from itertools import combinations
 
 import numpy as np
@@ -16,11 +17,13 @@ from ..functions.scalars import draw, drawn
 from ..functions.special import t_two_sided
 from ..sources.session import written
 from .auction import auction
-from .cumulative import cumulative, nearest_known
+from .cumulative import cumulative, nearest_known, with_range
 from .describe import long_form
 
 #: Most rows of the smaller and of the larger group that a task solves as one matrix (128 MB); an auction in rounds solves larger blocks.
 MOST_SMALL, MOST_LARGE = 2048, 8192
+#: With one covariate, most different values of a block that a task assigns on a line (about 300 MB).
+MOST_VALUES = 500_000
 #: Pairs of rows that ``nearest_pairs`` compares directly.
 DIRECT = 100_000_000
 #: Of a set, a for train and b for test: rows, their sum and their sum of squares.
@@ -116,10 +119,73 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def used_on_line(values: np.ndarray, bidders: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """How many items of each value the assignment of least total distance on a line uses; bidders are no more than items.
+
+    values ascend, with how many bidders and items have each. They are gone through once; what a bidder
+    or an item may still change later is on two heaps, an entry for all that change at the same cost:
+    (times without any item, cost, item's value in use then, number).
+    """
+    used = [0] * (len(values) + 1)  # the last place is for a bidder without an item as yet
+    free: list[tuple[int, float, int, int]] = [(1, 0.0, len(values), int(bidders.sum()))]
+    held: list[tuple[int, float, int, int]] = []
+    for i, (x, p, q) in enumerate(zip(values.tolist(), bidders.tolist(), items.tolist())):
+        while p:
+            k, w, at, n = free[0]
+            t = min(p, n)
+            heapreplace(free, (k, w, at, n - t)) if n > t else heappop(free)
+            used[at] += t
+            heappush(held, (-k, -2 * x - w, at, t))
+            p -= t
+        while q and held and (held[0][0], held[0][1] + x) < (0, 0.0):
+            k, v, at, n = held[0]
+            t = min(q, n)
+            heapreplace(held, (k, v, at, n - t)) if n > t else heappop(held)
+            used[at] -= t
+            used[i] += t
+            heappush(free, (-k, -2 * x - v, at, t))
+            q -= t
+        if q:
+            heappush(free, (0, -x, i, q))
+    return np.array(used[:-1], np.int64)
+
+
+def _on_lines(z: DataFrame, id_col: str, group: str, column: str, exact: Sequence[str]) -> DataFrame:
+    """(small_id, large_id, distance) of least total distance in one covariate, in blocks of up to MOST_VALUES different values.
+
+    Which items are used is found from the counts of the values, a block a task; then the n-th bidder of a block has its n-th used
+    item, which no other pairs of them beat. The rows are numbered range by range of their ids, so equal values may be any number.
+    """
+    keys = [*exact, "__run", column]
+    counts = z.groupBy(*keys).agg(F.count_if(F.col(group) == 1).alias("__n1"), F.count_if(F.col(group) == 0).alias("__n0"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields[: len(keys)])
+
+    def places(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(column)
+        n = part[["__n1", "__n0"]].to_numpy(np.int64)
+        few = 0 if n[:, 0].sum() <= n[:, 1].sum() else 1
+        n[:, 1 - few] = used_on_line(part[column].to_numpy(float), n[:, few], n[:, 1 - few])
+        first = n.cumsum(axis=0) - n
+        return part[keys].assign(__use1=n[:, 0], __first1=first[:, 0], __use0=n[:, 1], __first0=first[:, 1])
+
+    found = counts.groupBy(*exact, "__run").applyInPandas(places, kinds + ", __use1 long, __first1 long, __use0 long, __first0 long")
+    ranged = with_range(z, id_col)
+    sizes = ranged.groupBy(*keys, group, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys, group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # at most RANGES rows a value
+    sizes = sizes.select(*keys, group, "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, group, "__range").orderBy(id_col)) - 1
+    number = ranged.withColumn("__i", inside).join(sizes, [*keys, group, "__range"]).withColumn("__i", F.col("__i") + F.col("__before"))
+    placed = number.join(found, keys)
+    side = lambda g, name: placed.where((F.col(group) == g) & (F.col("__i") < F.col(f"__use{g}"))).select(*exact, "__run", (F.col("__i") + F.col(f"__first{g}")).alias("__place"), F.col(id_col).cast("long").alias(f"{name}_id"), F.col(column).alias(f"__{name}"))
+    pairs = side(1, "small").join(side(0, "large"), [*exact, "__run", "__place"])
+    return pairs.select("small_id", "large_id", F.abs(F.col("__small") - F.col("__large")).alias("distance"))
+
+
 def optimal_pairs(df: DataFrame, id_col: str, group: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """(pair_id, small_id, large_id, distance): one-to-one pairs of least total distance that agree on exact.
 
-    A block of equal exact values is an assignment problem. Up to MOST_SMALL x MOST_LARGE rows a task
+    A block of equal exact values is an assignment problem. With one covariate it is solved along the line, in time that
+    grows with the rows (times a logarithm), up to MOST_VALUES different values. With more, up to MOST_SMALL x MOST_LARGE rows a task
     solves it as one matrix; larger blocks are solved by an auction in rounds (see ``auction``), whose
     total is above the least one by at most its epsilon a pair, a twentieth of the rows' typical spacing.
     """
@@ -158,6 +224,11 @@ def _sizes(z: DataFrame, group: str, exact: Sequence[str]) -> DataFrame:
     return sizes.where("__a > 0 and __b > 0").withColumn("__big", ~fits)
 
 
+def _lines(z: DataFrame, column: str, exact: Sequence[str]) -> DataFrame:
+    """(exact, __big) of all blocks, those with more than MOST_VALUES values being big."""
+    return z.select(*exact, column).distinct().groupBy(*exact).agg((F.count("*") > MOST_VALUES).alias("__big"))
+
+
 def _solved(rows: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """(small_id, large_id, distance) by an assignment for each run of each block."""
 
@@ -187,6 +258,20 @@ def _assigned(z: DataFrame, id_col: str, group: str, numeric: Sequence[str], exa
     """(small_id, large_id, distance) by assignment in blocks, over columns scored already."""
     columns = [f"z_{c}" for c in numeric]
     z = z.select(id_col, group, *exact, *columns)
+    if len(columns) == 1:
+        z = written(z)
+        lines = written(_lines(z, columns[0], exact))
+        if not lines.agg(F.max("__big")).first()[0]:
+            return _on_lines(z.withColumn("__run", F.lit(0)), id_col, group, columns[0], exact)
+        of = lambda rows: z.join(rows.select(*exact), list(exact), "left_semi") if exact else z.where(F.lit(False)) if rows is short else z
+        short = lines.where("not __big")
+        out = _on_lines(of(short).withColumn("__run", F.lit(0)), id_col, group, columns[0], exact)
+        return out.unionByName(_matrices(of(lines.where("__big")), id_col, group, columns, exact))
+    return _matrices(z, id_col, group, columns, exact)
+
+
+def _matrices(z: DataFrame, id_col: str, group: str, columns: Sequence[str], exact: Sequence[str]) -> DataFrame:
+    """(small_id, large_id, distance) by a matrix a block, or by an auction where one is too large."""
     sizes = _sizes(z, group, exact)
     if not sizes.agg(F.max("__big")).first()[0]:
         return _solved(z.withColumn("__run", F.lit(0)), id_col, group, columns, exact)

@@ -419,3 +419,38 @@ def test_propensity_pairs_equal_all_pairs_with_many_equal_scores(spark):
     began = time()
     assert 0 < matching.propensity_pairs(many, "id", "g", ["x"]).count() <= 999
     assert time() - began < 60  # all pairs within the caliper are 1.6 billion
+
+
+def test_items_used_on_a_line_are_those_of_the_least_total():
+    rng = np.random.default_rng(1)
+    for trial in range(400):
+        n, m = (k := int(rng.integers(1, 9))), k + int(rng.integers(0, 6))
+        a, b = ((np.sort(rng.integers(0, 12, k)).astype(float) if trial % 2 else np.sort(rng.normal(size=k))) for k in (n, m))
+        values = np.unique(np.concatenate((a, b)))
+        of = lambda x: (x[None, :] == values[:, None]).sum(1)
+        used = matching.used_on_line(values, of(a), of(b))
+        cost = np.abs(a[:, None] - b[None, :])
+        assert used.sum() == n and (used >= 0).all() and (used <= of(b)).all()
+        assert np.isclose(np.abs(a - np.repeat(values, used)).sum(), cost[np.arange(n), matching.assign(cost)].sum())
+
+
+def test_blocks_of_any_size_have_the_least_total_in_one_covariate(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.random() < p), float(np.round(rng.normal(), 1 if s == "b" else 6)), s) for s, p, n in (("a", 0.5, 300), ("b", 0.7, 400), ("c", 0.2, 200)) for i in range(ord(s) * 1000, ord(s) * 1000 + n)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, s string").repartition(3)
+    x = np.array([r[2] for r in rows])
+    z = {r[0]: (r[2] - x.mean()) / x.std() for r in rows}
+    monkeypatch.setattr(matching, "MOST_SMALL", 16)  # blocks of more rows were left to an auction
+    got = matching.optimal_pairs(df, "id", "g", ["x"], ["s"]).collect()
+    side = {r[0]: (r[1], r[3]) for r in rows}
+    assert all((side[r.small_id][0], side[r.large_id][0]) == (1, 0) and side[r.small_id][1] == side[r.large_id][1] for r in got)
+    assert len({r.small_id for r in got}) == len({r.large_id for r in got}) == len(got)
+    for s in "abc":
+        a, b = (np.array([z[r[0]] for r in rows if r[3] == s and r[1] == g]) for g in (1, 0))
+        cost = np.abs(a[:, None] - b[None, :]) if len(a) <= len(b) else np.abs(b[:, None] - a[None, :])
+        mine = [r for r in got if side[r.small_id][1] == s]
+        assert len(mine) == len(cost) and np.isclose(sum(r.distance for r in mine), cost[np.arange(len(cost)), matching.assign(cost)].sum(), rtol=1e-9)
+        assert all(np.isclose(r.distance, abs(z[r.small_id] - z[r.large_id])) for r in mine)
+    monkeypatch.setattr(matching, "MOST_VALUES", 100)  # blocks a and c, of more values, are left to the auction
+    again = matching.optimal_pairs(df, "id", "g", ["x"], ["s"]).collect()
+    assert len({r.small_id for r in again}) == len({r.large_id for r in again}) == len(again) == len(got)
