@@ -134,11 +134,12 @@ def redrawn_bootstrap(df: DataFrame, place: str, label: str, n: int, resamples:
     Draws are keyed by resample and attempt, and only the resamples that failed are drawn again, so
     a round's work shrinks with the failures; one that fails every time is left out.
     """
+    df = written(df)  # every attempt reads it twice
     spark, classes = df.sparkSession, df.where(F.col(label).isNotNull()).select(label).distinct().count()
     left, parts = spark.range(resamples).select(F.col("id").alias("b")), []
-    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     for attempt in range(attempts if n > 0 else 0):
-        drawn = left.select("b", F.lit(attempt).alias("attempt"), places.alias("k"))
+        # places come from a range, not from an array of n numbers, which the driver would make and keep in every plan
+        drawn = spark.range(n).withColumnRenamed("id", "k").crossJoin(F.broadcast(left)).select("b", F.lit(attempt).alias("attempt"), "k")
         drawn = drawn.withColumn("__at", draw((F.col("b") * attempts + attempt) * n + F.col("k"), seed, n))
         rows = df.join(drawn, F.col(place) == F.col("__at")).drop("__at")
         good = written(rows.groupBy("b").agg(F.count_distinct(label).alias("c")).where(F.col("c") == classes).select("b"))

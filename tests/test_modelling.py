@@ -454,3 +454,12 @@ def test_blocks_of_any_size_have_the_least_total_in_one_covariate(spark, monkeyp
     monkeypatch.setattr(matching, "MOST_VALUES", 100)  # blocks a and c, of more values, are left to the auction
     again = matching.optimal_pairs(df, "id", "g", ["x"], ["s"]).collect()
     assert len({r.small_id for r in again}) == len({r.large_id for r in again}) == len(again) == len(got)
+
+
+def test_redrawn_resamples_do_not_hold_all_places_in_the_plan(spark):
+    from larkspur.operators import resample
+
+    rows = spark.createDataFrame([(i * 50_000, i % 2, float(i)) for i in range(4)], "place long, y int, v double")
+    got = resample.redrawn_bootstrap(rows, "place", "y", 200_000, 20, 3)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert {r.k for r in got.collect()} <= set(range(200_000))
