@@ -463,3 +463,8 @@ def test_redrawn_resamples_do_not_hold_all_places_in_the_plan(spark):
     got = resample.redrawn_bootstrap(rows, "place", "y", 200_000, 20, 3)
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
     assert {r.k for r in got.collect()} <= set(range(200_000))
+
+
+def test_importances_of_no_coefficient_are_undefined(spark):
+    assert all(np.isnan(r.importance) for r in models.importances(["a", "b"], [5.0, 0.0, 0.0], spark).collect())
+    assert [r.importance for r in models.importances(["a", "b"], [5.0, -3.0, 1.0], spark).collect()] == [0.75, 0.25]
