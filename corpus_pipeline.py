@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize, table
-from larkspur.llm.lang_id import UNKNOWN, fit, fit_floors, with_language
+from larkspur.llm.lang_id import UNKNOWN, fit, floors_of, held_out, with_language
 from larkspur.llm.minhash_dedup import drop_near_duplicates
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.pii import redact
@@ -34,9 +34,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     langs, matrix = fit(docs)
     if not langs:
         return docs.limit(0)
-    floors = fit_floors(docs, langs, matrix)
     columns = [F.col("__lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns]
-    judged = with_language(docs, langs, matrix, pred_col="__lang_pred", score_col="__lang_score", fit_col="__lang_fit")
+    judged = materialize(with_language(docs, langs, matrix, pred_col="__lang_pred", score_col="__lang_score", fit_col="__lang_fit"), "judged")
+    floors = floors_of(judged.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), "text", "lang", "__lang_pred", "__lang_fit")
     floor = F.coalesce(*(F.when(F.col("__lang_pred") == lang, x) for lang, x in sorted(floors.items())), F.lit(float("-inf")))
     known = (F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= LANGUAGE_AT) & (F.col("__lang_fit") >= floor)
     return judged.where(known).select(*columns)

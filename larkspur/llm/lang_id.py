@@ -5,8 +5,8 @@ space) are hashed into ``buckets``. Training counts them per language, with add-
 matrix of log probabilities, buckets x languages, has a fixed size and is broadcast. Scoring gathers
 the matrix rows of all n-grams of a batch of texts and sums them per text in numpy.
 
-The classifier is fitted on a bounded sample of labelled rows: about ``per_language`` documents of
-each language (all of them where there are fewer), chosen by a hash of the id. Every row is scored
+The classifier is fitted on all labelled rows that aren't held out, or if ``per_language`` is given on about so many of
+each language, chosen by a hash of the id. Every row is scored
 on its whole text. Language, source and id are never inputs of a prediction.
 
 A posterior knows the learned languages only, so a text in none of them scores high as well.
@@ -33,7 +33,6 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from .common import map_in_arrow
 
 BUCKETS = 1 << 16
-PER_LANGUAGE = 2_000
 #: Languages that are learned, those with the most rows; the model is broadcast, half a megabyte for each.
 MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
@@ -42,7 +41,7 @@ FLOOR_SHARE = 0.01
 FLOOR_MARGIN = 2.5
 FLOOR_CHARS = 300
 #: n-grams scored at once, so that a batch of long texts doesn't need more memory.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 17
 
 
 def held_out(id_: Column) -> Column:
@@ -137,12 +136,12 @@ def ngram_counts(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], DataFrame]:
-    """The languages in order, and the rows (text, lang) of the sample: a share of each language's, by one threshold each."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None) -> tuple[list[str], DataFrame]:
+    """The languages in order, and their rows (text, lang): all that may train, or a share of each language's, by one threshold each."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    below = F.least(F.lit(1.0), per_language / F.col("n")) * 1_000_000
+    below = F.lit(1_000_000) if per_language is None else F.least(F.lit(1.0), per_language / F.col("n")) * 1_000_000
     sizes = sizes.select("lang", "n", below.cast("long").alias("__below"))
     found = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang", "__below").collect()
     sizes = docs.sparkSession.createDataFrame(found, "lang string, __below long")
@@ -151,7 +150,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return langs, rows.join(F.broadcast(sizes), "lang").where(place < F.col("__below")).select("text", "lang")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix of log probabilities, languages x buckets."""
     langs, rows = training_rows(docs, id_col, text_col, lang_col, per_language)
     if not langs:
@@ -164,12 +163,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def fit_floors(
-    docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE
+    docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None
 ) -> dict[str, float]:
     """For each language the mean log probability below which a text is taken to be in no learned language."""
     _, rows = training_rows(docs, id_col, text_col, lang_col, per_language)
-    judged = with_language(rows.where(F.length("text") >= FLOOR_CHARS), langs, matrix, pred_col="pred", score_col="score", fit_col="fit").where("pred = lang")
-    low = judged.groupBy("lang").agg(F.percentile_approx("fit", FLOOR_SHARE, 100_000).alias("low")).collect()
+    return floors_of(with_language(rows, langs, matrix, pred_col="pred", score_col="score", fit_col="fit"), "text", "lang", "pred", "fit")
+
+
+def floors_of(judged: DataFrame, text_col: str, lang_col: str, pred_col: str, fit_col: str) -> dict[str, float]:
+    """The floors from rows that may train and are judged already; as many as there are languages."""
+    long_ones = judged.where((F.length(text_col) >= FLOOR_CHARS) & (F.col(pred_col) == F.col(lang_col)))
+    low = long_ones.groupBy(F.col(lang_col).alias("lang")).agg(F.percentile_approx(fit_col, FLOOR_SHARE, 100_000).alias("low")).collect()
     return {r.lang: r.low - FLOOR_MARGIN for r in low}
 
 

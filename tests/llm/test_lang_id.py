@@ -118,3 +118,17 @@ def test_odd_rows(spark):
     unlabelled = odd_documents(spark).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in language_of(unlabelled).collect()} == {"und"}
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_every_row_that_may_train_does_and_gives_the_floor(spark):
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.lang_id import FLOOR_MARGIN, FLOOR_SHARE, held_out, training_rows
+
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.format_string("das haus %s", F.sha1((F.col("id") * 9 + k).cast("string"))) for k in range(7))).alias("text"), F.lit("de").alias("lang"))
+    own = docs.where(~held_out(F.col("doc_id")))
+    langs, rows = training_rows(docs)
+    assert langs == ["de"] and rows.count() == own.count() > 4000
+    langs, matrix = fit(docs)
+    _, _, fits = classify([r.text for r in own.collect()], langs, matrix)
+    assert abs(fit_floors(docs, langs, matrix)["de"] + FLOOR_MARGIN - np.sort(fits)[int(np.ceil(FLOOR_SHARE * len(fits))) - 1]) < 1e-9
