@@ -468,3 +468,15 @@ def test_redrawn_resamples_do_not_hold_all_places_in_the_plan(spark):
 def test_importances_of_no_coefficient_are_undefined(spark):
     assert all(np.isnan(r.importance) for r in models.importances(["a", "b"], [5.0, 0.0, 0.0], spark).collect())
     assert [r.importance for r in models.importances(["a", "b"], [5.0, -3.0, 1.0], spark).collect()] == [0.75, 0.25]
+
+
+def test_many_queries_meet_near_ranges_only_and_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, [None if i % 7 == 0 else float(rng.integers(25)), i / 128 + (900.0 if i % 211 == 0 else 0.0)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.where("id % 20 = 0")
+    want = sorted(map(tuple, models.nearest(queries, df, "id", "v", 5).collect()))
+    met = []
+    monkeypatch.setattr(models, "_nearest_in_blocks", lambda *a: met.append(a))
+    got = sorted(map(tuple, models.nearest(queries, df, "id", "v", 5, most_queries=60).collect()))
+    assert got == want and len(got) == 750 and not met
