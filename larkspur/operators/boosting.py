@@ -1,6 +1,8 @@
 """Second-order gradient boosting: trees from histograms of gradients and Hessians, one aggregation a level.
 
-Features are cut into bins at approximate quantiles once. A round takes the loss's first and second
+Features are cut into bins at approximate quantiles once. Rows of the same bins have the same margins, so
+their count and the sums of their labels give their derivatives, and rounds run over the different
+bins with these. A round takes the loss's first and second
 derivatives at the present margins; each level of its trees is one partially combined aggregation of
 both by (tree, node, feature, bin), of which what reaches the driver is of the size of the trees.
 There a node is split where (GL^2 / (HL + l2) + GR^2 / (HR + l2) - G^2 / (H + l2)) / 2 - gamma is
@@ -10,6 +12,7 @@ with a tree a class for more, squares for values. Margins are written once a rou
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +23,18 @@ from pyspark.sql import functions as F
 from ..sources.session import written
 
 
+def _number(x: float) -> str:
+    return f"double('{float(x)!r}')"
+
+
+def _bin(x: str, cuts: Sequence[float], low: int = 0) -> str:
+    """SQL of low and the number of sorted cuts below x, by halving."""
+    if not cuts:
+        return str(low)
+    half = len(cuts) // 2
+    return f"CASE WHEN {_number(cuts[half])} < {x} THEN {_bin(x, cuts[half + 1 :], low + half + 1)} ELSE {_bin(x, cuts[:half], low)} END"
+
+
 @dataclass(frozen=True)
 class Tree:
     """Nodes of a full binary tree in order: feature and bin of the split (rows of that bin or lower go left), or feature -1 and a value."""
@@ -28,18 +43,24 @@ class Tree:
     cut: tuple[int, ...]
     value: tuple[float, ...]
 
-    def node(self, bins: Column, depth: int) -> Column:
-        """Where a row with these bins is after so many levels; it stays at a leaf."""
-        at = F.lit(0)
-        for level in range(depth):
-            first, last = (1 << level) - 1, (1 << level + 1) - 2
-            step = F.lit(None).cast("int")
-            for n in range(first, last + 1):
-                if n < len(self.feature) and self.feature[n] >= 0:
-                    left = F.get(bins, F.lit(self.feature[n])) <= self.cut[n]
-                    step = F.when(at == n, F.when(left, 2 * n + 1).otherwise(2 * n + 2)).otherwise(step)
-            at = F.coalesce(step, at)
-        return at
+    def _at(self, left: Callable[[int, int], str], leaf: Callable[[int], str], depth: int, n: int = 0) -> str:
+        """SQL of what leaf says of the node where a row is after so many levels, by whether it goes left at (feature, bin)."""
+        if not depth or n >= len(self.feature) or self.feature[n] < 0:
+            return leaf(n)
+        return f"CASE WHEN {left(self.feature[n], self.cut[n])} THEN {self._at(left, leaf, depth - 1, 2 * n + 1)} ELSE {self._at(left, leaf, depth - 1, 2 * n + 2)} END"
+
+    def node(self, bins: str, depth: int) -> Column:
+        """Where a row with this array of bins is after so many levels; it stays at a leaf."""
+        return F.expr(self._at(lambda j, b: f"{bins}[{j}] <= {b}", str, depth))
+
+    def worth(self, bins: str, depth: int) -> Column:
+        """The value of a row with this array of bins."""
+        return F.expr(self._at(lambda j, b: f"{bins}[{j}] <= {b}", lambda n: _number(self.value[n]), depth))
+
+    def worth_of(self, x: str, cuts: Sequence[Sequence[float]], depth: int) -> Column:
+        """The value of a row with this array of features: its bin is at most b where the cut at b isn't below it."""
+        left = lambda j, b: f"NOT {_number(cuts[j][b])} < {x}[{j}]" if b < len(cuts[j]) else "true"
+        return F.expr(self._at(left, lambda n: _number(self.value[n]), depth))
 
 
 @dataclass
@@ -59,14 +80,12 @@ class Boosting:
     cuts: list[list[float]] = field(default_factory=list)
     rounds: list[list[Tree]] = field(default_factory=list)
 
-    def binned(self, vector: Column) -> Column:
-        """The number of cuts of each feature that are below its value."""
-        x = vector_to_array(vector)
-        below = lambda value: lambda cut: cut < value
-        return F.array(*(F.size(F.filter(F.array(*map(F.lit, c)), below(x[j]))) if c else F.lit(0) for j, c in enumerate(self.cuts)))
+    def binned(self, x: str) -> Column:
+        """The number of cuts of each feature that are below its value, of an array of features."""
+        return F.expr(f"array({', '.join(_bin(f'{x}[{j}]', c) for j, c in enumerate(self.cuts))})")
 
     def fit(self, rows: DataFrame) -> Boosting:
-        plain = rows.where(F.col("label").isNotNull()).select(vector_to_array("features").alias("x"), "features", F.col("label").cast("double").alias("y"))
+        plain = rows.where(F.col("label").isNotNull()).select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
         first = plain.agg(F.max(F.size("x")).alias("width"), F.max("y").alias("top"), F.avg("y").alias("mean")).first()
         if first.width is None:
             raise ValueError("no rows to fit to")
@@ -76,27 +95,30 @@ class Boosting:
         self.numClasses = 0 if self.regression else int(first.top) + 1
         self.start = float(first.mean) if self.regression else 0.0
         k = 1 if self.regression or self.numClasses <= 2 else self.numClasses
-        data = written(plain.select("y", self.binned(F.col("features")).alias("b"), F.array(*[F.lit(self.start)] * k).alias("f")))
+        of = [F.sum("y")] if k == 1 else [F.sum((F.col("y") == c).cast("double")) for c in range(k)]
+        alike = plain.select(self.binned("x").alias("b"), "y").groupBy("b").agg(F.count("*").cast("double").alias("n"), F.array(*of).alias("s"))
+        data = written(alike.withColumn("f", F.array(*[F.lit(self.start)] * k)))
         self.rounds = []
         for _ in range(self.trees):
             grown = self._round(data, k, first.width)
             if all(t.feature[0] < 0 and t.value[0] == 0 for t in grown):
                 break
             self.rounds.append(grown)
-            data = written(data.select("y", "b", F.array(*(F.get("f", F.lit(c)) + self._value(t, F.col("b")) for c, t in enumerate(grown))).alias("f")))
+            data = written(data.select("b", "n", "s", F.array(*(F.get("f", F.lit(c)) + t.worth("b", self.depth) for c, t in enumerate(grown))).alias("f")))
         return self
 
     def _derivatives(self, k: int) -> list[tuple[Column, Column]]:
-        y, f = F.col("y"), [F.get("f", F.lit(c)) for c in range(k)]
+        """Sums of both over the n rows of the same bins, s being the sum of their labels or the count of each class."""
+        n, s, f = F.col("n"), [F.get("s", F.lit(c)) for c in range(k)], [F.get("f", F.lit(c)) for c in range(k)]
         if self.regression:
-            return [(f[0] - y, F.lit(1.0))]
+            return [(n * f[0] - s[0], n)]
         if k == 1:
             p = 1 / (1 + F.exp(-f[0]))
-            return [(p - y, p * (1 - p))]
+            return [(n * p - s[0], n * p * (1 - p))]
         top = F.array_max("f")
         total = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.exp(x - top))
         each = [F.exp(x - top) / total for x in f]
-        return [(p - (y == c).cast("double"), 2 * p * (1 - p)) for c, p in enumerate(each)]
+        return [(n * p - s[c], 2 * n * p * (1 - p)) for c, p in enumerate(each)]
 
     def _round(self, data: DataFrame, k: int, width: int) -> list[Tree]:
         size = (1 << self.depth + 1) - 1
@@ -105,7 +127,7 @@ class Boosting:
         derivatives = self._derivatives(k)
         for level in range(self.depth + 1):
             trees = [Tree(tuple(map(int, feature[c])), tuple(map(int, cut[c])), ()) for c in range(k)]
-            each = [F.struct(F.lit(c).alias("tree"), trees[c].node(F.col("b"), level).alias("node"), g.alias("g"), h.alias("h")) for c, (g, h) in enumerate(derivatives)]
+            each = [F.struct(F.lit(c).alias("tree"), trees[c].node("b", level).alias("node"), g.alias("g"), h.alias("h")) for c, (g, h) in enumerate(derivatives)]
             rows = data.select("b", F.explode(F.array(*each)).alias("t")).select("b", "t.*")
             rows = rows.where(F.col("node") >= (1 << level) - 1)  # others are leaves
             rows = rows.select("tree", "node", "g", "h", F.posexplode("b").alias("feature", "bin"))
@@ -123,7 +145,8 @@ class Boosting:
                 gl, hl = g.cumsum(1), h.cumsum(1)
                 gain = 0.5 * (gl**2 / (hl + self.l2) + (gs - gl) ** 2 / (hs - hl + self.l2) - gs**2 / (hs + self.l2)) - self.gamma
                 gain[(hl < self.least_hessian) | (hs - hl < self.least_hessian)] = -np.inf
-                j, b = np.unravel_index(int(gain.argmax()), gain.shape)
+                top = gain.max()  # of splits that differ by the order of the sums only, the first
+                j, b = np.unravel_index(int((gain >= top - 1e-12 * max(1.0, abs(top))).argmax()), gain.shape)
                 if gain[j, b] > 1e-12:
                     feature[c, n], cut[c, n] = j, b
                     following |= {(c, 2 * n + 1), (c, 2 * n + 2)}
@@ -132,14 +155,11 @@ class Boosting:
                 break
         return [Tree(tuple(map(int, feature[c])), tuple(map(int, cut[c])), tuple(map(float, value[c]))) for c in range(k)]
 
-    def _value(self, tree: Tree, bins: Column) -> Column:
-        return F.get(F.array(*map(F.lit, tree.value)), tree.node(bins, self.depth))
-
     def transform(self, rows: DataFrame) -> DataFrame:
         k = 1 if self.regression or self.numClasses <= 2 else self.numClasses
-        out = rows.withColumn("__b", self.binned(F.col("features")))
-        margins = [sum((self._value(r[c], F.col("__b")) for r in self.rounds), F.lit(self.start)) for c in range(k)]
-        out = out.withColumn("margins", F.array(*margins)).drop("__b")
+        out = rows.withColumn("__x", vector_to_array("features"))
+        margins = [sum((r[c].worth_of("__x", self.cuts, self.depth) for r in self.rounds), F.lit(self.start)) for c in range(k)]
+        out = out.withColumn("margins", F.array(*margins)).drop("__x")
         f = F.col("margins")
         if self.regression:
             return out.withColumn("prediction", f[0])

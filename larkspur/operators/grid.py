@@ -24,8 +24,10 @@ from .models import ROW, estimator, knn_impute, regressed_out, standardised
 from .search import Axis, optimise
 
 VECTOR, LABEL = "features", "label"
-#: Fits that run at a time.
+#: Fits that run at a time, each of them with all its folds.
 THREADS = 4
+#: Rows of a partition at least, where a fold's rows are written: passes over less are mostly the scheduling of tasks.
+LEAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -83,21 +85,28 @@ class Steps:
     def __init__(self, df: DataFrame, target: str, fold: str, folds: Sequence[int], **steps):
         self.df, self.target, self.fold, self.folds, self.steps = df.where(F.col(fold).isin(list(folds))), target, fold, list(folds), steps
         self._written: dict[tuple[tuple[str, ...], int], DataFrame] = {}
+        self._parts: int | None = None
 
     def prepare(self, features: Sequence[str]) -> None:
-        for k in self.folds:
+        if self._parts is None:
+            self._parts = max(1, self.df.count() // LEAST_ROWS)
+
+        def prepared(k: int) -> None:
             if (tuple(features), k) not in self._written:
                 rows = stepped(self.df, features, self.target, F.col(self.fold) != k, **self.steps)
-                self._written[tuple(features), k] = written(rows.withColumn(ROW, F.monotonically_increasing_id()))
+                self._written[tuple(features), k] = written(rows.coalesce(self._parts).withColumn(ROW, F.monotonically_increasing_id()))
+
+        _at_once([partial(prepared, k) for k in self.folds], len(self.folds))
 
     def out_of_fold(self, name: str, parameters: Mapping[str, object], features: Sequence[str]) -> DataFrame:
         self.prepare(features)
-        parts = []
-        for k in self.folds:
+
+        def predicted(k: int) -> DataFrame:
             rows = self._written[tuple(features), k]
             model = estimator(name, **parameters).fit(rows.where(F.col(self.fold) != k))
-            parts.append(_predicted(model, rows.where(F.col(self.fold) == k)))
-        return reduce(DataFrame.unionByName, parts)
+            return _predicted(model, rows.where(F.col(self.fold) == k))
+
+        return reduce(DataFrame.unionByName, _at_once([partial(predicted, k) for k in self.folds], len(self.folds)))
 
 
 def out_of_fold(
@@ -108,9 +117,10 @@ def out_of_fold(
 
 
 def scored_by(predicted: DataFrame, metric: str) -> float:
-    """A metric of (y, score, pred, posterior) over all rows, so that large is good."""
+    """A metric of (y, score, pred, posterior) over all rows, so that large is good; the predictions are made once."""
     classes = 2
     if metric not in M.REGRESSION:
+        predicted = written(predicted.select("y", "score", "pred", "posterior"))
         classes = int(max(2, (predicted.agg(F.max(F.greatest(F.coalesce(F.size("posterior"), F.lit(0)), F.col("y") + 1))).first()[0] or 2)))
     value = M.evaluate(predicted, metric, classes)
     if value is None:
@@ -124,10 +134,9 @@ def _at_once(work: Sequence[Callable[[], object]], threads: int) -> list[object]
         return list(pool.map(lambda f: f(), work))
 
 
-def grid(
+def grids(
     df: DataFrame,
-    name: str,
-    parameter_sets: Sequence[Mapping[str, object]],
+    kinds: Mapping[str, Sequence[Mapping[str, object]]],
     feature_sets: Sequence[Sequence[str]],
     target: str,
     fold: str | Sequence[str],
@@ -135,19 +144,38 @@ def grid(
     metric: str,
     threads: int = THREADS,
     **steps,
-) -> list[Trial]:
-    """Every parameter set on every feature set, best first; ties keep the order given.
+) -> dict[str, list[Trial]]:
+    """Every parameter set of every estimator on every feature set, each estimator's best first; ties keep the order given.
 
+    The steps of a fold and feature set are done once for all estimators.
     fold: a column of folds, or several, such as those of repetitions with different seeds; a trial's score is then their mean.
     """
     prepared = [Steps(df, target, f, folds, **steps) for f in ([fold] if isinstance(fold, str) else fold)]
     for s in prepared:
         _at_once([partial(s.prepare, features) for features in feature_sets], threads)
-    each = lambda p, features: fmean(scored_by(s.out_of_fold(name, p, features), metric) for s in prepared)
-    every = [(p, features) for features in feature_sets for p in parameter_sets]
+    each = lambda name, p, features: fmean(scored_by(s.out_of_fold(name, p, features), metric) for s in prepared)
+    every = [(name, p, features) for name, sets in kinds.items() for features in feature_sets for p in sets]
     scores = _at_once([partial(each, *x) for x in every], threads)
-    found = [Trial(tuple(sorted(p.items())), tuple(features), score) for (p, features), score in zip(every, scores)]
-    return sorted(found, key=lambda t: -t.score)
+    found: dict[str, list[Trial]] = {name: [] for name in kinds}
+    for (name, p, features), score in zip(every, scores):
+        found[name].append(Trial(tuple(sorted(p.items())), tuple(features), score))
+    return {name: sorted(trials, key=lambda t: -t.score) for name, trials in found.items()}
+
+
+def grid(
+    df: DataFrame,
+    name: str,
+    parameter_sets: Sequence[Mapping[str, object]],
+    feature_sets: Sequence[Sequence[str]],
+    target: str,
+    fold: str | Sequence[str],
+    folds: Sequence[int],
+    metric: str,
+    threads: int = THREADS,
+    **steps,
+) -> list[Trial]:
+    """The grid of one estimator, see ``grids``."""
+    return grids(df, {name: parameter_sets}, feature_sets, target, fold, folds, metric, threads, **steps)[name]
 
 
 def searched(

@@ -5,7 +5,8 @@ row's features are its kernels with them times K^(-1/2), so products of features
 the landmarks' span (the Nystroem method). On these features the machine is linear, with squared losses:
 max(0, 1 - y f)^2 for classes, max(0, |y - f| - epsilon)^2 for values. Newton's steps find its weights: a
 step is one pass, in which a task adds up the second-order sums of the rows that have a loss; what
-is shuffled and solved is of the landmarks' size.
+is shuffled and solved is of the landmarks' size. Rows are sorted by their features within their tasks, and the
+kernels of a batch's equal rows are taken once.
 """
 
 from __future__ import annotations
@@ -54,17 +55,21 @@ class KernelMachine:
 
     def fit(self, rows: DataFrame) -> KernelMachine:
         label = F.col("label").cast("double")
-        plain = written(rows.where(label.isNotNull()).select(vector_to_array("features").alias("x"), (label if self.regression else 2 * label - 1).alias("y")))
+        vectors = rows.where(label.isNotNull()).select(vector_to_array("features").alias("x"), (label if self.regression else 2 * label - 1).alias("y"))
+        width = vectors.select(F.size("x")).first()
+        if width is None:
+            raise ValueError("no rows to fit to")
+        names = [f"x{j}" for j in range(width[0])]
+        plain = written(vectors.select(*(F.col("x")[j].alias(n) for j, n in enumerate(names)), "y").sortWithinPartitions(*names))
         if not self.regression:
             self.numClasses = 2
             if plain.where("y not in (-1, 1)").limit(1).count():
                 raise ValueError("the machine tells two classes, 0 and 1")
-        chosen = plain.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(self.landmarks).collect()  # landmarks rows
+        chosen = plain.select(*names).distinct().select(F.array(*names).alias("x")).orderBy(F.xxhash64("x"), "x").limit(self.landmarks).collect()  # landmarks rows
         self.points = np.array([r.x for r in chosen], float)
         if not self.gamma:
-            d = self.points.shape[1]
-            spread = plain.agg(*(F.var_pop(F.col("x")[j]) for j in range(d))).first()
-            self.gamma = 1 / (d * (float(np.mean(spread)) or 1.0))
+            spread = plain.agg(*map(F.var_pop, names)).first()
+            self.gamma = 1 / (len(names) * (float(np.mean(spread)) or 1.0))
         self.root = np.eye(len(self.points))
         kernel = self.features(self.points)[:, 1:]
         values, vectors = np.linalg.eigh(kernel)
@@ -74,7 +79,7 @@ class KernelMachine:
         penalty = np.diag([0.0, *([1.0] * (size - 1))])
         self.weights, at, step = np.zeros(size), None, None
         for _ in range(self.rounds):
-            total, gradient, hessian = self._sums(plain, self.weights)
+            total, gradient, hessian = self._sums(plain, names, self.weights)
             total = self.cost * total + 0.5 * self.weights @ penalty @ self.weights
             if at is not None and total > at[0] + 1e-12 * abs(at[0]):
                 step = step / 2  # the last step went too far
@@ -90,24 +95,29 @@ class KernelMachine:
                 break
         return self
 
-    def _sums(self, plain: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The squared losses' sum, the sum of loss times features, and that of the features' products over rows with a loss."""
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The squared losses' sum, the sum of loss times features, and that of the features' products over rows with a loss; neighbours of equal x are taken together."""
+        starts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
+        z = self.features(x[starts])
+        loss = self.losses(np.repeat(z @ w, np.diff(np.append(starts, len(x)))), y)
+        with_loss = np.add.reduceat((loss != 0).astype(float), starts)
+        return float(loss @ loss), np.add.reduceat(loss, starts) @ z, (z * with_loss[:, None]).T @ z
+
+    def _sums(self, plain: DataFrame, names: list[str], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The sums over all rows."""
         k = len(w)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((k + 1, k))
+            sums, total = np.zeros((k + 1, k)), 0.0
             for batch in batches:
                 if len(batch):
-                    z = self.features(np.array(batch["x"].tolist(), float))
-                    loss = self.losses(z @ w, batch["y"].to_numpy(float))
-                    on = z[loss != 0]
-                    sums[:k] += on.T @ on
-                    sums[k] += loss @ z
-                    total[0] += float(loss @ loss)
+                    squares, gradient, hessian = self.sums(batch[names].to_numpy(float), batch["y"].to_numpy(float), w)
+                    sums[:k] += hessian
+                    sums[k] += gradient
+                    total += squares
             i, j = np.indices(sums.shape)
-            yield pd.DataFrame({"i": [*i.ravel(), -1], "j": [*j.ravel(), -1], "v": [*sums.ravel(), total[0]]})
+            yield pd.DataFrame({"i": [*i.ravel(), -1], "j": [*j.ravel(), -1], "v": [*sums.ravel(), total]})
 
-        total = [0.0]
         found = plain.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # (k + 1) k rows
         out = np.zeros((k + 1, k))
         squares = 0.0
@@ -122,8 +132,9 @@ class KernelMachine:
         machine = self
 
         @F.pandas_udf("double")
-        def margin(x: pd.Series) -> pd.Series:
-            return pd.Series(machine.features(np.array(x.tolist(), float).reshape(len(x), -1)) @ machine.weights)
+        def margin(*x: pd.Series) -> pd.Series:
+            return pd.Series(machine.features(np.column_stack([c.to_numpy(float) for c in x])) @ machine.weights)
 
-        out = rows.withColumn("margin", margin(vector_to_array("features")))
+        out = rows.withColumn("__x", vector_to_array("features"))
+        out = out.withColumn("margin", margin(*(F.col("__x")[j] for j in range(self.points.shape[1])))).drop("__x")
         return out.withColumn("prediction", F.col("margin") if self.regression else (F.col("margin") > 0).cast("double"))

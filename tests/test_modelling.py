@@ -480,3 +480,22 @@ def test_many_queries_meet_near_ranges_only_and_find_the_same(spark, monkeypatch
     monkeypatch.setattr(models, "_nearest_in_blocks", lambda *a: met.append(a))
     got = sorted(map(tuple, models.nearest(queries, df, "id", "v", 5, most_queries=60).collect()))
     assert got == want and len(got) == 750 and not met
+
+
+def test_estimators_of_a_grid_share_their_steps(spark, classes, monkeypatch):
+    kinds = {"lda": [{}], "nb": [{}, {"smoothing": 0.1}]}
+    alone = {name: grid.grid(classes, name, sets, [["a", "c"]], "y", "fold", [0, 1, 2], "accuracy") for name, sets in kinds.items()}
+    steps, whole = [], grid.stepped
+    monkeypatch.setattr(grid, "stepped", lambda *a, **b: steps.append(1) or whole(*a, **b))
+    assert grid.grids(classes, kinds, [["a", "c"]], "y", "fold", [0, 1, 2], "accuracy") == alone and len(steps) == 3
+
+
+def test_boosting_goes_through_the_different_bins(spark, monkeypatch):
+    from larkspur.operators import boosting
+
+    df = spark.range(3000).selectExpr("cast(id % 7 as double) as a", "cast(id % 3 as double) as b", "cast(id % 7 = 3 or id % 11 = 0 as double) as label")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    seen, whole = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda rows: seen.append(whole(rows)) or seen[-1])
+    models.estimator("xgb", trees=2, depth=2).fit(df)
+    assert [(r.count(), r.agg(F.sum("n")).first()[0]) for r in seen] == [(21, 3000)] * 3
