@@ -499,3 +499,19 @@ def test_boosting_goes_through_the_different_bins(spark, monkeypatch):
     monkeypatch.setattr(boosting, "written", lambda rows: seen.append(whole(rows)) or seen[-1])
     models.estimator("xgb", trees=2, depth=2).fit(df)
     assert [(r.count(), r.agg(F.sum("n")).first()[0]) for r in seen] == [(21, 3000)] * 3
+
+
+def test_kernels_of_equal_rows_are_taken_once(monkeypatch):
+    from larkspur.operators.kernels import KernelMachine
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(0, 3, (40, 2)).astype(float), 25, axis=0)
+    y, w = rng.normal(0, 1, 1000), rng.normal(0, 1, 6)
+    machine = KernelMachine(regression=True, gamma=0.5, points=rng.normal(0, 1, (5, 2)), root=np.eye(5))
+    z = machine.features(x)
+    loss = machine.losses(z @ w, y)
+    asked, whole = [], KernelMachine.features
+    monkeypatch.setattr(KernelMachine, "features", lambda self, rows: asked.append(len(rows)) or whole(self, rows))
+    squares, gradient, hessian = machine.sums(x, y, w)
+    assert np.isclose(squares, loss @ loss) and np.allclose(gradient, loss @ z) and np.allclose(hessian, z[loss != 0].T @ z[loss != 0])
+    assert sum(asked) <= 40
