@@ -609,3 +609,22 @@ def test_split_of_pairs_is_the_best_of_all_trials(spark):
     score = lambda p: (min(p) < 0.05, sum(max(0.05 - x, 0) for x in p) - 0.01 * min(p))
     best = min(range(300), key=lambda t: (*score([r.p for r in ps if r.trial == t]), t))
     assert {k: v for k, v in got.items() if k != 5} == sides[best] and 5 in got
+
+
+def test_p_values_halfway_between_two_are_rounded_up_whatever_the_order(spark):
+    from larkspur.functions.scalars import rounded
+    from larkspur.plans.statistics import pvalues
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for s in range(8):
+        cents = np.repeat([3, 7], 3200)
+        cents[:4] += 1  # 32,004 hundredths of 6,400 lines: ten means are 0.5000625
+        rows += [(s, float(c) / 100) for c in rng.permutation(cents)]
+    odd = [(8, None), (9, float("nan")), (9, 0.05), (10, 1 / 3), (10, None), (11, 1e300), (12, -0.04), (12, None)]
+    df = spark.createDataFrame([*rows, *odd], "l_suppkey long, l_discount double").repartition(6)
+    got = {r.l_suppkey: r.p for r in pvalues(df).collect()}
+    assert [got[s] for s in range(8)] == [0.500063] * 8
+    assert got[8] is None and np.isnan(got[9]) and (got[10], got[11], got[12]) == (3.333333, 1e301, -0.4)
+    one = df.where("l_suppkey < 8").coalesce(1).groupBy("l_suppkey").agg(rounded(F.avg("l_discount") * 10).alias("p"))
+    assert {r.p for r in one.collect()} != {0.500063}  # what a plain sum gives
