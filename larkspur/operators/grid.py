@@ -118,11 +118,16 @@ def out_of_fold(
 
 def scored_by(predicted: DataFrame, metric: str) -> float:
     """A metric of (y, score, pred, posterior) over all rows, so that large is good; the predictions are made once."""
-    classes = 2
-    if metric not in M.REGRESSION:
-        predicted = written(predicted.select("y", "score", "pred", "posterior"))
-        classes = int(max(2, (predicted.agg(F.max(F.greatest(F.coalesce(F.size("posterior"), F.lit(0)), F.col("y") + 1))).first()[0] or 2)))
-    value = M.evaluate(predicted, metric, classes)
+    classes, kept = 2, metric not in M.REGRESSION
+    if kept:
+        predicted = predicted.select("y", "score", "pred", "posterior").persist()
+    try:
+        if kept:
+            classes = int(max(2, (predicted.agg(F.max(F.greatest(F.coalesce(F.size("posterior"), F.lit(0)), F.col("y") + 1))).first()[0] or 2)))
+        value = M.evaluate(predicted, metric, classes)
+    finally:
+        if kept:
+            predicted.unpersist()
     if value is None:
         return float("-inf")
     return -float(value) if metric in M.SMALLER_IS_BETTER else float(value)
