@@ -86,11 +86,13 @@ class Boosting:
 
     def fit(self, rows: DataFrame) -> Boosting:
         plain = rows.where(F.col("label").isNotNull()).select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-        first = plain.agg(F.max(F.size("x")).alias("width"), F.max("y").alias("top"), F.avg("y").alias("mean")).first()
-        if first.width is None:
+        one = plain.select(F.size("x")).first()
+        if one is None:
             raise ValueError("no rows to fit to")
+        width = one[0]
+        first = plain.agg(F.max("y").alias("top"), F.avg("y").alias("mean")).first()  # reads no features
         shares = [i / self.bins for i in range(1, self.bins)]
-        flat = plain.select(*(F.col("x")[j].alias(f"x{j}") for j in range(first.width)))
+        flat = plain.select(*(F.col("x")[j].alias(f"x{j}") for j in range(width)))
         self.cuts = [sorted(set(c)) for c in flat.approxQuantile(flat.columns, shares, 0.1 / self.bins)]
         self.numClasses = 0 if self.regression else int(first.top) + 1
         self.start = float(first.mean) if self.regression else 0.0
@@ -100,7 +102,7 @@ class Boosting:
         data = written(alike.withColumn("f", F.array(*[F.lit(self.start)] * k)))
         self.rounds = []
         for _ in range(self.trees):
-            grown = self._round(data, k, first.width)
+            grown = self._round(data, k, width)
             if all(t.feature[0] < 0 and t.value[0] == 0 for t in grown):
                 break
             self.rounds.append(grown)

@@ -5,8 +5,8 @@ row's features are its kernels with them times K^(-1/2), so products of features
 the landmarks' span (the Nystroem method). On these features the machine is linear, with squared losses:
 max(0, 1 - y f)^2 for classes, max(0, |y - f| - epsilon)^2 for values. Newton's steps find its weights: a
 step is one pass, in which a task adds up the second-order sums of the rows that have a loss; what
-is shuffled and solved is of the landmarks' size. Rows are sorted by their features within their tasks, and the
-kernels of a batch's equal rows are taken once.
+is shuffled and solved is of the landmarks' size. Once, tasks bring their rows of equal features together, which are written as
+one row with an array of labels: a pass takes their kernels once, and a label costs it a few operations on arrays.
 """
 
 from __future__ import annotations
@@ -16,12 +16,40 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import written
 
+#: Labels of a row at most, where rows of equal features are one: an Arrow batch of 10,000 such rows has a million.
+LABELS = 100
+
+
+def starts_of_runs(x: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Where rows differ from those before them, and every so many rows within a run of equal ones."""
+    starts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
+    if most is None:
+        return starts
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.flatnonzero(place % most == 0)
+
+
+def alike(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows (names, y) with y as an array: neighbours of equal features, which each task sorts together, are one row for every LABELS of them."""
+    most = LABELS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                starts = starts_of_runs(np.column_stack([b.column(n).to_numpy() for n in names]), most)
+                y = pa.ListArray.from_arrays(pa.array(np.append(starts, b.num_rows), pa.int32()), b.column("y"))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(starts)) for n in names), y], names=[*names, "y"])
+
+    schema = ", ".join([*(f"{n} double" for n in names), "y array<double>"])
+    return rows.sortWithinPartitions(F.xxhash64(*names)).mapInArrow(run, schema)
+
 
 @dataclass
 class KernelMachine:
@@ -41,10 +69,14 @@ class KernelMachine:
     root: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def kernels(self, x: np.ndarray) -> np.ndarray:
+        """The rows' kernels with the landmarks."""
+        squares = (x * x).sum(1)[:, None] + (self.points**2).sum(1)[None, :] - 2 * x @ self.points.T
+        return np.exp(-self.gamma * np.maximum(squares, 0))
+
     def features(self, x: np.ndarray) -> np.ndarray:
         """A constant and the rows' features on the landmarks."""
-        squares = (x * x).sum(1)[:, None] + (self.points**2).sum(1)[None, :] - 2 * x @ self.points.T
-        return np.hstack((np.ones((len(x), 1)), np.exp(-self.gamma * np.maximum(squares, 0)) @ self.root))
+        return np.hstack((np.ones((len(x), 1)), self.kernels(x) @ self.root))
 
     def losses(self, f: np.ndarray, y: np.ndarray) -> np.ndarray:
         """How far each margin is into the loss, signed towards larger margins; 0 without a loss."""
@@ -60,15 +92,17 @@ class KernelMachine:
         if width is None:
             raise ValueError("no rows to fit to")
         names = [f"x{j}" for j in range(width[0])]
-        plain = written(vectors.select(*(F.col("x")[j].alias(n) for j, n in enumerate(names)), "y").sortWithinPartitions(*names))
+        plain = written(alike(vectors.select(*(F.col("x")[j].alias(n) for j, n in enumerate(names)), "y"), names))
         if not self.regression:
             self.numClasses = 2
-            if plain.where("y not in (-1, 1)").limit(1).count():
+            if plain.where("exists(y, v -> v not in (-1, 1))").limit(1).count():
                 raise ValueError("the machine tells two classes, 0 and 1")
         chosen = plain.select(*names).distinct().select(F.array(*names).alias("x")).orderBy(F.xxhash64("x"), "x").limit(self.landmarks).collect()  # landmarks rows
         self.points = np.array([r.x for r in chosen], float)
         if not self.gamma:
-            spread = plain.agg(*map(F.var_pop, names)).first()
+            n = F.size("y")
+            mean = plain.agg(*(F.sum(n * F.col(c)) / F.sum(n) for c in names)).first()
+            spread = plain.agg(*(F.sum(n * (F.col(c) - m) ** 2) / F.sum(n) for c, m in zip(names, mean))).first()
             self.gamma = 1 / (len(names) * (float(np.mean(spread)) or 1.0))
         self.root = np.eye(len(self.points))
         kernel = self.features(self.points)[:, 1:]
@@ -95,11 +129,16 @@ class KernelMachine:
                 break
         return self
 
-    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The squared losses' sum, the sum of loss times features, and that of the features' products over rows with a loss; neighbours of equal x are taken together."""
-        starts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1))))
-        z = self.features(x[starts])
-        loss = self.losses(np.repeat(z @ w, np.diff(np.append(starts, len(x)))), y)
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, starts: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The squared losses' sum, the sum of loss times features, and that of the features' products over rows with a loss.
+
+        Neighbours of equal x are taken together; starts, if given, are the places in y of the first labels of each row of x.
+        """
+        if starts is None:
+            starts = starts_of_runs(x)
+            x = x[starts]
+        z = self.features(x)
+        loss = self.losses(np.repeat(z @ w, np.diff(np.append(starts, len(y)))), y)
         with_loss = np.add.reduceat((loss != 0).astype(float), starts)
         return float(loss @ loss), np.add.reduceat(loss, starts) @ z, (z * with_loss[:, None]).T @ z
 
@@ -107,18 +146,21 @@ class KernelMachine:
         """The sums over all rows."""
         k = len(w)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, total = np.zeros((k + 1, k)), 0.0
             for batch in batches:
-                if len(batch):
-                    squares, gradient, hessian = self.sums(batch[names].to_numpy(float), batch["y"].to_numpy(float), w)
+                if batch.num_rows:
+                    x, y = np.column_stack([batch.column(n).to_numpy() for n in names]), batch.column("y")
+                    starts = y.offsets.to_numpy()
+                    squares, gradient, hessian = self.sums(x, y.flatten().to_numpy(), w, starts[:-1] - starts[0])
                     sums[:k] += hessian
                     sums[k] += gradient
                     total += squares
             i, j = np.indices(sums.shape)
-            yield pd.DataFrame({"i": [*i.ravel(), -1], "j": [*j.ravel(), -1], "v": [*sums.ravel(), total]})
+            i, j = (pa.array(np.append(a.ravel(), -1), pa.int32()) for a in (i, j))
+            yield pa.RecordBatch.from_arrays([i, j, pa.array(np.append(sums.ravel(), total))], names=["i", "j", "v"])
 
-        found = plain.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # (k + 1) k rows
+        found = plain.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # (k + 1) k rows
         out = np.zeros((k + 1, k))
         squares = 0.0
         for r in found:
@@ -129,11 +171,11 @@ class KernelMachine:
         return squares, out[k], out[:k]
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        machine = self
+        machine, weights = self, self.root @ self.weights[1:]
 
         @F.pandas_udf("double")
         def margin(*x: pd.Series) -> pd.Series:
-            return pd.Series(machine.features(np.column_stack([c.to_numpy(float) for c in x])) @ machine.weights)
+            return pd.Series(machine.kernels(np.column_stack([c.to_numpy(float) for c in x])) @ weights + machine.weights[0])
 
         out = rows.withColumn("__x", vector_to_array("features"))
         out = out.withColumn("margin", margin(*(F.col("__x")[j] for j in range(self.points.shape[1])))).drop("__x")

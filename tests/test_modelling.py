@@ -515,3 +515,20 @@ def test_kernels_of_equal_rows_are_taken_once(monkeypatch):
     squares, gradient, hessian = machine.sums(x, y, w)
     assert np.isclose(squares, loss @ loss) and np.allclose(gradient, loss @ z) and np.allclose(hessian, z[loss != 0].T @ z[loss != 0])
     assert sum(asked) <= 40
+
+
+def test_passes_of_a_kernel_machine_go_through_the_different_rows(spark, monkeypatch):
+    from larkspur.operators import kernels
+
+    df = spark.range(3000).selectExpr("id % 7 / 7D as a", "id % 3 / 3D as b", "double(id % 7 + id % 11) as label")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).coalesce(1)
+    seen, whole = [], kernels.written
+    monkeypatch.setattr(kernels, "written", lambda rows: seen.append(whole(rows)) or seen[-1])
+    weights = []
+    for most in (100, 2, 1):
+        monkeypatch.setattr(kernels, "LABELS", most)
+        weights.append(models.estimator("svr", landmarks=9).fit(df).weights)
+    labels = lambda rows: sorted((r.x0, r.x1, y) for r in rows.collect() for y in r.y)
+    assert [r.count() for r in seen] == [21 * 2, 18 * 72 + 3 * 71, 3000]  # 18 different rows with 143 labels, 3 with 142
+    assert labels(seen[0]) == labels(seen[1]) == labels(seen[2]) == sorted((i % 7 / 7, i % 3 / 3, float(i % 7 + i % 11)) for i in range(3000))
+    assert np.allclose(weights[0], weights[2], rtol=1e-6) and np.allclose(weights[1], weights[2], rtol=1e-6)
