@@ -482,6 +482,18 @@ def test_many_queries_meet_near_ranges_only_and_find_the_same(spark, monkeypatch
     assert got == want and len(got) == 750 and not met
 
 
+@pytest.mark.parametrize("most_rows", [50_000, 100])
+def test_neighbours_by_rounded_distances_are_tied_by_id(spark, most_rows):
+    rows = [(i, [float(i // 10), (i % 10 and 0.25) + (9 - i % 10) * 1e-8]) for i in range(600)]  # nine rows as near as each other, but for the order of what rounding takes away
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.where("id % 10 = 0")
+    few = models.nearest(queries, df, "id", "v", 3, digits=6).collect()
+    many = models.nearest(queries, df, "id", "v", 3, most_queries=20, most_rows=most_rows, digits=6).collect()
+    want = [(q, q + p, 0.25, p) for q in range(0, 600, 10) for p in (1, 2, 3)]
+    assert sorted(map(tuple, few)) == want and sorted(map(tuple, many)) == want
+    assert min(r.id % 10 for r in models.nearest(queries, df, "id", "v", 3).collect()) == 7  # unrounded
+
+
 def test_estimators_of_a_grid_share_their_steps(spark, classes, monkeypatch):
     kinds = {"lda": [{}], "nb": [{}, {"smoothing": 0.1}]}
     alone = {name: grid.grid(classes, name, sets, [["a", "c"]], "y", "fold", [0, 1, 2], "accuracy") for name, sets in kinds.items()}
