@@ -494,6 +494,17 @@ def test_neighbours_by_rounded_distances_are_tied_by_id(spark, most_rows):
     assert min(r.id % 10 for r in models.nearest(queries, df, "id", "v", 3).collect()) == 7  # unrounded
 
 
+def test_equal_vectors_ask_once_and_find_the_smallest_ids(spark, monkeypatch):
+    rows = [(i, [0.0, None] if i % 5 < 2 else [float(i % 97), float(i % 2)]) for i in range(4000)]  # 1600 equal rows and 194 different ones
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.where("id % 3 <> 0")
+    met = []
+    monkeypatch.setattr(models, "_nearest_in_blocks", lambda *a: met.append(a))
+    got = sorted(map(tuple, models.nearest(queries, df, "id", "v", 4, most_queries=300, most_rows=700).collect()))
+    want = sorted(map(tuple, models.nearest(queries, df, "id", "v", 4).collect()))
+    assert got == want and len(got) == 4 * 2666 and not met
+
+
 def test_estimators_of_a_grid_share_their_steps(spark, classes, monkeypatch):
     kinds = {"lda": [{}], "nb": [{}, {"smoothing": 0.1}]}
     alone = {name: grid.grid(classes, name, sets, [["a", "c"]], "y", "fold", [0, 1, 2], "accuracy") for name, sets in kinds.items()}
