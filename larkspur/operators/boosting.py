@@ -19,10 +19,15 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..sources.session import written
 
 
+#: Different values of all features, with their counts, that may reach the driver for cuts.
+MOST_VALUES = 200_000
+
+
 def _number(x: float) -> str:
     return f"double('{float(x)!r}')"
 
@@ -65,7 +70,10 @@ class Tree:
 
 @dataclass
 class Boosting:
-    """An estimator of (features, label); ``fit`` gives itself with its trees, ``transform`` adds prediction, margins and posterior."""
+    """An estimator of (features, label); ``fit`` gives itself with its trees, ``transform`` adds prediction, margins and posterior.
+
+    Rows of equal features may come as one with an array of labels.
+    """
 
     trees: int = 50
     depth: int = 4
@@ -85,20 +93,22 @@ class Boosting:
         return F.expr(f"array({', '.join(_bin(f'{x}[{j}]', c) for j, c in enumerate(self.cuts))})")
 
     def fit(self, rows: DataFrame) -> Boosting:
-        plain = rows.where(F.col("label").isNotNull()).select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
+        together = isinstance(rows.schema["label"].dataType, ArrayType)
+        plain = rows.where(F.col("label").isNotNull()).select(vector_to_array("features").alias("x"), F.col("label").cast("array<double>" if together else "double").alias("y"))
+        added = lambda each: F.aggregate("y", F.lit(0.0), lambda a, v: a + each(v)) if together else each(F.col("y"))
+        n = F.size("y").cast("double") if together else F.lit(1.0)
         one = plain.select(F.size("x")).first()
         if one is None:
             raise ValueError("no rows to fit to")
         width = one[0]
-        first = plain.agg(F.max("y").alias("top"), F.avg("y").alias("mean")).first()  # reads no features
-        shares = [i / self.bins for i in range(1, self.bins)]
-        flat = plain.select(*(F.col("x")[j].alias(f"x{j}") for j in range(width)))
-        self.cuts = [sorted(set(c)) for c in flat.approxQuantile(flat.columns, shares, 0.1 / self.bins)]
+        mean = F.sum(added(lambda v: v)) / F.sum(n) if together else F.avg("y")
+        first = plain.agg(F.max(F.array_max("y") if together else F.col("y")).alias("top"), mean.alias("mean")).first()  # reads no features
+        self.cuts = self._cuts(plain, width, n if together else None)
         self.numClasses = 0 if self.regression else int(first.top) + 1
         self.start = float(first.mean) if self.regression else 0.0
         k = 1 if self.regression or self.numClasses <= 2 else self.numClasses
-        of = [F.sum("y")] if k == 1 else [F.sum((F.col("y") == c).cast("double")) for c in range(k)]
-        alike = plain.select(self.binned("x").alias("b"), "y").groupBy("b").agg(F.count("*").cast("double").alias("n"), F.array(*of).alias("s"))
+        of = [F.sum(added(lambda v: v))] if k == 1 else [F.sum(added(lambda v, c=c: (v == c).cast("double"))) for c in range(k)]
+        alike = plain.select(self.binned("x").alias("b"), "y").groupBy("b").agg(F.sum(n).alias("n"), F.array(*of).alias("s"))
         data = written(alike.withColumn("f", F.array(*[F.lit(self.start)] * k)))
         self.rounds = []
         for _ in range(self.trees):
@@ -109,6 +119,24 @@ class Boosting:
             data = written(data.select("b", "n", "s", F.array(*(F.get("f", F.lit(c)) + t.worth("b", self.depth) for c, t in enumerate(grown))).alias("f")))
         return self
 
+    def _cuts(self, plain: DataFrame, width: int, n: Column | None) -> list[list[float]]:
+        """Approximate quantiles of each feature; of rows that stand for n each the exact ones, if there are at most MOST_VALUES different values in all."""
+        shares = [i / self.bins for i in range(1, self.bins)]
+        if n is not None:
+            values = plain.select(F.posexplode("x").alias("j", "v"), n.alias("n")).groupBy("j", "v").agg(F.sum("n").alias("n"))
+            found = values.limit(MOST_VALUES + 1).toPandas()
+            if len(found) <= MOST_VALUES:
+                out = []
+                for j in range(width):
+                    one = found[found["j"] == j].sort_values("v")
+                    up_to = one["n"].to_numpy().cumsum()
+                    at = np.searchsorted(up_to, np.array(shares) * up_to[-1])
+                    out.append(sorted(set(map(float, one["v"].to_numpy()[at]))))
+                return out
+            plain = plain.select("x", F.explode("y"))
+        flat = plain.select(*(F.col("x")[j].alias(f"x{j}") for j in range(width)))
+        return [sorted(set(c)) for c in flat.approxQuantile(flat.columns, shares, 0.1 / self.bins)]
+
     def _derivatives(self, k: int) -> list[tuple[Column, Column]]:
         """Sums of both over the n rows of the same bins, s being the sum of their labels or the count of each class."""
         n, s, f = F.col("n"), [F.get("s", F.lit(c)) for c in range(k)], [F.get("f", F.lit(c)) for c in range(k)]

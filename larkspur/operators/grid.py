@@ -17,10 +17,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import metrics as M
 from ..sources.session import written
-from .models import ROW, estimator, knn_impute, regressed_out, standardised
+from .kernels import alike
+from .models import ROW, estimator, knn_impute, regressed_out, standardised, standardised_alike
 from .search import Axis, optimise
 
 VECTOR, LABEL = "features", "label"
@@ -76,18 +78,30 @@ def _predicted(model, rows: DataFrame) -> DataFrame:
         score = F.coalesce(F.get("posterior", F.lit(1)), vector_to_array("rawPrediction")[1] if "rawPrediction" in out.columns else F.col("margin") if "margin" in out.columns else none.cast("double"))
     else:
         score = F.col("prediction")
-    return out.withColumns({"y": F.col(LABEL), "score": score, "pred": F.col("prediction")}).drop(VECTOR, LABEL, ROW, "probability", "rawPrediction", "prediction", "margin", "margins")
+    y = F.explode(LABEL) if isinstance(out.schema[LABEL].dataType, ArrayType) else F.col(LABEL)
+    return out.withColumns({"score": score, "pred": F.col("prediction")}).withColumn("y", y).drop(VECTOR, LABEL, ROW, "probability", "rawPrediction", "prediction", "margin", "margins")
 
 
 class Steps:
-    """The rows of each fold's fit, scaled, filled and residualised once for each feature set, and written; all parameter sets use them."""
+    """The rows of each fold's fit, scaled, filled and residualised once for each feature set, and written; all parameter sets use them.
 
-    def __init__(self, df: DataFrame, target: str, fold: str, folds: Sequence[int], **steps):
+    together: rows of equal fold and features are brought together once by each task and written as one with an array of labels, and
+    the folds' fits read these, scaled and filled; for kernel machines and boosting, which take such rows.
+    """
+
+    def __init__(self, df: DataFrame, target: str, fold: str, folds: Sequence[int], together: bool = False, **steps):
+        if together and set(steps) - {"fill"}:
+            raise ValueError("rows that are brought together are scaled and filled only")
+        self.together = together
         self.df, self.target, self.fold, self.folds, self.steps = df.where(F.col(fold).isin(list(folds))), target, fold, list(folds), steps
         self._written: dict[tuple[tuple[str, ...], int], DataFrame] = {}
         self._parts: int | None = None
 
     def prepare(self, features: Sequence[str]) -> None:
+        if self.together:
+            if (tuple(features), self.folds[0]) not in self._written:
+                self._written |= self._brought_together(features)
+            return
         if self._parts is None:
             self._parts = max(1, self.df.count() // LEAST_ROWS)
 
@@ -98,6 +112,18 @@ class Steps:
 
         _at_once([partial(prepared, k) for k in self.folds], len(self.folds))
 
+    def _brought_together(self, features: Sequence[str]) -> dict[tuple[tuple[str, ...], int], DataFrame]:
+        rows = self.df.where(F.col(self.target).isNotNull())
+        rows = rows.select(self.fold, *(F.col(c).cast("double").alias(c) for c in features), F.col(self.target).cast("double").alias("y"))
+        rows = written(alike(rows, [self.fold, *features]))
+
+        def scaled(k: int) -> DataFrame:
+            out = standardised_alike(rows, features, F.col(self.fold) != k, F.size("y"))
+            out = out.fillna(self.steps.get("fill", 0.0), subset=list(features)).withColumnRenamed("y", LABEL)
+            return VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(out)
+
+        return {(tuple(features), k): part for k, part in zip(self.folds, _at_once([partial(scaled, k) for k in self.folds], len(self.folds)))}
+
     def out_of_fold(self, name: str, parameters: Mapping[str, object], features: Sequence[str]) -> DataFrame:
         self.prepare(features)
 

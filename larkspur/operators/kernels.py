@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..sources.session import written
 
@@ -37,24 +38,26 @@ def starts_of_runs(x: np.ndarray, most: int | None = None) -> np.ndarray:
 
 
 def alike(rows: DataFrame, names: list[str]) -> DataFrame:
-    """rows (names, y) with y as an array: neighbours of equal features, which each task sorts together, are one row for every LABELS of them."""
+    """rows (names, y) with y as an array: neighbours of equal names, which each task sorts together, are one row for every LABELS of them."""
     most = LABELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                starts = starts_of_runs(np.column_stack([b.column(n).to_numpy() for n in names]), most)
+                starts = starts_of_runs(np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names]), most)
                 y = pa.ListArray.from_arrays(pa.array(np.append(starts, b.num_rows), pa.int32()), b.column("y"))
                 yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(starts)) for n in names), y], names=[*names, "y"])
 
-    schema = ", ".join([*(f"{n} double" for n in names), "y array<double>"])
-    return rows.sortWithinPartitions(F.xxhash64(*names)).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names), "y array<double>"])
+    return rows.select(*names, "y").sortWithinPartitions(F.xxhash64(*names)).mapInArrow(run, schema)
 
 
 @dataclass
 class KernelMachine:
     """An estimator of (features, label); ``transform`` adds margin and prediction, and for two classes the labels are 0 and 1.
 
+    Rows of equal features may come as one with an array of labels, see ``alike``.
+
     gamma: of exp(-gamma |x - z|^2), 1 / (features x their mean variance) if 0. cost: of the losses' sum against half the squared weights.
     """
 
@@ -86,13 +89,17 @@ class KernelMachine:
         return -y * np.maximum(1 - y * f, 0)
 
     def fit(self, rows: DataFrame) -> KernelMachine:
-        label = F.col("label").cast("double")
-        vectors = rows.where(label.isNotNull()).select(vector_to_array("features").alias("x"), (label if self.regression else 2 * label - 1).alias("y"))
+        together = isinstance(rows.schema["label"].dataType, ArrayType)
+        label = F.col("label").cast("array<double>" if together else "double")
+        side = label if self.regression else F.transform(label, lambda v: 2 * v - 1) if together else 2 * label - 1
+        vectors = rows.where(label.isNotNull()).select(vector_to_array("features").alias("x"), side.alias("y"))
         width = vectors.select(F.size("x")).first()
         if width is None:
             raise ValueError("no rows to fit to")
         names = [f"x{j}" for j in range(width[0])]
-        plain = written(alike(vectors.select(*(F.col("x")[j].alias(n) for j, n in enumerate(names)), "y"), names))
+        plain = vectors.select(*(F.col("x")[j].alias(n) for j, n in enumerate(names)), "y")
+        if not together:
+            plain = written(alike(plain, names))
         if not self.regression:
             self.numClasses = 2
             if plain.where("exists(y, v -> v not in (-1, 1))").limit(1).count():

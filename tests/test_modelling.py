@@ -555,3 +555,24 @@ def test_passes_of_a_kernel_machine_go_through_the_different_rows(spark, monkeyp
     assert [r.count() for r in seen] == [21 * 2, 18 * 72 + 3 * 71, 3000]  # 18 different rows with 143 labels, 3 with 142
     assert labels(seen[0]) == labels(seen[1]) == labels(seen[2]) == sorted((i % 7 / 7, i % 3 / 3, float(i % 7 + i % 11)) for i in range(3000))
     assert np.allclose(weights[0], weights[2], rtol=1e-6) and np.allclose(weights[1], weights[2], rtol=1e-6)
+
+
+@pytest.mark.parametrize("name,parameters", [("svr", {"landmarks": 20, "epsilon": 0.05}), ("xgb_regression", {"trees": 4, "depth": 2}), ("svc_rbf", {"landmarks": 20}), ("xgb", {"trees": 4, "depth": 2})])
+def test_rows_brought_together_give_the_same_predictions(spark, name, parameters):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), float(a), None if b == 2 else float(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 5, 900), rng.integers(0, 3, 900)))]
+    y = [(r[2] > rng.normal(2, 1)) * 1.0 if name in ("svc_rbf", "xgb") else r[2] + rng.normal() for r in rows]
+    df = spark.createDataFrame([(*r, float(v)) for r, v in zip(rows, y)], "id int, fold int, a double, b double, y double").repartition(3)
+    of = lambda together: sorted((r.fold, r.y, r.score) for r in grid.Steps(df, "y", "fold", [0, 1, 2], together=together).out_of_fold(name, parameters, ["a", "b"]).collect())
+    got, want = of(True), of(False)
+    assert len(got) == 900 and np.allclose(got, want, atol=1e-6)
+
+
+def test_kernel_regression_predicts_every_line(spark, small_dir, monkeypatch):
+    from larkspur import plans
+
+    found, whole = [], grid.Steps.out_of_fold
+    monkeypatch.setattr(grid.Steps, "out_of_fold", lambda self, *a: found.append(whole(self, *a)) or found[-1])
+    plans.QUERIES["kernel_regression"](spark, small_dir)
+    lines = spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+    assert [f.count() for f in found] == [lines, lines]
