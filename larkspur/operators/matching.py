@@ -38,8 +38,19 @@ def complete_cases(df: DataFrame, group: str, numeric: Sequence[str], categorica
 
 
 def z_scored(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """df with z_<column> for each column: population SD, one that is 0 counting as 1."""
-    stats = df.agg(*(f(c).alias(f"__{n}_{c}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    """df with z_<column> for each column: population SD, one that is 0 counting as 1.
+
+    Mean and SD are of decimals, shares of the largest value or deviation, so they depend on the rows and not on how they are dealt:
+    the last bit of a score decides between partners that are as near as each other.
+    """
+    rows = lambda stats: df.crossJoin(F.broadcast(stats))
+    name = lambda n, c: F.col(f"__{n}_{c}")
+    mean = lambda x: F.sum(x.try_cast("decimal(38,20)")).cast("double") / F.count(x)
+    stats = df.agg(*(F.max(F.abs(c)).alias(f"__t_{c}") for c in numeric))
+    stats = rows(stats).agg(*(F.coalesce(F.max(name("t", c)) * mean(F.try_divide(F.col(c), name("t", c))), F.avg(c)).alias(f"__m_{c}") for c in numeric))
+    stats = rows(stats).agg(*(f.alias(f"__{n}_{c}") for c in numeric for n, f in (("m", F.max(name("m", c))), ("t", F.max(F.abs(F.col(c) - name("m", c)))))))
+    share = lambda c: F.try_divide(F.col(c) - name("m", c), name("t", c))
+    stats = rows(stats).agg(*(f.alias(f"__{n}_{c}") for c in numeric for n, f in (("m", F.max(name("m", c))), ("s", F.coalesce(F.max(name("t", c)) * F.sqrt(mean(share(c) * share(c))), F.stddev_pop(c))))))
     z = {f"z_{c}": (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")) for c in numeric}
     return df.crossJoin(F.broadcast(stats)).select(*df.columns, *(e.alias(n) for n, e in z.items()))
 

@@ -505,6 +505,20 @@ def test_equal_vectors_ask_once_and_find_the_smallest_ids(spark, monkeypatch):
     assert got == want and len(got) == 4 * 2666 and not met
 
 
+def test_scores_depend_on_the_rows_and_not_on_how_they_are_dealt(spark):
+    rng = np.random.default_rng(11)
+    values = [(float(x), float(y), 0.0) for x, y in zip(rng.integers(-99999, 1000000, 20000) / 100, 1e9 + rng.normal(0, 1e-3, 20000))]
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame([values[i] for i in rng.permutation(20000)], "x double, y double, c double").repartition(parts)
+        found.append(sorted(matching.z_scored(df, ["x", "y", "c"]).select("x", "y", "z_x", "z_y", "z_c").collect()))
+    assert found[0] == found[1]
+    for n, z in ((0, 2), (1, 3)):
+        x = np.array([r[n] for r in found[0]])
+        assert np.allclose([r[z] for r in found[0]], (x - x.mean()) / x.std(), rtol=1e-3, atol=1e-3)
+    assert {r.z_c for r in found[0]} == {0.0}
+
+
 def test_estimators_of_a_grid_share_their_steps(spark, classes, monkeypatch):
     kinds = {"lda": [{}], "nb": [{}, {"smoothing": 0.1}]}
     alone = {name: grid.grid(classes, name, sets, [["a", "c"]], "y", "fold", [0, 1, 2], "accuracy") for name, sets in kinds.items()}
